@@ -154,7 +154,9 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
         right = F.lit(None)
         for n in wanted:
             right = F.when(keyed["node"] == n, n + level[n] // 2).otherwise(right)
+        # written level by level: every level then runs the same short plan
         rows = keyed.join(cut, same, "left").select(*[keyed[c] for c in own if c != "node"], F.when(_beyond(), right).otherwise(keyed["node"]).alias("node"))
+        rows = work_table(rows, "level")
         level = {m: k for n, c in level.items() for m, k in (((n, c // 2), (n + c // 2, c - c // 2)) if c > 1 else ((n, c),))}
     placed = rows.select("doc_id", "size", "text_crc32", F.col("node").alias("shard"))
     return running_offsets(placed, "shard", ["doc_id", "text_crc32", "size"], F.lit(1), "slot", buckets=128)
