@@ -79,8 +79,9 @@ def links(fps: DataFrame) -> DataFrame:
         odd = F.bit_count(key) % 2 == 1
         halves.append(fps.select("fp", F.lit(rest_low).alias("rest"), F.explode(F.when(odd, F.concat(own, near)).otherwise(own)).alias("x")).select("fp", "rest", "x.key", "x.flips"))
     sent = halves[0].unionByName(halves[1])
-    # fingerprints that meet nobody under a key go at once
-    met = sent.withColumn("n", F.count("*").over(Window.partitionBy("rest", "key"))).where("n > 1").drop("n")
+    # a key counts where it is some fingerprint's own and another one is there; the rest goes at once
+    here = Window.partitionBy("rest", "key")
+    met = sent.withColumn("n", F.count("*").over(here)).withColumn("own", F.min("flips").over(here) == 0).where("n > 1 and own").drop("n", "own")
 
     def variants(rest_low: int) -> DataFrame:
         mask = F.lit(0xFFFFFFFF if rest_low == 0 else -(1 << 32)).cast("long")
