@@ -102,7 +102,7 @@ def slots(spark, blocks: list[int], quota: list[int], shards: int = SHARDS, seed
         spark.createDataFrame(plan, "shard int, k int, start long, n long, blocks long")
         .select("shard", "k", "blocks", "start", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PIECE).cast("long"))).alias("at"))
         .select("shard", "k", "blocks", (F.col("start") + F.col("at")).alias("low"), F.least(F.lit(PIECE), F.col("n") - F.col("at")).cast("long").alias("n"))
-        .repartition(F.col("shard"), F.col("k"), F.col("low"))
+        .repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(quota) // (16 * PIECE)), "shard", "k", "low")
     )
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +152,7 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     segments, chosen, sources = mix(docs, **options)
     spark = docs.sparkSession
     targets = spark.createDataFrame([(i, s["target"]) for i, s in enumerate(sources)], "k int, target double")
-    times = chosen.groupBy("k", "block").agg(F.count("*").alias("times"))
+    times = chosen.groupBy("k", "block").agg(F.count("*").alias("times")).hint("merge")  # as large as the corpus: no broadcast
     own = ["k", "doc_id", "source", "size", "source_size", "offset"]
     some = (
         segments.where("size > 0").join(times, ["k", "block"], "left")
@@ -170,7 +170,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Options as for mix(); docs needs the columns named.
     """
     segments, chosen, _ = mix(docs, **options)
-    drawn = segments.where("size > 0").join(chosen.select("k", "block", F.col("pass").alias("turn")), ["k", "block"])
+    drawn = segments.where("size > 0").join(chosen.select("k", "block", F.col("pass").alias("turn")).hint("merge"), ["k", "block"])
     spans = (
         drawn.groupBy("k", "offset", "turn", "doc_id", "source", "sum", "size")
         .agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("spans"), F.sum(F.col("high") - F.col("low")).alias("words"))
