@@ -22,7 +22,7 @@ from .common import crc_remainder, work_table
 
 #: Classes with a mixture component of their own (the most frequent ones), the most frequent words that every task
 #: holds (rarer ones are joined by a shuffle), and entries of a task's counter before it is passed on.
-CLASSES, HELD_WORDS, HELD_COUNTS = 6, 200_000, 300_000
+CLASSES, HELD_WORDS, HELD_COUNTS = 6, 100_000, 300_000
 #: Pseudo-count of a piece, and how often a word new to a class is one that other classes know.
 PSEUDO, KNOWN_ELSEWHERE = 0.1, 0.2
 #: The end of a text, which no word can be.
@@ -52,46 +52,43 @@ class Lattice:
         start = {p[1:]: w for p, w in weights.items() if p.startswith(_START)}
         inner = {p: w for p, w in weights.items() if not p.startswith(_START)}
         total, rest = sum(start.values()), sum(inner.values()) + words
-        self.start = {p: log(w / total) for p, w in start.items()}
         self.byte = [log(inner[f"<0x{i:02X}>"] / rest) for i in range(256)]
-        self.inner = {p: log(w / rest) for p, w in inner.items() if not (p.startswith("<0x") and len(p) == 6)}
         self.end = log(words / rest)
-        # prefixes tell where a search can stop
-        self.start_on = {p[:k] for p in self.start for k in range(len(p) + 1)}
-        self.inner_on = {p[:k] for p in self.inner for k in range(1, len(p) + 1)}
-
-    def _inner_from(self, word: str, i: int, before: float = 0.0) -> list[tuple[int, float, str]]:
-        """Arcs (end, log weight, piece) from position i inside a word; bytes (no piece) spell any character."""
-        found = [(i + 1, before + sum(self.byte[b] for b in word[i].encode()), "")]
-        for j in range(i + 1, len(word) + 1):
-            piece = word[i:j]
-            if piece not in self.inner_on:
-                break
-            if (w := self.inner.get(piece)) is not None:
-                found.append((j, before + w, piece))
-        return found
-
-    def arcs(self, word: str) -> list[list[tuple[int, float, str]]]:
-        """The arcs that leave each position. A word starts with a starting piece, or with the bare start and an inner one."""
-        found = self._inner_from(word, 0, self.start[""])
-        for j in range(1, len(word) + 1):
-            piece = word[:j]
-            if piece not in self.start_on:
-                break
-            if (w := self.start.get(piece)) is not None:
-                found.append((j, w, _START + piece))
-        return [found, *[self._inner_from(word, i) for i in range(1, len(word))]]
-
-    def forward(self, word: str) -> tuple[list[float | None], list[list[tuple[int, float, str]]]]:
-        """Log weight of all ways to each position, and the arcs."""
-        arcs = self.arcs(word)
-        a: list[float | None] = [None] * (len(word) + 1)
-        a[0] = 0.0
-        for i, leaving in enumerate(arcs):
-            x = a[i]
+        pieces = {p: log(w / rest) for p, w in inner.items() if not (p.startswith("<0x") and len(p) == 6)}
+        # piece to log weight; None for what is only the beginning of a piece, so that a search knows where to stop
+        self.start = dict.fromkeys(p[:k] for p in start for k in range(len(p))) | {p: log(w / total) for p, w in start.items()}
+        self.inner = dict.fromkeys(p[:k] for p in pieces for k in range(1, len(p))) | pieces
+
+    def arcs(self, word: str) -> list[list[tuple[int, float]]]:
+        """The arcs (end, log weight) that leave each position. A word starts with a starting piece, or with the bare
+        start and an inner piece; the bytes of any character are the first arc of each position."""
+        n, out, byte = len(word), [], self.byte
+        for i, c in enumerate(word):
+            before, get = (self.start[""] if i == 0 else 0.0), self.inner.get
+            here = [(i + 1, before + (byte[ord(c)] if c < "\x80" else sum(byte[b] for b in c.encode())))]
+            for j in range(i + 1, n + 1):
+                w = get(word[i:j], 0)
+                if w == 0:
+                    break
+                if w is not None:
+                    here.append((j, before + w))
+            out.append(here)
+        if out:
+            for j in range(1, n + 1):
+                w = self.start.get(word[:j], 0)
+                if w == 0:
+                    break
+                if w is not None:
+                    out[0].append((j, w))
+        return out
+
+    def forward(self, word: str) -> float:
+        """Log of the sum of the weights of all ways through the word."""
+        a: list[float | None] = [0.0] + [None] * len(word)
+        for x, leaving in zip(a, self.arcs(word), strict=False):  # a is filled ahead of the walk
             if x is None:
                 continue
-            for j, w, _ in leaving:
+            for j, w in leaving:
                 y, z = a[j], x + w
                 if y is None:
                     a[j] = z
@@ -99,36 +96,46 @@ class Lattice:
                     a[j] = y + log1p(exp(z - y))
                 else:
                     a[j] = z + log1p(exp(y - z))
-        return a, arcs
+        return a[-1]
 
     def log_probability(self, word: str) -> float:
         """Natural log of the sum over all segmentations."""
-        return self.forward(word)[0][-1] + self.end
+        return self.forward(word) + self.end
 
     def expected(self, word: str, times: float, into: Counter) -> None:
         """Adds times the expected number of uses of each piece in the word."""
-        n, arcs = len(word), [[(j, exp(w), p) for j, w, p in leaving] for leaving in self.arcs(word)]
+        n, arcs = len(word), [[(j, exp(w)) for j, w in leaving] for leaving in self.arcs(word)]
         a, b = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-        for i, leaving in enumerate(arcs):
-            if x := a[i]:
-                for j, w, _ in leaving:
+        for x, leaving in zip(a, arcs, strict=False):
+            if x:
+                for j, w in leaving:
                     a[j] += x * w
-        total = a[n]
-        if total < 1e-280:  # a word too long for plain numbers: by halves
+        if a[n] < 1e-280:  # a word too long for plain numbers: by halves
             self.expected(word[: n // 2], times, into)
             self.expected(word[n // 2 :], times, into)
             return
+        scale, bare = times / a[n], 0.0
         for i in range(n - 1, -1, -1):
-            x, y = a[i] * times / total, 0.0
-            for j, w, piece in arcs[i]:
-                y += w * b[j]
-                use = x * w * b[j]
-                if piece:
-                    into[piece] += use
-                elif use > 1e-6 * times:
-                    for byte in word[i].encode():
-                        into[f"<0x{byte:02X}>"] += use
+            x, y = a[i] * scale, 0.0
+            starting = False  # the starting pieces come last, in order of their length
+            at = i
+            for k, (j, w) in enumerate(arcs[i]):
+                way = w * b[j]
+                y += way
+                use = x * way
+                if i == 0 and k and j <= at:
+                    starting = True
+                at = j
+                if k == 0:
+                    if use > 1e-6 * times:
+                        for byte in word[i].encode():
+                            into[f"<0x{byte:02X}>"] += use
+                else:
+                    into[_START + word[:j] if starting else word[i:j]] += use
+                if i == 0 and not starting:
+                    bare += use
             b[i] = y
+        into[_START] += bare
 
 
 def _flush(counts: dict, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -220,7 +227,15 @@ def score(docs: DataFrame, pieces: str, held_out: int = 2, folds: int = 7, id_co
 
     logs_schema = ", ".join(f"p{i} double" for i in range(k))
     measured = work_table(words.select("word", "seen", "known", *[f"n{i}" for i in range(k)]).mapInArrow(measure, f"word string, seen long, known long, base double, {logs_schema}"), "measured")
-    frequent = measured.orderBy(F.desc("seen"), "word").limit(HELD_WORDS).drop("seen").toPandas()
+    # how often a word must be seen to be held: by classes of an eighth of a power of two, as many as fit
+    often = F.floor(F.log2("seen") * 8).cast("int")
+    room, least = HELD_WORDS, 1 << 20
+    for r in sorted(measured.groupBy(often.alias("often")).count().collect(), key=lambda r: -r["often"]):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["often"]
+    frequent = measured.where(often >= least).drop("seen").toArrow().to_pandas()
     place = {w.encode(): i for i, w in enumerate(frequent["word"])}
     table = frequent[["base", *[f"p{i}" for i in range(k)]]].to_numpy(float)
     known = (frequent["known"] > 0).to_numpy()
