@@ -58,84 +58,95 @@ class Lattice:
         # piece to log weight; None for what is only the beginning of a piece, so that a search knows where to stop
         self.start = dict.fromkeys(p[:k] for p in start for k in range(len(p))) | {p: log(w / total) for p, w in start.items()}
         self.inner = dict.fromkeys(p[:k] for p in pieces for k in range(1, len(p))) | pieces
-
-    def arcs(self, word: str) -> list[list[tuple[int, float]]]:
-        """The arcs (end, log weight) that leave each position. A word starts with a starting piece, or with the bare
-        start and an inner piece; the bytes of any character are the first arc of each position."""
-        n, out, byte = len(word), [], self.byte
-        for i, c in enumerate(word):
-            before, get = (self.start[""] if i == 0 else 0.0), self.inner.get
-            here = [(i + 1, before + (byte[ord(c)] if c < "\x80" else sum(byte[b] for b in c.encode())))]
-            for j in range(i + 1, n + 1):
-                w = get(word[i:j], 0)
-                if w == 0:
-                    break
-                if w is not None:
-                    here.append((j, before + w))
-            out.append(here)
-        if out:
-            for j in range(1, n + 1):
-                w = self.start.get(word[:j], 0)
-                if w == 0:
-                    break
-                if w is not None:
-                    out[0].append((j, w))
-        return out
+        # the same as plain numbers
+        self.plain_start, self.plain_inner = ({p: None if w is None else exp(w) for p, w in t.items()} for t in (self.start, self.inner))
 
     def forward(self, word: str) -> float:
-        """Log of the sum of the weights of all ways through the word."""
-        a: list[float | None] = [0.0] + [None] * len(word)
-        for x, leaving in zip(a, self.arcs(word), strict=False):  # a is filled ahead of the walk
+        """Log of the sum of the weights of all ways through the word.
+
+        Node 0 is the start, node i + 1 the place before character i; the bare start leads to node 1, the starting
+        pieces and the inner pieces to their ends. Bytes spell a character that is no piece.
+        """
+        n, inner, start = len(word), self.inner.get, self.start.get
+        a: list[float | None] = [None] * (n + 2)
+        a[1] = self.start[""]
+        for j in range(1, n + 1):
+            w = start(word[:j], 0)
+            if w == 0:
+                break
+            if w is not None:
+                a[j + 1] = w
+        for i in range(n):
+            x = a[i + 1]
             if x is None:
                 continue
-            for j, w in leaving:
-                y, z = a[j], x + w
+            if inner(word[i]) is None:
+                y, z = a[i + 2], x + self._bytes(word[i])
+                a[i + 2] = z if y is None else max(y, z) + log1p(exp(-abs(y - z)))
+            for j in range(i + 1, n + 1):
+                w = inner(word[i:j], 0)
+                if w == 0:
+                    break
+                if w is None:
+                    continue
+                y, z = a[j + 1], x + w
                 if y is None:
-                    a[j] = z
+                    a[j + 1] = z
                 elif y > z:
-                    a[j] = y + log1p(exp(z - y))
+                    a[j + 1] = y + log1p(exp(z - y))
                 else:
-                    a[j] = z + log1p(exp(y - z))
+                    a[j + 1] = z + log1p(exp(y - z))
         return a[-1]
 
+    def _bytes(self, c: str) -> float:
+        return sum(self.byte[b] for b in c.encode())
+
     def log_probability(self, word: str) -> float:
         """Natural log of the sum over all segmentations."""
         return self.forward(word) + self.end
 
     def expected(self, word: str, times: float, into: Counter) -> None:
         """Adds times the expected number of uses of each piece in the word."""
-        n, arcs = len(word), [[(j, exp(w)) for j, w in leaving] for leaving in self.arcs(word)]
-        a, b = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-        for x, leaving in zip(a, arcs, strict=False):
-            if x:
-                for j, w in leaving:
-                    a[j] += x * w
-        if a[n] < 1e-280:  # a word too long for plain numbers: by halves
+        n, inner, start = len(word), self.plain_inner.get, self.plain_start.get
+        a, b = [1.0] + [0.0] * (n + 1), [0.0] * (n + 1) + [1.0]
+        a[1] = self.plain_start[""]
+        ways = [(0, 1, a[1], _START)]
+        for j in range(1, n + 1):
+            w = start(word[:j], 0)
+            if w == 0:
+                break
+            if w is not None:
+                a[j + 1] += w
+                ways.append((0, j + 1, w, _START + word[:j]))
+        for i in range(1, n + 1):
+            x = a[i]
+            if not x:
+                continue
+            if inner(word[i - 1]) is None:
+                w = exp(self._bytes(word[i - 1]))
+                a[i + 1] += x * w
+                ways.append((i, i + 1, w, None))
+            for j in range(i, n + 1):
+                piece = word[i - 1 : j]
+                w = inner(piece, 0)
+                if w == 0:
+                    break
+                if w is not None:
+                    a[j + 1] += x * w
+                    ways.append((i, j + 1, w, piece))
+        if a[-1] < 1e-280:  # a word too long for plain numbers: by halves
             self.expected(word[: n // 2], times, into)
             self.expected(word[n // 2 :], times, into)
             return
-        scale, bare = times / a[n], 0.0
-        for i in range(n - 1, -1, -1):
-            x, y = a[i] * scale, 0.0
-            starting = False  # the starting pieces come last, in order of their length
-            at = i
-            for k, (j, w) in enumerate(arcs[i]):
-                way = w * b[j]
-                y += way
-                use = x * way
-                if i == 0 and k and j <= at:
-                    starting = True
-                at = j
-                if k == 0:
-                    if use > 1e-6 * times:
-                        for byte in word[i].encode():
-                            into[f"<0x{byte:02X}>"] += use
-                else:
-                    into[_START + word[:j] if starting else word[i:j]] += use
-                if i == 0 and not starting:
-                    bare += use
-            b[i] = y
-        into[_START] += bare
+        scale = times / a[-1]
+        for i, j, w, piece in reversed(ways):
+            way = w * b[j]
+            b[i] += way
+            if piece is not None:
+                into[piece] += a[i] * way * scale
+            else:
+                for byte in word[i - 1].encode():
+                    into[f"<0x{byte:02X}>"] += a[i] * way * scale
 
 
 def _flush(counts: dict, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
