@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, keep_rows, work_table
+from .common import components, keep_rows, small_batches, work_table
 
 SEED = 42
 #: Differing bits at most; the two-step scheme below is made for this radius.
@@ -48,6 +48,7 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
     """(doc_id, sum, fp), sum being xxhash64 of the text and fp a signed 64-bit integer; one row per row of docs."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,15 +59,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(each, f"doc_id {kind}, sum long, fp long")
 
 
-def _bit(i: Column) -> Column:
-    return F.shiftleft(F.lit(1).cast("long"), i)
-
-
 def _bits(low: int, high: int) -> Column:
     """The numbers with one bit set, from bit low to bit high - 1."""
     return F.array(*[F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(low, high)])
 
 
+def _flipped(key: Column, bits: Column) -> Column:
+    return F.transform(bits, lambda b: F.struct(key.bitwiseXOR(b).alias("key"), F.lit(1).alias("flips")))
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b), a > b, between distinct fingerprints of fps(fp): all at 3 or fewer differing bits, and enough of
     them that two fingerprints are connected exactly if they are under all such pairs."""
@@ -75,7 +76,7 @@ def links(fps: DataFrame) -> DataFrame:
         mask = F.lit(0xFFFFFFFF if key_low == 0 else -(1 << 32)).cast("long")
         key = F.col("fp").bitwiseAND(mask)
         own = F.array(F.struct(key.alias("key"), F.lit(0).alias("flips")))
-        near = F.transform(_bits(key_low, key_low + 32), lambda b, k=key: F.struct(k.bitwiseXOR(b).alias("key"), F.lit(1).alias("flips")))
+        near = _flipped(key, _bits(key_low, key_low + 32))
         odd = F.bit_count(key) % 2 == 1
         halves.append(fps.select("fp", F.lit(rest_low).alias("rest"), F.explode(F.when(odd, F.concat(own, near)).otherwise(own)).alias("x")).select("fp", "rest", "x.key", "x.flips"))
     sent = halves[0].unionByName(halves[1])
