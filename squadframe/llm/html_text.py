@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import work_table
+from .common import small_batches, work_table
 from .url_filter import host_of, path_of
 
 #: Deletions of up to this number of pages (a key and a few line numbers each) are broadcast, more are joined by a shuffle.
@@ -204,7 +204,7 @@ def _in_url_order(lines: DataFrame) -> DataFrame:
 
 def deletions(pages: DataFrame) -> DataFrame:
     """(key, gone): for the pages (url, html) that lose undeclared lines to a neighbour, the numbers of these lines."""
-    ordered = work_table(_in_url_order(work_table(_lines(pages).dropDuplicates(["key"]), "lines")), "placed")
+    ordered = work_table(_in_url_order(work_table(_lines(pages).where(F.size("lines") > 0).dropDuplicates(["key"]), "lines")), "placed")
 
     def neighbour(step: int, name: str) -> DataFrame:
         return ordered.select((F.col("place") + step).alias("place"), F.col("host").alias(f"{name}_host"), F.col("lines").alias(name))
@@ -234,6 +234,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     get the same text; other columns are ignored. Where a page declares an article, its text is that article's;
     otherwise all blocks that neither markup nor a neighbour marks as furniture.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     gone = deletions(rows.select("url", "html"))
     few = gone.count() <= BROADCAST_PAGES
