@@ -18,12 +18,14 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Characters of a chunk and of the overlap with the next, in which boundaries must resynchronise.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: Characters beyond a piece that can matter to it (a lookahead, the rest of a contraction), plus one.
 AHEAD = 3
 #: Distinct pieces that a task remembers; beyond, its memory starts anew.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -125,6 +127,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     overlap), the whole text is encoded in one piece instead, with the same result. Repeated rows stay repeated;
     other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     n = F.coalesce(F.char_length("text"), F.lit(0))
     short = _encode_column(rows.where(n <= chunk), path, pattern, ["doc_id"])

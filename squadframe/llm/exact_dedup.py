@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, work_table
+from .common import keep_rows, small_batches, work_table
 
 #: Chunk sizes in bytes: least, usual (a power of two beyond the least) and most.
 LEAST, USUAL, MOST = 512, 2048, 16384
@@ -115,6 +115,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     empty texts form a group like any other. keep_id is the smallest id of the group (nulls last); one row of a group
     is kept, also where ids repeat or are null. Other columns are ignored. bits shortens the digests (for tests).
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("sum"))
     shared = (
         _chunk_table(rows.select("text"), bits).distinct()

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder
+from .common import crc_remainder, small_batches
 
 #: Bytes of a window, of the ordinary dictionary and of the trained toxic segments; zstandard's level.
 WINDOW, ORDINARY_BYTES, TOXIC_BYTES, LEVEL = 96, 1 << 19, 1 << 14, 6
@@ -177,6 +177,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     Null and empty texts are scored as a text without windows; without a model every score is 0. A column named
     toxicity is replaced. Whole texts are scored, nothing is shuffled.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(*[docs[c] for c in docs.columns if c != "toxicity"])
     names = rows.columns
     at = names.index(text_col)
