@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def clamp(v: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), v))
+    """Null stays null (greatest and least alone would skip it)."""
+    return F.when(v.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), v)))
 
 
 def round_half_up(v: Column, digits: int = 0) -> Column:

@@ -69,7 +69,7 @@ triple as (select a.id as id0, b.id as id1, c.id as id2, {_r('(a.rate + b.rate +
 
 
 def _clamp(x: str, low: float, high: float) -> str:
-    return f"greatest({low}::double, least({high}::double, {x}))"
+    return f"case when ({x}) is not null then greatest({low}::double, least({high}::double, {x})) end"
 
 
 _PLACE = f"{_clamp('1.35 * (4.5 - avg_placement) / 3.5 + 1.15 * (top3_rate - 0.375) + 1.45 * (win_rate - 0.125)', -2.4, 2.8)}"
