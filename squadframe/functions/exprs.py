@@ -34,6 +34,10 @@ def placement_ranking(placement: Column, top3: Column, win: Column) -> Column:
     return F.coalesce(win, F.lit(0.0)) * 240 + F.coalesce(top3, F.lit(0.0)) * 150 + (4.5 - F.coalesce(placement, F.lit(4.5))) * 16
 
 
+def tournament_result(rank: Column, total: Column, kills: Column) -> Column:
+    return clamp(0.78 * (4.5 - rank) / 3.5 + 0.32 * F.least(F.lit(1.0), total / 22) + 0.28 * F.least(F.lit(1.0), kills / 14), -1.15, 1.35)
+
+
 def bayesian_rate(wins: Column, games: Column, alpha: float, prior: Column) -> Column:
     return (wins + alpha * prior) / (games + alpha)
 

@@ -136,12 +136,61 @@ def global_win_rate(stats: DataFrame) -> DataFrame:
     return stats.groupBy("bucket").agg((F.sum(F.col("games") * F.col("win_rate")) / F.sum("games")).alias("mean_rate"))
 
 
-def bayes_character_power(spark: SparkSession, sf_dir: str, alpha: float = 100.0) -> DataFrame:
-    stats = official_candidate_stats(spark, sf_dir)
+def character_power(stats: DataFrame, alpha: float = 100.0) -> DataFrame:
+    """Adjusted win rate of every member against the bucket's mean."""
     both = stats.join(F.broadcast(global_win_rate(stats)), "bucket")  # five buckets
     adjusted = X.bayesian_rate(F.col("win_rate") * F.col("games"), F.col("games"), alpha, F.col("mean_rate"))
     sure = F.least(F.lit(1.0), F.log10(F.col("games") + 1) / 2.5)
-    return both.select("bucket", "stat_id", R(X.clamp((adjusted - F.col("mean_rate")) * 4 * sure, -1.0, 1.2), 4).alias("power"))
+    return both.select("bucket", "stat_id", X.clamp((adjusted - F.col("mean_rate")) * 4 * sure, -1.0, 1.2).alias("power"))
+
+
+def bayes_character_power(spark: SparkSession, sf_dir: str, alpha: float = 100.0) -> DataFrame:
+    return character_power(official_candidate_stats(spark, sf_dir), alpha).select("bucket", "stat_id", R(F.col("power"), 4).alias("power"))
+
+
+def pair_synergy(pairs: DataFrame, stats: DataFrame, alpha: float = 80.0) -> DataFrame:
+    """By how much a pair's adjusted win rate is above the mean of its members'; members without statistics count as the bucket's mean."""
+    means = F.broadcast(global_win_rate(stats))  # five buckets
+    rated = stats.join(means, "bucket").select("bucket", "stat_id", X.bayesian_rate(F.col("win_rate") * F.col("games"), F.col("games"), alpha, F.col("mean_rate")).alias("rate"))
+    both = pairs.join(means, "bucket", "left").withColumn("mean_rate", F.coalesce("mean_rate", F.lit(0.5)))
+    for side in ("a", "b"):
+        both = both.join(rated.select("bucket", F.col("stat_id").alias(side), F.col("rate").alias(f"rate_{side}")), ["bucket", side], "left")
+    expected = (F.coalesce("rate_a", "mean_rate") + F.coalesce("rate_b", "mean_rate")) * 0.5
+    return both.select("bucket", "a", "b", "games", (X.bayesian_rate(F.col("games") * F.col("win_rate"), F.col("games"), alpha, expected) - expected).alias("above"))
+
+
+def bayes_pair_synergy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synergy of every pair, as the score of one member for a team of the other."""
+    found = pair_synergy(official_pair_stats(spark, sf_dir), official_candidate_stats(spark, sf_dir))
+    return found.select("bucket", "a", "b", "games", R(X.clamp(F.col("above") * 5, -1.0, 1.2), 4).alias("synergy"))
+
+
+def official_v2_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Power, pair synergy and combat signal in one score, for every bucket's two most played members as the team.
+
+    A candidate's synergy is the mean over both teammates, 0 where a pair was never played; so is a missing signal.
+    """
+    stats = official_candidate_stats(spark, sf_dir)
+    best = stats.groupBy("bucket").agg(F.min(F.struct(-F.col("games"), F.col("stat_id"))).alias("one"))
+    second = stats.join(best, "bucket").where(F.col("stat_id") != F.col("one.stat_id")).groupBy("bucket").agg(F.min(F.struct(-F.col("games"), F.col("stat_id"))).alias("two"))
+    team = F.broadcast(best.join(second, "bucket").select("bucket", F.col("one.stat_id").alias("first"), F.col("two.stat_id").alias("second")))  # five buckets
+    pairs = pair_synergy(official_pair_stats(spark, sf_dir), stats).join(team, "bucket")
+    held = lambda c: F.col(c).isin(F.col("first"), F.col("second"))
+    synergy = (
+        pairs.select("bucket", "above", F.when(held("a") & ~held("b"), F.col("b")).when(held("b") & ~held("a"), F.col("a")).alias("stat_id"))
+        .where("stat_id is not null").groupBy("bucket", "stat_id").agg((F.sum("above") / 2).alias("above"))
+    )
+    signal = combat_signals(official_combat_stats(spark, sf_dir))
+    rows = character_power(stats).join(team, "bucket").where(~held("stat_id")).join(synergy, ["bucket", "stat_id"], "left").join(signal, ["bucket", "stat_id"], "left")
+    synergy_score = X.clamp(F.coalesce("above", F.lit(0.0)) * 5, -1.0, 1.2)
+    raw = F.col("power") * 0.30 + synergy_score * 0.35 + F.coalesce("signal", F.lit(0.0)) * 0.15
+    return rows.select("bucket", "stat_id", "first", "second", R(X.clamp(raw, -1.5, 1.8), 4).alias("score"))
+
+
+def tournament_result_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result score of every team: its rank, its kills, and kills with a point for each team behind it as the total."""
+    s = squads(spark, sf_dir, "character").select("team_key", "rank", F.aggregate("players", F.lit(0), lambda t, x: t + x["kills"]).alias("kills"))
+    return s.select("team_key", R(X.tournament_result(F.col("rank"), F.col("kills") + 8 - F.col("rank"), F.col("kills")), 4).alias("score"))
 
 
 def official_candidate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,11 +201,14 @@ def official_candidate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("bucket", "stat_id", R(X.clamp(raw, -0.95, 1.05), 4).alias("score"))
 
 
-def combat_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = official_combat_stats(spark, sf_dir)
+def combat_signals(c: DataFrame) -> DataFrame:
     damage = X.clamp((F.col("avg_damage") - 15000) / 20000, -0.5, 0.6)
     raw = X.clamp(F.col("avg_kills") / 6, -0.5, 0.7) + damage * 0.4
-    return c.select("bucket", "stat_id", R(X.clamp(raw * F.least(F.lit(1.0), F.log10(F.col("games") + 1) / 2.5), -0.8, 1.0), 4).alias("signal"))
+    return c.select("bucket", "stat_id", X.clamp(raw * F.least(F.lit(1.0), F.log10(F.col("games") + 1) / 2.5), -0.8, 1.0).alias("signal"))
+
+
+def combat_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return combat_signals(official_combat_stats(spark, sf_dir)).select("bucket", "stat_id", R(F.col("signal"), 4).alias("signal"))
 
 
 def composition_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:

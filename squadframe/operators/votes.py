@@ -79,3 +79,18 @@ def relationship_score(spark: SparkSession, sf_dir: str, tier: str = "diamond")
     weight = hits * F.when(hits == 2, 1.35).otherwise(0.58) * F.least(F.lit(1.4), F.log2(n + 1.0) / 3) * F.when(F.col("tier") == tier, 1.15).otherwise(0.75) * 1.05
     rows = s.where((hits > 0) & (n > 0)).select("candidate_id", weight.alias("w"), X.vote_sentiment(F.col("likes"), F.col("dislikes")).alias("s"))
     return rows.groupBy("candidate_id").agg(X.round_half_up(X.clamp(F.sum(F.col("w") * F.col("s")) / F.sum("w") * 3.4, -2.2, 2.2), 4).alias("score"))
+
+
+def feedback_score(spark: SparkSession, sf_dir: str, tier: str = "diamond") -> DataFrame:
+    """Score of each candidate for each team in a tier: the tier's own votes, those of `all`, and the candidate's in general.
+
+    One pass over the summaries, by team; the candidate's totals weigh votes of `all` less.
+    """
+    s = vote_summary(spark, sf_dir).where(F.col("tier").isin(tier, "all"))
+    own = lambda c, at: F.sum(F.when(F.col("tier") == at, F.col(c)).otherwise(0))
+    by_team = s.groupBy("team_key", "candidate_id").agg(*[own(c, at).alias(f"{c}_{k}") for c in ("likes", "dislikes") for k, at in (("tier", tier), ("all", "all"))])
+    weight = F.when(F.col("tier") == tier, 1.0).otherwise(0.65)
+    general = s.groupBy("candidate_id").agg(*[F.sum(F.col(c) * weight).alias(c) for c in ("likes", "dislikes")])
+    score = lambda k: X.vote_score(F.col(f"likes{k}"), F.col(f"dislikes{k}"))
+    total = score("_tier") + score("") * 0.35 if tier == "all" else score("_tier") * 0.75 + score("_all") * 0.25 + score("") * 0.35
+    return by_team.join(general, "candidate_id").select("team_key", "candidate_id", X.round_half_up(total, 4).alias("score"))

@@ -9,8 +9,8 @@ QUERIES = {
     for f in (
         stats.official_candidate_stats, stats.official_trait_build, stats.official_trait_top5, stats.official_composition_stats, stats.official_pair_stats, stats.recency_weighted_pairs,
         stats.official_combat_stats, stats.drop_reason_audit, stats.unmapped_codes, stats.team_dedup_first_wins, stats.weapon_majority_map, stats.stat_id_resolution, stats.tournament_compositions,
-        stats.ml_team_features, stats.bayes_character_power, stats.official_candidate_score, stats.combat_signal, stats.composition_ranking, stats.damage_reference, stats.tier_buckets, stats.tier_bucket_text,
-        votes.vote_upsert_hourly, votes.vote_summary, votes.vote_duplicates, votes.vote_ttl_purge, votes.vote_window_counts, votes.popular_feedback_overall, votes.popular_feedback_recent, votes.character_feedback, votes.relationship_score,
+        stats.ml_team_features, stats.bayes_character_power, stats.bayes_pair_synergy, stats.official_v2_score, stats.tournament_result_score, stats.official_candidate_score, stats.combat_signal, stats.composition_ranking, stats.damage_reference, stats.tier_buckets, stats.tier_bucket_text,
+        votes.vote_upsert_hourly, votes.vote_summary, votes.vote_duplicates, votes.vote_ttl_purge, votes.vote_window_counts, votes.popular_feedback_overall, votes.popular_feedback_recent, votes.character_feedback, votes.relationship_score, votes.feedback_score,
         search.union_combos, search.union_combos_capped, search.full_team_beam, search.nearest_template, search.graph_expand_depth2, search.seed_pool_rotation, search.random_seed_sample,
         text.html_strip, text.name_normalize, text.csv_escape, text.html_escape, text.initial_search, text.feedback_key_parse, text.i18n_render,
     )

@@ -76,6 +76,20 @@ _PLACE = f"{_clamp('1.35 * (4.5 - avg_placement) / 3.5 + 1.15 * (top3_rate - 0.3
 _CONF80 = _clamp("log10(games + 1) / log10(81.0::double)", 0, 1)
 
 
+_MEAN = "mean as (select bucket, sum(games * win_rate) / sum(games) as g from candidate group by bucket)"
+_POWER = _clamp("((win_rate * games + 100 * g) / (games + 100) - g) * 4 * least(1.0::double, log10(games + 1) / 2.5)", -1.0, 1.2)
+_SIGNAL = _clamp(f"({_clamp('avg_kills / 6', -0.5, 0.7)} + {_clamp('(avg_damage - 15000) / 20000', -0.5, 0.6)} * 0.4) * least(1.0::double, log10(games + 1) / 2.5)", -0.8, 1.0)
+_SYNERGY = """rated as (select bucket, stat_id, (win_rate * games + 80 * g) / (games + 80) as rate from candidate join mean using (bucket)),
+hoped as (select p.*, 0.5::double * (coalesce(x.rate, g, 0.5) + coalesce(y.rate, g, 0.5)) as e from pair_stats p left join mean using (bucket)
+ left join rated x on x.bucket = p.bucket and x.stat_id = p.a left join rated y on y.bucket = p.bucket and y.stat_id = p.b),
+synergy as (select bucket, a, b, games, (games * win_rate + 80 * e) / (games + 80) - e as above from hoped)"""
+
+
+def _votes_score(likes: str, dislikes: str) -> str:
+    n = f"({likes} + {dislikes})"
+    return f"case when {n} > 0 then ({likes} - {dislikes}) / {n} * least(1.0::double, {n} / 5.0::double) * 1.5::double else 0 end"
+
+
 def _q(*ctes: str, select: str) -> str:
     return "with " + ",\n".join(ctes) + "\n" + select
 
@@ -103,10 +117,25 @@ SQL = {
  group by members) where games >= 2 order by win_rate desc, games desc, members limit 20"""),
     "ml_team_features": _q(_BASE, select=f"""select team_key, own as bucket, rank, count(*)::int as n_players, count(distinct weapon)::int as n_weapons, count(distinct "character")::int as n_characters,
  {_r('sum(damage)', 2)} as damage, {_r('sum(cc_time)', 2)} as cc_time, sum(kills)::int as kills from row_of group by team_key, own, rank"""),
-    "bayes_character_power": _q(_BASE, _CANDIDATE, "mean as (select bucket, sum(games * win_rate) / sum(games) as g from candidate group by bucket)",
-        select=f"select bucket, stat_id, {_r(_clamp('((win_rate * games + 100 * g) / (games + 100) - g) * 4 * least(1.0::double, log10(games + 1) / 2.5)', -1.0, 1.2), 4)} as power from candidate join mean using (bucket)"),
+    "bayes_character_power": _q(_BASE, _CANDIDATE, _MEAN, select=f"select bucket, stat_id, {_r(_POWER, 4)} as power from candidate join mean using (bucket)"),
+    "bayes_pair_synergy": _q(_BASE, _CANDIDATE, _MEAN, _pairs("1.0::double"), _SYNERGY, select=f"select bucket, a, b, games, {_r(_clamp('above * 5', -1.0, 1.2), 4)} as synergy from synergy"),
+    "official_v2_score": _q(_BASE, _CANDIDATE, _MEAN, _pairs("1.0::double"), _SYNERGY, _COMBAT, f"""nth_of as (select bucket, stat_id, row_number() over (partition by bucket order by games desc, stat_id) as k from candidate),
+team_of as (select bucket, max(stat_id) filter (k = 1) as first, max(stat_id) filter (k = 2) as second from nth_of group by bucket having max(k) > 1),
+power as (select bucket, stat_id, {_POWER} as power from candidate join mean using (bucket)),
+signal as (select bucket, stat_id, {_SIGNAL} as signal from combat),
+with_one as (select bucket, a as stat_id, b as mate, above from synergy union all select bucket, b, a, above from synergy where a <> b),
+gain as (select w.bucket, w.stat_id, sum(above) / 2 as above from with_one w join team_of t on w.bucket = t.bucket and w.mate in (t.first, t.second) where w.stat_id not in (t.first, t.second) group by all)""",
+        select=f"""select p.bucket, p.stat_id, first, second, {_r(_clamp(f"power * 0.30::double + {_clamp('coalesce(above, 0) * 5', -1.0, 1.2)} * 0.35::double + coalesce(signal, 0) * 0.15::double", -1.5, 1.8), 4)} as score
+ from power p join team_of t on p.bucket = t.bucket and p.stat_id not in (first, second) left join gain g on g.bucket = p.bucket and g.stat_id = p.stat_id left join signal s on s.bucket = p.bucket and s.stat_id = p.stat_id"""),
+    "tournament_result_score": _q(_BASE, select=f"""select team_key, {_r(_clamp("0.78::double * (4.5 - rank) / 3.5 + 0.32::double * least(1.0::double, (kills + 8 - rank) / 22) + 0.28::double * least(1.0::double, kills / 14)", -1.15, 1.35), 4)} as score
+ from (select team_key, any_value(rank) as rank, sum(kills)::double as kills from player join trio using (team_key) join team using (team_key) group by team_key)"""),
+    "feedback_score": _q(_VOTES, f"""heard as (select * from summary where tier in ('diamond', 'all')),
+by_team as (select team_key, candidate_id, coalesce(sum(likes) filter (tier = 'diamond'), 0) as l, coalesce(sum(dislikes) filter (tier = 'diamond'), 0) as d,
+ coalesce(sum(likes) filter (tier = 'all'), 0) as la, coalesce(sum(dislikes) filter (tier = 'all'), 0) as da from heard group by all),
+general as (select candidate_id, sum(likes * case tier when 'all' then 0.65::double else 1 end) as lg, sum(dislikes * case tier when 'all' then 0.65::double else 1 end) as dg from heard group by 1)""",
+        select=f"""select team_key, candidate_id, {_r(f"({_votes_score('l', 'd')}) * 0.75::double + ({_votes_score('la', 'da')}) * 0.25::double + ({_votes_score('lg', 'dg')}) * 0.35::double", 4)} as score from by_team join general using (candidate_id)"""),
     "official_candidate_score": _q(_BASE, _CANDIDATE, select=f"""select bucket, stat_id, {_r(_clamp(f"(coalesce({_PLACE}, 0) * 0.75 + case when avg_damage <> 0 then {_clamp('(avg_damage - 18000) / 22000', -0.35, 0.45)} else 0 end * 0.35) * least(1.0::double, log10(games + 1) / 2.2)", -0.95, 1.05), 4)} as score from candidate"""),
-    "combat_signal": _q(_BASE, _COMBAT, select=f"""select bucket, stat_id, {_r(_clamp(f"({_clamp('avg_kills / 6', -0.5, 0.7)} + {_clamp('(avg_damage - 15000) / 20000', -0.5, 0.6)} * 0.4) * least(1.0::double, log10(games + 1) / 2.5)", -0.8, 1.0), 4)} as signal from combat"""),
+    "combat_signal": _q(_BASE, _COMBAT, select=f"select bucket, stat_id, {_r(_SIGNAL, 4)} as signal from combat"),
     "composition_ranking": _q(_BASE, _COMPOSITION, select=f"""select bucket, canonical, games, {_r(f'(240 * win_rate + 150 * top3_rate + 16 * (4.5 - avg_placement)) * {_CONF80} + least(14.0::double, 0.35 * games)', 3)} as score from
  (select *, row_number() over (partition by bucket, canonical order by games desc, candidate, teammates) as k from
  (select *, array_to_string(list_sort(list_distinct(list_append(string_split(teammates, '|'), candidate))), '|') as canonical from composition)) where k = 1"""),
