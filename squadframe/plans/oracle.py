@@ -161,6 +161,9 @@ general as (select candidate_id, sum(likes * case tier when 'all' then 0.65::dou
     "relationship_score": _q(_VOTES, select=f"""select candidate_id, {_r(_clamp('sum(w * s) / sum(w) * 3.4', -2.2, 2.2), 4)} as score from (select candidate_id,
  h * case when h = 2 then 1.35 else 0.58 end * least(1.4::double, log2(n + 1.0::double) / 3) * case when tier = 'diamond' then 1.15 else 0.75 end * 1.05::double as w, (likes - dislikes) / (n + 6.0::double) * least(1.0::double, log2(n + 1.0::double) / 4) as s
  from (select *, likes + dislikes as n, len(list_intersect(list_append(string_split(team_key, '+'), candidate_id), ['c1', 'd1'])) as h from summary where tier in ('diamond', 'all')) where h > 0 and n > 0) group by candidate_id"""),
+    "json_schema_discovery": """with each as (select unnest(json_keys(props)) as path, props from events), v as (select path, try_cast(json_extract_string(props, '$.' || path) as double) as x from each)
+ select path, count(*) as n, count(x) as n_numeric, min(x) as least, max(x) as most from v group by path""",
+    "payload_coalesce_project": "select event_id, coalesce((props->>'$.count')::double, (props->>'$.games')::double, (props->>'$.k')::double, value, 0) as amount from events",
     "union_combos": _q(_BASE, _CANDIDATE, _ROSTER, select="select id0, id1, id2, score from triple order by score desc, n0, n1, n2 limit 24"),
     "union_combos_capped": _q(_BASE, _CANDIDATE, _ROSTER, select="select id0, id1, id2, score from (select *, row_number() over (order by n0, n1, n2) as k from triple) where k <= 500 order by score desc, n0, n1, n2 limit 24"),
     "full_team_beam": _q(_BASE, _CANDIDATE, _pairs("1.0::double"), "p as (select a, b, games, win_rate from pair_stats where bucket = 'all' and a <> b)", "side as (select * from p union all select b, a, games, win_rate from p)",
