@@ -7,6 +7,11 @@ neighbours; the rows are shuffled on these. Where several fingerprints meet unde
 half are made on the spot and matched, without a further shuffle. Fingerprints that share a variant link to the least
 one that is at most one flip away from it, so a variant shared by k fingerprints gives k - 1 links, not k squared;
 every link is real and no connection between two fingerprints is lost.
+
+Three bits is near identity. Where texts are to be caught from a Jaccard similarity on (keep_one), several short
+fingerprints find the candidates: each is a hash of ROWS minima over the text's shingles, two texts of similarity s
+share one with probability 1 - (1 - s^ROWS)^BANDS (0.9996 at 0.8), and every candidate is confirmed by the Jaccard
+similarity of the shingles themselves.
 """
 
 from __future__ import annotations
@@ -25,6 +30,10 @@ SEED = 42
 #: Differing bits at most; the two-step scheme below is made for this radius.
 RADIUS = 3
 _BLOCK = 1 << 14
+#: Jaccard similarity of the shingle sets from which keep_one takes two texts as near copies.
+SIMILAR = 0.8
+#: Short fingerprints of a text, and minima in each.
+BANDS, ROWS = 20, 5
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
@@ -116,6 +125,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = work_table(fingerprints(docs, id_col, text_col, words_per_shingle).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     found = work_table(links(rows.select("fp").distinct()), "near")
+    return _grouped(rows, found).select(
+        "doc_id", "sum", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "kept")
+
+
+def _grouped(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds component_id and kept to rows (doc_id, sum, fp, row), under links found (a, b) between values of fp."""
     roots = components(found, "a", "b")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
     by_fp = rows.groupBy("fp").agg(least, F.count("*").alias("n")).join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -125,11 +140,92 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all_rows = rows.join(named, "fp", "left")
     alone = F.col("top_row").isNull()
     return all_rows.select(
-        "doc_id", "sum", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "doc_id", "sum", "fp",
         F.when(alone, F.col("doc_id")).otherwise(F.col("top_id")).alias("component_id"),
         (alone | (F.col("row") == F.col("top_row"))).alias("kept"))
 
 
+def shingles(text: str | None, words_per_shingle: int = 5) -> set[bytes]:
+    """The shingles of a text, words lower-cased and one space apart; a text of fewer words is one shingle."""
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + words_per_shingle]) for i in range(max(1, len(words) - words_per_shingle + 1))}
+
+
+_DRAWS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+
+
+def sketch(text: str | None, words_per_shingle: int = 5) -> tuple[int, np.ndarray]:
+    """A digest of the shingle set (signed), and its BANDS short fingerprints (signed, one number space for each)."""
+    h = np.array(sorted({xxhash.xxh64_intdigest(x, SEED) for x in shingles(text, words_per_shingle)}), np.uint64)
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(h), 1 << 10):
+        least = np.minimum(least, (h[at : at + (1 << 10), None] * (_DRAWS[0] | np.uint64(1)) + _DRAWS[1]).min(axis=0))
+    bands = [xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))]
+    return xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63), np.array(bands, np.uint64).view(np.int64)
+
+
+def _sketches(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int) -> DataFrame:
+    """(doc_id, sum, fp, bands), fp being the digest of the shingle set; one row per row of docs."""
+    small_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sketch(x.as_py(), words_per_shingle) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([x for x, _ in made], pa.int64()), pa.array([x for _, x in made], pa.list_(pa.int64()))],
+                ["doc_id", "sum", "fp", "bands"])
+
+    return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(each, f"doc_id {kind}, sum long, fp long, bands array<long>")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, words_per_shingle: int) -> DataFrame:
+    """The pairs (a, b) whose texts (fp, text) have a Jaccard similarity of SIMILAR or more."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = shingles(x.as_py(), words_per_shingle), shingles(y.as_py(), words_per_shingle)
+                both = len(x & y)
+                alike.append(both >= SIMILAR * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
+
+    left, right = (texts.select(F.col("fp").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(each, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
+    """Per row of docs: doc_id, sum, fp (digest of the shingle set), component_id, kept, as near_groups, under links
+    between texts whose shingle sets have a Jaccard similarity of SIMILAR or more.
+
+    Texts that share a short fingerprint are candidates. In a group of k the k - 1 pairs with the least of them and
+    the k - 1 pairs of neighbours are tried, in every group again: each link is real, a pair can stay untried only
+    where it shares its groups with others. First each text is tried with the least of all its groups; pairs that this
+    has connected are not read again.
+    """
+    made = _sketches(docs, id_col, text_col, words_per_shingle).withColumn("row", F.monotonically_increasing_id())
+    rows = work_table(made, "sketches")
+    order = Window.partitionBy("band").orderBy("fp")
+    sent = rows.select("fp", "bands").dropDuplicates(["fp"]).select("fp", F.explode("bands").alias("band"))
+    met = sent.select(F.col("fp").alias("a"), F.first("fp").over(order).alias("hub"), F.lag("fp").over(order).alias("prev")).where("prev is not null")
+    tried = work_table(met.groupBy("a", "hub", "prev").count().drop("count"), "tried")
+    first = work_table(tried.groupBy("a").agg(F.min("hub").alias("b")), "first")
+
+    used = tried.select("a").union(tried.select("hub")).union(tried.select("prev")).distinct().withColumnRenamed("a", "fp")
+    one = rows.groupBy("fp").agg(F.min("sum").alias("sum")).join(used, "fp")
+    text = docs.select(F.xxhash64(text_col).alias("sum"), F.col(text_col).alias("text"))
+    texts = work_table(text.join(one, "sum").dropDuplicates(["fp"]).select("fp", "text"), "texts")
+
+    found = work_table(_confirmed(first, texts, words_per_shingle), "found")
+    under = found.select(F.col("a").alias("node"), F.col("b").alias("top"))
+    rest = tried.select("a", F.explode(F.array("hub", "prev")).alias("b")).distinct()
+    for k in "ab":
+        rest = rest.join(under.select(F.col("node").alias(k), F.col("top").alias(f"top_{k}")), k, "left").withColumn(f"top_{k}", F.coalesce(f"top_{k}", k))
+    rest = work_table(rest.where("top_a <> top_b").select("a", "b").join(first, ["a", "b"], "left_anti"), "rest")
+    return _grouped(rows, work_table(found.unionByName(_confirmed(rest, texts, words_per_shingle)), "near"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
-    """The rows of docs that stay, with all their columns: one of each component of near duplicates."""
-    return keep_rows(docs, near_groups(docs, id_col, text_col, words_per_shingle), id_col, text_col)
+    """The rows of docs that stay, with all their columns: one of each component of texts that are SIMILAR or more."""
+    return keep_rows(docs, similar_groups(docs, id_col, text_col, words_per_shingle), id_col, text_col)

@@ -116,6 +116,41 @@ def test_simhash_links_of_planted_fingerprints(spark):
         assert ((x["a"] ^ x["b"]) & (1 << 64) - 1).bit_count() <= 3
 
 
+def test_keep_one_against_brute_force(spark, texts):
+    r = random.Random(11)
+    made = list(texts)
+    for _ in range(40):
+        t = words(r, 300).split()
+        made.append(" ".join(t))
+        for changed in (1, 3, 6, 9, 30):
+            u = list(t)
+            for k in r.sample(range(300), changed):
+                u[k] = "zzz"
+            made.append(" ".join(u))
+
+    def split(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [split(t) for t in made]
+    near = [(i, j) for i in range(len(made)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = list(range(len(made)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in near:
+        a, b = top(i), top(j)
+        root[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    got = {x["doc_id"]: x for x in simhash.similar_groups(docs).collect()}
+    assert {i: got[i]["component_id"] for i in got} == {i: top(i) for i in range(len(made))}
+    assert sorted(x["doc_id"] for x in simhash.keep_one(docs).collect()) == sorted({top(i) for i in range(len(made))})
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
 def test_components_of_a_chain(spark):
     got = common.components(spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long"), "a", "b")
     assert {r["node"]: r["root"] for r in got.collect()} == {i: 0 for i in range(61)} | {100: 100, 101: 100}
