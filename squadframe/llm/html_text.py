@@ -1,8 +1,9 @@
 """Main text of web pages by differencing neighbours in URL order.
 
-Pages of a host are put in the order of their URL paths; each is aligned with the page before and the page after it by
-a longest common subsequence of text lines, and the lines they share are deleted: menus, notices and other furniture
-repeat from page to page. Markup says more where it is clear: what a page declares as navigation, form, advert,
+Pages of a host are put in the order of their URL paths; each is aligned with the two pages before and the two after it
+by a longest common subsequence of text lines, and the lines it shares with two of them (with one, where there is one
+only) are deleted: menus, notices and other furniture repeat from page to page, the text of a copy does not. Copies that
+follow each other count as one page and none is its own neighbour. Markup says more where it is clear: what a page declares as navigation, form, advert,
 comment and the like goes even if no neighbour repeats it, and paragraphs inside its declared article stay even if a
 copy of the article stands next to it.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -24,8 +26,8 @@ from .url_filter import host_of, path_of
 
 #: Deletions of up to this number of pages (a key and a few line numbers each) are broadcast, more are joined by a shuffle.
 BROADCAST_PAGES = 50_000
-#: A neighbour that shares more than this part of a page's undeclared lines is a copy of it and deletes nothing.
-COPY = 0.8
+#: Neighbours on each side, and how many of them must have a line that is deleted.
+NEAR, AGREE = 2, 2
 PLAIN, ARTICLE, FURNITURE = 0, 1, 2
 
 # HTML element names and the words by which sites name the furniture of a page.
@@ -148,13 +150,16 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return found[::-1]
 
 
-def _shared(own: list[int], kinds: list[int], near: list[int] | None) -> set[int]:
-    """Undeclared lines that the neighbour has too; none if it is a copy."""
-    plain = sum(k == PLAIN for k in kinds)
-    if not near or not plain:
+def _shared(own: list[int], kinds: list[int], near: list[list[int] | None]) -> set[int]:
+    """Undeclared lines that AGREE neighbours have too, or the only one has; copies are no neighbours. A page without
+    a line that its only neighbour lacks tells nothing of which lines are furniture, and loses none."""
+    others = [x for x in near if x and x != own]
+    plain = {i for i, k in enumerate(kinds) if k == PLAIN}
+    if not others or not plain:
         return set()
-    gone = {i for i in common_lines(own, near) if kinds[i] == PLAIN}
-    return gone if len(gone) <= COPY * plain else set()
+    times = Counter(i for x in others for i in common_lines(own, x))
+    gone = {i for i in plain if times[i] >= min(AGREE, len(others))}
+    return set() if len(others) == 1 and gone == plain else gone
 
 
 def _key() -> Column:
@@ -178,47 +183,53 @@ def _lines(pages: DataFrame) -> DataFrame:
 
 
 def _in_url_order(lines: DataFrame) -> DataFrame:
-    """Adds the place of every page in the order of (host, path, key), without gathering a host in one task."""
+    """Adds the place of every page in the order of (host, path, key), without gathering a host in one task. Pages of
+    a host that follow each other and have equal lines share a place."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        n, part = 0, TaskContext.get().partitionId()
+        n, part, last = -1, TaskContext.get().partitionId(), None
         for batch in batches:
+            nth, digests = [], []
+            for host, own in zip(batch.column("host"), batch.column("lines"), strict=True):
+                digest = xxhash.xxh3_128_hexdigest(repr((host.as_py(), own.as_py())))
+                n, last = n + (digest != last), digest
+                nth.append(n)
+                digests.append(digest)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), pa.array(range(n, n + batch.num_rows), pa.int64())],
-                [*batch.schema.names, "part", "nth"])
-            n += batch.num_rows
+                [*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), pa.array(nth, pa.int64()), pa.array(digests, pa.string())],
+                [*batch.schema.names, "part", "nth", "digest"])
 
     spark = lines.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema) + ", part int, nth long"
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema) + ", part int, nth long, digest string"
     placed = work_table(lines.repartitionByRange(n, "host", "path", "key").sortWithinPartitions("host", "path", "key").mapInArrow(number, fields), "order")
-    starts, before = [], 0
-    for r in sorted(placed.groupBy("part").agg(F.count("*").alias("n")).collect(), key=lambda r: r["part"]):
+    starts, before, last = [], 0, None
+    ends = placed.groupBy("part").agg(F.max("nth").alias("n"), F.min_by("digest", "nth").alias("first"), F.max_by("digest", "nth").alias("last"))
+    for r in sorted(ends.collect(), key=lambda r: r["part"]):
+        before -= r["first"] == last  # the copies of a page can lie on both sides of a cut
         starts.append((r["part"], before))
-        before += r["n"]
+        before, last = before + r["n"] + 1, r["last"]
     first = F.broadcast(spark.createDataFrame(starts, "part int, before long"))  # one number for each partition
-    return placed.join(first, "part").withColumn("place", F.col("before") + F.col("nth")).drop("part", "nth", "before")
+    return placed.join(first, "part").withColumn("place", F.col("before") + F.col("nth")).drop("part", "nth", "before", "digest")
 
 
 def deletions(pages: DataFrame) -> DataFrame:
-    """(key, gone): for the pages (url, html) that lose undeclared lines to a neighbour, the numbers of these lines."""
+    """(key, gone): for the pages (url, html) that lose undeclared lines to their neighbours, the numbers of these lines."""
     ordered = work_table(_in_url_order(work_table(_lines(pages).where(F.size("lines") > 0).dropDuplicates(["key"]), "lines")), "placed")
-
-    def neighbour(step: int, name: str) -> DataFrame:
-        return ordered.select((F.col("place") + step).alias("place"), F.col("host").alias(f"{name}_host"), F.col("lines").alias(name))
-
-    both = (
-        ordered.join(neighbour(1, "before"), "place", "left").join(neighbour(-1, "after"), "place", "left")
-        .select("key", "lines", "kinds", *[F.when(F.col(f"{x}_host") == F.col("host"), F.col(x)).alias(x) for x in ("before", "after")])
-    )
+    steps = [k for k in range(-NEAR, NEAR + 1) if k]
+    seen = ordered.select("place", "host", "lines").dropDuplicates(["place"])
+    sent = seen.select("host", "lines", F.explode(F.array(*[F.struct((F.col("place") - k).alias("place"), F.lit(k).alias("step")) for k in steps])).alias("x"))
+    near = sent.groupBy("x.place", "host").agg(*[F.first(F.when(F.col("x.step") == k, F.col("lines")), ignorenulls=True).alias(f"n{i}") for i, k in enumerate(steps)])
+    both = ordered.where(F.array_contains("kinds", F.lit(PLAIN).cast("byte"))).withColumn("host", F.coalesce("host", F.lit("")))
+    both = both.join(near.withColumn("host", F.coalesce("host", F.lit(""))), ["place", "host"]).select("key", "lines", "kinds", F.array(*[f"n{i}" for i in range(len(steps))]).alias("near"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, gone = [], []
-            for key, own, kinds, before, after in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if found := _shared(own, kinds, before) | _shared(own, kinds, after):
+            for key, own, kinds, near in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if found := _shared(own, kinds, near):
                     keys.append(key)
                     gone.append(sorted(found))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])

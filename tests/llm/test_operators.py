@@ -250,6 +250,18 @@ def test_html_text(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_html_text_between_copies_and_many_shared_lines(spark):
+    line = lambda *x: "".join(f"<p>{y}</p>" for y in x)
+    menu = [f"menu {k}" for k in range(9)]
+    pages = [(k, f"http://m/{k}", line(*menu, f"own {k}")) for k in range(4)]  # nine lines of ten are shared
+    pages += [(10 + k, f"http://c/{k}", line("top", f"text {k // 4}", f"more {k // 4}")) for k in range(12)]  # copies follow each other
+    pages += [(30, "http://d/0", line("top", "a", "b")), (31, "http://d/1", line("top", "x", "y", "z")), (32, "http://d/2", line("top", "x", "y", "zz")), (33, "http://d/3", line("top", "c"))]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    assert got == (
+        {k: f"own {k}" for k in range(4)} | {10 + k: f"text {k // 4}\n\nmore {k // 4}" for k in range(12)}
+        | {30: "a\n\nb", 31: "x\n\ny\n\nz", 32: "x\n\ny\n\nzz", 33: "c"})
+
+
 def test_embed_dedup(spark):
     r = np.random.default_rng(1)
     base = r.normal(size=(150, 16))
