@@ -201,6 +201,13 @@ def estimate(words: DataFrame, weights: dict[str, float], total: int) -> Lattice
     return Lattice({p: counts.get(p, 0.0) + PSEUDO for p in weights}, total + PSEUDO)
 
 
+def mixed(own: np.ndarray, anywhere: np.ndarray, spelled: np.ndarray, new: float) -> np.ndarray:
+    """log10 of a class's word probabilities: from its counts, from all counts, and from the spelling (natural log)."""
+    counted = (1 - new) * own + new * KNOWN_ELSEWHERE * anywhere
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(counted), log(new * (1 - KNOWN_ELSEWHERE)) + spelled) / log(10)
+
+
 def score(docs: DataFrame, pieces: str, held_out: int = 2, folds: int = 7, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang") -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
@@ -230,10 +237,10 @@ def score(docs: DataFrame, pieces: str, held_out: int = 2, folds: int = 7, id_co
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spelled = np.exp(np.array([lattice.log_probability(w) if w else -700.0 for w in batch.column(0).to_pylist()]).clip(-700))
+            # a long word's spelling is too small for plain numbers and stays a logarithm; END has none, it is only counted
+            spelled = np.array([lattice.log_probability(w) if w else -700.0 for w in batch.column(0).to_pylist()])
             known = np.array(batch.column(2).to_pylist(), float)
-            elsewhere = KNOWN_ELSEWHERE * known / max(1, total) + (1 - KNOWN_ELSEWHERE) * spelled
-            logs = [np.log10((1 - new[i]) * np.array(batch.column(3 + i).to_pylist(), float) / max(1, n_class[i]) + new[i] * elsewhere) for i in range(k)]
+            logs = [mixed(np.array(batch.column(3 + i).to_pylist(), float) / max(1, n_class[i]), known / max(1, total), spelled, new[i]) for i in range(k)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.log10((known + 1) / (total + distinct + 1))), *map(pa.array, logs)], ["word", "seen", "known", "base", *[f"p{i}" for i in range(k)]])
 
     logs_schema = ", ".join(f"p{i} double" for i in range(k))

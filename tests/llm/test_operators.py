@@ -234,6 +234,22 @@ def test_lm_score(spark, docs):
     assert lm_score.score(empty(spark), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_lm_score_of_long_unseen_words(spark):
+    import zlib
+
+    assert lm_score.mixed(np.array([0.0]), np.array([0.0]), np.array([-20000.0]), 0.5)[0] == pytest.approx((-20000 + math.log(0.4)) / math.log(10))
+    assert lm_score.mixed(np.array([0.1]), np.array([0.2]), np.array([-3.0]), 0.5)[0] == pytest.approx(math.log10(0.05 + 0.5 * (0.04 + 0.8 * math.exp(-3))))
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    learnt = [i for i in range(200) if i not in held]
+    r = random.Random(2)
+    blob = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(6000))
+    long = [blob[:3000], blob, "漢" * 1000, "漢" * 2000]
+    rows = [(i, words(r, 40)) for i in learnt] + list(zip(held, long))  # noqa: B905
+    got = {x["doc_id"]: x["score"] for x in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("piece_bpe_32k.model"), class_col=None).collect()}
+    a, b, c, d = (got[i] for i in held[:4])
+    assert a < -5000 and c < -3000 and b == pytest.approx(2 * a, rel=0.05) and d == pytest.approx(2 * c, rel=0.05)
+
+
 def test_html_text(spark):
     shell = "<html><head><title>t</title><style>a</style></head><body><nav><a>home</a></nav><div class='ad'>buy</div>{}<div>Shared line</div><footer>f</footer>"
     body = shell.format("<article><h1>T &amp; t</h1><p>one\n two<br>three<p>four<script>var x='</p>'</script><div class=comments><p>hi</div></article>")
