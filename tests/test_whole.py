@@ -2,7 +2,7 @@
 
 import random
 
-from squadframe.operators import search
+from squadframe.operators import search, text
 
 
 def test_graph_expand_depth2_walks_the_whole_graph(spark, tmp_path):
@@ -16,3 +16,9 @@ def test_graph_expand_depth2_walks_the_whole_graph(spark, tmp_path):
             depth.setdefault(u, step)
     assert set(depth.values()) == {0, 1, 2}
     assert {x["u"]: x["depth"] for x in search.graph_expand_depth2(spark, str(tmp_path)).collect()} == depth
+
+
+def test_initial_search_reads_the_whole_text(spark, tmp_path):
+    rows = [(1, "the a b"), (2, "a b c d Other"), (3, "a b c d"), (4, ""), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(x["doc_id"] for x in text.initial_search(spark, str(tmp_path)).collect()) == [1, 2]
