@@ -109,7 +109,7 @@ def weapon_majority_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stat_id_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A character with one variant resolves to it, else the variant by weapon."""
-    part = table(spark, sf_dir, "part").where("p_size < 12")
+    part = table(spark, sf_dir, "part")
     variants = part.select(F.col("p_brand").alias("character"), F.concat_ws(":", "p_brand", "p_type").alias("variant")).distinct()
     single = variants.groupBy("character").agg(F.count("*").alias("n"), F.min("variant").alias("only"))
     return variants.join(single, "character").select("character", "variant", F.when(F.col("n") == 1, F.col("only")).otherwise(F.coalesce("variant", "character")).alias("stat_id"))

@@ -2,7 +2,7 @@
 
 import random
 
-from squadframe.operators import search, text
+from squadframe.operators import search, stats, text
 
 
 def test_graph_expand_depth2_walks_the_whole_graph(spark, tmp_path):
@@ -22,3 +22,10 @@ def test_initial_search_reads_the_whole_text(spark, tmp_path):
     rows = [(1, "the a b"), (2, "a b c d Other"), (3, "a b c d"), (4, ""), (5, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(x["doc_id"] for x in text.initial_search(spark, str(tmp_path)).collect()) == [1, 2]
+
+
+def test_stat_id_resolution_reads_the_whole_table(spark, tmp_path):
+    rows = [("A", "x", 1), ("A", "y", 50), ("B", "x", 30), ("B", "x", 2)]
+    spark.createDataFrame(rows, "p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {tuple(x) for x in stats.stat_id_resolution(spark, str(tmp_path)).collect()}
+    assert got == {("A", "A:x", "A:x"), ("A", "A:y", "A:y"), ("B", "B:x", "B:x")}
