@@ -24,8 +24,8 @@ from .common import small_batches
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: Characters beyond a piece that can matter to it (a lookahead, the rest of a contraction), plus one.
 AHEAD = 3
-#: Distinct pieces that a task remembers; beyond, its memory starts anew.
-REMEMBERED = 1 << 16
+#: Distinct pieces of one generation of a task's memory; it holds two of them.
+REMEMBERED = 1 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -65,14 +65,21 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Pieces(dict):
-    """Piece to its ids as bytes, filled on demand and bounded."""
+    """Piece to its ids as bytes, filled on demand.
+
+    When it is full, its pieces become the older generation; what is asked for again comes back from there, and what
+    is not asked for is gone with the next change.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+        self.ranks, self.older = ranks, {}
 
     def __missing__(self, piece: str) -> bytes:
-        got = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
+        got = self.older.get(piece)
+        if got is None:
+            got = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
         if len(piece) <= 64:
             self[piece] = got
@@ -170,7 +177,11 @@ def decode(coded: DataFrame, path: str, ids_col: str = "ids", out: str = "decode
     schema = ", ".join(f"`{k}` {coded.schema[k].dataType.simpleString()}" for k in names) + f", `{out}` binary"
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {i: b for b, i in read_ranks(path).items()}.__getitem__
+        ranks = read_ranks(path)
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for b, i in ranks.items():
+            tokens[i] = b
+        token = tokens.__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
