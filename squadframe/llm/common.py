@@ -14,9 +14,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share, named by spark.checkpoint.dir. A session in one process (tests) gets
+    a temporary one where the setting is missing; a cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         at = tempfile.mkdtemp(prefix="squadframe-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -30,6 +33,16 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(*tables: DataFrame) -> None:
+    """Deletes work tables that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/work/" in path:
+                jvm = df.sparkSession._jvm
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Texts can be long: Python gets them in Arrow batches of a few rows, which bounds a task's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
@@ -90,11 +103,17 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str, text_col: str) -
     return out.select(*names)
 
 
-def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
+#: Nodes with more links than this, and than one in so many of all links, are joined by a broadcast.
+HEAVY, HEAVY_NODES = 100_000, 50_000
+
+
+def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of links (a, b): returns (node, root), root being the smallest node reachable.
 
-    Large-star and small-star steps in turn, each a group minimum and a join on the node, so neither a hub nor a
-    large component meets in one task; every round ends in a written table. Nodes without a link are not listed.
+    Large-star and small-star steps in turn, each a group minimum and a join on the node; they end when a round changes
+    nothing. Nodes with very many links (at most twice HEAVY_NODES of them, so they are broadcast) are joined where
+    their rows lie, so neither a hub nor the root of a large component meets in one task. Every round ends in a written
+    table, and the one before is deleted. Nodes without a link are not listed.
     """
     spark = links.sparkSession
     pairs = work_table(
@@ -106,21 +125,29 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     def mark(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
+    def with_least(rows: DataFrame, least: DataFrame, much: int) -> DataFrame:
+        """rows (u, v) with the column m of least (u, n, m)."""
+        heavy = F.broadcast(least.where(F.col("n") > much).select("u", F.col("m").alias("hm")))
+        told = rows.join(heavy, "u", "left")
+        some = told.where("hm is not null").select("u", "v", F.col("hm").alias("m"))
+        return some.unionByName(told.where("hm is null").select("u", "v").join(least.where(F.col("n") <= much).select("u", "m"), "u"))
+
     before = mark(pairs)
-    for _ in range(rounds):
+    while True:
+        much = max(HEAVY, before[0] // HEAVY_NODES)
         # large star: every neighbour above u moves to the least of u and its neighbours
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = work_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = work_table(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = work_table(both.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m")).select("u", "n", F.least("u", "m").alias("m")), "least")
+        large = work_table(with_least(both.where("v > u"), least, much).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        drop_tables(pairs, least)
         # small star: u and its lower neighbours move to the least of them
-        least = work_table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        near = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = work_table(large.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m")), "least")
+        near = with_least(large, least, much).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         pairs = work_table(near.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "pairs")
+        drop_tables(large, least)
         now = mark(pairs)
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -1,12 +1,11 @@
 """SimHash near-duplicates by meeting in the middle of the Hamming ball.
 
-Two fingerprints within 3 bits of each other have a common variant, at most 2 flips from one and 1 from the other.
-The flips are made in two steps. First in one 32-bit half, the key: there at most one bit of the pair differs in one
-of the two halves, so each fingerprint sends its key and, if the key has an odd number of ones, the key's 32
-neighbours; the rows are shuffled on these. Where several fingerprints meet under a key, the variants of the other
-half are made on the spot and matched, without a further shuffle. Fingerprints that share a variant link to the least
-one that is at most one flip away from it, so a variant shared by k fingerprints gives k - 1 links, not k squared;
-every link is real and no connection between two fingerprints is lost.
+Two fingerprints within 3 bits of each other have a common variant, at most 2 flips from one and 1 from the other. At 1
+or 3 bits one of the two has an odd number of ones, so the odd ones send the variants of one flip and the even ones also
+those of two. Of three differing bits two lie in the same half, so pairs of flips are only made within a half. Variants
+are shuffled, sorted and matched; fingerprints that share one link to the least of those at most one flip away from it,
+so a variant shared by k fingerprints gives k - 1 links, not k squared; every link is real and no connection between two
+fingerprints is lost.
 
 Three bits is near identity. Where texts are to be caught from a Jaccard similarity on (keep_one), several short
 fingerprints find the candidates: each is a hash of ROWS minima over the text's shingles, two texts of similarity s
@@ -21,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, keep_rows, small_batches, work_table
@@ -30,6 +29,8 @@ SEED = 42
 #: Differing bits at most; the two-step scheme below is made for this radius.
 RADIUS = 3
 _BLOCK = 1 << 14
+#: Variants that meet in one task (8 bytes each), and fingerprints whose variants are made at a time.
+VARIANTS_IN_TASK, _SLICE = 1 << 23, 1 << 11
 #: Jaccard similarity of the shingle sets from which keep_one takes two texts as near copies.
 SIMILAR = 0.8
 #: Short fingerprints of a text, and minima in each.
@@ -68,51 +69,95 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(each, f"doc_id {kind}, sum long, fp long")
 
 
-def _bits(low: int, high: int) -> Column:
-    """The numbers with one bit set, from bit low to bit high - 1."""
-    return F.array(*[F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(low, high)])
-
-
-def _flipped(key: Column, bits: Column) -> Column:
-    return F.transform(bits, lambda b: F.struct(key.bitwiseXOR(b).alias("key"), F.lit(1).alias("flips")))
+def _masks() -> np.ndarray:
+    """The flips of a variant: none, each of the 64 bits, and the pairs of bits that lie in the same half."""
+    one = [1 << i for i in range(64)]
+    two = [one[i] | one[j] for half in (0, 32) for i in range(half, half + 32) for j in range(half, i)]
+    return np.array([0, *one, *two], np.uint64)
+
+
+_MASKS = _masks()
+_AWAY = np.bitwise_count(_MASKS)
+#: An odd factor that deals neighbouring variants evenly, and its inverse modulo 2^64.
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_UNSPREAD = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def _variants(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All variants of the fingerprints as (bucket, rest): `bits` bits of the dealt variant, and its others with the
+    number of its flips in the low bits. A fingerprint with an odd number of ones has 65 variants, an even one 1,057."""
+    odd = (np.bitwise_count(fps) & 1).astype(bool)
+    dealt, flips = [], []
+    for some, n in ((fps[odd], 65), (fps[~odd], len(_MASKS))):
+        dealt.append(((some[:, None] ^ _MASKS[None, :n]) * _SPREAD).ravel())
+        flips.append(np.tile(np.arange(n, dtype=np.uint64), len(some)))
+    v = np.concatenate(dealt)
+    return (v >> np.uint64(64 - bits)).astype(np.uint32), v << np.uint64(bits) | np.concatenate(flips)
+
+
+def _meet(bucket: int, rest: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) among the fingerprints that meet in one bucket: each to the least one at most one flip away from
+    the variant that they share."""
+    rest = np.sort(rest)
+    same = rest[1:] >> np.uint64(bits) == rest[:-1] >> np.uint64(bits)
+    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    rest = rest[shared]
+    key, flip = rest >> np.uint64(bits), (rest & np.uint64((1 << bits) - 1)).astype(np.int64)
+    fp = ((key | np.uint64(bucket) << np.uint64(64 - bits)) * _UNSPREAD) ^ _MASKS[flip]
+    run = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    none = np.uint64((1 << 64) - 1)
+    hub = np.full(int(run[-1]) + 1 if len(run) else 0, none)
+    near = _AWAY[flip] <= 1
+    np.minimum.at(hub, run[near], fp[near])
+    to = hub[run]
+    linked = (to != none) & (to != fp)
+    return fp[linked], to[linked]
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b), a > b, between distinct fingerprints of fps(fp): all at 3 or fewer differing bits, and enough of
-    them that two fingerprints are connected exactly if they are under all such pairs."""
-    halves = []
-    for key_low, rest_low in ((0, 32), (32, 0)):
-        mask = F.lit(0xFFFFFFFF if key_low == 0 else -(1 << 32)).cast("long")
-        key = F.col("fp").bitwiseAND(mask)
-        own = F.array(F.struct(key.alias("key"), F.lit(0).alias("flips")))
-        near = _flipped(key, _bits(key_low, key_low + 32))
-        odd = F.bit_count(key) % 2 == 1
-        halves.append(fps.select("fp", F.lit(rest_low).alias("rest"), F.explode(F.when(odd, F.concat(own, near)).otherwise(own)).alias("x")).select("fp", "rest", "x.key", "x.flips"))
-    sent = halves[0].unionByName(halves[1])
-    # a key counts where it is some fingerprint's own and another one is there; the rest goes at once
-    here = Window.partitionBy("rest", "key")
-    met = sent.withColumn("n", F.count("*").over(here)).withColumn("own", F.min("flips").over(here) == 0).where("n > 1 and own").drop("n", "own")
-
-    def variants(rest_low: int) -> DataFrame:
-        mask = F.lit(0xFFFFFFFF if rest_low == 0 else -(1 << 32)).cast("long")
-        rest = F.col("fp").bitwiseAND(mask)
-        ones = _bits(rest_low, rest_low + 32)
-        pairs = F.array(*[
-            F.lit(v - (1 << 64) if v >= 1 << 63 else v).cast("long")
-            for q in (rest_low, rest_low + 16) for i in range(q, q + 16) for j in range(q, i) for v in [(1 << i) + (1 << j)]])
-        made = lambda flips, n: F.transform(flips, lambda b: F.struct(rest.bitwiseXOR(b).alias("variant"), (F.col("flips") + n).alias("away")))
-        # three differing bits: two of them lie in the same quarter, and the pair differs in parity
-        all_of = F.concat(F.array(F.struct(rest.alias("variant"), F.col("flips").alias("away"))), made(ones, 1),
-                          F.when((F.col("flips") == 0) & (F.bit_count(rest) % 2 == 0), made(pairs, 2)).otherwise(F.array().cast("array<struct<variant:bigint,away:int>>")))
-        return met.where(F.col("rest") == rest_low).select("rest", "key", "fp", F.explode(all_of).alias("x")).select("rest", "key", "fp", "x.variant", "x.away")
-
-    tried = variants(32).unionByName(variants(0))
-    hub = F.min(F.when(F.col("away") <= 1, F.col("fp"))).over(Window.partitionBy("rest", "key", "variant"))
-    return (
-        tried.withColumn("hub", hub).where("hub <> fp")
-        .select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b")).distinct()
-        .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
-    )
+    them that two fingerprints are connected exactly if they are under all such pairs.
+
+    Every fingerprint sends 65 or 1,057 variants, whatever else there is. A variant travels as 8 bytes: its high bits
+    are the bucket, and the number of its flips takes their place, so the fingerprint can be told from it. As the
+    fingerprints are distinct, at most 2,081 of them share a variant: no bucket can grow hot.
+    """
+    spark = fps.sparkSession
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(shuffled, fps.count() * 561 // VARIANTS_IN_TASK)
+    bits = max(11, (parts - 1).bit_length())
+    each_part = -(-(1 << bits) // parts)  # buckets of a part
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE):
+                own = np.frombuffer(batch.column(0).slice(at, _SLICE).cast(pa.int64()).to_numpy(), np.uint64)
+                bucket, rest = _variants(own, bits)
+                order = np.argsort(bucket, kind="stable")
+                counts = np.bincount(bucket, minlength=1 << bits)
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                rest = rest[order]
+                cuts = [(k, k * each_part, min((k + 1) * each_part, 1 << bits)) for k in range(-(-(1 << bits) // each_part))]
+                cuts = [(k, low, high) for k, low, high in cuts if ends[high] > ends[low]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _, _ in cuts], pa.int32()), pa.array([counts[low:high].tolist() for _, low, high in cuts], pa.list_(pa.int32())), pa.array([rest[ends[low] : ends[high]].tobytes() for _, low, high in cuts], pa.binary())],
+                    ["part", "counts", "variants"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, counts, data in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                held.setdefault(part, []).append((np.concatenate([[0], np.cumsum(counts.values.to_numpy())]), np.frombuffer(data.as_py(), np.uint64)))
+        for part, pieces in held.items():
+            found = [_meet(part * each_part + b, np.concatenate([x[ends[b] : ends[b + 1]] for ends, x in pieces]), bits) for b in range(len(pieces[0][0]) - 1)]
+            a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
+            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+    senders = max(1, parts // 4)
+    sent = fps.select("fp").repartition(senders, "fp").mapInArrow(emit, "part int, counts array<int>, variants binary")
+    return sent.repartitionById(parts, "part").mapInArrow(match, "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
@@ -124,7 +169,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Other columns are ignored.
     """
     rows = work_table(fingerprints(docs, id_col, text_col, words_per_shingle).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
-    found = work_table(links(rows.select("fp").distinct()), "near")
+    found = work_table(links(work_table(rows.select("fp").distinct(), "distinct")), "near")
     return _grouped(rows, found).select(
         "doc_id", "sum", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "kept")
 
