@@ -29,19 +29,24 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
 
 
+def _marked(host: Column, path: Column) -> Column:
+    return F.concat(host, F.lit("/"), path)
+
+
 def prepare_rules(rules: DataFrame) -> DataFrame:
-    """(host, path, action) to (rule, action, labels, path_length, short, digest).
+    """(host, path, action) to (rule, marked, action, labels, path_length, short, digest).
 
     Hosts are lower-cased; rules with a null or empty host, a null path or another action than allow or block are
-    left out, and repeated rules count once (block before allow if both are given).
+    left out, so are hosts with `/`, `?` or `#`, which no URL has, and repeated rules count once (block before allow if
+    both are given). marked is host, `/` and path: what is hashed shows where the host ends.
     """
-    digest = F.sha2("rule", 256)
+    digest = F.sha2("marked", 256)
     return (
         rules.select(lower_ascii(F.col("host")).alias("host"), F.col("path"), F.col("action"))
-        .where("host <> '' and path is not null and action in ('allow', 'block')")
+        .where("host <> '' and path is not null and action in ('allow', 'block')").where(~F.col("host").rlike("[/?#]"))
         .groupBy("host", "path").agg(F.max("action").alias("action"))
         .select(
-            F.concat("host", "path").alias("rule"), "action",
+            F.concat("host", "path").alias("rule"), _marked(F.col("host"), F.col("path")).alias("marked"), "action",
             F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("path_length"))
         .withColumn("digest", digest).withColumn("short", F.substring("digest", 1, SHORT))
     )
@@ -59,21 +64,21 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     """
     ready = prepare_rules(rules)
     shape = ready.agg(F.count("*").alias("n"), F.collect_set("labels").alias("labels"), F.collect_set("path_length").alias("lengths")).first()
-    ready = ready.select("short", "digest", "rule", "action", "labels")
+    ready = ready.select("short", "digest", "marked", "rule", "action", "labels")
     kept = pages.select(*[pages[c] for c in pages.columns if c not in ("host", "path", "rule", "verdict")])
 
     urls = kept.select(F.col(url).alias("_url")).where(F.col("_url").contains("://")).distinct()
     urls = urls.select("_url", F.split(host_of(F.col("_url")), r"\.").alias("parts"), path_of(F.col("_url")).alias("p"))
     hosts = [F.when(F.size("parts") >= k, F.array_join(F.slice("parts", -k, k), ".")) for k in sorted(shape["labels"])]
     paths = [F.when(F.length("p") >= n, F.substring(F.col("p"), 1, n)) for n in sorted(shape["lengths"])]
-    both = [F.concat(h, p) for h in hosts for p in paths] or [F.lit(None).cast("string")]
+    both = [_marked(h, p) for h in hosts for p in paths] or [F.lit(None).cast("string")]
     tried = (
         urls.select("_url", F.explode(F.array_compact(F.array(*both))).alias("expression"))
         .withColumn("full", F.sha2("expression", 256)).withColumn("short", F.substring("full", 1, SHORT))
     )
     found = (
         tried.join(F.broadcast(ready) if shape["n"] <= BROADCAST_RULES else ready, "short")
-        .where("full = digest and expression = rule")
+        .where("full = digest and expression = marked")
         .groupBy("_url").agg(F.max(F.struct(F.length("rule"), "labels", F.col("action") == "block", "rule", "action")).alias("best"))
         .select("_url", F.col("best.rule").alias("rule"), F.col("best.action").alias("verdict"))
     )
