@@ -78,13 +78,16 @@ def _usable() -> Column:
     return F.coalesce(good, F.lit(False))
 
 
-def _place(found: DataFrame, index: Index, probe: float) -> DataFrame:
-    """Adds to the entries: own cell, codes, what coding takes from the cosine with itself (lost), and probed cells."""
+def _place(found: DataFrame, indexes: dict[int, Index], probe: float) -> DataFrame:
+    """Adds to the entries: own cell, codes, what coding takes from the cosine with itself (lost), and probed cells,
+    each by the index of the vector's width."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            widths = batch.column(batch.schema.get_field_index("width")).to_numpy()
+            for width, at in ((w, k) for w in np.unique(widths) for k in range(0, int((widths == w).sum()), 4096)):
+                part = batch.take(pa.array(np.flatnonzero(widths == width)[at : at + 4096]))
+                index = indexes[int(width)]
                 x = _unit(np.array(part.column(part.schema.get_field_index("v")).to_pylist(), float))
                 cell = index.nearest(x)
                 codes = index.codes(x, cell)
@@ -101,7 +104,7 @@ def _place(found: DataFrame, index: Index, probe: float) -> DataFrame:
     return found.mapInArrow(each, f"{fields}, cell int, codes binary, lost double, probes array<int>")
 
 
-def _meet(index: Index, threshold: float, slack: float):
+def _meet(indexes: dict[int, Index], threshold: float, slack: float):
     """For one block of queries and one of a cell's entries: (node, links, root).
 
     links adds up, over all blocks, to the weight of a node's linked neighbours; root joins what the block connects.
@@ -111,6 +114,7 @@ def _meet(index: Index, threshold: float, slack: float):
         none = pd.DataFrame({"node": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
         if queries.empty or entries.empty:
             return none
+        index = indexes[int(entries["width"].iloc[0])]
         q, x = (np.stack(f["v"].to_numpy()).astype(float) for f in (queries, entries))
         qn, xn = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
         codes = np.stack([np.frombuffer(c, np.uint8) for c in entries["codes"]])
@@ -152,42 +156,43 @@ def near_groups(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_
     """Per row of vectors: vec_id, n_links, component_id, kept.
 
     Vectors link at a cosine (double precision) of threshold or more, if their labels are equal and not null. Null
-    and zero vectors and those with null or non-finite components link with nothing, nor do vectors of another length
-    than most of the sample's. n_links counts the other rows linked directly, component_id is the smallest vec_id
+    and zero vectors and those with null or non-finite components link with nothing, nor do vectors of different
+    lengths. n_links counts the other rows linked directly, component_id is the smallest vec_id
     reachable, kept marks vec_id = component_id. Candidates come from the quantised index, so a pair may be missed
-    (see the recall in the README), but no pair below the threshold is linked; identical vectors always are. The index is fitted on at
-    most SAMPLE vectors and holds all; cells default to the root of the number of distinct vectors, 16 to 1024.
+    (see the recall in the README), but no pair below the threshold is linked; identical vectors always are. Each length
+    that occurs has an index of its own, fitted on at most SAMPLE vectors, which holds all of them; cells default to the
+    root of the number of distinct vectors, 16 to 1024.
     Other columns are ignored.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
     rows = work_table(vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("usable", _usable()), "vectors")
     found = work_table(rows.where("usable").groupBy("label", "v").agg(F.count("*").alias("n"), F.min("vec_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "entries")
-    sample = found.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toPandas()["v"]
-    if not len(sample):
+    found = found.withColumn("width", F.size("v"))
+    indexes = {}
+    for r in found.groupBy("width").count().collect():  # the lengths that occur
+        sample = found.where(F.col("width") == r["width"]).select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toPandas()["v"]
+        indexes[r["width"]] = Index(np.stack(sample), cells or int(np.clip(np.sqrt(r["count"]), 16, 1024)))
+    if not indexes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    width = int(sample.map(len).mode().iloc[0])
-    sample = np.stack(sample[sample.map(len) == width].to_numpy())
-    whole = found.where(F.size("v") == width)
-    index = Index(sample, cells or int(np.clip(np.sqrt(whole.count()), 16, 1024)))
-    placed = work_table(_place(whole, index, probe), "placed")
+    placed = work_table(_place(found, indexes, probe), "placed")
 
     # blocks of a cell: by its entries and by the queries that probe it
-    held = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    asked = placed.select("label", F.explode("probes").alias("cell")).groupBy("label", "cell").agg(F.ceil(F.count("*") / block).alias("asked"))
-    sizes = work_table(held.join(asked, ["label", "cell"]), "sizes")
+    held = placed.groupBy("label", "width", "cell").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    asked = placed.select("label", "width", F.explode("probes").alias("cell")).groupBy("label", "width", "cell").agg(F.ceil(F.count("*") / block).alias("asked"))
+    sizes = work_table(held.join(asked, ["label", "width", "cell"]), "sizes")
     deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    keys = ["label", "cell", "part", "ask"]
+    keys = ["label", "width", "cell", "part", "ask"]
     entries = (
-        placed.join(sizes, ["label", "cell"])
-        .select("label", "cell", deal(F.col("blocks")).alias("part"), F.explode(F.sequence(F.lit(0), (F.col("asked") - 1).cast("int"))).alias("ask"), "node", "n", "v", "codes", "lost", "probes")
+        placed.join(sizes, ["label", "width", "cell"])
+        .select("label", "width", "cell", deal(F.col("blocks")).alias("part"), F.explode(F.sequence(F.lit(0), (F.col("asked") - 1).cast("int"))).alias("ask"), "node", "n", "v", "codes", "lost", "probes")
     )
     queries = (
-        placed.select("label", F.explode("probes").alias("cell"), F.col("cell").alias("own"), "node", "n", "v").join(sizes, ["label", "cell"])
-        .select("label", "cell", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("part"), deal(F.col("asked")).alias("ask"), "own", "node", "n", "v")
+        placed.select("label", "width", F.explode("probes").alias("cell"), F.col("cell").alias("own"), "node", "n", "v").join(sizes, ["label", "width", "cell"])
+        .select("label", "width", "cell", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("part"), deal(F.col("asked")).alias("ask"), "own", "node", "n", "v")
     )
     queries = queries.toDF(*queries.columns)  # both come from one table: columns of their own
-    met = work_table(queries.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(_meet(index, threshold, slack), "node long, links long, root long"), "met")
+    met = work_table(queries.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(_meet(indexes, threshold, slack), "node long, links long, root long"), "met")
 
     roots = components(met.where("node <> root"), "node", "root")
     counts = met.groupBy("node").agg(F.sum("links").alias("links"))
