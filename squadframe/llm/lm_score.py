@@ -219,12 +219,14 @@ def score(docs: DataFrame, pieces: str, held_out: int = 2, folds: int = 7, id_co
     spark = docs.sparkSession
     learn = crc_remainder(F.col(id_col), folds) != held_out
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), (F.col(class_col).cast("string") if class_col else F.lit("")).alias("class"), learn.alias("learn"))
-    sizes = rows.where("learn").groupBy("class").count().orderBy(F.desc("count"), "class").limit(CLASSES + 1).collect()
+    by_class = rows.where("learn").groupBy("class").count()
+    sizes = by_class.orderBy(F.desc("count"), "class").limit(CLASSES + 1).collect()
     classes = [r["class"] for r in sizes[:CLASSES]] or [""]
-    if len(sizes) > CLASSES:
+    docs_in = {r["class"]: r["count"] for r in sizes[:CLASSES]}
+    if len(sizes) > CLASSES:  # the rarer classes are one
         classes.append("\0rest")
+        docs_in["\0rest"] = by_class.agg(F.sum("count")).first()[0] - sum(docs_in.values())
     k = len(classes)
-    docs_in = {r["class"]: r["count"] for r in sizes[:CLASSES]}
 
     words = work_table(count_words(rows, classes), "words")
     sums = words.agg(F.sum("known").alias("N"), F.count(F.when(F.col("known") > 0, 1)).alias("V"), F.count(F.when(F.col("known") == 1, 1)).alias("once"), *[F.sum(f"n{i}").alias(f"N{i}") for i in range(k)], *[F.count(F.when(F.col(f"n{i}") == 1, 1)).alias(f"once{i}") for i in range(k)]).first()
