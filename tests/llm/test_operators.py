@@ -116,6 +116,33 @@ def test_simhash_links_of_planted_fingerprints(spark):
         assert ((x["a"] ^ x["b"]) & (1 << 64) - 1).bit_count() <= 3
 
 
+def test_simhash_links_of_one_large_family(spark):
+    r = np.random.default_rng(9)
+    base = np.uint64(r.integers(0, 1 << 63))
+    flips = np.uint64(1) << r.integers(0, 64, (10_000, 4)).astype(np.uint64)
+    fps = np.unique(base ^ np.bitwise_xor.reduce(flips, axis=1))
+    found = simhash.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"))
+    got = np.array([(x["a"], x["b"]) for x in found.collect()], np.int64).view(np.uint64)
+    assert (np.bitwise_count(got[:, 0] ^ got[:, 1]) <= 3).all()
+    at = np.searchsorted(fps, got)
+    root, expected = np.arange(len(fps)), np.arange(len(fps))
+    pairs = np.concatenate([np.argwhere(np.bitwise_count(fps[i : i + 500, None] ^ fps[None, :]) <= 3) + [i, 0] for i in range(0, len(fps), 500)])
+    for labels, edges in ((root, at), (expected, pairs)):
+        before = None
+        while before is None or (before != labels).any():
+            before = labels.copy()
+            low = np.minimum(labels[edges[:, 0]], labels[edges[:, 1]])
+            np.minimum.at(labels, edges[:, 0], low)
+            np.minimum.at(labels, edges[:, 1], low)
+    assert (root == expected).all()
+
+
+def test_url_filter_keeps_host_and_path_apart(spark):
+    rules = spark.createDataFrame([("exam", "ple.com/", "block"), ("x.org", "/", "allow"), ("b/c", "d", "block")], "host string, path string, action string")
+    pages = spark.createDataFrame([(1, "http://example.com/a"), (2, "http://x.org/"), (3, "http://b/c/d")], "page_id int, url string")
+    assert {r["page_id"]: r["rule"] for r in url_filter.judge(pages, rules).collect()} == {1: None, 2: "x.org/", 3: None}
+
+
 def test_keep_one_against_brute_force(spark, texts):
     r = random.Random(11)
     made = list(texts)
@@ -293,6 +320,13 @@ def test_embed_dedup(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i, _, _ in odd)
 
 
+def test_embed_dedup_of_vectors_of_several_widths(spark):
+    rows = [(i, [float(k + 1), *[0.0] * (w - 1)], 1) for i, (w, k) in enumerate([(16, 0), (16, 1), (8, 0), (8, 1), (3, 0)])] + [(9, [1.0, 0.1, *[0.0] * 6], 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (2, 2), 3: (2, 2), 9: (2, 2), 4: (0, 4)}
+    assert embed_dedup.near_groups(spark.createDataFrame([], "vec_id long, embedding array<double>, label int, node int, cell int")).count() == 0
+
+
 def test_toxicity_learns(spark):
     r = random.Random(8)
     bad = ["scoundrel", "blackguard", "nincompoop"]
