@@ -11,47 +11,66 @@ from ..sources.adapter import fanned, players, squads, table, teams
 R = X.round_half_up
 
 
-def _results(min_games: int) -> tuple[list[Column], Column]:
-    win, top3 = (F.sum(F.when(c, 1).otherwise(0)) for c in (F.col("rank") == 1, F.col("rank").between(1, 3)))
-    games = F.count("*")
-    aggs = [
-        games.alias("games"), R(F.avg(F.when(F.col("rank") > 0, F.col("rank"))), 2).alias("avg_placement"),
-        R(win / games, 3).alias("win_rate"), R(top3 / games, 3).alias("top3_rate"),
-        R(F.sum("damage") / games).alias("avg_damage"), R(F.sum("basic") / games).alias("avg_basic"), R(F.sum("skill") / games).alias("avg_skill"),
-        R(X.ratio(F.sum("basic"), F.sum("damage")), 3).alias("basic_share"), R(X.ratio(F.sum("skill"), F.sum("damage")), 3).alias("skill_share"),
-        R(F.sum("cc_time") / games, 2).alias("avg_cc_time")]
-    return aggs, F.col("games") >= min_games
+#: Sums behind the statistics of a member, over the columns of member_rows.
+SUMS = {
+    "games": "1", "placement": "case when rank > 0 then rank end", "placed": "case when rank > 0 then 1 else 0 end", "wins": "case when rank = 1 then 1 else 0 end", "top3": "case when rank between 1 and 3 then 1 else 0 end",
+    **{c: c for c in ("damage", "basic", "skill", "item_skill", "direct", "unique_skill", "damage_from", "from_basic", "from_skill", "cc_time", "cc_count")},
+}
+
+
+def rolled_up(rows: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFrame:
+    """Sums by bucket and keys, and by keys in the bucket `all`: the rows are summed once, the few sums a second time."""
+    own = rows.groupBy("bucket", *keys).agg(*[F.sum(F.expr(e)).alias(c) for c, e in sums.items()])
+    return fanned(own).groupBy("bucket", *keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def finalized(sums: DataFrame, keys: list[str], min_games: int) -> DataFrame:
+    """Averages, rates and shares of the sums, from min_games on."""
+    games = F.col("games")
+    mean = lambda c, digits=0: R(F.col(c) / games, digits)
+    return sums.where(games >= min_games).select(
+        "bucket", *keys, "games", R(X.ratio(F.col("placement"), F.col("placed")), 2).alias("avg_placement"), mean("wins", 3).alias("win_rate"), mean("top3", 3).alias("top3_rate"),
+        *[mean(c).alias(f"avg_{c}") for c in ("damage", "basic", "skill", "item_skill", "direct", "unique_skill", "damage_from", "from_basic", "from_skill")],
+        *[R(X.ratio(F.col(c), F.col("damage")), 3).alias(f"{c}_share") for c in ("basic", "skill", "item_skill")], mean("cc_time", 2).alias("avg_cc_time"), mean("cc_count", 2).alias("avg_cc_count"))
 
 
 def member_rows(spark: SparkSession, sf_dir: str, member: str = "variant") -> DataFrame:
-    return squads(spark, sf_dir, member).select("team_key", "rank", "bucket", "collected_at", F.inline("players"))
+    """The players of valid teams (exactly three distinct members): one shuffle on the team key, only the columns asked for."""
+    here = Window.partitionBy("team_key")
+    some = players(spark, sf_dir).withColumn("distinct_members", F.size(F.collect_set(member).over(here))).where("distinct_members = 3").drop("distinct_members")
+    return some.join(teams(spark, sf_dir).select("team_key", "rank", "bucket", "collected_at"), "team_key")
 
 
 def official_candidate_stats(spark: SparkSession, sf_dir: str, min_games: int = 5) -> DataFrame:
-    aggs, enough = _results(min_games)
-    return fanned(member_rows(spark, sf_dir)).groupBy("bucket", F.col("variant").alias("stat_id")).agg(*aggs).where(enough)
+    rows = member_rows(spark, sf_dir).withColumnRenamed("variant", "stat_id")
+    return finalized(rolled_up(rows, ["stat_id"], SUMS), ["stat_id"], min_games)
 
 
-def official_trait_build(spark: SparkSession, sf_dir: str, min_games: int = 5) -> DataFrame:
-    aggs, enough = _results(min_games)
-    return fanned(member_rows(spark, sf_dir)).groupBy("bucket", F.col("variant").alias("stat_id"), "core").agg(*aggs).where(enough)
+def official_trait_build(spark: SparkSession, sf_dir: str, min_games: int = 5, n: int = 5) -> DataFrame:
+    """Statistics by member and core, with the n most frequent tactical skills (equal counts: lower code) in code order."""
+    rows = member_rows(spark, sf_dir).withColumnRenamed("variant", "stat_id")
+    keys = ["stat_id", "core"]
+    counts = rolled_up(rows, [*keys, "tactical"], {"uses": "1"})
+    w = Window.partitionBy("bucket", *keys).orderBy(F.desc("uses"), "tactical")
+    best = counts.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n).groupBy("bucket", *keys).agg(F.array_sort(F.collect_list(F.concat_ws("=", "tactical", F.col("uses").cast("string")))).alias("t"))
+    return finalized(rolled_up(rows, keys, SUMS), keys, min_games).join(best.select("bucket", *keys, F.array_join("t", ",").alias("tactical_skills")), ["bucket", *keys], "left")
 
 
 def official_trait_top5(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
     """The n most frequent cores of a member: by count, then code."""
-    counts = fanned(member_rows(spark, sf_dir)).groupBy("bucket", F.col("variant").alias("stat_id"), "core").agg(F.count("*").alias("uses"))
+    counts = rolled_up(member_rows(spark, sf_dir).withColumnRenamed("variant", "stat_id"), ["stat_id", "core"], {"uses": "1"})
     w = Window.partitionBy("bucket", "stat_id").orderBy(F.desc("uses"), "core")
     return counts.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n)
 
 
 def official_composition_stats(spark: SparkSession, sf_dir: str, min_games: int = 2) -> DataFrame:
     """From each member's perspective: its sorted teammates, without itself."""
-    squad = fanned(squads(spark, sf_dir, "character")).withColumn("members", F.transform("players", lambda p: p["character"]))
+    squad = squads(spark, sf_dir, "character").withColumn("members", F.transform("players", lambda p: p["character"]))
     rows = squad.select("bucket", "rank", "members", F.explode("members").alias("candidate"))
     rows = rows.withColumn("teammates", F.array_join(F.array_sort(F.filter("members", lambda m: m != F.col("candidate"))), "|"))
-    win, top3 = (F.sum(F.when(c, 1).otherwise(0)) for c in (F.col("rank") == 1, F.col("rank") <= 3))
-    return rows.groupBy("bucket", "teammates", "candidate").agg(
-        F.count("*").alias("games"), R(F.avg("rank"), 2).alias("avg_placement"), R(win / F.count("*"), 3).alias("win_rate"), R(top3 / F.count("*"), 3).alias("top3_rate")).where(F.col("games") >= min_games)
+    sums = rolled_up(rows, ["teammates", "candidate"], {"games": "1", "placement": "rank", "wins": "case when rank = 1 then 1 else 0 end", "top3": "case when rank <= 3 then 1 else 0 end"})
+    mean = lambda c, digits: R(F.col(c) / F.col("games"), digits)
+    return sums.where(F.col("games") >= min_games).select("bucket", "teammates", "candidate", "games", mean("placement", 2).alias("avg_placement"), mean("wins", 3).alias("win_rate"), mean("top3", 3).alias("top3_rate"))
 
 
 def _weighted(df: DataFrame) -> DataFrame:
@@ -61,12 +80,11 @@ def _weighted(df: DataFrame) -> DataFrame:
 
 def official_pair_stats(spark: SparkSession, sf_dir: str, min_games: float = 0.0, weighted: bool = False) -> DataFrame:
     """Unordered pairs of players by position, so a repeated member makes a pair with itself; no self-join."""
-    squad = fanned(squads(spark, sf_dir))
+    squad = squads(spark, sf_dir)
     squad = _weighted(squad) if weighted else squad.withColumn("w", F.lit(1.0))
     ids = squad.select("bucket", "rank", "w", F.transform("players", lambda p: p["variant"]).alias("m"))
     pairs = ids.select("bucket", "rank", "w", F.explode(F.flatten(F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))))).alias("p"))
-    won, top3 = (F.sum(F.when(c, F.col("w")).otherwise(0.0)) for c in (F.col("rank") == 1, F.col("rank") <= 3))
-    out = pairs.groupBy("bucket", "p.a", "p.b").agg(F.sum("w").alias("g"), won.alias("wins"), top3.alias("t3"))
+    out = rolled_up(pairs.select("bucket", "rank", "w", "p.a", "p.b"), ["a", "b"], {"g": "w", "wins": "case when rank = 1 then w else 0 end", "t3": "case when rank <= 3 then w else 0 end"})
     return out.where(F.col("g") > min_games).select("bucket", "a", "b", R(F.col("g"), 2).alias("games"), R(F.col("wins") / F.col("g"), 3).alias("win_rate"), R(F.col("t3") / F.col("g"), 3).alias("top3_rate"))
 
 
@@ -75,10 +93,11 @@ def recency_weighted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def official_combat_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _weighted(fanned(member_rows(spark, sf_dir)))
-    mean = lambda c, d: R(F.sum(F.col("w") * F.col(c)) / F.sum("w"), d)
-    return rows.groupBy("bucket", F.col("variant").alias("stat_id")).agg(
-        R(F.sum("w"), 2).alias("games"), mean("kills", 2).alias("avg_kills"), mean("damage", 0).alias("avg_damage"), mean("cc_time", 2).alias("avg_cc_time"))
+    rows = _weighted(member_rows(spark, sf_dir)).withColumnRenamed("variant", "stat_id")
+    measures = ("kills", "assists", "team_kills", "damage", "cc_time")
+    sums = rolled_up(rows, ["stat_id"], {"w": "w", **{c: f"w * {c}" for c in measures}})
+    digits = {"damage": 0}
+    return sums.select("bucket", "stat_id", R(F.col("w"), 2).alias("games"), *[R(F.col(c) / F.col("w"), digits.get(c, 2)).alias(f"avg_{c}") for c in measures])
 
 
 def drop_reason_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +222,8 @@ def official_candidate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def combat_signals(c: DataFrame) -> DataFrame:
     damage = X.clamp((F.col("avg_damage") - 15000) / 20000, -0.5, 0.6)
-    raw = X.clamp(F.col("avg_kills") / 6, -0.5, 0.7) + damage * 0.4
+    taken = F.col("avg_kills") + F.col("avg_assists") * 0.5 + F.col("avg_team_kills") * 0.3
+    raw = X.clamp(taken / 6, -0.5, 0.7) + damage * 0.4
     return c.select("bucket", "stat_id", X.clamp(raw * F.least(F.lit(1.0), F.log10(F.col("games") + 1) / 2.5), -0.8, 1.0).alias("signal"))
 
 

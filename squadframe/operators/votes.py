@@ -16,8 +16,8 @@ def vote_bucket(ts: Column) -> Column:
 
 
 def upserted(rows: DataFrame) -> DataFrame:
-    """One vote per user, tier, team, candidate and hour: the latest."""
-    latest = F.max_by(F.struct("value", "ts"), "ts")
+    """One vote per user, tier, team, candidate and hour: the latest, at equal times the one with the higher id."""
+    latest = F.max_by(F.struct("value", "ts"), F.struct("ts", "vote_id"))
     return rows.withColumn("bucket", vote_bucket(F.col("ts"))).groupBy(*KEY, "bucket").agg(latest.alias("v")).select(*KEY, "bucket", "v.value", "v.ts")
 
 

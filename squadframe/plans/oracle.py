@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..sources.adapter import MORE_MEASURES
+
 _TIER = """case when o_totalprice / 30 >= 14000 then 'eternity' when o_totalprice / 30 >= 11000 then 'demigod' when o_totalprice / 30 >= 9000 then 'mithril'
  when o_totalprice / 30 >= 7500 then 'meteor' when o_totalprice / 30 >= 6000 then 'diamond' when o_totalprice / 30 >= 4500 then 'platinum'
  when o_totalprice / 30 >= 3000 then 'gold' when o_totalprice / 30 >= 1500 then 'silver' else 'bronze' end"""
@@ -17,11 +19,13 @@ def _r(x: str, digits: int = 0) -> str:
     return f"floor(({x}) * {k} + 0.5) / {k}"
 
 
+_MORE = ", ".join(f"{e} as {c}" for c, e in MORE_MEASURES.items())
 _BASE = f"""
 tiers as (select *, {_TIER} as fine from orders),
 team as (select o_orderkey // 8 as game_id, o_orderkey as team_key, (o_orderkey % 8 + 1)::int as rank, {_compact('fine')} as bucket, o_orderdate as collected_at from tiers),
 every_player as (select l_orderkey as team_key, p_brand as "character", p_brand || ':' || p_type as variant, p_type as weapon, (p_size % 7)::varchar as core, l_linenumber as kills,
- l_extendedprice as damage, l_extendedprice * l_discount as basic, l_extendedprice * l_tax as skill, l_quantity as cc_time, p_size < 48 as mapped
+ l_extendedprice as damage, l_extendedprice * l_discount as basic, l_extendedprice * l_tax as skill, l_quantity as cc_time, l_returnflag as tactical,
+ {_MORE}, p_size < 48 as mapped
  from lineitem join part on l_partkey = p_partkey),
 player as (select * from every_player where mapped),
 squad as (select team_key from player group by team_key having count(distinct variant) = 3),
@@ -31,10 +35,10 @@ fan as (select *, unnest(['all', own]) as bucket from row_of)"""
 
 
 def _results(member: str, having: int) -> str:
-    return f"""count(*) as games, {_r('avg(rank)', 2)} as avg_placement, {_r('count(*) filter (rank = 1) / count(*)', 3)} as win_rate,
- {_r('count(*) filter (rank <= 3) / count(*)', 3)} as top3_rate, {_r('sum(damage) / count(*)')} as avg_damage, {_r('sum(basic) / count(*)')} as avg_basic,
- {_r('sum(skill) / count(*)')} as avg_skill, {_r('sum(basic) / nullif(sum(damage), 0)', 3)} as basic_share, {_r('sum(skill) / nullif(sum(damage), 0)', 3)} as skill_share,
- {_r('sum(cc_time) / count(*)', 2)} as avg_cc_time from fan group by {member} having count(*) >= {having}"""
+    means = ", ".join(f"{_r(f'sum({c}) / count(*)')} as avg_{c}" for c in ("damage", "basic", "skill", "item_skill", "direct", "unique_skill", "damage_from", "from_basic", "from_skill"))
+    parts = ", ".join(f"{_r(f'sum({c}) / nullif(sum(damage), 0)', 3)} as {c}_share" for c in ("basic", "skill", "item_skill"))
+    return f"""count(*) as games, {_r('avg(rank)', 2)} as avg_placement, {_r('count(*) filter (rank = 1) / count(*)', 3)} as win_rate, {_r('count(*) filter (rank <= 3) / count(*)', 3)} as top3_rate,
+ {means}, {parts}, {_r('sum(cc_time) / count(*)', 2)} as avg_cc_time, {_r('sum(cc_count) / count(*)', 2)} as avg_cc_count from fan group by {member} having count(*) >= {having}"""
 
 
 _CANDIDATE = f"candidate as (select bucket, variant as stat_id, {_results('bucket, variant', 5)})"
@@ -54,7 +58,7 @@ view_of as (select bucket, rank, unnest(m) as candidate, m from member_of),
 composition as (select bucket, array_to_string(list_filter(m, lambda x: x <> candidate), '|') as teammates, candidate, count(*) as games, {_r('avg(rank)', 2)} as avg_placement,
  {_r('count(*) filter (rank = 1) / count(*)', 3)} as win_rate, {_r('count(*) filter (rank <= 3) / count(*)', 3)} as top3_rate from view_of group by all having count(*) >= 2)"""
 _COMBAT = f"""weighed as (select *, {_WEIGHT} as w from fan),
-combat as (select bucket, variant as stat_id, {_r('sum(w)', 2)} as games, {_r('sum(w * kills) / sum(w)', 2)} as avg_kills, {_r('sum(w * damage) / sum(w)')} as avg_damage, {_r('sum(w * cc_time) / sum(w)', 2)} as avg_cc_time from weighed group by all)"""
+combat as (select bucket, variant as stat_id, {_r('sum(w)', 2)} as games, {_r('sum(w * kills) / sum(w)', 2)} as avg_kills, {_r('sum(w * assists) / sum(w)', 2)} as avg_assists, {_r('sum(w * team_kills) / sum(w)', 2)} as avg_team_kills, {_r('sum(w * damage) / sum(w)')} as avg_damage, {_r('sum(w * cc_time) / sum(w)', 2)} as avg_cc_time from weighed group by all)"""
 _VOTES = """vote as (select event_id as vote_id, user_id, case user_id % 3 when 0 then 'all' when 1 then 'diamond' else 'mithril_plus' end as tier,
  'c' || user_id % 5 || '+d' || user_id % 4 as team_key, 'x' || (props->>'$.k')::int % 8 as candidate_id, case when event_type = 'error' then -1 else 1 end as value, ts,
  strftime(ts, '%Y-%m-%dT%H') as bucket from events where event_type in ('click', 'purchase', 'error')),
@@ -78,7 +82,7 @@ _CONF80 = _clamp("log10(games + 1) / log10(81.0::double)", 0, 1)
 
 _MEAN = "mean as (select bucket, sum(games * win_rate) / sum(games) as g from candidate group by bucket)"
 _POWER = _clamp("((win_rate * games + 100 * g) / (games + 100) - g) * 4 * least(1.0::double, log10(games + 1) / 2.5)", -1.0, 1.2)
-_SIGNAL = _clamp(f"({_clamp('avg_kills / 6', -0.5, 0.7)} + {_clamp('(avg_damage - 15000) / 20000', -0.5, 0.6)} * 0.4) * least(1.0::double, log10(games + 1) / 2.5)", -0.8, 1.0)
+_SIGNAL = _clamp(f"({_clamp('(avg_kills + avg_assists * 0.5 + avg_team_kills * 0.3) / 6', -0.5, 0.7)} + {_clamp('(avg_damage - 15000) / 20000', -0.5, 0.6)} * 0.4) * least(1.0::double, log10(games + 1) / 2.5)", -0.8, 1.0)
 _SYNERGY = """rated as (select bucket, stat_id, (win_rate * games + 80 * g) / (games + 80) as rate from candidate join mean using (bucket)),
 hoped as (select p.*, 0.5::double * (coalesce(x.rate, g, 0.5) + coalesce(y.rate, g, 0.5)) as e from pair_stats p left join mean using (bucket)
  left join rated x on x.bucket = p.bucket and x.stat_id = p.a left join rated y on y.bucket = p.bucket and y.stat_id = p.b),
@@ -96,7 +100,9 @@ def _q(*ctes: str, select: str) -> str:
 
 SQL = {
     "official_candidate_stats": _q(_BASE, _CANDIDATE, select="select * from candidate"),
-    "official_trait_build": _q(_BASE, select=f"select bucket, variant as stat_id, core, {_results('bucket, variant, core', 5)}"),
+    "official_trait_build": _q(_BASE, f"build as (select bucket, variant as stat_id, core, {_results('bucket, variant, core', 5)})", """used as (select bucket, variant as stat_id, core, tactical, count(*) as uses from fan group by all),
+skill as (select bucket, stat_id, core, string_agg(tactical || '=' || uses, ',' order by tactical || '=' || uses) as tactical_skills from
+ (select *, row_number() over (partition by bucket, stat_id, core order by uses desc, tactical) as k from used) where k <= 5 group by all)""", select="select * from build left join skill using (bucket, stat_id, core)"),
     "official_trait_top5": _q(_BASE, select="""select * from (select *, row_number() over (partition by bucket, stat_id order by uses desc, core)::int as nth from
  (select bucket, variant as stat_id, core, count(*) as uses from fan group by all)) where nth <= 5"""),
     "official_composition_stats": _q(_BASE, _COMPOSITION, select="select * from composition"),
@@ -110,7 +116,7 @@ SQL = {
  select game_id, team_key, case when team_key % 3 <> 0 then rank else -rank end as rank, case when team_key % 3 <> 0 then 0 else 1 end as src from t""",
     "weapon_majority_map": _q(_BASE, select="""select code, weapon, n from (select *, row_number() over (partition by code order by n desc, weapon) as k from
  (select core as code, weapon, count(*) as n from player group by all)) where k = 1"""),
-    "stat_id_resolution": """with v as (select distinct p_brand as "character", p_brand || ':' || p_type as variant from part where p_size < 12)
+    "stat_id_resolution": """with v as (select distinct p_brand as "character", p_brand || ':' || p_type as variant from part)
  select "character", variant, case when count(*) over (partition by "character") = 1 then min(variant) over (partition by "character") else variant end as stat_id from v""",
     "tournament_compositions": _q(_BASE, select=f"""select *, {_r('wins / games', 3)} as win_rate from (select members, count(*) as games, sum((rank = 1)::int)::bigint as wins, sum((rank <= 3)::int)::bigint as top3, {_r('avg(rank)', 2)} as avg_placement from
  (select team_key, any_value(rank) as rank, array_to_string(list_sort(list(distinct "character")), '+') as members from player join trio using (team_key) join team using (team_key) group by team_key)
@@ -172,21 +178,22 @@ general as (select candidate_id, sum(likes * case tier when 'all' then 0.65::dou
         "step2 as (select step1.*, b as pick2, win_rate, row_number() over (partition by pick1 order by win_rate desc, games desc, b) as k from side join step1 on a = pick1 where b <> anchor)",
         select=f"select anchor, pick1, pick2, {_r('s1 + win_rate', 3)} as score from step2 where k <= 3"),
     "nearest_template": f"""with e as (select vec_id, embedding::double[] as v, label from embeddings),
- d as (select q.vec_id as slot, t.vec_id, t.label, {_r('list_sum(list_transform(list_zip(t.v, q.v), lambda z: abs(z[1] - z[2]))) / len(t.v)', 6)} as distance from e q join e t on q.vec_id < 24 and t.vec_id >= 24)
+ d as (select q.vec_id as slot, t.vec_id, t.label, {_r('list_sum(list_transform(list_zip(t.v, q.v), lambda z: abs(z[1] - z[2]))) / len(t.v)', 6)} as distance from e q join e t on q.vec_id % 20 = 0 and t.vec_id <> q.vec_id)
  select slot, vec_id, label, distance from (select *, row_number() over (partition by slot order by distance, vec_id) as k from d) where k = 1""",
-    "graph_expand_depth2": """with e as (select distinct l_suppkey as u, l_orderkey as g from lineitem where l_orderkey % 50 = 0), s0 as (select distinct u from e where u < 3),
+    "graph_expand_depth2": """with e as (select distinct l_suppkey as u, l_orderkey as g from lineitem), s0 as (select distinct u from e where u < 3),
  s1 as (select distinct b.u from s0 join e a using (u) join e b on a.g = b.g where b.u not in (select u from s0)),
  s2 as (select distinct b.u from s1 join e a using (u) join e b on a.g = b.g where b.u not in (select u from s0 union select u from s1))
  select u, 0 as depth from s0 union all select u, 1 from s1 union all select u, 2 from s2""",
     "seed_pool_rotation": _q(f"o as (select o_custkey as user_id, max(o_totalprice) as o_totalprice, count(*) % 2 as prior from orders group by 1)", f"t as (select *, {_TIER} as fine from o)", f"c as (select user_id, {_compact('fine')} as tier, prior from t)",
         select="select * from (select *, row_number() over (partition by tier order by prior, user_id)::int as nth from c) where nth <= 50"),
+    "random_seed_sample": "select c_custkey from customer order by md5('7:' || c_custkey), c_custkey limit 100",
     "html_strip": r"""select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
  replace(replace(replace(replace(replace(replace(coalesce(html, ''), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''),
  '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) as plain from pages""",
     "name_normalize": "select p_partkey, regexp_replace(lower(p_name), '[&·.\\-_ ''’]', '', 'g') as name from part",
     "csv_escape": """select doc_id, case when regexp_matches(text, '[",\n]') then '"' || replace(text, '"', '""') || '"' else text end as field from documents""",
     "html_escape": """select page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') as escaped from pages""",
-    "initial_search": "select doc_id from documents where contains(lower(array_to_string(string_split(text, ' ')[1:3], ' ')), 'th')",
+    "initial_search": "select doc_id from documents where contains(lower(text), 'th')",
     "feedback_key_parse": _q(_VOTES, select="select vote_id, tier, team_key, candidate_id from vote"),
     "i18n_render": """select doc_id, replace(replace(case lang when 'de' then '{n} Zeichen aus {s}' when 'fr' then '{n} signes de {s}' else '{n} characters from {s}' end, '{n}', n_chars::varchar), '{s}', source) as label from documents""",
 }

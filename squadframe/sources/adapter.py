@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 
 
+#: Measures of a player beyond the first ones, over the columns of lineitem.
+MORE_MEASURES = {
+    "item_skill": "l_extendedprice * l_discount * l_tax", "direct": "l_quantity * l_tax", "unique_skill": "l_quantity * l_discount", "damage_from": "l_extendedprice * (1 - l_discount)",
+    "from_basic": "l_quantity * 100 * l_discount", "from_skill": "l_quantity * 100 * l_tax", "cc_count": "l_linenumber * 2", "assists": "cast(l_quantity as int) % 5", "team_kills": "l_linenumber + cast(l_quantity as int) % 5",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,7 +34,8 @@ def players(spark: SparkSession, sf_dir: str, mapped_only: bool = True) -> DataF
         (F.col("p_size") % 7).cast("string").alias("core"), (F.col("p_size") < 48).alias("mapped"))
     line = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("team_key"), "l_partkey", F.col("l_linenumber").alias("kills"), F.col("l_extendedprice").alias("damage"),
-        (F.col("l_extendedprice") * F.col("l_discount")).alias("basic"), (F.col("l_extendedprice") * F.col("l_tax")).alias("skill"), F.col("l_quantity").alias("cc_time"), F.col("l_returnflag").alias("tactical"))
+        (F.col("l_extendedprice") * F.col("l_discount")).alias("basic"), (F.col("l_extendedprice") * F.col("l_tax")).alias("skill"), F.col("l_quantity").alias("cc_time"), F.col("l_returnflag").alias("tactical"),
+        *[F.expr(e).alias(c) for c, e in MORE_MEASURES.items()])
     out = line.join(part, line["l_partkey"] == part["p_partkey"]).drop("p_partkey", "l_partkey")
     return out.where("mapped").drop("mapped") if mapped_only else out
 
