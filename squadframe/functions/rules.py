@@ -189,6 +189,56 @@ TOTAL_WEIGHTS = {
 }
 TOTAL: Layer = {"total": " + ".join(f"{c} * ({w})" for c, w in TOTAL_WEIGHTS.items())}
 
+#: A member's value in one bucket, over its statistics there (or in `all`): games, rates and means, the group's averages
+#: (q_...), the bucket's mean rate, the measured row (rt_...) with its averages (v_...), ranker and snapshot rows.
+_DAMAGE = "case when coalesce(avg_damage, 0.0) = 0 then 0.0 else {} end"
+_CONFIDENT = "least(1.0, log10(coalesce({}, 0) + 1.0) / {})"
+
+
+def _placement_score(placement: str, top3: str, win: str) -> str:
+    return limit(f"case when {placement} is null then 0.0 else (4.5 - {placement}) / 3.5 * 1.35 end + (coalesce({top3}, 0.0) - 0.375) * 1.15 + (coalesce({win}, 0.0) - 0.125) * 1.45", -2.4, 2.8)
+
+
+OFFICIAL: Layer = {
+    "official_meta": "case when coalesce(games, 0) < 10 then 0.0 else " + limit(
+        "((win_rate - q_win_rate) * 2.2 + (top3_rate - q_top3_rate) * 1.35 + (q_avg_placement - coalesce(avg_placement, q_avg_placement)) * 0.36 + "
+        + _DAMAGE.format(limit("(avg_damage / case when q_avg_damage > 0 then q_avg_damage else 14000.0 end - 1) * 0.62", -0.32, 0.42)) + " + case when front = 0 or coalesce(avg_damage_from, 0.0) = 0 then 0.0 else "
+        + limit("(avg_damage_from / case when q_avg_damage_from > 0 then q_avg_damage_from else 14000.0 end - 1) * 0.28", -0.12, 0.22) + " end) * " + limit("log10(games + 1.0) / log10(261.0)", 0, 1), -1.05, 1.15) + " end",
+    "official_candidate": "case when games is null then 0.0 else " + limit(
+        "(" + _placement_score("avg_placement", "top3_rate", "win_rate") + " * 0.75 + " + _DAMAGE.format(limit("(avg_damage - 18000) / 22000.0", -0.35, 0.45)) + " * 0.35) * " + _CONFIDENT.format("games", 2.2), -0.95, 1.05) + " end",
+    "power": "case when games is null then 0.0 else " + limit("((win_rate * games + 100 * mean_rate) / (games + 100.0) - mean_rate) * 4 * " + _CONFIDENT.format("games", 2.5), -1.0, 1.2) + " end",
+    "combat": "case when coalesce(c_games, 0) = 0 then 0.0 else " + limit(
+        "(" + limit("(avg_kills + avg_assists * 0.5 + avg_team_kills * 0.3) / 6.0", -0.5, 0.7) + " + " + limit("(c_damage - 15000) / 20000.0", -0.5, 0.6) + " * 0.4) * " + _CONFIDENT.format("c_games", 2.5), -0.8, 1.0) + " end",
+    "tier_score": "case tier_label when 'OP' then 1.4 when 'S' then 1.1 when 'A' then 0.75 when 'B' then 0.3 when 'C' then -0.25 when 'D' then -0.65 else 0.0 end + case when k_games is null then 0.0 else "
+    + _placement_score("k_placement", "k_top3", "k_win") + " * case when k_trick >= 0.82 then 0.15 when k_trick >= 0.68 then 0.35 when k_trick >= 0.52 then 0.65 else 1.0 end * " + _CONFIDENT.format("k_games", 2.5) + " * 0.35 end",
+    "statistics_score": "case when p_games is null then 0.0 else " + limit(_placement_score("p_placement", "p_top3", "p_win") + " * " + _CONFIDENT.format("p_games", 2.5) + " * 0.85", -1.25, 1.35) + " end",
+    "realtime_score": "case when rt_damage is null then 0.0 else " + limit(
+        "((rt_win - v_win) * 0.08 + (rt_top3 - v_top3) * 0.045 + (v_rank - rt_rank) * 0.55 + (rt_kills - v_kills) * 0.2 + case when coalesce(rt_reference, 0.0) = 0 then 0.0 else "
+        + limit("(rt_damage / rt_reference - 1) * 1.1", -0.55, 0.65) + " end + case rt_tier when 'S' then 0.42 when 'A' then 0.24 when 'B' then 0.03 when 'C' then -0.18 when 'D' then -0.38 else 0.0 end) * "
+        + limit("log10(rt_games + 1.0) / 4", 0.35, 1), -1.2, 1.35) + " end",
+}
+META: Layer = {
+    "legacy_meta": limit("tier_score * 0.35 + statistics_score * 0.35 + realtime_score * 0.30", -0.95, 1.05),
+    "official_weight": "case when coalesce(games, 0) <= 0 then 0.0 else " + limit("log10(games + 1.0) / log10(421.0)", 0, 0.78) + " end", "official_match": limit("official_candidate * 0.45", -1.5, 1.65),
+}
+COMBINED: Layer = {"meta": limit("official_meta * official_weight + legacy_meta * (0.58 - official_weight * 0.42)", -1.1, 1.25)}
+V2: Layer = {"official_v2": limit("power * 0.30 + pair_synergy * 0.35 + combat * 0.15", -1.5, 1.8)}
+#: Letter of a measured member, and of a member of a tier snapshot.
+RT_TIER = "case when rt_win >= 16 then 'S' when rt_win >= 14 then 'A' when rt_win >= 12 then 'B' when rt_win >= 9 then 'C' else 'D' end"
+SNAPSHOT_TIER = "case when win_rate >= 0.2 then 'OP' when win_rate >= 0.16 then 'S' when win_rate >= 0.13 then 'A' when win_rate >= 0.1 then 'B' when win_rate >= 0.06 then 'C' else 'D' end"
+#: Stored bucket of a tier by its alias; and the snapshot bucket.
+TIER_ALIAS = {"iron_bronze": "iron_gold", "silver_gold": "iron_gold", "diamond": "platinum_diamond", "mithril_plus": "meteor_mithril"}
+SNAPSHOT_ALIAS = {"iron_bronze": "bronze", "silver_gold": "gold", "platinum_diamond": "diamond_plus", "meteor_mithril": "mithril_plus", "demigod_eternity": "mithril_plus"}
+
+
+def aliased(column: str, names: dict[str, str], otherwise: str) -> str:
+    return f"case {column} " + " ".join(f"when '{a}' then '{b}'" for a, b in names.items()) + f" else {otherwise} end"
+
+
+RANKER_SCORE = _placement_score("avg_placement", "top3_rate", "win_rate")
+TRICK_WEIGHT = "case when one_trick >= 0.82 then 0.15 when one_trick >= 0.68 then 0.35 when one_trick >= 0.52 then 0.65 else 1.0 end"
+RESULT_SCORE = limit("(4.5 - rank) / 3.5 * 0.78 + least(1.0, ts / 22.0) * 0.32 + least(1.0, ks / 14.0) * 0.28", -1.15, 1.35)
+
 _LABELS = [
     ("g_tank = 1 and g_backline = 2 and g_melee = 0 and g_support = 0", "1 tank 2 ranged"), ("g_tank = 0 and g_melee = 1 and g_backline = 2 and g_support = 0", "1 melee 2 ranged"), ("g_tank = 0 and g_melee = 2 and g_backline = 1 and g_support = 0", "2 melee 1 ranged"),
     ("g_tank = 0 and g_melee = 2 and g_support = 1 and g_backline = 0", "2 melee 1 support"), ("g_tank = 1 and g_melee = 1 and g_backline = 1 and g_support = 0", "1 tank 1 melee 1 ranged"), ("g_backline = 3 and g_tank = 0 and g_melee = 0", "3 ranged"),

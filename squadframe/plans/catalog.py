@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import payload, search, stats, text, votes
+from ..operators import payload, ranker, recommend, search, stats, text, votes
 
 QUERIES = {
     f.__name__: f
@@ -12,6 +12,8 @@ QUERIES = {
         stats.ml_team_features, stats.bayes_character_power, stats.bayes_pair_synergy, stats.official_v2_score, stats.tournament_result_score, stats.official_candidate_score, stats.combat_signal, stats.composition_ranking, stats.damage_reference, stats.tier_buckets, stats.tier_bucket_text,
         votes.vote_upsert_hourly, votes.vote_summary, votes.vote_duplicates, votes.vote_ttl_purge, votes.vote_window_counts, votes.popular_feedback_overall, votes.popular_feedback_recent, votes.character_feedback, votes.relationship_score, votes.feedback_score,
         search.union_combos, search.union_combos_capped, search.full_team_beam, search.nearest_template, search.graph_expand_depth2, search.seed_pool_rotation, search.random_seed_sample,
+        ranker.ranker_candidate_stats, ranker.ranker_composition_stats, ranker.tier_snapshot_argmax,
+        recommend.member_predicates, recommend.team_shape, recommend.team_metric_profile, recommend.score_rules, recommend.score_references, recommend.official_meta_score, recommend.group_average_fallback, recommend.tier_alias_fallback, recommend.recommend_topk,
         payload.json_schema_discovery, payload.payload_coalesce_project,
         text.html_strip, text.name_normalize, text.csv_escape, text.html_escape, text.initial_search, text.feedback_key_parse, text.i18n_render,
     )

@@ -197,3 +197,7 @@ general as (select candidate_id, sum(likes * case tier when 'all' then 0.65::dou
     "feedback_key_parse": _q(_VOTES, select="select vote_id, tier, team_key, candidate_id from vote"),
     "i18n_render": """select doc_id, replace(replace(case lang when 'de' then '{n} Zeichen aus {s}' when 'fr' then '{n} signes de {s}' else '{n} characters from {s}' end, '{n}', n_chars::varchar), '{s}', source) as label from documents""",
 }
+
+from .oracle_scores import SCORES_SQL  # noqa: E402  its relations build on those above
+
+SQL |= SCORES_SQL

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,22 @@ def metrics_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim("id").alias("id"), F.trim("name").alias("name"), *whole).where("id <> ''").dropna(subset=METRICS)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the folder that the session shares (spark.checkpoint.dir) and read back: what builds on it has
+    a short plan, and a lost executor costs no recomputation. A session in one process gets a temporary folder if the
+    setting is missing; a cluster must name one."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
+        at = tempfile.mkdtemp(prefix="squadframe-")
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_json_lines(df: DataFrame, path: str, *partitions: str) -> None:
     """One JSON object a row, nulls included."""
     df.write.mode("overwrite").option("ignoreNullFields", False).partitionBy(*partitions).json(path)
