@@ -289,3 +289,37 @@ REASON_INPUTS: Layer = {
     "added_tags": " + ".join(f"t_{x} * case when s_t_{x} = 0 then 1 else 0 end" for x in REQUIRED),
     "cc_coverage": "coverage - 0.9 * (" + " + ".join(f"t_{x} * case when s_t_{x} = 0 then 1 else 0 end" for x in REQUIRED) + ")",
 }
+
+
+def relative(value: str, base: str, scale: float) -> str:
+    """By how much a value is above its base, as a share of it, scaled and limited."""
+    return f"case when {value} is null or {base} is null or {base} <= 0 then 0.0 else " + limit(f"({value} - {base}) / {base} * {scale}", -1.2, 1.2) + " end"
+
+
+RANK_GROUP = "case when role = 'support' then 'support' when role in ('frontline', 'bruiser') then 'front' when role in ('ranged', 'mage') then 'backline' when role = 'assassin' then 'assassin' else 'all' end"
+#: Weights of win rate, top-3 rate, placement, damage, durability and control by rank group.
+RANK_WEIGHTS = {
+    "support": (0.24, 0.34, 0.24, 0.04, 0.04, 0.10), "front": (0.24, 0.26, 0.20, 0.12, 0.10, 0.08), "backline": (0.22, 0.24, 0.16, 0.30, 0.02, 0.06),
+    "assassin": (0.24, 0.22, 0.18, 0.28, 0.02, 0.06), "all": (0.24, 0.26, 0.20, 0.18, 0.04, 0.08),
+}
+
+
+def _by_group(k: int) -> str:
+    return "case rank_group " + " ".join(f"when '{g}' then {w[k]}" for g, w in RANK_WEIGHTS.items()) + " end"
+
+
+_VOTED = "coalesce(likes, 0) + coalesce(dislikes, 0)"
+#: Ranking of a member over its row (or none), its group's averages, its ranked users' row (k_...) and its votes.
+RANKING: Layer = {
+    "raw": " + ".join([
+        relative("win_rate", "q_win_rate", 1.15) + " * " + _by_group(0), relative("top3_rate", "q_top3_rate", 1.05) + " * " + _by_group(1),
+        "case when avg_placement is null or q_avg_placement is null then 0.0 else " + limit("(q_avg_placement - avg_placement) / 1.35", -1.2, 1.2) + " end * " + _by_group(2),
+        relative("avg_damage", "q_avg_damage", 0.9) + " * " + _by_group(3), relative("avg_damage_from", "q_avg_damage_from", 0.65) + " * " + _by_group(4), relative("avg_cc_time", "q_avg_cc_time", 0.7) + " * " + _by_group(5)]),
+    "fallback": "case when k_games is null then 0.0 else (k_top3 * 30.0 + k_win * 34.0 + least(8.0, k_games * 1.0) - greatest(0.0, coalesce(k_placement, 4.5) - 4.5) * 4.0) * 0.18 end",
+    "voted": f"case when {_VOTED} <= 0 then 0.0 else (coalesce(likes, 0) - coalesce(dislikes, 0)) / ({_VOTED} + 0.0) * least(1.0, log2({_VOTED} + 1.0) / 5) * 42.0 * 1.35 end",
+}
+RANKED: Layer = {"score": "case when games is null then 48.0 else 58.0 + raw * 46.0 * " + limit("log10(games + 1.0) / log10(261.0)", 0, 1) + " end + fallback + voted"}
+RANK_LETTER = "case when score >= 76 then 'S' when score >= 66 then 'A' when score >= 55 then 'B' when score >= 44 then 'C' else 'D' end"
+OFFICIAL_TEAM_SCORE = "(coalesce(win_rate, 0.0) * 240 + coalesce(top3_rate, 0.0) * 150 + (4.5 - coalesce(avg_placement, 4.5)) * 16) * " + limit("log10(games + 1.0) / log10(81.0)", 0, 1) + " + least(14.0, games * 0.35)"
+RANKER_TEAM_SCORE = "(top3_rate * 4.0 + win_rate * 5.0 + least(1.5, games / 8.0) - avg_placement * 0.18) * 20.0"
+VOTED_TEAM_SCORE = "(likes - dislikes) / greatest(1.0, likes + dislikes + 0.0) * least(1.0, log2(likes + dislikes + 1.0) / 5) * 42.0 + 12.0"

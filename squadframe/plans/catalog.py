@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import payload, ranker, recommend, search, stats, text, votes
+from ..operators import dashboard, payload, ranker, recommend, search, stats, text, votes
 
 QUERIES = {
     f.__name__: f
@@ -14,6 +14,7 @@ QUERIES = {
         search.union_combos, search.union_combos_capped, search.full_team_beam, search.nearest_template, search.graph_expand_depth2, search.seed_pool_rotation, search.random_seed_sample,
         ranker.ranker_candidate_stats, ranker.ranker_composition_stats, ranker.tier_snapshot_argmax,
         recommend.member_predicates, recommend.team_shape, recommend.team_metric_profile, recommend.score_rules, recommend.score_references, recommend.official_meta_score, recommend.group_average_fallback, recommend.tier_alias_fallback, recommend.recommend_topk,
+        dashboard.character_ranking, dashboard.character_rank_tiers, dashboard.combined_composition_ranking, dashboard.ranker_composition_ranking, dashboard.official_composition_score,
         payload.json_schema_discovery, payload.payload_coalesce_project,
         text.html_strip, text.name_normalize, text.csv_escape, text.html_escape, text.initial_search, text.feedback_key_parse, text.i18n_render,
     )

@@ -8,7 +8,7 @@ from ..functions import rules as K
 from ..operators.ranker import REFERENCES, REPEATED, SNAPSHOTS
 from ..operators.recommend import _MEANS, SUPPORT, TIERS, TOP
 from ..sources.dimension import KEYS, LAYERS, PAIR_SCORE, PAIR_WHERE
-from .oracle import _BASE, _CANDIDATE, _COMBAT, _VOTES, _clamp, _pairs, _q, _r, _votes_score
+from .oracle import _BASE, _CANDIDATE, _COMBAT, _COMPOSITION, _VOTES, _clamp, _pairs, _q, _r, _votes_score
 
 
 def _e(expression: str) -> str:
@@ -135,3 +135,36 @@ SCORES_SQL = {
         f"best_of as (select *, row_number() over (partition by sel order by score desc, variant)::int as place from one_of)",
         select=f"select sel, tier, bucket, place, variant, score, {_r('total', 3)} as total, case when len(said) > 0 then array_to_string(said, ' ') else {_e(K.FALLBACK_REASON)} end as reasons from (select *, {_SAID} as said from best_of where place <= {TOP})"),
 }
+
+_RANK_MEANS = [*_MEANS, "avg_cc_time"]
+_CV = "cv as (select list_sort(['Brand#' || (split_part(team_key, '+', 1)[2:]::int + 9), 'Brand#' || (split_part(team_key, '+', 2)[2:]::int + 14)]) as tm, 'Brand#' || (candidate_id[2:]::int + 1) as candidate, likes, dislikes from summary)"
+_RANKING = ",\n".join([
+    f"well as (select * from candidate where games >= 25), grouped as (select *, {K.RANK_GROUP} as rank_group from profile),\nwg as (select c.*, g.rank_group from well c join grouped g on g.variant = c.stat_id)",
+    "avg6 as (select bucket, rank_group, " + ", ".join(f"case when n >= 6 then o_{c} else w_{c} end as q_{c}" for c in _RANK_MEANS) + " from (select bucket, rank_group, count(*) as n, " + ", ".join(f"sum({c} * games) / sum(games) as o_{c}" for c in _RANK_MEANS)
+    + " from wg group by all) join (select bucket, " + ", ".join(f"sum({c} * games) / sum(games) as w_{c}" for c in _RANK_MEANS) + " from wg group by all) using (bucket))",
+    """ids as (select bucket, stat_id from well union select b.bucket, k.candidate from (select distinct bucket from well) b cross join ranked_one k where not exists (select 1 from well w where w.bucket = b.bucket and split_part(w.stat_id, ':', 1) = k.candidate)),
+voted_for as (select candidate, sum(likes) as likes, sum(dislikes) as dislikes from cv group by 1),
+rank_in as (select i.bucket, i.stat_id, coalesce(g.rank_group, (select min_by(rank_group, variant) from grouped z where z."character" = i.stat_id)) as rank_group, w.* exclude (bucket, stat_id), a.* exclude (bucket, rank_group),
+ k.games as k_games, k.avg_placement as k_placement, k.top3_rate as k_top3, k.win_rate as k_win, v.likes, v.dislikes
+ from ids i left join grouped g on g.variant = i.stat_id left join well w on w.bucket = i.bucket and w.stat_id = i.stat_id left join avg6 a on a.bucket = i.bucket and a.rank_group = g.rank_group
+ left join ranked_one k on k.candidate = split_part(i.stat_id, ':', 1) left join voted_for v on v.candidate = split_part(i.stat_id, ':', 1))""",
+    _layers("rank_of", "rank_in", K.RANKING, K.RANKED)])
+_COMBINED = f"""src as (select *, case bucket when 'all' then 1 else 0 end as src from composition where bucket in ('platinum_diamond', 'all')),
+canon as (select *, array_to_string(list_sort(list_distinct(list_append(string_split(teammates, '|'), candidate))), '+') as team from src),
+off as (select team, games, {_e(K.OFFICIAL_TEAM_SCORE)} as s from (select *, row_number() over (partition by team order by games desc, src, candidate, teammates) as k from canon) where k = 1 order by {_r('s', 6)} desc, team limit 16),
+fbk as (select team, likes, dislikes, {_e(K.VOTED_TEAM_SCORE)} as s from (select array_to_string(list_sort(list_distinct(list_append(tm, candidate))), '+') as team, sum(likes)::bigint as likes, sum(dislikes)::bigint as dislikes from cv group by 1) where likes > 0 order by likes - dislikes desc, likes desc, likes + dislikes desc, team limit 14),
+both_of as (select coalesce(o.team, f.team) as team, o.games, f.likes, f.dislikes, case when o.team is not null and f.team is not null then 'mixed' when o.team is not null then 'official' else 'feedback' end as source, coalesce(o.s, 0) + coalesce(f.s, 0) as s from off o full join fbk f on o.team = f.team)"""
+SCORES_SQL |= {
+    "character_ranking": _q(_BASE, _CANDIDATE, _VOTES, _CV, _RANKER, _MEMBER.split(",\nrt as")[0], _RANKING,
+        select=f"select bucket, stat_id, coalesce(games, k_games, 0) as games, {_r('score', 4)} as score, {K.RANK_LETTER} as letter, row_number() over (partition by bucket order by {_r('score', 4)} desc, stat_id)::int as place from rank_of"),
+    "character_rank_tiers": _q(_BASE, _CANDIDATE, _VOTES, _CV, _RANKER, _MEMBER.split(",\nrt as")[0], _RANKING, select=f"select bucket, {K.RANK_LETTER} as letter, count(*) as members from rank_of group by all"),
+    "combined_composition_ranking": _q(_BASE, _COMPOSITION, _VOTES, _CV, _COMBINED, select=f"select team, games, likes, dislikes, source, {_r('s', 4)} as score from both_of order by {_r('s', 4)} desc, team limit 14"),
+    "ranker_composition_ranking": _q(_BASE, _RANKER, "canon as (select *, array_to_string(list_sort(list_distinct(list_append(string_split(teammates, '+'), candidate))), '+') as team from ranked_comp)",
+        select=f"select team, games, {_r(_e(K.RANKER_TEAM_SCORE), 4)} as score from (select *, row_number() over (partition by team order by games desc, top3_rate desc, teammates, candidate) as k from canon) where k = 1 order by score desc, team limit 16"),
+    "official_composition_score": _q(*_SMALL, _COMPOSITION, f"""size_of as (select sel, count(*) as k from picked group by sel),
+rows_of as (select a.sel, c.teammates, c.candidate, c.games, c.avg_placement, c.win_rate, c.top3_rate, c.bucket from asked a join composition c on c.bucket = a.bucket or c.bucket = 'all'),
+matched as (select sel, teammates, candidate, bucket, any_value(games) as games, any_value(avg_placement) as avg_placement, any_value(win_rate) as win_rate, any_value(top3_rate) as top3_rate, count(*) as hits from
+ (select *, unnest(string_split(teammates, '|')) as mate from rows_of) r join (select distinct sel, "character" from picked) p using (sel) where p."character" = r.mate group by sel, teammates, candidate, bucket),
+weighed_c as (select sel, candidate, {_e("hits * case when hits = k then 1.25 else 0.42 end * least(1.1, log2(games + 1.0) / 4)")} as w, {_e(K.RANKER_SCORE)} as s from matched join size_of using (sel))""",
+        select=f"select sel, candidate, {_r(_clamp('sum(s * w) / sum(w) * 1.25::double', -1.4, 1.5), 4)} as score from weighed_c where (sel, candidate) not in (select sel, \"character\" from picked) group by all"),
+}
