@@ -122,3 +122,148 @@ def initials(text: Column) -> Column:
     lead = F.array(*[F.lit(c) for c in "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"])
     return F.array_join(
         F.transform(F.split(text, ""), lambda c: F.when((F.ascii(c) >= 44032) & (F.ascii(c) <= 55203), F.element_at(lead, ((F.ascii(c) - 44032) / 588).cast("int") + 1)).otherwise(c)), "")
+
+
+def tier_weight(label: Column) -> Column:
+    out = F.when(label == "OP", 1.4)
+    for name, w in (("S", 1.1), ("A", 0.75), ("B", 0.3), ("C", -0.25), ("D", -0.65)):
+        out = out.when(label == name, w)
+    return out.otherwise(0.0)
+
+
+def legacy_tier_from_mmr(mmr: Column) -> Column:
+    """Tier by the older collector's thresholds."""
+    out = F.when(mmr.isNull() | F.isnan(mmr), F.lit(None).cast("string"))
+    for at, name in ((9000, "mithril_plus"), (7000, "diamond"), (5200, "platinum"), (3600, "gold"), (2000, "silver")):
+        out = out.when(mmr >= at, name)
+    return out.otherwise("bronze")
+
+
+def relative_score(v: Column, base: Column, scale: float = 1.0) -> Column:
+    return F.when(v.isNull() | base.isNull() | (base <= 0), 0.0).otherwise(clamp((v - base) / F.when(base > 0, base) * scale, -1.2, 1.2))
+
+
+def placement_delta(v: Column, base: Column) -> Column:
+    return F.coalesce(clamp((base - v) / 1.35, -1.2, 1.2), F.lit(0.0))
+
+
+def luminance(r: Column, g: Column, b: Column) -> Column:
+    return r * 0.299 + g * 0.587 + b * 0.114
+
+
+def slot_to_rect(slot: Column, ratio: Column, width: Column, height: Column) -> Column:
+    """Pixels of a part (ratio) of a slot, both structs x, y, w, h of shares."""
+    w, h = round_half_up(slot["w"] * width), round_half_up(slot["h"] * height)
+    return F.struct(
+        (round_half_up(slot["x"] * width) + round_half_up(w * ratio["x"])).alias("x"), (round_half_up(slot["y"] * height) + round_half_up(h * ratio["y"])).alias("y"),
+        round_half_up(w * ratio["w"]).alias("w"), round_half_up(h * ratio["h"]).alias("h"))
+
+
+def image_distance(a: Column, b: Column) -> Column:
+    """Distance of two images as arrays of red, green, blue, alpha per pixel (0 to 255): colour and grey differences."""
+    n = F.size(a) / 4
+    at = lambda v, k: F.element_at(v, k)
+    grey = lambda v, i: luminance(at(v, i + 1), at(v, i + 2), at(v, i + 3)) * (at(v, i + 4) / 255)
+    pixels = F.transform(F.sequence(F.lit(0), F.size(a) - 4, F.lit(4)), lambda i: F.struct(
+        (F.abs(at(a, i + 1) * (at(a, i + 4) / 255) - at(b, i + 1) * (at(b, i + 4) / 255)) + F.abs(at(a, i + 2) * (at(a, i + 4) / 255) - at(b, i + 2) * (at(b, i + 4) / 255))
+         + F.abs(at(a, i + 3) * (at(a, i + 4) / 255) - at(b, i + 3) * (at(b, i + 4) / 255))).alias("c"), F.abs(grey(a, i) - grey(b, i)).alias("g")))
+    total = lambda k: F.aggregate(pixels, F.lit(0.0), lambda s, p: s + p[k])
+    return total("c") / (n * 3 * 255) * 0.55 + total("g") / (n * 255) * 0.45
+
+
+#: Compound consonants and their two parts (fixed values).
+COMPOUNDS = {"ㄳ": "ㄱㅅ", "ㄵ": "ㄴㅈ", "ㄶ": "ㄴㅎ", "ㄺ": "ㄹㄱ", "ㄻ": "ㄹㅁ", "ㄼ": "ㄹㅂ", "ㄽ": "ㄹㅅ", "ㄾ": "ㄹㅌ", "ㄿ": "ㄹㅍ", "ㅀ": "ㄹㅎ", "ㅄ": "ㅂㅅ"}
+
+
+def search_form(text: Column) -> Column:
+    """Lower case, compound consonants in their parts."""
+    out = F.lower(text)
+    for c, parts in COMPOUNDS.items():
+        out = F.replace(out, F.lit(c), F.lit(parts))
+    return out
+
+
+def matches_search(text: Column, query: Column) -> Column:
+    """Whether the text or its initials contain the query; an empty query matches all."""
+    q = search_form(F.trim(query))
+    return (q == "") | search_form(text).contains(q) | initials(search_form(text)).contains(q)
+
+
+def has_final_consonant(text: Column) -> Column:
+    code = F.ascii(F.right(text, F.lit(1)))
+    return F.coalesce(code.between(44032, 55203) & ((code - 44032) % 28 > 0), F.lit(False))
+
+
+def with_particle(text: Column, after_consonant: str, after_vowel: str) -> Column:
+    return F.concat(text, F.when(has_final_consonant(text), after_consonant).otherwise(after_vowel))
+
+
+def squeezed_name(text: Column) -> Column:
+    return F.lower(F.regexp_replace(text, r"\s", ""))
+
+
+def base64url(text: Column) -> Column:
+    return F.translate(F.rtrim(F.base64(text.cast("binary")), F.lit("=")), "+/", "-_")
+
+
+def safe_file_part(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(F.nullif(text, F.lit("")), F.lit("current")), "[^a-zA-Z0-9._-]", "_")
+
+
+def mask_secret(text: Column) -> Column:
+    t = F.coalesce(text, F.lit(""))
+    return F.when(F.length(t) > 12, F.concat(F.left(t, F.lit(6)), F.lit("..."), F.right(t, F.lit(6)))).when(F.length(t) > 0, "[redacted]").otherwise("none")
+
+
+def version_parts(version: Column) -> Column:
+    """Numbers of a version such as v1.20.3; what is no number counts as 0."""
+    clean = F.regexp_replace(F.trim(F.coalesce(version, F.lit(""))), "^[vV]", "")
+    return F.transform(F.split(clean, r"\."), lambda p: F.coalesce(F.nullif(F.regexp_extract(p, r"^\s*(\d+)", 1), F.lit("")).cast("int"), F.lit(0)))
+
+
+def compare_versions(a: Column, b: Column) -> Column:
+    """The first difference of two versions, 0 if they are equal; missing parts count as 0."""
+    gaps = F.zip_with(version_parts(a), version_parts(b), lambda x, y: F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0)))
+    return F.coalesce(F.try_element_at(F.filter(gaps, lambda d: d != 0), F.lit(1)), F.lit(0))
+
+
+def clean_id(value: Column) -> Column:
+    """An id without its variant; empty for the names that mean none."""
+    out = F.trim(F.split_part(F.trim(F.coalesce(value, F.lit(""))), F.lit(":"), F.lit(1)))
+    return F.when(F.lower(out).isin("", "empty", "null", "undefined", "none"), "").otherwise(out)
+
+
+def trait_place(kind: Column, order: Column) -> tuple[Column, Column]:
+    """Category (core, sub1, sub2) and index from 0 of a trait by its type's name or its sort order; null for neither."""
+    local, low = order % 100, F.lower(F.coalesce(kind, F.lit("")))
+    category = (
+        F.when(low.contains("core") | local.between(1, 4), "core").when(low.contains("sub1") | local.between(11, 14), "sub1").when(low.contains("sub2") | local.between(21, 24), "sub2")
+    )
+    index = local % 10 - 1
+    return F.when(index >= 0, category), F.when(index >= 0, index)
+
+
+#: Ordered patterns of a reason's text and the label that each adds (fixed values); the second one's label depends on a
+#: further pattern.
+REASON_LABELS = [
+    ("(?i)앞라인|탱커|진입|받아치|front.?line|\\btank\\b|initiat|counter.fight", "frontlineNeeded"), ("마무리|킬캐치|화력|데미지|딜러 자리|damage|firepower|dealer", "damageNeeded"), ("CC|이니시|교전 시작|진입각|initiat|engage", "initiateNeeded"),
+    ("보호|세이브|받아치|안정|protect|peel|alive|stable|counter.fight", "peelNeeded"), ("사거리|포킹|대치|poke|standoff|range", "pokeNeeded"), ("데미지 기여가 충분|화력을 보탤|화력을 채워|high.damage|fills.*firepower|fills.*damage", "damageOk"),
+    ("데미지 기여가 부족|화력 총량이 부족|화력이 부족|low.damage|lacks.*damage|firepower.*shortage", "damageCaution"), ("평가 데이터|좋게 기록|랭커|전적|feedback.*data|ranker|tournament|good synergy", "dataOk"), ("감점|낮게 잡힐|위험|penalty|drag.*score|lower.*score", "caution"),
+]
+LOW_DAMAGE = "부족|모자|감점|low.damage|firepower.*short|penalty|below.average"
+
+
+def reason_labels(text: Column) -> Column:
+    """The first three labels of a text, by the patterns it has, in their order."""
+    found = [F.when(text.rlike(p), F.when(text.rlike(LOW_DAMAGE), "damageLow").otherwise(k) if k == "damageNeeded" else F.lit(k)) for p, k in REASON_LABELS]
+    return F.slice(F.array_distinct(F.array_compact(F.array(*found))), 1, 3)
+
+
+def decoded_html(text: Column) -> Column:
+    """Named and numeric character references decoded (code points beyond the basic plane stay as they are)."""
+    for a, b in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    parts = F.split(text, r"(?=&#\d{1,5};)")
+    plain = lambda p: F.regexp_extract(p, r"^&#(\d{1,5});", 1)
+    one = lambda p: F.decode(F.unhex(F.lpad(F.hex(plain(p).cast("int")), 4, "0")), "UTF-16BE")
+    return F.array_join(F.transform(parts, lambda p: F.when((plain(p) != "") & (plain(p).cast("int") < 55296), F.concat(one(p), F.regexp_replace(p, r"^&#\d{1,5};", ""))).otherwise(p)), "")

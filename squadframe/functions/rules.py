@@ -323,3 +323,14 @@ RANK_LETTER = "case when score >= 76 then 'S' when score >= 66 then 'A' when sco
 OFFICIAL_TEAM_SCORE = "(coalesce(win_rate, 0.0) * 240 + coalesce(top3_rate, 0.0) * 150 + (4.5 - coalesce(avg_placement, 4.5)) * 16) * " + limit("log10(games + 1.0) / log10(81.0)", 0, 1) + " + least(14.0, games * 0.35)"
 RANKER_TEAM_SCORE = "(top3_rate * 4.0 + win_rate * 5.0 + least(1.5, games / 8.0) - avg_placement * 0.18) * 20.0"
 VOTED_TEAM_SCORE = "(likes - dislikes) / greatest(1.0, likes + dislikes + 0.0) * least(1.0, log2(likes + dislikes + 1.0) / 5) * 42.0 + 12.0"
+
+#: Keys that say why three members fit, by the union search and by the composition list.
+TEAM_REASONS: Layer = {
+    "union_reason": cases(
+        ("g_backline = 3 and (g_t_cc > 0 or g_m_cc >= 9 or g_t_peel + g_t_shield + g_t_healing > 0 or g_m_utility >= 8) and g_m_damage >= 11", "'backlineCC'"),
+        ("g_melee + g_tank = 3 and g_t_initiate > 0 and (g_t_cc > 0 or g_m_cc >= 9) and g_m_damage >= 11", "'meleeInitiate'"), ("g_tank > 0 and g_backline > 0", "'frontlineRanged'"), ("g_melee > 0 and g_t_focus > 0", "'bruiserFocus'"),
+        ("g_t_initiate > 0 and (g_t_cc > 0 or g_m_cc >= 9)", "'initiateCC'"), (" or ".join(f"({c})" for c, _ in METRIC_TAGS), "'metricTags'"), otherwise="'default'"),
+    "composition_reason": cases(
+        ("g_tank > 0 and g_backline > 0", "'frontlineRanged'"), ("g_melee > 0 and g_t_focus > 0", "'bruiserFocus'"), ("g_t_initiate > 0 and g_t_cc > 0", "'initiateCC'"), ("g_t_peel > 0 and g_backline > 0", "'peelRanged'"),
+        ("g_x_melee > 0 and g_x_ranged > 0", "'mixedRange'"), otherwise="'rankerFrequent'"),
+}

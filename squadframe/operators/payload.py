@@ -14,6 +14,6 @@ def json_schema_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payload_coalesce_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A count that goes by several names in the payload, else the event's value; 0 without any."""
-    aliases = [F.get_json_object("props", f"$.{x}").cast("double") for x in ("count", "games", "k")]
+    """A count that goes by several names in the payload (empty ones are skipped), else the event's value; 0 without any."""
+    aliases = [F.nullif(F.get_json_object("props", f"$.{x}"), F.lit("")).cast("double") for x in ("count", "games", "k")]
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(*aliases, F.col("value"), F.lit(0.0)).alias("amount"))

@@ -200,4 +200,6 @@ general as (select candidate_id, sum(likes * case tier when 'all' then 0.65::dou
 
 from .oracle_scores import SCORES_SQL  # noqa: E402  its relations build on those above
 
-SQL |= SCORES_SQL
+from .oracle_cleaning import CLEANING_SQL  # noqa: E402
+
+SQL |= SCORES_SQL | CLEANING_SQL

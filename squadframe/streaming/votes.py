@@ -14,21 +14,40 @@ def hourly_counts(stream: DataFrame, delay: str = "2 hours") -> DataFrame:
 
 
 class UpsertSink:
-    """foreachBatch sink: merges each batch into a table of latest votes, one written version per batch.
+    """foreachBatch sink: merges each batch into a table of latest votes, partitioned by hour.
 
-    A batch that is replayed gives the same version again, so the sink is idempotent.
+    Only the hours that a batch touches are read and written again. A batch that is replayed merges to the same rows, so
+    the sink is idempotent; all its state is the table, so it goes on after a restart. Votes carry vote_id, which decides
+    at equal times.
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.version = spark, path, -1
+        self.spark, self.path = spark, path.rstrip("/")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("bucket", vote_bucket(F.col("ts"))).select(*KEY, "bucket", "value", "ts")
-        if batch_id > 0:
-            rows = rows.unionByName(self.spark.read.parquet(f"{self.path}/v{batch_id - 1}"))
-        latest = rows.groupBy(*KEY, "bucket").agg(F.max_by(F.struct("value", "ts"), "ts").alias("v")).select(*KEY, "bucket", "v.value", "v.ts")
-        latest.write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
-        self.version = batch_id
+        names = [*KEY, "bucket", "value", "ts", "vote_id"]
+        rows = batch.withColumn("bucket", vote_bucket(F.col("ts"))).select(*names)
+        hours = rows.select("bucket").distinct()
+        known = self._table()
+        if known is not None:
+            rows = rows.unionByName(known.join(hours, "bucket", "left_semi").select(*names))
+        latest = rows.groupBy(*KEY, "bucket").agg(F.max_by(F.struct("value", "ts", "vote_id"), F.struct("ts", "vote_id")).alias("v")).select(*KEY, "bucket", "v.*")
+        # read and written in one place: by way of a staging table
+        latest.write.mode("overwrite").parquet(f"{self.path}/staging")
+        staged = self.spark.read.schema(latest.schema).parquet(f"{self.path}/staging")
+        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/votes")
+
+    def _table(self) -> DataFrame | None:
+        from pyspark.errors import AnalysisException
+
+        try:
+            found = self.spark.read.option("recursiveFileLookup", False).parquet(f"{self.path}/votes")
+        except AnalysisException:  # nothing written yet
+            return None
+        return found.withColumn("bucket", F.col("bucket").cast("string"))
 
     def latest(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version}")
+        found = self._table()
+        if found is None:
+            raise ValueError(f"no votes at {self.path}")
+        return found.select(*KEY, "bucket", "value", "ts")

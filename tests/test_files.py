@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import Row
 
 from squadframe.sources import files
@@ -39,3 +41,46 @@ def test_round_trips(spark, tmp_path):
 def test_json_paths(spark):
     df = spark.createDataFrame([('{"k": 3, "s": "t"}',), ('{"k": -1}',), (None,), ("broken",)], "p string")
     assert {tuple(r) for r in files.json_paths(df, "p").collect()} == {("k", 2, 2, -1.0, 3.0), ("s", 1, 0, None, None)}
+
+
+def test_files_that_are_not_there_and_strict_metrics(spark, tmp_path):
+    with pytest.warns(UserWarning):
+        assert files.match_teams(spark, str(tmp_path / "none.json")).count() == 0
+    (tmp_path / "m.csv").write_text("id,name,damage\na,A,1\n")
+    with pytest.raises(ValueError, match="missing columns"):
+        files.metrics_csv(spark, str(tmp_path / "m.csv"))
+    (tmp_path / "n.csv").write_text("id,name,difficulty,damage,defense,crowdControl,mobility,utility\na,A,1,2,3,4,5,6\n")
+    with pytest.raises(Exception, match="utility of a is no number"):
+        files.metrics_csv(spark, str(tmp_path / "n.csv"), strict=True).collect()
+
+
+def test_pages_and_stored_json(spark, tmp_path):
+    for page, ids in ((1, [1, 2]), (2, [3]), (3, []), (4, [9])):
+        (tmp_path / f"{page}.json").write_text(json.dumps({"rows": [{"id": i} for i in ids]}))
+    assert [r.id for r in files.pages(spark, str(tmp_path), "rows", 10, "id: int").collect()] == [1, 2, 3]
+    assert [r.id for r in files.pages(spark, str(tmp_path), "rows", 2, "id: int").collect()] == [1, 2]
+    assert files.pages(spark, str(tmp_path / "no"), "rows", 2, "id: int").count() == 0
+    (tmp_path / "kv.json").write_text('{"likes": 3}')
+    assert files.stored_json(spark, str(tmp_path / "kv.json"), "likes int").collect()[0].likes == 3
+    (tmp_path / "kv.json").write_text("broken")
+    assert files.stored_json(spark, str(tmp_path / "kv.json"), "likes int").collect()[0].likes is None
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, bucket string")
+    at = str(tmp_path / "p")
+    files.write_partitions(df, at, "bucket")
+    files.write_partitions(spark.createDataFrame([(7, "b")], "id int, bucket string"), at, "bucket")
+    assert sorted((r.id, r.bucket) for r in spark.read.parquet(at).collect()) == [(1, "a"), (7, "b")]
+    files.append_rows(df, str(tmp_path / "log"))
+    files.append_rows(df, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 4
+    files.write_breakdown(df, str(tmp_path / "b"), "bucket")
+    assert spark.read.json(str(tmp_path / "b/breakdown")).count() == 2
+    files.write_csv(df.coalesce(1), str(tmp_path / "c"), mark=True)
+    assert next((tmp_path / "c").glob("*.csv")).read_text(encoding="utf-8").startswith("\ufeffid,bucket")
+    files.swap_table(spark, "swapped", str(tmp_path / "log"))
+    files.swap_table(spark, "swapped", at)
+    assert spark.table("swapped").count() == 2
+    assert files.cache_name("a?b>") == "YT9iPg.json"
+    assert spark.createDataFrame([("ｱﾞＡ①",), (None,)], "x string").select(files.nfkc("x")).collect()[0][0] == "ア゙A1"
