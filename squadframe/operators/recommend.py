@@ -72,13 +72,15 @@ def selected_members(asked: DataFrame, rows: DataFrame) -> DataFrame:
     return asked.select("sel", "tier", "bucket", F.explode("picked").alias("variant")).join(rows, "variant")
 
 
-def grid(asked: DataFrame, rows: DataFrame, pool: list[str] | None = None) -> DataFrame:
+def grid(asked: DataFrame, rows: DataFrame, pool: list[str] | DataFrame | None = None) -> DataFrame:
     """Every candidate for every selection, without the selected characters, with all sums and sub-scores.
 
-    pool keeps some candidates: by variant if any entry has a colon, else by character.
+    pool keeps some candidates: a list by variant if any entry has a colon, else by character; a table by variant.
     """
     picked = selected_members(asked, rows)
-    if pool:
+    if isinstance(pool, DataFrame):
+        rows = rows.join(pool.select("variant").distinct(), "variant", "left_semi")
+    elif pool:
         rows = rows.where(F.col("variant" if any(":" in x for x in pool) else "character").isin(pool))
     sums = picked.groupBy("sel").agg(F.count("*").alias("n"), F.collect_set("character").alias("taken"), *[F.sum(x).alias(f"s_{x}") for x in K.SUMMED])
     each = asked.select("sel", "tier", "bucket").join(sums, "sel", "left").na.fill(0)
@@ -227,8 +229,8 @@ def _base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     return stats, combat, written(members(profiles(spark, sf_dir), measured(stats, combat)), "members")
 
 
-def evaluated(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None, pool: list[str] | None = None) -> DataFrame:
-    """Every candidate for every selection with all sub-scores and their total."""
+def evaluated(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None, pool: list[str] | DataFrame | None = None) -> DataFrame:
+    """Every candidate for every selection (sel, tier, picked variants) with all sub-scores and their total."""
     stats, combat, rows = _base(spark, sf_dir)
     asked = written(selections(stats) if asked is None else stored_buckets(asked, stats), "asked")
     picked = written(selected_members(asked, rows.select("variant", "character")), "picked")
@@ -310,6 +312,10 @@ def tier_alias_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_buckets(asked, official_candidate_stats(spark, sf_dir)).select("id", "tier", "bucket", F.expr(K.aliased("tier", K.SNAPSHOT_ALIAS, "'all'")).alias("shown"))
 
 
+def damage_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damage_references(_base(spark, sf_dir)[2])
+
+
 def recommend_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eighteen best candidates of every selection with their scores and the keys of up to three reasons."""
     best = layered(recommended(evaluated(spark, sf_dir)), K.REASON_INPUTS)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..sources.adapter import fanned, players, squads, table, teams
+from ..sources.dimension import KEYS, WEAPONS, layered
 
 R = X.round_half_up
 
@@ -240,10 +241,22 @@ def composition_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("bucket", "canonical", "games", R(score, 3).alias("score"))
 
 
-def damage_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean damage by group of members (a hash of the weapon's length stands for the role), and of all."""
-    s = official_candidate_stats(spark, sf_dir).where("bucket = 'all'").withColumn("group", F.when(F.length("stat_id") % 2 == 0, "front").otherwise("backline"))
-    return s.withColumn("group", F.explode(F.array("group", F.lit("all")))).groupBy("group").agg(F.count("*").alias("members"), R(F.avg("avg_damage"), 3).alias("mean_damage"))
+#: Variants that the dimension of codes lists: some characters have one, some two, the others all.
+LISTED = "case b % 5 when 0 then t = cast(b / 5 as int) % 6 when 1 then t <= 1 else true end"
+
+
+def stat_id_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The id under which a player counts, by character and weapon code: the only variant of its character, else the
+    variant of the weapon that the code stands for, else the character. What a code stands for is learnt from the
+    characters with one variant: the weapon seen most with it (then the lower name)."""
+    p = players(spark, sf_dir).select("character", F.col("core").alias("code"))
+    listed = layered(p.select("character").distinct().withColumn("weapon", F.explode(F.array(*map(F.lit, WEAPONS)))), KEYS).where(LISTED).select("character", "weapon")
+    single = listed.groupBy("character").agg(F.count("*").alias("n"), F.min("weapon").alias("only")).where("n = 1")
+    seen = p.join(F.broadcast(single), "character").groupBy("code", "only").agg(F.count("*").alias("uses"))
+    means = seen.groupBy("code").agg(F.min_by("only", F.struct(-F.col("uses"), "only")).alias("weapon"))
+    rows = p.groupBy("character", "code").agg(F.count("*").alias("rows")).join(single, "character", "left").join(means, "code", "left").join(listed.withColumn("there", F.lit(True)), ["character", "weapon"], "left")
+    variant = lambda w: F.concat_ws(":", "character", w)
+    return rows.select("character", "code", "rows", F.when(F.col("only").isNotNull(), variant("only")).when(F.col("there"), variant("weapon")).otherwise(F.col("character")).alias("stat_id"))
 
 
 def tier_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def initial_search(spark: SparkSession, sf_dir: str, needle: str = "th") -> DataFrame:
-    return table(spark, sf_dir, "documents").where(X.initials(F.lower("text")).contains(needle)).select("doc_id")
+    return table(spark, sf_dir, "documents").where(X.matches_search(F.col("text"), F.lit(needle))).select("doc_id")
 
 
 def feedback_key_parse(spark: SparkSession, sf_dir: str) -> DataFrame:

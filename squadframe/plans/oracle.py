@@ -145,8 +145,6 @@ general as (select candidate_id, sum(likes * case tier when 'all' then 0.65::dou
     "composition_ranking": _q(_BASE, _COMPOSITION, select=f"""select bucket, canonical, games, {_r(f'(240 * win_rate + 150 * top3_rate + 16 * (4.5 - avg_placement)) * {_CONF80} + least(14.0::double, 0.35 * games)', 3)} as score from
  (select *, row_number() over (partition by bucket, canonical order by games desc, candidate, teammates) as k from
  (select *, array_to_string(list_sort(list_distinct(list_append(string_split(teammates, '|'), candidate))), '|') as canonical from composition)) where k = 1"""),
-    "damage_reference": _q(_BASE, _CANDIDATE, select=f"""select "group", count(*) as members, {_r('avg(avg_damage)', 3)} as mean_damage from
- (select avg_damage, unnest([case when length(stat_id) % 2 = 0 then 'front' else 'backline' end, 'all']) as "group" from candidate where bucket = 'all') group by 1"""),
     "tier_buckets": _q(_BASE, select=f"""select o_orderkey as id, fine, {_compact('fine')} as compact,
  case when o_custkey % 1500 > 0 and o_totalprice / 30 >= 6000 and o_custkey % 1500 <= 300 then 'eternity' when o_custkey % 1500 > 0 and o_totalprice / 30 >= 6000 and o_custkey % 1500 <= 1000 then 'demigod' else fine end as titled from tiers"""),
     "tier_bucket_text": """select id, case when t like '%iron%' or t like '%bronze%' then 'bronze' when t like '%silver%' then 'silver' when t like '%gold%' then 'gold' when t like '%platinum%' then 'platinum'

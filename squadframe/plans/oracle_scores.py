@@ -7,8 +7,9 @@ import re
 from ..functions import rules as K
 from ..operators.ranker import REFERENCES, REPEATED, SNAPSHOTS
 from ..operators.recommend import _MEANS, SUPPORT, TIERS, TOP
-from ..sources.dimension import KEYS, LAYERS, PAIR_SCORE, PAIR_WHERE
-from .oracle import _BASE, _CANDIDATE, _COMBAT, _COMPOSITION, _VOTES, _clamp, _pairs, _q, _r, _votes_score
+from ..operators.stats import LISTED
+from ..sources.dimension import KEYS, LAYERS, PAIR_SCORE, PAIR_WHERE, WEAPONS
+from .oracle import _BASE, _CANDIDATE, _COMBAT, _COMPOSITION, _ROSTER, _VOTES, _clamp, _pairs, _q, _r, _votes_score
 
 
 def _e(expression: str) -> str:
@@ -158,7 +159,7 @@ SCORES_SQL |= {
     "character_ranking": _q(_BASE, _CANDIDATE, _VOTES, _CV, _RANKER, _MEMBER.split(",\nrt as")[0], _RANKING,
         select=f"select bucket, stat_id, coalesce(games, k_games, 0) as games, {_r('score', 4)} as score, {K.RANK_LETTER} as letter, row_number() over (partition by bucket order by {_r('score', 4)} desc, stat_id)::int as place from rank_of"),
     "character_rank_tiers": _q(_BASE, _CANDIDATE, _VOTES, _CV, _RANKER, _MEMBER.split(",\nrt as")[0], _RANKING, select=f"select bucket, {K.RANK_LETTER} as letter, count(*) as members from rank_of group by all"),
-    "combined_composition_ranking": _q(_BASE, _COMPOSITION, _VOTES, _CV, _COMBINED, select=f"select team, games, likes, dislikes, source, {_r('s', 4)} as score from both_of order by {_r('s', 4)} desc, team limit 14"),
+    "combined_composition_ranking": _q(_BASE, _COMPOSITION, _ROSTER, _VOTES, _CV, _COMBINED, select=f"select team, games, likes, dislikes, source, {_r('s', 4)} as score from both_of order by {_r('s', 4)} desc, team limit 14"),
     "ranker_composition_ranking": _q(_BASE, _RANKER, "canon as (select *, array_to_string(list_sort(list_distinct(list_append(string_split(teammates, '+'), candidate))), '+') as team from ranked_comp)",
         select=f"select team, games, {_r(_e(K.RANKER_TEAM_SCORE), 4)} as score from (select *, row_number() over (partition by team order by games desc, top3_rate desc, teammates, candidate) as k from canon) where k = 1 order by score desc, team limit 16"),
     "official_composition_score": _q(*_SMALL, _COMPOSITION, f"""size_of as (select sel, count(*) as k from picked group by sel),
@@ -168,3 +169,27 @@ matched as (select sel, teammates, candidate, bucket, any_value(games) as games,
 weighed_c as (select sel, candidate, {_e("hits * case when hits = k then 1.25 else 0.42 end * least(1.1, log2(games + 1.0) / 4)")} as w, {_e(K.RANKER_SCORE)} as s from matched join size_of using (sel))""",
         select=f"select sel, candidate, {_r(_clamp('sum(s * w) / sum(w) * 1.25::double', -1.4, 1.5), 4)} as score from weighed_c where (sel, candidate) not in (select sel, \"character\" from picked) group by all"),
 }
+
+_PICKED = "picked as (select a.sel, a.tier, a.bucket, m.* from (select sel, tier, bucket, unnest(picked) as variant from asked) a join member m using (variant))"
+_AFTER = (_MEAN, _FELL, _RANKER, _SNAP, _REFS, _AVERAGES, _VALUES, _pairs("1.0::double"), _VOTES, _TEAMS)
+_ANCHOR = "(select stat_id from candidate where bucket = 'all' order by games desc, stat_id limit 1)"
+_MEMBERS = (_BASE, _CANDIDATE, _COMBAT, _MEMBER)
+SCORES_SQL |= {
+    "damage_reference": _q(*_MEMBERS, select=f"""select "group", count(*) as members, {_r('avg(rt_damage)', 3)} as mean_damage from (select unnest([rt_group, 'all']) as "group", rt_damage from member where rt_damage <> 0) group by 1"""),
+    "union_combos_scored": _q(*_MEMBERS, _ROSTER.replace("member as (", "rostered as (").replace("from member)", "from rostered)"), "asked as (select x.id || '|' || y.id as sel, 'all' as tier, 'all' as bucket, [x.id, y.id] as picked, x.roster as ra, y.roster as rb, x.id as va, y.id as vb from best x join best y on x.roster < y.roster and x.who <> y.who)", _PICKED,
+        _GRID.replace("list_contains(e.taken, m.\"character\"))", "list_contains(e.taken, m.\"character\") where m.variant in (select id from best))"), *_AFTER,
+        "rounded_of as (select d.variant, a.ra, a.rb, a.va, a.vb, b.roster, floor(d.total * 10.0::double + 0.5) / 10.0::double as score from done d join asked a using (sel) join best b on b.id = d.variant where b.roster <> a.ra and b.roster <> a.rb)",
+        select=f"""select id0, id1, id2, {_r('avg(score)', 1)} as score from (select score, {', '.join(f"case when roster = {k} then variant when ra = {k} then va else vb end as id{k}" for k in range(3))} from rounded_of) group by all order by score desc, id0, id1, id2 limit 24"""),
+    "full_team_recommend": _q(*_MEMBERS, f"""asked as (select 'one' as sel, 'all' as tier, 'all' as bucket, [{_ANCHOR}] as picked union all select variant, 'all', 'all', [{_ANCHOR}, variant] from member where "character" <> split_part({_ANCHOR}, ':', 1))""", _PICKED, _GRID, *_AFTER,
+        f"placed as (select sel, variant, \"character\", {_r('total', 1)} as score from done)", 'one_of as (select * from (select *, row_number() over (partition by sel, "character" order by score desc, variant) as k1 from placed) where k1 = 1)',
+        "best_of as (select *, row_number() over (partition by sel order by score desc, variant) as place from one_of)",
+        """chained as (select a.variant as pick1, b.variant as pick2, a.score + b.score as s, row_number() over (partition by least(a."character", b."character"), greatest(a."character", b."character") order by a.place, b.place) as k
+ from best_of a join best_of b on b.sel = a.variant where a.sel = 'one' and a.place <= 8 and b.place <= 3)""",
+        select=f"select {_ANCHOR} as anchor, pick1, pick2, {_r('s', 1)} as score from chained where k = 1"),
+    "stat_id_by_code": _q(_BASE, f"""coded as (select "character", core as code from player),
+listed as (select "character", weapon from (select *, {_e(KEYS['b'])} as b, {_e(KEYS['t'])} as t from (select "character", unnest({WEAPONS}) as weapon from (select distinct "character" from coded))) where {LISTED}),
+single as (select "character", min(weapon) as only_one from listed group by 1 having count(*) = 1),
+means as (select code, first(only_one order by n desc, only_one) as weapon from (select code, only_one, count(*) as n from coded join single using ("character") group by all) group by 1)""",
+        select="""select c."character", c.code, c.n as rows, case when s.only_one is not null then c."character" || ':' || s.only_one when l.weapon is not null then c."character" || ':' || l.weapon else c."character" end as stat_id
+ from (select "character", code, count(*) as n from coded group by all) c left join single s using ("character") left join means m using (code) left join listed l on l."character" = c."character" and l.weapon = m.weapon"""),
+}

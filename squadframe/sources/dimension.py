@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.rules import CHOSEN, ESTIMATED, ROLE_FLAGS, Layer, doubles, flag
 from .adapter import table
 
+WEAPONS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 KEYS: Layer = {
     "b": "cast(substring(character, 7) as int)",
     "t": "case weapon when 'ECONOMY' then 0 when 'LARGE' then 1 when 'MEDIUM' then 2 when 'PROMO' then 3 when 'SMALL' then 4 else 5 end",
