@@ -17,31 +17,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL judged by the four rules; null URLs and those without `://` are allowed."""
     rules = spark.sql("select * from values " + ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in RULES) + " as t(host, path, action)")
     return url_filter.judge(_table(spark, sf_dir, "pages", "page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored whole; labels of three folds in four are learnt. Null and empty texts are scored like a text without windows."""
     return toxicity.classify(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of 150 % takes of every document; documents without words take part with none."""
     return mixing.taken_words(_table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null and empty texts have fingerprint zero and link like any other."""
     return simhash.near_groups(_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document, learnt on six folds in seven; null and empty texts have the end only."""
     return lm_score.score(_table(spark, sf_dir, "documents", "doc_id", "text", "lang"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page and its length; null or empty html gives an empty text."""
     return html_text.main_text(_table(spark, sf_dir, "pages", "page_id", "url", "html")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, decoded again; null counts as empty."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     coded = bpe.encode(_table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN)
     return bpe.decode(coded, path).select(
@@ -49,15 +56,18 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes; null texts weigh 8 bytes."""
     placed = sharding.shard(_table(spark, sf_dir, "documents", "doc_id", "text"), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document of each group of equal texts stays; null counts as empty."""
     return exact_dedup.duplicate_groups(_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector; unusable vectors link with nothing."""
     return embed_dedup.near_groups(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 

@@ -350,3 +350,25 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 100 and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "bpe"]
     assert out.where(F.octet_length("ids") != 4 * F.col("n_tokens")).count() == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp string, sum long, _id int"
+    r = random.Random(12)
+    long = words(r, 6000)
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, long, "en", "a", 1), (3, long, "en", "a", 1), (None, "x y z", "de", None, 5), (4, long + " end", "en", "b", 2), (5, words(r, 50), "en", "b", 3), (6, words(r, 50), "en", "b", 3)]
+    docs = spark.createDataFrame([(*x, "clash", 1, 2) for x in rows], schema)
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    ids = lambda df: sorted((x["doc_id"] is None, x["doc_id"]) for x in df.collect())
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        if name != "bpe":
+            assert got.columns == corpus_pipeline.COLUMNS
+        kept[name] = ids(got)
+    every = ids(docs)
+    assert kept["toxicity"] == every == kept["bpe"]
+    assert kept["exact_dedup"] == [(False, 1), (False, 3), (False, 4), (False, 5), (False, 6), (True, None)]
+    assert kept["near_dedup"] == [(False, 1), (False, 3), (False, 5), (False, 6), (True, None)]
+    assert {x for x in kept["mixing"]} <= {x for x in every if x[1] not in (1, 2)}
