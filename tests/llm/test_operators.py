@@ -372,3 +372,91 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     assert kept["exact_dedup"] == [(False, 1), (False, 3), (False, 4), (False, 5), (False, 6), (True, None)]
     assert kept["near_dedup"] == [(False, 1), (False, 3), (False, 5), (False, 6), (True, None)]
     assert {x for x in kept["mixing"]} <= {x for x in every if x[1] not in (1, 2)}
+
+
+def test_lm_score_against_brute_force(spark):
+    import zlib
+
+    r = random.Random(21)
+    pools = [words(r, 25).split() for _ in range(9)]
+    rows = [(i, " ".join(r.choice(pools[c]) if r.random() < 0.9 else words(r, 1) for _ in range(r.randrange(0, 30))), f"l{c}") for i in range(260) for c in [min(int(r.expovariate(0.4)), 8)]]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    got = {x["doc_id"]: x["score"] for x in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string, lang string"), path).collect()}
+
+    learnt = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 7 != 2]
+    sizes = Counter(x[2] for x in learnt)
+    top = [c for c, _ in sorted(sizes.items(), key=lambda x: (-x[1], x[0]))[: lm_score.CLASSES]]
+    assert len(sizes) > lm_score.CLASSES  # the rest is one class
+    of = lambda c: c if c in top else "rest"
+    by_class = {c: Counter() for c in [*top, "rest"]}
+    for _, t, c in learnt:
+        by_class[of(c)].update([*t.split(), ""])
+    every = sum(by_class.values(), Counter())
+    total = every.total()
+    weights = lm_score.read_pieces(path)
+    first, found = lm_score.Lattice(weights, sum(w for p, w in weights.items() if not p.startswith("▁")) / 3), Counter()
+    for w, n in every.items():
+        if w:
+            first.expected(w, n, found)
+    lattice = lm_score.Lattice({p: round(found.get(p, 0.0), 3) + lm_score.PSEUDO for p in weights}, total + lm_score.PSEUDO)
+    docs_in = Counter(of(x[2]) for x in learnt)
+    for i, t, _ in rows:
+        logs = []
+        for c, n in by_class.items():
+            new = min(0.5, (sum(x == 1 for x in n.values()) + 1) / (n.total() + 1))
+            at = math.log((docs_in[c] + 1) / (len(learnt) + len(by_class)))
+            for w in [*t.split(), ""]:
+                spelled = math.exp(lattice.log_probability(w)) if w else 0.0
+                at += math.log((1 - new) * n[w] / n.total() + new * (0.2 * every[w] / total + 0.8 * spelled))
+            logs.append(at)
+        most = max(logs)
+        assert got[i] == pytest.approx((most + math.log(sum(math.exp(x - most) for x in logs))) / math.log(10), rel=1e-6)
+
+
+def test_mixing_against_brute_force(spark, docs):
+    segments, chosen, sources = mixing.mix(docs, block=16)
+    times = Counter((x["k"], x["block"]) for x in chosen.collect())
+    assert {k for k, _ in times} <= set(range(len(sources))) and all(b < sources[k]["blocks"] for k, b in times)
+    assert [sum(n for (k, _), n in times.items() if k == i) for i in range(len(sources))] == [s["quota"] for s in sources]
+    rows = sorted({(x["k"], x["offset"], x["size"], x["doc_id"] or -1) for x in segments.collect() if x["size"]})
+    expected, at = Counter(), {}
+    for k, offset, size, doc in rows:  # the documents of a source lie one after the other
+        assert offset == at.get(k, 0)
+        at[k] = offset + size
+        expected[doc, size, sum(times[k, p // 16] for p in range(offset, offset + size))] += 1
+    assert [at.get(i, 0) for i in range(len(sources))] == [s["size"] for s in sources]
+    got = Counter((x["doc_id"] or -1, x["size"], x["taken"]) for x in mixing.taken_words(docs, block=16).collect() if x["size"])
+    assert got == expected
+    # what no order of rows changes: shares by the rule, one source after the other, until none is above its limit
+    size, weight = [s["size"] for s in sources], [s["weight"] for s in sources]
+    free, share = set(range(len(size))), [0.0] * len(size)
+    while free:
+        left = 1.5 * sum(size) - sum(share[i] for i in range(len(size)) if i not in free)
+        share = [left * weight[i] / sum(weight[j] for j in free) if i in free else share[i] for i in range(len(size))]
+        over = {i for i in free if share[i] > 2 * size[i]}
+        share = [2.0 * size[i] if i in over else share[i] for i in range(len(size))]
+        if not over:
+            break
+        free -= over
+    assert [s["target"] for s in sources] == pytest.approx(share)
+
+
+def test_html_text_against_brute_force_differencing(spark):
+    r = random.Random(31)
+    pages = []
+    for host in range(5):
+        menu = [f"menu {host} {k}" for k in range(8)]
+        for k in range(r.randrange(1, 9)):
+            lines = sorted(r.sample(range(8), r.randrange(0, 9)))
+            own = [menu[i] for i in lines]
+            for j in range(r.randrange(1, 4)):
+                own.insert(r.randrange(len(own) + 1), f"own {host} {k} {j}")
+            pages.append((f"http://h{host}/{k}", own))
+    html = lambda own: "".join(f"<div>{x}</div>" for x in own)
+    table = spark.createDataFrame([(i, u, html(own)) for i, (u, own) in enumerate(pages)], "page_id int, url string, html string")
+    got = {x["page_id"]: x["text"] for x in html_text.main_text(table).collect()}
+    for i, (u, own) in enumerate(pages):
+        near = [pages[j][1] for j in range(i - 2, i + 3) if j != i and 0 <= j < len(pages) and pages[j][0].rsplit("/", 1)[0] == u.rsplit("/", 1)[0]]
+        # shared lines stand in the same order on all pages of a host, so all of them are a common subsequence
+        gone = {x for x in own if near and sum(x in n for n in near) >= min(2, len(near))}
+        assert got[i] == "\n\n".join(x for x in own if x not in gone), (i, own, near)
