@@ -267,3 +267,14 @@ def decoded_html(text: Column) -> Column:
     plain = lambda p: F.regexp_extract(p, r"^&#(\d{1,5});", 1)
     one = lambda p: F.decode(F.unhex(F.lpad(F.hex(plain(p).cast("int")), 4, "0")), "UTF-16BE")
     return F.array_join(F.transform(parts, lambda p: F.when((plain(p) != "") & (plain(p).cast("int") < 55296), F.concat(one(p), F.regexp_replace(p, r"^&#\d{1,5};", ""))).otherwise(p)), "")
+
+
+def message(table: dict[str, dict[str, str]], lang: Column, key: Column, params: dict[str, Column], fallback: str = "en") -> Column:
+    """A message of a language, else of the fallback, else its key, with {name} replaced by the parameters."""
+    known = {f"{a}:{k}": text for a, texts in table.items() for k, text in texts.items()}
+    texts = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    at = lambda a: F.try_element_at(texts, F.concat(a, F.lit(":"), key))
+    out = F.coalesce(at(F.coalesce(lang, F.lit(""))), at(F.lit(fallback)), key)
+    for name, value in params.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out

@@ -42,8 +42,13 @@ def feedback_key_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vote_id", part(1).alias("tier"), part(2).alias("team_key"), part(3).alias("candidate_id"))
 
 
+#: Messages by language; French lacks one, and the third key has none at all.
+MESSAGES = {
+    "en": {"size": "{n} characters from {s}", "empty": "nothing from {s}"}, "de": {"size": "{n} Zeichen aus {s}", "empty": "nichts aus {s}"}, "fr": {"size": "{n} signes de {s}"},
+}
+
+
 def i18n_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A template filled in from the row: language, else English."""
-    d = table(spark, sf_dir, "documents")
-    template = F.when(F.col("lang") == "de", "{n} Zeichen aus {s}").when(F.col("lang") == "fr", "{n} signes de {s}").otherwise("{n} characters from {s}")
-    return d.select("doc_id", F.replace(F.replace(template, F.lit("{n}"), F.col("n_chars").cast("string")), F.lit("{s}"), F.col("source")).alias("label"))
+    """A message for each document in its language, else in English, else the message's key."""
+    key = F.when(F.col("doc_id") % 5 == 0, "empty").when(F.col("doc_id") % 7 == 0, "unknown.key").otherwise("size")
+    return table(spark, sf_dir, "documents").select("doc_id", X.message(MESSAGES, F.col("lang"), key, {"n": F.col("n_chars"), "s": F.col("source")}).alias("label"))

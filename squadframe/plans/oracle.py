@@ -169,7 +169,7 @@ general as (select candidate_id, sum(likes * case tier when 'all' then 0.65::dou
  select path, count(*) as n, count(x) as n_numeric, min(x) as least, max(x) as most from v group by path""",
     "payload_coalesce_project": "select event_id, coalesce((props->>'$.count')::double, (props->>'$.games')::double, (props->>'$.k')::double, value, 0) as amount from events",
     "union_combos": _q(_BASE, _CANDIDATE, _ROSTER, select="select id0, id1, id2, score from triple order by score desc, n0, n1, n2 limit 24"),
-    "union_combos_capped": _q(_BASE, _CANDIDATE, _ROSTER, select="select id0, id1, id2, score from (select *, row_number() over (order by n0, n1, n2) as k from triple) where k <= 500 order by score desc, n0, n1, n2 limit 24"),
+    "union_combos_capped": _q(_BASE, _CANDIDATE, _ROSTER, select="select id0, id1, id2, score, truncated from (select *, row_number() over (order by n0, n1, n2) as k, count(*) over () > 500 as truncated from triple) where k <= 500 order by score desc, n0, n1, n2 limit 24"),
     "full_team_beam": _q(_BASE, _CANDIDATE, _pairs("1.0::double"), "p as (select a, b, games, win_rate from pair_stats where bucket = 'all' and a <> b)", "side as (select * from p union all select b, a, games, win_rate from p)",
         "anchor as (select stat_id as x from candidate where bucket = 'all' order by games desc, stat_id limit 1)",
         "step1 as (select a as anchor, b as pick1, win_rate as s1 from side where a = (select x from anchor) order by win_rate desc, games desc, b limit 8)",
@@ -182,6 +182,13 @@ general as (select candidate_id, sum(likes * case tier when 'all' then 0.65::dou
  s1 as (select distinct b.u from s0 join e a using (u) join e b on a.g = b.g where b.u not in (select u from s0)),
  s2 as (select distinct b.u from s1 join e a using (u) join e b on a.g = b.g where b.u not in (select u from s0 union select u from s1))
  select u, 0 as depth from s0 union all select u, 1 from s1 union all select u, 2 from s2""",
+    "pair_stat_fallback": _q(_BASE, _CANDIDATE, _pairs("1.0::double"), """flat as (select a, b, split_part(a, ':', 1) as ca, split_part(b, ':', 1) as cb, games, win_rate from pair_stats where bucket = 'all'),
+leveled as (select a as x, b as y, games, win_rate from flat where games >= 3 union all select least(v, c), greatest(v, c), sum(games), sum(games * win_rate) / sum(games) from (select a as v, cb as c, games, win_rate from flat union all select b, ca, games, win_rate from flat where a <> b) group by v, c having sum(games) >= 20
+ union all select least(ca, cb), greatest(ca, cb), sum(games), sum(games * win_rate) / sum(games) from flat group by 1, 2),
+topped as (select stat_id as v, split_part(stat_id, ':', 1) as c from candidate where bucket = 'all' order by games desc, stat_id limit 40),
+wanted as (select p.v as a, q.v as b, unnest([1, 2, 3, 4]) as priority, unnest([p.v, p.v, p.c, p.c]) as i, unnest([q.v, q.c, q.v, q.c]) as j from topped p join topped q on p.v < q.v),
+met as (select w.a, w.b, w.priority, l.games, l.win_rate, row_number() over (partition by w.a, w.b order by w.priority) as k from wanted w join leveled l on l.x = least(w.i, w.j) and l.y = greatest(w.i, w.j))""",
+        select=f"select a, b, priority::int as priority, {_r('games', 2)} as games, {_r('win_rate', 4)} as win_rate from met where k = 1"),
     "seed_pool_rotation": _q(f"o as (select o_custkey as user_id, max(o_totalprice) as o_totalprice, count(*) % 2 as prior from orders group by 1)", f"t as (select *, {_TIER} as fine from o)", f"c as (select user_id, {_compact('fine')} as tier, prior from t)",
         select="select * from (select *, row_number() over (partition by tier order by prior, user_id)::int as nth from c) where nth <= 50"),
     "random_seed_sample": "select c_custkey from customer order by md5('7:' || c_custkey), c_custkey limit 100",
@@ -193,7 +200,8 @@ general as (select candidate_id, sum(likes * case tier when 'all' then 0.65::dou
     "html_escape": """select page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') as escaped from pages""",
     "initial_search": "select doc_id from documents where contains(lower(text), 'th')",
     "feedback_key_parse": _q(_VOTES, select="select vote_id, tier, team_key, candidate_id from vote"),
-    "i18n_render": """select doc_id, replace(replace(case lang when 'de' then '{n} Zeichen aus {s}' when 'fr' then '{n} signes de {s}' else '{n} characters from {s}' end, '{n}', n_chars::varchar), '{s}', source) as label from documents""",
+    "i18n_render": """select doc_id, replace(replace(case when doc_id % 5 = 0 then case lang when 'de' then 'nichts aus {s}' else 'nothing from {s}' end when doc_id % 7 = 0 then 'unknown.key'
+ else case lang when 'de' then '{n} Zeichen aus {s}' when 'fr' then '{n} signes de {s}' else '{n} characters from {s}' end end, '{n}', coalesce(n_chars::varchar, '')), '{s}', coalesce(source, '')) as label from documents""",
 }
 
 from .oracle_scores import SCORES_SQL  # noqa: E402  its relations build on those above

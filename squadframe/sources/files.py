@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import tempfile
 import unicodedata
 import uuid
@@ -115,6 +116,28 @@ def cache_name(key: str) -> str:
     return base64.urlsafe_b64encode(key.encode()).decode().rstrip("=") + ".json"
 
 
+def _id_in(value: object) -> str | None:
+    if isinstance(value, dict):
+        own = next((value[k] for k in ("userId", "user_id", "uid") if value.get(k) not in (None, "")), None)
+        if own:
+            return str(own)
+        value = list(value.values())
+    return next((x for x in map(_id_in, value) if x), None) if isinstance(value, list) else None
+
+
+@F.pandas_udf(StringType())
+def user_id_in(payloads: pd.Series) -> pd.Series:
+    """The first user id in a JSON text, an object's own before those inside it; null without one, and for no JSON."""
+
+    def one(text: str) -> str | None:
+        try:
+            return _id_in(json.loads(text))
+        except (ValueError, RecursionError):
+            return None
+
+    return payloads.map(one, na_action="ignore")
+
+
 @F.pandas_udf(StringType())
 def nfkc(names: pd.Series) -> pd.Series:
     """Compatibility forms of characters as their plain ones; Spark has no function for it."""
