@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, running_offsets, work_table
+from .common import BLANKS, BROADCAST_KEYS, WORD, running_offsets, work_table
 
 #: Words of a block, output shards, slots of a task's piece, and the seed of draws and permutations.
 BLOCK, SHARDS, PIECE, SEED = 64, 240, 1 << 16, 17
@@ -165,8 +165,8 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents (doc_id, text, lang, source, n_chars): one row for each pass that takes words of a row.
 
-    Where a pass takes all blocks of a document, its text is unchanged; else it is the words taken, in order, joined
-    by one space. n_chars is the new text's. Documents whose words are not drawn, or without words, have no row.
+    Where a pass takes all blocks of a document, its text is unchanged; else it is the words taken, in order, each with
+    the white space that follows it in the document (none at the end). n_chars is the new text's. Documents whose words are not drawn, or without words, have no row.
     Options as for mix(); docs needs the columns named.
     """
     segments, chosen, _ = mix(docs, **options)
@@ -177,9 +177,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         .select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("sum").alias("_of"), "spans", (F.col("words") == F.col("size")).alias("whole"))
     )
     # rows that repeat an id, a source and a text differ only in their place: one text serves them all
-    texts = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("_sum", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_sum"])
+    texts = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumn("_sum", F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_sum") == F.col("_of"))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["low"] + 1).cast("int"), (s["high"] - s["low"]).cast("int")))), " ")
+    repeated = work_table(
+        texts.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("_sum").alias("_of"))
+        .agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    if many := repeated.count():
+        hint = F.broadcast if many <= BROADCAST_KEYS else (lambda x: x)
+        again = texts.join(hint(repeated), same, "left_semi").dropDuplicates(["doc_id", "source", "_sum"])
+        texts = texts.join(hint(repeated), same, "left_anti").unionByName(again)
+    # each word with the white space behind it; the list is bound to w, so that it is made once and not for each span
+    words = F.array(F.regexp_extract_all("text", F.lit(f"{WORD}(?:{BLANKS})?"), F.lit(0)))
+    cut = lambda w: F.flatten(F.transform("spans", lambda s: F.slice(w, (s["low"] + 1).cast("int"), (s["high"] - s["low"]).cast("int"))))
+    part = F.rtrim(F.transform(words, lambda w: F.array_join(cut(w), ""))[0], F.lit(" \t\n\x0b\x0c\r"))
     text = F.when(F.col("whole"), F.col("text")).otherwise(part)
     return spans.join(texts, same).withColumn("text", text).select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))

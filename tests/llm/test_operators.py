@@ -441,6 +441,26 @@ def test_mixing_against_brute_force(spark, docs):
     assert [s["target"] for s in sources] == pytest.approx(share)
 
 
+def test_mixed_texts_keep_their_white_space(spark):
+    r = random.Random(41)
+    texts = {1: "  " + "".join(f"w{i}{r.choice([' ', chr(10), chr(9) * 2])}" for i in range(50_000))}
+    texts |= {i: " ".join(f"d{i}x{j}" for j in range(r.randrange(1, 300))) for i in range(2, 60)}
+    rows = [(i, t, "en", "a" if i == 1 else "b", 0) for i, t in texts.items()]
+    docs = spark.createDataFrame([*rows, rows[0], rows[7]], "doc_id long, text string, lang string, source string, n_chars long")
+    taken, got = Counter(), Counter()
+    for x in mixing.taken_words(docs).collect():
+        taken[x["doc_id"]] += x["taken"]
+    cut = {i: re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", t) for i, t in texts.items()}
+    place = {w.strip(): (i, k) for i, ws in cut.items() for k, w in enumerate(ws)}
+    for x in mixing.mixed_documents(docs).collect():
+        at = [place[w] for w in x["text"].split()]
+        assert at == sorted(set(at)) and {i for i, _ in at} == {x["doc_id"]}
+        whole = len(at) == len(cut[x["doc_id"]])
+        assert x["text"] == (texts[x["doc_id"]] if whole else "".join(cut[i][k] for i, k in at).rstrip()) and x["n_chars"] == len(x["text"])
+        got[x["doc_id"]] += len(at)
+    assert got == +taken
+
+
 def test_html_text_against_brute_force_differencing(spark):
     r = random.Random(31)
     pages = []
