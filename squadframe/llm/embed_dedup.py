@@ -166,13 +166,16 @@ def near_groups(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_
     """
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
-    rows = work_table(vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("usable", _usable()), "vectors")
+    # single-precision vectors travel as they are, with half the bytes; every calculation is in double precision
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    v = F.col(vector_col) if single else F.col(vector_col).cast("array<double>")
+    rows = work_table(vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), v.alias("v")).withColumn("usable", _usable()), "vectors")
     found = work_table(rows.where("usable").groupBy("label", "v").agg(F.count("*").alias("n"), F.min("vec_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "entries")
     found = found.withColumn("width", F.size("v"))
     indexes = {}
     for r in found.groupBy("width").count().collect():  # the lengths that occur
         sample = found.where(F.col("width") == r["width"]).select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).toPandas()["v"]
-        indexes[r["width"]] = Index(np.stack(sample), cells or int(np.clip(np.sqrt(r["count"]), 16, 1024)))
+        indexes[r["width"]] = Index(np.stack(sample).astype(float), cells or int(np.clip(np.sqrt(r["count"]), 16, 1024)))
     if not indexes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     placed = work_table(_place(found, indexes, probe), "placed")

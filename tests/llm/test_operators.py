@@ -327,6 +327,19 @@ def test_embed_dedup_of_vectors_of_several_widths(spark):
     assert embed_dedup.near_groups(spark.createDataFrame([], "vec_id long, embedding array<double>, label int, node int, cell int")).count() == 0
 
 
+def test_embed_dedup_of_single_precision(spark):
+    r = np.random.default_rng(4)
+    base = r.normal(size=(80, 12)).astype(np.float32)
+    x = np.vstack([base, base[:30] + r.normal(size=(30, 12)).astype(np.float32) * np.float32(0.15), base[:2]])
+    rows = [(i, [float(c) for c in v], i % 80 % 3) for i, v in enumerate(x)] + [(500, [float("inf")] * 12, 0), (501, [None] * 12, 0), (502, [], 1), (503, [0.0] * 12, 1), (504, None, 2)]
+    one, two = ({k["vec_id"]: tuple(k) for k in embed_dedup.near_groups(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")).collect()} for kind in ("float", "double"))
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    label = np.array([k[2] for k in rows[: len(x)]])
+    near = (u @ u.T >= 0.93) & (label[:, None] == label[None, :]) & ~np.eye(len(x), dtype=bool)
+    assert one == two and [one[i][1] for i in range(len(x))] == near.sum(axis=1).tolist()
+    assert all(one[i][1:] == (0, i, True) for i in range(500, 505))
+
+
 def test_toxicity_learns(spark):
     r = random.Random(8)
     bad = ["scoundrel", "blackguard", "nincompoop"]
