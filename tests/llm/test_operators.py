@@ -178,6 +178,29 @@ def test_keep_one_against_brute_force(spark, texts):
     assert simhash.keep_one(docs.limit(0)).count() == 0
 
 
+def test_similar_groups_in_a_mixed_family(spark):
+    r = random.Random(7)
+
+    def changed(t, n):
+        u = list(t)
+        for k in r.sample(range(len(u)), n):
+            u[k] = f"q{r.getrandbits(40)}"
+        return u
+
+    base, made, twins = [f"b{i}" for i in range(300)], [], []
+    for i in range(800):  # at a similarity of about 0.6 with each other, one in eight with a twin at 0.84 or more
+        made.append(changed(base, 8))
+        if i % 8 == 0:
+            twins.append((len(made) - 1, len(made)))
+            made.append(changed(made[-1], 5))
+    place = list(range(len(made)))
+    r.shuffle(place)
+    rows = [(place[i], " ".join(t)) for i, t in enumerate(made)]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[place[a]] == got[place[b]] for a, b in twins) >= 0.95 * len(twins)
+    assert len(set(got.values())) >= len(made) - len(twins)
+
+
 def test_components_of_a_chain(spark):
     got = common.components(spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long"), "a", "b")
     assert {r["node"]: r["root"] for r in got.collect()} == {i: 0 for i in range(61)} | {100: 100, 101: 100}
