@@ -182,6 +182,22 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def newest_rows(spark: SparkSession, path: str, schema: str, keys: list[str], at: str) -> DataFrame:
+    """The newest row of each key in a log that append_rows writes: what is stored after inserts and replacements. Equal
+    times are decided by the other columns, a null time is the oldest; a log that is not there holds nothing."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(path)
+    rest = [c for c in rows.columns if c not in keys]
+    newest = F.max_by(F.struct(*rest), F.struct(at, *[c for c in rest if c != at])).alias("newest")
+    return rows.groupBy(*keys).agg(newest).select(*keys, "newest.*").select(*rows.columns)
+
+
+def not_stored(wanted: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """The wanted rows whose key is not stored yet: what has to be fetched."""
+    return wanted.join(stored.select(*keys), keys, "left_anti")
+
+
 def write_breakdown(df: DataFrame, path: str, key: str) -> None:
     """Rows as JSON lines, and beside them the number of rows of each value of key."""
     write_json_lines(df, f"{path}/rows")

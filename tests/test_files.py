@@ -90,3 +90,14 @@ def test_user_id_in_json(spark):
     rows = ['{"a": [{"x": 1}, {"uid": 7}], "user_id": ""}', '{"b": {"uid": 5}, "userId": "u"}', "[[], [{\"user_id\": 3}]]", "{}", "broken", None, '{"uid": 0, "c": {"uid": 4}}']
     got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "p string").select(files.user_id_in("p")).collect()]
     assert got == ["7", "u", "3", None, None, None, "4"]
+
+
+def test_stored_answers(spark, tmp_path):
+    at, schema = str(tmp_path / "answers"), "cache_key string, fetched_at long, payload string"
+    read = lambda: files.newest_rows(spark, at, schema, ["cache_key"], "fetched_at")
+    assert read().count() == 0
+    files.append_rows(spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("c", None, "z")], schema), at)
+    files.append_rows(spark.createDataFrame([("a", 5, "new"), ("b", 2, "yy"), ("b", 1, "old"), ("c", 0, "w"), (None, 3, "n")], schema), at)
+    assert {tuple(r) for r in read().collect()} == {("a", 5, "new"), ("b", 2, "yy"), ("c", 0, "w"), (None, 3, "n")}
+    wanted = spark.createDataFrame([("a",), ("q",)], "cache_key string")
+    assert [r[0] for r in files.not_stored(wanted, read(), ["cache_key"]).collect()] == ["q"]
