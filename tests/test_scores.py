@@ -62,7 +62,8 @@ def test_scores_by_hand(scores):
     assert r["composition_guide"] == 0.0
 
     r = scores["tank+shot", "mage"]
-    assert r["back_damage_score"] == pytest.approx(-1.0) and r["kill_pressure"] == 0.45 and r["role_balance"] == 0.35
+    # the tank deals skill damage too, so a second skill dealer adds nothing
+    assert r["back_damage_score"] == pytest.approx(-1.0) and r["kill_pressure"] == 0.0 and r["role_balance"] == 0.35
     r = scores["tank+brawl", "blade"]
     # second melee dealer with a tank and nobody behind: tank engages (.85), first engager with a delayed one (.25), two divers without a helper
     assert r["composition_guide"] == pytest.approx(0.85 + 0.25)
