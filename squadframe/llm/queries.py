@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, exact_dedup, html_text, lm_score, mixing, sharding, simhash, toxicity, url_filter
+from . import bpe, embed_dedup, exact_dedup, html_text, lm_score, merkle, mixing, sharding, simhash, token_files, toxicity, url_filter, whitening
+from .common import crc_remainder
 
 #: The rules of op1: host, path, action.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -71,7 +72,30 @@ def op10_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_groups(_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_mixing, op4_simhash, op5_lm_score, op6_html_text, op7_bpe, op8_sharding, op9_exact_dedup, op10_embed_dedup)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four whitened coordinates of every usable vector; a deviation beyond a long is null."""
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), 4)
+    fits = F.col("deviation") <= F.lit((1 << 63) - 1)
+    return found.withColumn("deviation", F.when(fits, F.col("deviation").cast("long")))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as it is read back from the files: where it starts, its number of ids and their checksum; null and empty texts have the end id."""
+    to = token_files.new_folder(spark)
+    token_files.write_files(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), to)
+    return token_files.documents(token_files.read_files(spark, to))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots and proof; one in seven (by checksum of the id) is tampered with before it is verified. Null ids never are."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    chosen = F.col("doc_id").isNotNull() & (crc_remainder(F.col("doc_id"), 7) == 0)
+    other = {"n_chars": F.when(chosen, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    found = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", other)
+    return merkle.verified(found).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_mixing, op4_simhash, op5_lm_score, op6_html_text, op7_bpe, op8_sharding, op9_exact_dedup, op10_embed_dedup, op11_whitening, op12_token_files, op13_merkle)}
 
 SQL = {
     "op1_url_filter": """
