@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions.rules import SNAPSHOT_TIER, doubles
 from ..sources.adapter import squads
-from .stats import official_candidate_stats
+from .stats import exact, official_candidate_stats, weighted_mean
 
 R = X.round_half_up
 #: Reference teams of the tournament scores: the most frequent ones.
@@ -38,7 +38,7 @@ def one_trick_ratios(rows: DataFrame) -> DataFrame:
 def _summary(rows: DataFrame, *keys: str) -> DataFrame:
     games = F.count("*")
     return rows.groupBy(*keys).agg(
-        games.alias("games"), R(F.avg("rank"), 2).alias("avg_placement"), R(F.count_if(F.col("rank") == 1) / games, 3).alias("win_rate"), R(F.count_if(F.col("rank") <= 3) / games, 3).alias("top3_rate"), R(F.sum("trick") / games, 3).alias("one_trick"))
+        games.alias("games"), R(F.avg("rank"), 2).alias("avg_placement"), R(F.count_if(F.col("rank") == 1) / games, 3).alias("win_rate"), R(F.count_if(F.col("rank") <= 3) / games, 3).alias("top3_rate"), R(F.sum(F.expr(exact("trick"))).cast("double") / games, 3).alias("one_trick"))
 
 
 def _with_trick(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def snapshot(stats: DataFrame) -> DataFrame:
     rows = stats.withColumn("character", F.split_part("stat_id", F.lit(":"), F.lit(1))).withColumn("letter", F.expr(doubles(SNAPSHOT_TIER)))
     names = F.create_map(*[F.lit(x) for kv in SNAPSHOTS.items() for x in kv])
     rows = rows.withColumn("bucket", names[F.col("bucket")]).where("bucket is not null")
-    mean = lambda c, digits: R(F.sum(F.col(c) * F.col("games")) / F.sum("games"), digits)
+    mean = lambda c, digits: R(weighted_mean(c), digits)
     known = rows.groupBy("bucket", "character").agg(
         F.sum("games").alias("games"), mean("avg_placement", 2).alias("avg_placement"), mean("win_rate", 3).alias("win_rate"), mean("top3_rate", 3).alias("top3_rate"), F.min_by("letter", F.struct(-F.col("games"), "stat_id")).alias("tier_label"))
     targets = F.create_map(*[x for b in SNAPSHOTS.values() for x in (F.lit(b), F.array(F.lit(b), *[F.lit(k) for k, v in REPEATED.items() if v == b]))])

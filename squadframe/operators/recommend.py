@@ -14,7 +14,7 @@ from ..functions import rules as K
 from ..sources.files import written
 from ..sources.dimension import layered, profiles, synergy_pairs
 from .ranker import first_variants, ranker_candidate_stats, ranker_composition_stats, snapshot, tournament_references
-from .stats import official_candidate_stats, official_combat_stats, official_pair_stats
+from .stats import SUMS, WEIGHT, finalized, official_candidate_stats, official_combat_stats, official_pair_stats, pair_statistics, resolved_rows, rolled_up, weighted_mean
 from .votes import vote_summary
 
 #: Tiers that the selections ask for in turn; the last one is no tier and means `all`.
@@ -94,17 +94,33 @@ def synergy_scores(picked: DataFrame, pairs: DataFrame) -> DataFrame:
     return picked.select("sel", F.col("character").alias("a")).join(pairs, "a").groupBy("sel", F.col("b").alias("character")).agg(F.sum("score").alias("pair_sum"), F.count("*").alias("pairs"))
 
 
-def with_fallback(stats: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Every member's row in each of the buckets, as a whole from `all` where the bucket has none."""
-    every = stats.where("bucket = 'all'").drop("bucket").select("stat_id", F.struct("*").alias("general"))
-    own = stats.select("bucket", "stat_id", F.struct(*[c for c in stats.columns if c != "bucket"]).alias("own"))
-    return every.join(F.broadcast(buckets)).join(own, ["bucket", "stat_id"], "left").select("bucket", F.coalesce("own", F.col("general").cast(own.schema["own"].dataType)).alias("x")).select("bucket", "x.*")
+def known_stats(stats: DataFrame, members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(bucket, variant, level) with the whole row of the first statistics that there are: the variant's in the bucket,
+    the character's there, the variant's in `all`, the character's there (levels 1 to 4).
+
+    members has variant and character, buckets are a handful. Each member asks for four keys, so the statistics are read
+    by one join on (bucket, id), whatever ids they hold.
+    """
+    ways = [("bucket", "variant"), ("bucket", "character"), (F.lit("all"), "variant"), (F.lit("all"), "character")]
+    keys = F.array(*[F.struct(F.lit(k + 1).alias("level"), (F.col(b) if isinstance(b, str) else b).alias("of"), F.col(i).alias("stat_id")) for k, (b, i) in enumerate(ways)])
+    asked = members.select("variant", "character").distinct().join(F.broadcast(buckets.select("bucket").distinct())).select("bucket", "variant", F.inline(keys))
+    values = [c for c in stats.columns if c not in ("bucket", "stat_id")]
+    met = asked.join(stats.withColumnRenamed("bucket", "of"), ["of", "stat_id"])
+    return met.groupBy("bucket", "variant").agg(F.min_by(F.struct("level", *values), "level").alias("x")).select("bucket", "variant", "x.*")
+
+
+def known_in(stats: DataFrame, members: DataFrame) -> DataFrame:
+    """(bucket, variant) with the variant's row in each bucket that has one, else the character's there."""
+    own = stats.withColumnRenamed("stat_id", "variant").withColumn("level", F.lit(1))
+    general = stats.withColumnRenamed("stat_id", "character").join(members.select("variant", "character").distinct(), "character").drop("character").withColumn("level", F.lit(2))
+    values = [c for c in stats.columns if c not in ("bucket", "stat_id")]
+    return own.unionByName(general).groupBy("bucket", "variant").agg(F.min_by(F.struct(*values), "level").alias("x")).select("bucket", "variant", "x.*")
 
 
 def group_averages(stats: DataFrame, groups: DataFrame, group: str, means: list[str], support: int) -> DataFrame:
     """Games-weighted means (q_...) by bucket and group of members; the whole bucket's for groups under the support."""
     rows = stats.where("games > 0").join(groups, "stat_id")
-    mean = [(F.sum(F.coalesce(c, F.lit(4.5 if c == "avg_placement" else 0.0)) * F.col("games")) / F.sum("games")).alias(f"q_{c}") for c in means]
+    mean = [weighted_mean(f"coalesce({c}, {'4.5D' if c == 'avg_placement' else '0D'})").alias(f"q_{c}") for c in means]
     own = rows.groupBy("bucket", group).agg(F.count("*").alias("n"), F.struct(*mean).alias("own"))
     whole = rows.groupBy("bucket").agg(F.struct(*mean).alias("whole"))
     return own.join(F.broadcast(whole), "bucket").select("bucket", group, F.when(F.col("n") >= support, F.col("own")).otherwise(F.col("whole")).alias("x")).select("bucket", group, "x.*")
@@ -117,11 +133,11 @@ def _renamed(df: DataFrame, **names: str) -> DataFrame:
 def member_values(spark: SparkSession, sf_dir: str, rows: DataFrame, stats: DataFrame, combat: DataFrame, tiers: DataFrame) -> DataFrame:
     """(tier, bucket, variant) with the scores that need no team: official, snapshot, measured and combined ones."""
     buckets = tiers.select("bucket").distinct()
-    base = tiers.join(with_fallback(stats, buckets), "bucket").withColumnRenamed("stat_id", "variant")
+    base = tiers.join(known_stats(stats, rows, buckets).drop("level"), "bucket")
     base = tiers.join(F.broadcast(rows.select("variant", "character", "front", "rt_group", "rt_damage", "rt_games", "rt_win", "rt_top3", "rt_rank", "rt_kills", "rt_tier", "rt_reference"))).join(base.drop("tier").distinct(), ["bucket", "variant"], "left")
     averages = group_averages(stats, rows.select(F.col("variant").alias("stat_id"), "rt_group"), "rt_group", _MEANS, SUPPORT)
-    mean = stats.groupBy("bucket").agg((F.sum(F.col("games") * F.col("win_rate")) / F.sum("games")).alias("mean_rate"))
-    fought = _renamed(combat, bucket="bucket", variant="stat_id", c_games="games", c_damage="avg_damage", avg_kills="avg_kills", avg_assists="avg_assists", avg_team_kills="avg_team_kills")
+    mean = stats.groupBy("bucket").agg(weighted_mean("win_rate").alias("mean_rate"))
+    fought = _renamed(known_in(combat, rows), bucket="bucket", variant="variant", c_games="games", c_damage="avg_damage", avg_kills="avg_kills", avg_assists="avg_assists", avg_team_kills="avg_team_kills")
     rank = _renamed(ranker_candidate_stats(spark, sf_dir), character="candidate", k_games="games", k_placement="avg_placement", k_top3="top3_rate", k_win="win_rate", k_trick="one_trick")
     snap = written(snapshot(stats), "snapshot")
     labels, played = snap.select("bucket", "character", "tier_label"), _renamed(snap, bucket="bucket", character="character", p_games="games", p_placement="avg_placement", p_top3="top3_rate", p_win="win_rate")
@@ -136,15 +152,23 @@ def member_values(spark: SparkSession, sf_dir: str, rows: DataFrame, stats: Data
     return layered(both, K.OFFICIAL, K.META, K.COMBINED)
 
 
-def pair_synergies(picked: DataFrame, stats: DataFrame, pairs: DataFrame, alpha: float = 80.0) -> DataFrame:
-    """(sel, variant, pair_above): by how much the pairs with the selected are above what both members let expect."""
-    buckets = picked.select("bucket").distinct()
-    mean = F.broadcast(stats.groupBy("bucket").agg((F.sum(F.col("games") * F.col("win_rate")) / F.sum("games")).alias("mean_rate")))  # a handful of buckets
-    rated = with_fallback(stats, buckets).join(mean, "bucket").select("bucket", "stat_id", "mean_rate", ((F.col("win_rate") * F.col("games") + alpha * F.col("mean_rate")) / (F.col("games") + alpha)).alias("rate"))
-    sides = pairs.select("bucket", F.col("a").alias("mate"), F.col("b").alias("variant"), "games", "win_rate").unionByName(pairs.where("a <> b").select("bucket", F.col("b").alias("mate"), F.col("a").alias("variant"), "games", "win_rate"))
-    met = sides.join(picked.select("sel", "bucket", F.col("variant").alias("mate")), ["bucket", "mate"])
+def pair_synergies(picked: DataFrame, members: DataFrame, stats: DataFrame, pairs: DataFrame, alpha: float = 80.0) -> DataFrame:
+    """(sel, variant, pair_above): by how much the pairs with the selected are above what both members let expect.
+
+    Of a candidate and a selected member the first pair counts that has statistics: both variants, the candidate's
+    variant and the other's character, the other way round, both characters. Pairs that were never played add nothing.
+    """
+    mean = F.broadcast(stats.groupBy("bucket").agg(weighted_mean("win_rate").alias("mean_rate")))  # a handful of buckets
+    members = members.select("variant", "character").distinct()
+    rated = known_stats(stats, members, picked).join(mean, "bucket").select("bucket", "variant", ((F.col("win_rate") * F.col("games") + alpha * F.col("mean_rate")) / (F.col("games") + alpha)).alias("rate"))
+    ids = lambda level: F.inline(F.array(F.struct(F.lit(0).alias(level), F.col("variant").alias("id")), F.struct(F.lit(1).alias(level), F.col("character").alias("id"))))
+    mates = picked.select("sel", "bucket", F.col("variant").alias("mate"), ids("of_mate")).withColumnRenamed("id", "x")
+    others = members.select("variant", ids("of_other")).withColumnRenamed("id", "y")
+    sides = pairs.select("bucket", F.col("a").alias("x"), F.col("b").alias("y"), "games", "win_rate").unionByName(pairs.where("a <> b").select("bucket", F.col("b").alias("x"), F.col("a").alias("y"), "games", "win_rate"))
+    met = sides.join(mates, ["bucket", "x"]).join(others, "y")
+    met = met.groupBy("sel", "bucket", "mate", "variant").agg(F.min_by(F.struct("games", "win_rate"), F.col("of_other") * 2 + F.col("of_mate")).alias("p")).select("sel", "bucket", "mate", "variant", "p.*")
     for side in ("mate", "variant"):
-        met = met.join(rated.select("bucket", F.col("stat_id").alias(side), F.col("rate").alias(f"rate_{side}")), ["bucket", side], "left")
+        met = met.join(rated.select("bucket", F.col("variant").alias(side), F.col("rate").alias(f"rate_{side}")), ["bucket", side], "left")
     met = met.join(mean, "bucket")
     expected = (F.coalesce("rate_mate", "mean_rate") + F.coalesce("rate_variant", "mean_rate")) * 0.5
     above = (F.col("games") * F.col("win_rate") + alpha * expected) / (F.col("games") + alpha) - expected
@@ -242,7 +266,7 @@ def evaluated(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None,
     all_of = (
         every.join(synergy_scores(picked, synergy_pairs(spark, sf_dir)), ["sel", "character"], "left").join(ranker_compositions(picked, ranker_composition_stats(spark, sf_dir)), ["sel", "character"], "left")
         .join(tournament_compositions_score(picked, refs), ["sel", "character"], "left").join(tournament_archetypes(every, rows, refs), ["sel", "variant"], "left")
-        .join(values.select("tier", "bucket", "variant", *own), ["tier", "bucket", "variant"], "left").join(pair_synergies(picked, stats, official_pair_stats(spark, sf_dir)), ["sel", "variant"], "left")
+        .join(values.select("tier", "bucket", "variant", *own), ["tier", "bucket", "variant"], "left").join(pair_synergies(picked, rows, stats, official_pair_stats(spark, sf_dir)), ["sel", "variant"], "left")
         .join(relationships(picked, votes), ["sel", "character"], "left").join(feedbacks(asked, picked, votes), ["sel", "character"], "left")
     ).na.fill(0.0, ["pair_sum", "pairs", "ranker_composition", "tournament_composition", "tournament_archetype", "pair_above", "relationship", "feedback"])
     return layered(all_of, {
@@ -299,6 +323,28 @@ def official_meta_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(member_values(spark, sf_dir, rows, stats, combat, tiers), ["tier", "bucket", "variant"], [*K.OFFICIAL, "legacy_meta", "official_match", "meta"])
 
 
+def official_fallback_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every member's power in every bucket, and its synergy with the bucket's two most played ids as a team, out of
+    statistics that count some players by variant and some by character only. level says which row was the first that
+    there is; members without any are missing."""
+    found = written(resolved_rows(spark, sf_dir), "resolved")
+    stats = written(finalized(rolled_up(found, ["stat_id"], SUMS), ["stat_id"], 5), "stats")
+    teams_of = found.groupBy("team_key", "bucket", "rank").agg(F.collect_list("stat_id").alias("m")).withColumn("w", F.lit(1).cast(WEIGHT))
+    pairs = pair_statistics(teams_of.select("bucket", "rank", "w", "m"))
+    members = profiles(spark, sf_dir).select("variant", "character")
+    top = Window.partitionBy("bucket").orderBy(F.desc("games"), "stat_id")
+    best = stats.select("bucket", "stat_id", F.row_number().over(top).alias("k")).where("k <= 2")
+    # an id that is a character stands for its first variant
+    first = members.groupBy("character").agg(F.min("variant").alias("first"))
+    chosen = best.join(first, best["stat_id"] == first["character"], "left").select("bucket", F.coalesce("first", "stat_id").alias("variant"))
+    picked = chosen.join(members, "variant").select(F.col("bucket").alias("sel"), "bucket", "variant", "character")
+    mean = F.broadcast(stats.groupBy("bucket").agg(weighted_mean("win_rate").alias("mean_rate")))  # a handful of buckets
+    rows = known_stats(stats, members, stats).join(mean, "bucket").join(pair_synergies(picked, members, stats, pairs).withColumnRenamed("sel", "bucket"), ["bucket", "variant"], "left")
+    power = F.expr(K.doubles(K.OFFICIAL["power"]))
+    synergy = X.clamp(F.coalesce("pair_above", F.lit(0.0)) / 2 * 5, -1.0, 1.2)
+    return rows.select("bucket", "variant", "level", "games", X.round_half_up(power, 4).alias("power"), X.round_half_up(synergy, 4).alias("synergy"))
+
+
 def group_average_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = written(official_candidate_stats(spark, sf_dir), "stats")
     groups = profiles(spark, sf_dir).select(F.col("variant").alias("stat_id"), "rt_group")

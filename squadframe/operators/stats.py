@@ -12,10 +12,24 @@ from ..sources.dimension import KEYS, WEAPONS, layered
 R = X.round_half_up
 
 
+#: Weights fall to 1e-21 in seven years, so they and what they weigh keep many digits.
+WEIGHT = "decimal(38, 24)"
+
+
+def exact(e: str) -> str:
+    """The value with six digits as a decimal: sums of it don't depend on the order of the rows, those of doubles do."""
+    return f"cast({e} as decimal(18, 6))"
+
+
+def weighted_mean(c: str, weight: str = "games") -> Column:
+    """Mean of c by weight, over exact sums."""
+    return F.sum(F.expr(exact(f"{c} * {weight}"))).cast("double") / F.sum(weight)
+
+
 #: Sums behind the statistics of a member, over the columns of member_rows.
 SUMS = {
     "games": "1", "placement": "case when rank > 0 then rank end", "placed": "case when rank > 0 then 1 else 0 end", "wins": "case when rank = 1 then 1 else 0 end", "top3": "case when rank between 1 and 3 then 1 else 0 end",
-    **{c: c for c in ("damage", "basic", "skill", "item_skill", "direct", "unique_skill", "damage_from", "from_basic", "from_skill", "cc_time", "cc_count")},
+    **{c: exact(c) for c in ("damage", "basic", "skill", "item_skill", "direct", "unique_skill", "damage_from", "from_basic", "from_skill", "cc_time", "cc_count")},
 }
 
 
@@ -28,11 +42,12 @@ def rolled_up(rows: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFra
 def finalized(sums: DataFrame, keys: list[str], min_games: int) -> DataFrame:
     """Averages, rates and shares of the sums, from min_games on."""
     games = F.col("games")
-    mean = lambda c, digits=0: R(F.col(c) / games, digits)
+    total = lambda c: F.col(c).cast("double")
+    mean = lambda c, digits=0: R(total(c) / games, digits)
     return sums.where(games >= min_games).select(
         "bucket", *keys, "games", R(X.ratio(F.col("placement"), F.col("placed")), 2).alias("avg_placement"), mean("wins", 3).alias("win_rate"), mean("top3", 3).alias("top3_rate"),
         *[mean(c).alias(f"avg_{c}") for c in ("damage", "basic", "skill", "item_skill", "direct", "unique_skill", "damage_from", "from_basic", "from_skill")],
-        *[R(X.ratio(F.col(c), F.col("damage")), 3).alias(f"{c}_share") for c in ("basic", "skill", "item_skill")], mean("cc_time", 2).alias("avg_cc_time"), mean("cc_count", 2).alias("avg_cc_count"))
+        *[R(X.ratio(total(c), total("damage")), 3).alias(f"{c}_share") for c in ("basic", "skill", "item_skill")], mean("cc_time", 2).alias("avg_cc_time"), mean("cc_count", 2).alias("avg_cc_count"))
 
 
 def member_rows(spark: SparkSession, sf_dir: str, member: str = "variant") -> DataFrame:
@@ -75,18 +90,23 @@ def official_composition_stats(spark: SparkSession, sf_dir: str, min_games: int
 
 
 def _weighted(df: DataFrame) -> DataFrame:
-    """Weight by age against a fixed date, not the clock."""
-    return df.withColumn("w", X.recency_weight(F.col("collected_at"), F.lit("1998-12-01").cast("timestamp_ntz")))
+    """Weight by age against a fixed date, not the clock; a decimal, so that sums are exact."""
+    return df.withColumn("w", X.recency_weight(F.col("collected_at"), F.lit("1998-12-01").cast("timestamp_ntz")).cast(WEIGHT))
+
+
+def pair_statistics(teams_of: DataFrame, min_games: float = 0.0) -> DataFrame:
+    """(bucket, a, b) with games and rates out of (bucket, rank, w, m): unordered pairs of a team's members by position,
+    so a repeated member makes a pair with itself; no self-join."""
+    pairs = teams_of.select("bucket", "rank", "w", F.explode(F.flatten(F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))))).alias("p"))
+    out = rolled_up(pairs.select("bucket", "rank", "w", "p.a", "p.b"), ["a", "b"], {"g": "w", "wins": "case when rank = 1 then w else 0 end", "t3": "case when rank <= 3 then w else 0 end"})
+    g, wins, t3 = [F.col(c).cast("double") for c in ("g", "wins", "t3")]
+    return out.where(g > min_games).select("bucket", "a", "b", R(g, 2).alias("games"), R(wins / g, 3).alias("win_rate"), R(t3 / g, 3).alias("top3_rate"))
 
 
 def official_pair_stats(spark: SparkSession, sf_dir: str, min_games: float = 0.0, weighted: bool = False) -> DataFrame:
-    """Unordered pairs of players by position, so a repeated member makes a pair with itself; no self-join."""
     squad = squads(spark, sf_dir)
-    squad = _weighted(squad) if weighted else squad.withColumn("w", F.lit(1.0))
-    ids = squad.select("bucket", "rank", "w", F.transform("players", lambda p: p["variant"]).alias("m"))
-    pairs = ids.select("bucket", "rank", "w", F.explode(F.flatten(F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))))).alias("p"))
-    out = rolled_up(pairs.select("bucket", "rank", "w", "p.a", "p.b"), ["a", "b"], {"g": "w", "wins": "case when rank = 1 then w else 0 end", "t3": "case when rank <= 3 then w else 0 end"})
-    return out.where(F.col("g") > min_games).select("bucket", "a", "b", R(F.col("g"), 2).alias("games"), R(F.col("wins") / F.col("g"), 3).alias("win_rate"), R(F.col("t3") / F.col("g"), 3).alias("top3_rate"))
+    squad = _weighted(squad) if weighted else squad.withColumn("w", F.lit(1).cast(WEIGHT))
+    return pair_statistics(squad.select("bucket", "rank", "w", F.transform("players", lambda p: p["variant"]).alias("m")), min_games)
 
 
 def recency_weighted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,9 +116,9 @@ def recency_weighted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def official_combat_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _weighted(member_rows(spark, sf_dir)).withColumnRenamed("variant", "stat_id")
     measures = ("kills", "assists", "team_kills", "damage", "cc_time")
-    sums = rolled_up(rows, ["stat_id"], {"w": "w", **{c: f"w * {c}" for c in measures}})
-    digits = {"damage": 0}
-    return sums.select("bucket", "stat_id", R(F.col("w"), 2).alias("games"), *[R(F.col(c) / F.col("w"), digits.get(c, 2)).alias(f"avg_{c}") for c in measures])
+    sums = rolled_up(rows, ["stat_id"], {"w": "w", **{c: f"cast(cast(w as double) * {c} as {WEIGHT})" for c in measures}})
+    digits, w = {"damage": 0}, F.col("w").cast("double")
+    return sums.select("bucket", "stat_id", R(w, 2).alias("games"), *[R(F.col(c).cast("double") / w, digits.get(c, 2)).alias(f"avg_{c}") for c in measures])
 
 
 def drop_reason_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +165,7 @@ def tournament_compositions(spark: SparkSession, sf_dir: str, n: int = 20) -> Da
 def ml_team_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One feature row per valid team."""
     p = "players"
-    total = lambda c: F.aggregate(p, F.lit(0.0), lambda s, x: s + x[c])
+    total = lambda c: F.aggregate(p, F.lit(0).cast("decimal(38, 6)"), lambda s, x: (s + x[c].cast("decimal(18, 6)")).cast("decimal(38, 6)")).cast("double")
     return squads(spark, sf_dir).select(
         "team_key", "bucket", "rank", F.size(p).alias("n_players"), F.size(F.array_distinct(F.transform(p, lambda x: x["weapon"]))).alias("n_weapons"), F.size(F.array_distinct(F.transform(p, lambda x: x["character"]))).alias("n_characters"),
         R(total("damage"), 2).alias("damage"), R(total("cc_time"), 2).alias("cc_time"), F.aggregate(p, F.lit(0), lambda s, x: s + x["kills"]).alias("kills"))
@@ -153,7 +173,7 @@ def ml_team_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def global_win_rate(stats: DataFrame) -> DataFrame:
     """Games-weighted mean win rate of each bucket."""
-    return stats.groupBy("bucket").agg((F.sum(F.col("games") * F.col("win_rate")) / F.sum("games")).alias("mean_rate"))
+    return stats.groupBy("bucket").agg(weighted_mean("win_rate").alias("mean_rate"))
 
 
 def character_power(stats: DataFrame, alpha: float = 100.0) -> DataFrame:
@@ -259,6 +279,12 @@ def stat_id_by_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("character", "code", "rows", F.when(F.col("only").isNotNull(), variant("only")).when(F.col("there"), variant("weapon")).otherwise(F.col("character")).alias("stat_id"))
 
 
+def resolved_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """member_rows with the id under which each player counts: a variant, or the character where none is known."""
+    ids = stat_id_by_code(spark, sf_dir).select("character", F.col("code").alias("core"), "stat_id")
+    return member_rows(spark, sf_dir).join(ids, ["character", "core"])
+
+
 def tier_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fine tier by MMR, compact tier, and the title override by rank."""
     t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 30).alias("mmr"), (F.col("o_custkey") % 1500).alias("rank"))

@@ -13,7 +13,7 @@ QUERIES = {
         votes.vote_upsert_hourly, votes.vote_summary, votes.vote_duplicates, votes.vote_ttl_purge, votes.vote_window_counts, votes.popular_feedback_overall, votes.popular_feedback_recent, votes.character_feedback, votes.relationship_score, votes.feedback_score,
         search.union_combos, search.union_combos_capped, search.full_team_beam, search.pair_stat_fallback, search.union_combos_scored, search.full_team_recommend, search.nearest_template, search.graph_expand_depth2, search.seed_pool_rotation, search.random_seed_sample,
         ranker.ranker_candidate_stats, ranker.ranker_composition_stats, ranker.tier_snapshot_argmax,
-        recommend.member_predicates, recommend.team_shape, recommend.team_metric_profile, recommend.score_rules, recommend.score_references, recommend.official_meta_score, recommend.group_average_fallback, recommend.tier_alias_fallback, recommend.damage_reference, recommend.recommend_topk,
+        recommend.member_predicates, recommend.team_shape, recommend.team_metric_profile, recommend.score_rules, recommend.score_references, recommend.official_meta_score, recommend.official_fallback_scores, recommend.group_average_fallback, recommend.tier_alias_fallback, recommend.damage_reference, recommend.recommend_topk,
         dashboard.character_ranking, dashboard.character_rank_tiers, dashboard.combined_composition_ranking, dashboard.ranker_composition_ranking, dashboard.official_composition_score,
         cleaning.scalar_rules, cleaning.korean_search, cleaning.member_filter, cleaning.feedback_validity, cleaning.ml_manifest, cleaning.roster_normalize, cleaning.name_override_join, cleaning.trait_name_from_order, cleaning.tournament_payload, cleaning.tier_breakdown,
         cleaning.vote_upsert_daily, cleaning.recovered_votes, cleaning.feedback_union, cleaning.tag_sets, cleaning.unmapped_code_order, cleaning.id_range_scan, cleaning.html_metrics, cleaning.reason_labels, cleaning.preset_names, cleaning.source_scan, cleaning.team_reasons, cleaning.detected_team,

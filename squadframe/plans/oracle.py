@@ -19,6 +19,11 @@ def _r(x: str, digits: int = 0) -> str:
     return f"floor(({x}) * {k} + 0.5) / {k}"
 
 
+def _x(x: str) -> str:
+    """An exact sum: of decimals with six digits."""
+    return f"sum(({x})::decimal(18, 6))::double"
+
+
 _MORE = ", ".join(f"{e} as {c}" for c, e in MORE_MEASURES.items())
 _BASE = f"""
 tiers as (select *, {_TIER} as fine from orders),
@@ -35,21 +40,21 @@ fan as (select *, unnest(['all', own]) as bucket from row_of)"""
 
 
 def _results(member: str, having: int) -> str:
-    means = ", ".join(f"{_r(f'sum({c}) / count(*)')} as avg_{c}" for c in ("damage", "basic", "skill", "item_skill", "direct", "unique_skill", "damage_from", "from_basic", "from_skill"))
-    parts = ", ".join(f"{_r(f'sum({c}) / nullif(sum(damage), 0)', 3)} as {c}_share" for c in ("basic", "skill", "item_skill"))
+    means = ", ".join(f"{_r(f'{_x(c)} / count(*)')} as avg_{c}" for c in ("damage", "basic", "skill", "item_skill", "direct", "unique_skill", "damage_from", "from_basic", "from_skill"))
+    parts = ", ".join(f"{_r(f"{_x(c)} / nullif({_x('damage')}, 0)", 3)} as {c}_share" for c in ("basic", "skill", "item_skill"))
     return f"""count(*) as games, {_r('avg(rank)', 2)} as avg_placement, {_r('count(*) filter (rank = 1) / count(*)', 3)} as win_rate, {_r('count(*) filter (rank <= 3) / count(*)', 3)} as top3_rate,
- {means}, {parts}, {_r('sum(cc_time) / count(*)', 2)} as avg_cc_time, {_r('sum(cc_count) / count(*)', 2)} as avg_cc_count from fan group by {member} having count(*) >= {having}"""
+ {means}, {parts}, {_r(f"{_x('cc_time')} / count(*)", 2)} as avg_cc_time, {_r('sum(cc_count) / count(*)', 2)} as avg_cc_count from fan group by {member} having count(*) >= {having}"""
 
 
 _CANDIDATE = f"candidate as (select bucket, variant as stat_id, {_results('bucket, variant', 5)})"
-_WEIGHT = "exp(-0.02 * greatest(0.0, (epoch_us(timestamp '1998-12-01') - epoch_us(collected_at)) / 86400000000.0))"
+_WEIGHT = "exp(-0.02 * greatest(0.0, (epoch_us(timestamp '1998-12-01') - epoch_us(collected_at)) / 86400000000.0))::decimal(38, 24)"
 
 
 def _pairs(weight: str) -> str:
     return f"""numbered as (select *, row_number() over (partition by team_key, bucket order by variant) as n from fan),
 pair as (select a.bucket, least(a.variant, b.variant) as a, greatest(a.variant, b.variant) as b, a.rank, {weight.replace('collected_at', 'a.collected_at')} as w
  from numbered a join numbered b on a.team_key = b.team_key and a.bucket = b.bucket and a.n < b.n),
-pair_stats as (select bucket, a, b, {_r('sum(w)', 2)} as games, {_r('coalesce(sum(w) filter (rank = 1), 0) / sum(w)', 3)} as win_rate, {_r('coalesce(sum(w) filter (rank <= 3), 0) / sum(w)', 3)} as top3_rate from pair group by all)"""
+pair_stats as (select bucket, a, b, {_r('sum(w)::double', 2)} as games, {_r('coalesce(sum(w) filter (rank = 1), 0)::double / sum(w)::double', 3)} as win_rate, {_r('coalesce(sum(w) filter (rank <= 3), 0)::double / sum(w)::double', 3)} as top3_rate from pair group by all)"""
 
 
 _COMPOSITION = f"""trio_row as (select p.*, rank, unnest(['all', bucket]) as bucket from player p join trio using (team_key) join team using (team_key)),
@@ -58,7 +63,7 @@ view_of as (select bucket, rank, unnest(m) as candidate, m from member_of),
 composition as (select bucket, array_to_string(list_filter(m, lambda x: x <> candidate), '|') as teammates, candidate, count(*) as games, {_r('avg(rank)', 2)} as avg_placement,
  {_r('count(*) filter (rank = 1) / count(*)', 3)} as win_rate, {_r('count(*) filter (rank <= 3) / count(*)', 3)} as top3_rate from view_of group by all having count(*) >= 2)"""
 _COMBAT = f"""weighed as (select *, {_WEIGHT} as w from fan),
-combat as (select bucket, variant as stat_id, {_r('sum(w)', 2)} as games, {_r('sum(w * kills) / sum(w)', 2)} as avg_kills, {_r('sum(w * assists) / sum(w)', 2)} as avg_assists, {_r('sum(w * team_kills) / sum(w)', 2)} as avg_team_kills, {_r('sum(w * damage) / sum(w)')} as avg_damage, {_r('sum(w * cc_time) / sum(w)', 2)} as avg_cc_time from weighed group by all)"""
+combat as (select bucket, variant as stat_id, {_r('sum(w)::double', 2)} as games, {', '.join(f"{_r(f'sum((w::double * {c})::decimal(38, 24))::double / sum(w)::double', 0 if c == 'damage' else 2)} as avg_{c}" for c in ('kills', 'assists', 'team_kills', 'damage', 'cc_time'))} from weighed group by all)"""
 _VOTES = """vote as (select event_id as vote_id, user_id, case user_id % 3 when 0 then 'all' when 1 then 'diamond' else 'mithril_plus' end as tier,
  'c' || user_id % 5 || '+d' || user_id % 4 as team_key, 'x' || (props->>'$.k')::int % 8 as candidate_id, case when event_type = 'error' then -1 else 1 end as value, ts,
  strftime(ts, '%Y-%m-%dT%H') as bucket from events where event_type in ('click', 'purchase', 'error')),
@@ -80,7 +85,7 @@ _PLACE = f"{_clamp('1.35 * (4.5 - avg_placement) / 3.5 + 1.15 * (top3_rate - 0.3
 _CONF80 = _clamp("log10(games + 1) / log10(81.0::double)", 0, 1)
 
 
-_MEAN = "mean as (select bucket, sum(games * win_rate) / sum(games) as g from candidate group by bucket)"
+_MEAN = f"mean as (select bucket, {_x('games * win_rate')} / sum(games) as g from candidate group by bucket)"
 _POWER = _clamp("((win_rate * games + 100 * g) / (games + 100) - g) * 4 * least(1.0::double, log10(games + 1) / 2.5)", -1.0, 1.2)
 _SIGNAL = _clamp(f"({_clamp('(avg_kills + avg_assists * 0.5 + avg_team_kills * 0.3) / 6', -0.5, 0.7)} + {_clamp('(avg_damage - 15000) / 20000', -0.5, 0.6)} * 0.4) * least(1.0::double, log10(games + 1) / 2.5)", -0.8, 1.0)
 _SYNERGY = """rated as (select bucket, stat_id, (win_rate * games + 80 * g) / (games + 80) as rate from candidate join mean using (bucket)),
@@ -106,7 +111,7 @@ skill as (select bucket, stat_id, core, string_agg(tactical || '=' || uses, ','
     "official_trait_top5": _q(_BASE, select="""select * from (select *, row_number() over (partition by bucket, stat_id order by uses desc, core)::int as nth from
  (select bucket, variant as stat_id, core, count(*) as uses from fan group by all)) where nth <= 5"""),
     "official_composition_stats": _q(_BASE, _COMPOSITION, select="select * from composition"),
-    "official_pair_stats": _q(_BASE, _pairs("1.0::double"), select="select * from pair_stats"),
+    "official_pair_stats": _q(_BASE, _pairs("1::decimal(38, 24)"), select="select * from pair_stats"),
     "recency_weighted_pairs": _q(_BASE, _pairs(_WEIGHT), select="select * from pair_stats"),
     "official_combat_stats": _q(_BASE, _COMBAT, select="select * from combat"),
     "drop_reason_audit": _q(_BASE, select="""select count(*) as total, count(*) filter (d = 3) as valid, count(*) filter (d <> 3) as invalid_size, count(*) filter (u > 0) as unknown_member
@@ -122,10 +127,10 @@ skill as (select bucket, stat_id, core, string_agg(tactical || '=' || uses, ','
  (select team_key, any_value(rank) as rank, array_to_string(list_sort(list(distinct "character")), '+') as members from player join trio using (team_key) join team using (team_key) group by team_key)
  group by members) where games >= 2 order by win_rate desc, games desc, members limit 20"""),
     "ml_team_features": _q(_BASE, select=f"""select team_key, own as bucket, rank, count(*)::int as n_players, count(distinct weapon)::int as n_weapons, count(distinct "character")::int as n_characters,
- {_r('sum(damage)', 2)} as damage, {_r('sum(cc_time)', 2)} as cc_time, sum(kills)::int as kills from row_of group by team_key, own, rank"""),
+ {_r(_x('damage'), 2)} as damage, {_r(_x('cc_time'), 2)} as cc_time, sum(kills)::int as kills from row_of group by team_key, own, rank"""),
     "bayes_character_power": _q(_BASE, _CANDIDATE, _MEAN, select=f"select bucket, stat_id, {_r(_POWER, 4)} as power from candidate join mean using (bucket)"),
-    "bayes_pair_synergy": _q(_BASE, _CANDIDATE, _MEAN, _pairs("1.0::double"), _SYNERGY, select=f"select bucket, a, b, games, {_r(_clamp('above * 5', -1.0, 1.2), 4)} as synergy from synergy"),
-    "official_v2_score": _q(_BASE, _CANDIDATE, _MEAN, _pairs("1.0::double"), _SYNERGY, _COMBAT, f"""nth_of as (select bucket, stat_id, row_number() over (partition by bucket order by games desc, stat_id) as k from candidate),
+    "bayes_pair_synergy": _q(_BASE, _CANDIDATE, _MEAN, _pairs("1::decimal(38, 24)"), _SYNERGY, select=f"select bucket, a, b, games, {_r(_clamp('above * 5', -1.0, 1.2), 4)} as synergy from synergy"),
+    "official_v2_score": _q(_BASE, _CANDIDATE, _MEAN, _pairs("1::decimal(38, 24)"), _SYNERGY, _COMBAT, f"""nth_of as (select bucket, stat_id, row_number() over (partition by bucket order by games desc, stat_id) as k from candidate),
 team_of as (select bucket, max(stat_id) filter (k = 1) as first, max(stat_id) filter (k = 2) as second from nth_of group by bucket having max(k) > 1),
 power as (select bucket, stat_id, {_POWER} as power from candidate join mean using (bucket)),
 signal as (select bucket, stat_id, {_SIGNAL} as signal from combat),
@@ -170,7 +175,7 @@ general as (select candidate_id, sum(likes * case tier when 'all' then 0.65::dou
     "payload_coalesce_project": "select event_id, coalesce((props->>'$.count')::double, (props->>'$.games')::double, (props->>'$.k')::double, value, 0) as amount from events",
     "union_combos": _q(_BASE, _CANDIDATE, _ROSTER, select="select id0, id1, id2, score from triple order by score desc, n0, n1, n2 limit 24"),
     "union_combos_capped": _q(_BASE, _CANDIDATE, _ROSTER, select="select id0, id1, id2, score, truncated from (select *, row_number() over (order by n0, n1, n2) as k, count(*) over () > 500 as truncated from triple) where k <= 500 order by score desc, n0, n1, n2 limit 24"),
-    "full_team_beam": _q(_BASE, _CANDIDATE, _pairs("1.0::double"), "p as (select a, b, games, win_rate from pair_stats where bucket = 'all' and a <> b)", "side as (select * from p union all select b, a, games, win_rate from p)",
+    "full_team_beam": _q(_BASE, _CANDIDATE, _pairs("1::decimal(38, 24)"), "p as (select a, b, games, win_rate from pair_stats where bucket = 'all' and a <> b)", "side as (select * from p union all select b, a, games, win_rate from p)",
         "anchor as (select stat_id as x from candidate where bucket = 'all' order by games desc, stat_id limit 1)",
         "step1 as (select a as anchor, b as pick1, win_rate as s1 from side where a = (select x from anchor) order by win_rate desc, games desc, b limit 8)",
         "step2 as (select step1.*, b as pick2, win_rate, row_number() over (partition by pick1 order by win_rate desc, games desc, b) as k from side join step1 on a = pick1 where b <> anchor)",
@@ -182,9 +187,9 @@ general as (select candidate_id, sum(likes * case tier when 'all' then 0.65::dou
  s1 as (select distinct b.u from s0 join e a using (u) join e b on a.g = b.g where b.u not in (select u from s0)),
  s2 as (select distinct b.u from s1 join e a using (u) join e b on a.g = b.g where b.u not in (select u from s0 union select u from s1))
  select u, 0 as depth from s0 union all select u, 1 from s1 union all select u, 2 from s2""",
-    "pair_stat_fallback": _q(_BASE, _CANDIDATE, _pairs("1.0::double"), """flat as (select a, b, split_part(a, ':', 1) as ca, split_part(b, ':', 1) as cb, games, win_rate from pair_stats where bucket = 'all'),
-leveled as (select a as x, b as y, games, win_rate from flat where games >= 3 union all select least(v, c), greatest(v, c), sum(games), sum(games * win_rate) / sum(games) from (select a as v, cb as c, games, win_rate from flat union all select b, ca, games, win_rate from flat where a <> b) group by v, c having sum(games) >= 20
- union all select least(ca, cb), greatest(ca, cb), sum(games), sum(games * win_rate) / sum(games) from flat group by 1, 2),
+    "pair_stat_fallback": _q(_BASE, _CANDIDATE, _pairs("1::decimal(38, 24)"), f"""flat as (select a, b, split_part(a, ':', 1) as ca, split_part(b, ':', 1) as cb, games, win_rate from pair_stats where bucket = 'all'),
+leveled as (select a as x, b as y, games, win_rate from flat where games >= 3 union all select least(v, c), greatest(v, c), sum(games), {_x('games * win_rate')} / sum(games) from (select a as v, cb as c, games, win_rate from flat union all select b, ca, games, win_rate from flat where a <> b) group by v, c having sum(games) >= 20
+ union all select least(ca, cb), greatest(ca, cb), sum(games), {_x('games * win_rate')} / sum(games) from flat group by 1, 2),
 topped as (select stat_id as v, split_part(stat_id, ':', 1) as c from candidate where bucket = 'all' order by games desc, stat_id limit 40),
 wanted as (select p.v as a, q.v as b, unnest([1, 2, 3, 4]) as priority, unnest([p.v, p.v, p.c, p.c]) as i, unnest([q.v, q.c, q.v, q.c]) as j from topped p join topped q on p.v < q.v),
 met as (select w.a, w.b, w.priority, l.games, l.win_rate, row_number() over (partition by w.a, w.b order by w.priority) as k from wanted w join leveled l on l.x = least(w.i, w.j) and l.y = greatest(w.i, w.j))""",

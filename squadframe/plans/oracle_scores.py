@@ -9,7 +9,7 @@ from ..operators.ranker import REFERENCES, REPEATED, SNAPSHOTS
 from ..operators.recommend import _MEANS, SUPPORT, TIERS, TOP
 from ..operators.stats import LISTED
 from ..sources.dimension import KEYS, LAYERS, PAIR_SCORE, PAIR_WHERE, WEAPONS
-from .oracle import _BASE, _CANDIDATE, _COMBAT, _COMPOSITION, _ROSTER, _VOTES, _clamp, _pairs, _q, _r, _votes_score
+from .oracle import _BASE, _CANDIDATE, _COMBAT, _COMPOSITION, _ROSTER, _VOTES, _clamp, _pairs, _q, _r, _results, _votes_score, _x
 
 
 def _e(expression: str) -> str:
@@ -26,6 +26,12 @@ def _layers(name: str, source: str, *layers: K.Layer) -> str:
     return ",\n".join(out)
 
 
+_BY_CODE = f"""coded as (select "character", core as code from player),
+listed as (select "character", weapon from (select *, {_e(KEYS['b'])} as b, {_e(KEYS['t'])} as t from (select "character", unnest({WEAPONS}) as weapon from (select distinct "character" from coded))) where {LISTED}),
+single as (select "character", min(weapon) as only_one from listed group by 1 having count(*) = 1),
+means as (select code, first(only_one order by n desc, only_one) as weapon from (select code, only_one, count(*) as n from coded join single using ("character") group by all) group by 1),
+by_code as (select c."character", c.code, c.n as rows, case when s.only_one is not null then c."character" || ':' || s.only_one when l.weapon is not null then c."character" || ':' || l.weapon else c."character" end as stat_id
+ from (select "character", code, count(*) as n from coded group by all) c left join single s using ("character") left join means m using (code) left join listed l on l."character" = c."character" and l.weapon = m.weapon)"""
 _DOUBLE = {"cc_power", "rt_sum", "rt_hoped", *[f"m_{m}" for m in K.METRICS]}
 _MEMBER = ",\n".join([
     "variants as (select distinct p_brand as \"character\", p_type as weapon, p_brand || ':' || p_type as variant from part)", _layers("profile", "variants", *LAYERS),
@@ -42,18 +48,18 @@ _GRID = ",\n".join([
     'sums as (select sel, count(*) as n, list(distinct "character") as taken, ' + ", ".join(f"sum({x})::{'double' if x in _DOUBLE else 'bigint'} as s_{x}" for x in K.SUMMED) + " from picked group by sel)",
     "each_sel as (select sel, tier, bucket, coalesce(n, 0) as n, coalesce(taken, []) as taken, " + ", ".join(f"coalesce(s_{x}, 0) as s_{x}" for x in K.SUMMED) + " from asked left join sums using (sel))",
     'grid_in as (select e.*, m.* from member m join each_sel e on not list_contains(e.taken, m."character"))', _layers("grid", "grid_in", K.TEAM, K.MEANS, K.SCORES, K.BUDGET)])
-_MEAN = "mean as (select bucket, sum(games * win_rate) / sum(games) as mean_rate from candidate group by bucket)"
-_FELL = """fell as (select b.bucket, v.stat_id, coalesce(o.games, g.games) as games, """ + ", ".join(f"case when o.stat_id is null then g.{c} else o.{c} end as {c}" for c in _MEANS) + """
- from (select distinct bucket from asked) b cross join (select distinct stat_id from candidate where bucket = 'all') v join candidate g on g.bucket = 'all' and g.stat_id = v.stat_id left join candidate o on o.bucket = b.bucket and o.stat_id = v.stat_id)"""
+_MEAN = f"mean as (select bucket, {_x('games * win_rate')} / sum(games) as mean_rate from candidate group by bucket)"
+_FELL = """fell_key as (select b.bucket, p.variant, unnest([1, 2, 3, 4]) as level, unnest([b.bucket, b.bucket, 'all', 'all']) as of, unnest([p.variant, p."character", p.variant, p."character"]) as id from (select distinct bucket from asked) b cross join profile p),
+fell as (select bucket, variant as stat_id, games, """ + ", ".join(_MEANS) + """ from (select k.bucket, k.variant, c.* exclude (bucket, stat_id), row_number() over (partition by k.bucket, k.variant order by level) as nth from fell_key k join candidate c on c.bucket = k.of and c.stat_id = k.id) where nth = 1)"""
 _RANKER = f"""squad_of as (select team_key, list("character" order by "character") as m, first("character" order by kills, variant) as cand from player join trio using (team_key) group by team_key),
 view_all as (select o_custkey as user_id, game_id, team_key, rank, cand as candidate, array_to_string(list_concat(m[1:list_position(m, cand) - 1], m[list_position(m, cand) + 1:]), '+') as teammates from squad_of join team using (team_key) join orders on o_orderkey = team_key),
 view_one as (select * from (select *, row_number() over (partition by user_id, game_id order by team_key) as k from view_all) where k = 1),
 trick as (select user_id, greatest(0, max(c)) / sum(c) as trick from (select user_id, candidate, count(*) as c from view_one group by all) group by user_id),
 tricked as (select * from view_one join trick using (user_id)),
-ranked_one as (select candidate, count(*) as games, {_r('avg(rank)', 2)} as avg_placement, {_r('count(*) filter (rank = 1) / count(*)', 3)} as win_rate, {_r('count(*) filter (rank <= 3) / count(*)', 3)} as top3_rate, {_r('sum(trick) / count(*)', 3)} as one_trick from tricked group by 1 having count(*) >= 2),
-ranked_comp as (select teammates, candidate, count(*) as games, {_r('avg(rank)', 2)} as avg_placement, {_r('count(*) filter (rank = 1) / count(*)', 3)} as win_rate, {_r('count(*) filter (rank <= 3) / count(*)', 3)} as top3_rate, {_r('sum(trick) / count(*)', 3)} as one_trick from tricked group by 1, 2)"""
+ranked_one as (select candidate, count(*) as games, {_r('avg(rank)', 2)} as avg_placement, {_r('count(*) filter (rank = 1) / count(*)', 3)} as win_rate, {_r('count(*) filter (rank <= 3) / count(*)', 3)} as top3_rate, {_r(_x('trick') + ' / count(*)', 3)} as one_trick from tricked group by 1 having count(*) >= 2),
+ranked_comp as (select teammates, candidate, count(*) as games, {_r('avg(rank)', 2)} as avg_placement, {_r('count(*) filter (rank = 1) / count(*)', 3)} as win_rate, {_r('count(*) filter (rank <= 3) / count(*)', 3)} as top3_rate, {_r(_x('trick') + ' / count(*)', 3)} as one_trick from tricked group by 1, 2)"""
 _SNAP = f"""lettered as (select {K.aliased('bucket', SNAPSHOTS, 'null')} as b, split_part(stat_id, ':', 1) as "character", stat_id, games, avg_placement, win_rate, top3_rate, {_e(K.SNAPSHOT_TIER)} as letter from candidate),
-snap_own as (select b, "character", sum(games)::bigint as games, {_r('sum(avg_placement * games) / sum(games)', 2)} as avg_placement, {_r('sum(win_rate * games) / sum(games)', 3)} as win_rate, {_r('sum(top3_rate * games) / sum(games)', 3)} as top3_rate,
+snap_own as (select b, "character", sum(games)::bigint as games, {_r(_x('avg_placement * games') + ' / sum(games)', 2)} as avg_placement, {_r(_x('win_rate * games') + ' / sum(games)', 3)} as win_rate, {_r(_x('top3_rate * games') + ' / sum(games)', 3)} as top3_rate,
  first(letter order by games desc, stat_id) as tier_label from lettered where b is not null group by 1, 2),
 snap as (select b as bucket, * exclude (b) from snap_own""" + "".join(f" union all select '{a}', * exclude (b) from snap_own where b = '{b}'" for a, b in REPEATED.items()) + ")"
 _REFS = f"""refs as (select members, count(*) as appearances, {_r('avg(rank)', 2)} as rank, {_r('avg(kills)', 2)} as ks, {_r('avg(kills + 8 - rank)', 2)} as ts from
@@ -61,7 +67,7 @@ _REFS = f"""refs as (select members, count(*) as appearances, {_r('avg(rank)', 2
  group by members having count(*) >= 2 order by appearances desc, members limit {REFERENCES})"""
 _AVERAGES = ("with_group as (select c.*, p.rt_group from candidate c join profile p on p.variant = c.stat_id where games > 0),\n"
     + "averages as (select bucket, rt_group, " + ", ".join(f"case when n >= {SUPPORT} then o_{c} else w_{c} end as q_{c}" for c in _MEANS)
-    + " from (select bucket, rt_group, count(*) as n, " + ", ".join(f"sum({c} * games) / sum(games) as o_{c}" for c in _MEANS) + " from with_group group by all) join (select bucket, " + ", ".join(f"sum({c} * games) / sum(games) as w_{c}" for c in _MEANS) + " from with_group group by all) using (bucket))")
+    + " from (select bucket, rt_group, count(*) as n, " + ", ".join(f"{_x(f'{c} * games')} / sum(games) as o_{c}" for c in _MEANS) + " from with_group group by all) join (select bucket, " + ", ".join(f"{_x(f'{c} * games')} / sum(games) as w_{c}" for c in _MEANS) + " from with_group group by all) using (bucket))")
 _VALUES = ",\n".join([
     f"""asked_tier as (select distinct tier, bucket, {K.aliased('tier', K.SNAPSHOT_ALIAS, "'all'")} as shown from asked),
 of_all as (select {', '.join(f"{_r(f'avg(rt_{c})', 6)} as v_{c}" for c in ('win', 'top3', 'rank', 'kills'))} from member where rt_damage is not null),
@@ -110,7 +116,7 @@ all_in as (select g.*, pair_sum, pairs, coalesce(ranker_composition, 0) as ranke
     _layers("done", "all_in", K.V2, K.TOTAL, K.REASON_INPUTS)])
 
 _SMALL = (_BASE, _CANDIDATE, _COMBAT, _MEMBER, _ASKED)
-_ALL = (*_SMALL, _GRID, _MEAN, _FELL, _RANKER, _SNAP, _REFS, _AVERAGES, _VALUES, _pairs("1.0::double"), _VOTES, _TEAMS)
+_ALL = (*_SMALL, _GRID, _MEAN, _FELL, _RANKER, _SNAP, _REFS, _AVERAGES, _VALUES, _pairs("1::decimal(38, 24)"), _VOTES, _TEAMS)
 
 
 def _four(*columns: str) -> str:
@@ -127,6 +133,24 @@ SCORES_SQL = {
     "team_shape": _q(*_SMALL, _GRID, _layers("labelled", "grid", K.LABEL), select=f"select sel, variant, {', '.join(f'g_{x}' for x in K.SHAPE)}, shape_label from labelled"),
     "team_metric_profile": _q(*_SMALL, _GRID, select=f"select sel, variant, {', '.join(f'g_m_{m}, a_{m}' for m in K.METRICS)}, coalesce(nullif(array_to_string(list_filter([{_TAG_LIST}], lambda x: x is not null)[1:3], ' '), ''), 'balanced') as reason from grid"),
     "score_rules": _q(*_SMALL, _GRID, select=f"select sel, variant, {_four(*K.SCORES, *K.BUDGET)} from grid"),
+    "official_fallback_scores": _q(_BASE, _BY_CODE, f"""coded_row as (select r.*, i.stat_id from row_of r join by_code i on i."character" = r."character" and i.code = r.core),
+coded_fan as (select *, unnest(['all', own]) as bucket from coded_row),
+known as (select bucket, stat_id, {_results('bucket, stat_id', 5).replace('from fan', 'from coded_fan')}),
+mean as (select bucket, {_x('games * win_rate')} / sum(games) as mean_rate from known group by bucket),
+who as (select distinct p_brand as "character", p_brand || ':' || p_type as variant from part),
+ask as (select b.bucket, w.variant, unnest([1, 2, 3, 4]) as level, unnest([b.bucket, b.bucket, 'all', 'all']) as of, unnest([w.variant, w."character", w.variant, w."character"]) as id from (select distinct bucket from known) b cross join who w),
+hit as (select a.bucket, a.variant, a.level::int as level, k.games, k.win_rate from ask a join known k on k.bucket = a.of and k.stat_id = a.id qualify row_number() over (partition by a.bucket, a.variant order by a.level) = 1),
+rated as (select bucket, variant, (win_rate * games + 80 * mean_rate) / (games + 80.0::double) as rate from hit join mean using (bucket)),
+nth_of as (select *, row_number() over (partition by team_key, bucket order by stat_id) as k from coded_fan),
+pair as (select a.bucket, least(a.stat_id, b.stat_id) as a, greatest(a.stat_id, b.stat_id) as b, count(*) as games, {_r('count(*) filter (a.rank = 1) / count(*)', 3)} as win_rate from nth_of a join nth_of b on a.team_key = b.team_key and a.bucket = b.bucket and a.k < b.k group by all),
+best as (select bucket, case when stat_id in (select "character" from who) then (select min(variant) from who where "character" = stat_id) else stat_id end as mate from known qualify row_number() over (partition by bucket order by games desc, stat_id) <= 2),
+cross_of as (select b.bucket, b.mate, w.variant, c.level, least(c.i, c.j) as a, greatest(c.i, c.j) as b from best b join who m on m.variant = b.mate cross join who w
+ cross join lateral (select unnest([1, 2, 3, 4]) as level, unnest([w.variant, w.variant, w."character", w."character"]) as i, unnest([m.variant, m."character", m.variant, m."character"]) as j) c),
+played as (select x.bucket, x.mate, x.variant, p.games, p.win_rate from cross_of x join pair p on p.bucket = x.bucket and p.a = x.a and p.b = x.b qualify row_number() over (partition by x.bucket, x.mate, x.variant order by x.level) = 1),
+gain as (select bucket, variant, sum((games * win_rate + 80 * e) / (games + 80.0::double) - e) as above from (select p.*, 0.5::double * (coalesce(y.rate, mean_rate) + coalesce(z.rate, mean_rate)) as e from played p join mean using (bucket)
+ left join rated y on y.bucket = p.bucket and y.variant = p.mate left join rated z on z.bucket = p.bucket and z.variant = p.variant) group by all)""",
+        select=f"""select bucket, variant, level, games, {_r(_clamp("((win_rate * games + 100 * mean_rate) / (games + 100.0::double) - mean_rate) * 4 * least(1.0::double, log10(games + 1.0::double) / 2.5::double)", -1.0, 1.2), 4)} as power,
+ {_r(_clamp('coalesce(above, 0) / 2 * 5', -1.0, 1.2), 4)} as synergy from hit join mean using (bucket) left join gain using (bucket, variant)"""),
     "group_average_fallback": _q(*_SMALL, _AVERAGES, select=f"select bucket, rt_group, {_four(*[f'q_{c}' for c in _MEANS])} from averages"),
     "tier_alias_fallback": _q(_BASE, _CANDIDATE, """names as (select unnest(range(11))::int as id, unnest(['all', 'iron_bronze', 'silver_gold', 'iron_gold', 'platinum_diamond', 'diamond', 'mithril_plus', 'meteor_mithril', 'demigod_eternity', 'elsewhere', null]) as tier)""",
         select=f"""select id, tier, case when w in (select bucket from candidate) then w else 'all' end as bucket, {K.aliased('tier', K.SNAPSHOT_ALIAS, "'all'")} as shown from (select *, {K.aliased('tier', K.TIER_ALIAS, "coalesce(tier, 'all')")} as w from names)"""),
@@ -141,8 +165,8 @@ _RANK_MEANS = [*_MEANS, "avg_cc_time"]
 _CV = "cv as (select list_sort(['Brand#' || (split_part(team_key, '+', 1)[2:]::int + 9), 'Brand#' || (split_part(team_key, '+', 2)[2:]::int + 14)]) as tm, 'Brand#' || (candidate_id[2:]::int + 1) as candidate, likes, dislikes from summary)"
 _RANKING = ",\n".join([
     f"well as (select * from candidate where games >= 25), grouped as (select *, {K.RANK_GROUP} as rank_group from profile),\nwg as (select c.*, g.rank_group from well c join grouped g on g.variant = c.stat_id)",
-    "avg6 as (select bucket, rank_group, " + ", ".join(f"case when n >= 6 then o_{c} else w_{c} end as q_{c}" for c in _RANK_MEANS) + " from (select bucket, rank_group, count(*) as n, " + ", ".join(f"sum({c} * games) / sum(games) as o_{c}" for c in _RANK_MEANS)
-    + " from wg group by all) join (select bucket, " + ", ".join(f"sum({c} * games) / sum(games) as w_{c}" for c in _RANK_MEANS) + " from wg group by all) using (bucket))",
+    "avg6 as (select bucket, rank_group, " + ", ".join(f"case when n >= 6 then o_{c} else w_{c} end as q_{c}" for c in _RANK_MEANS) + " from (select bucket, rank_group, count(*) as n, " + ", ".join(f"{_x(f'{c} * games')} / sum(games) as o_{c}" for c in _RANK_MEANS)
+    + " from wg group by all) join (select bucket, " + ", ".join(f"{_x(f'{c} * games')} / sum(games) as w_{c}" for c in _RANK_MEANS) + " from wg group by all) using (bucket))",
     """ids as (select bucket, stat_id from well union select b.bucket, k.candidate from (select distinct bucket from well) b cross join ranked_one k where not exists (select 1 from well w where w.bucket = b.bucket and split_part(w.stat_id, ':', 1) = k.candidate)),
 voted_for as (select candidate, sum(likes) as likes, sum(dislikes) as dislikes from cv group by 1),
 rank_in as (select i.bucket, i.stat_id, coalesce(g.rank_group, (select min_by(rank_group, variant) from grouped z where z."character" = i.stat_id)) as rank_group, w.* exclude (bucket, stat_id), a.* exclude (bucket, rank_group),
@@ -171,7 +195,7 @@ weighed_c as (select sel, candidate, {_e("hits * case when hits = k then 1.25 el
 }
 
 _PICKED = "picked as (select a.sel, a.tier, a.bucket, m.* from (select sel, tier, bucket, unnest(picked) as variant from asked) a join member m using (variant))"
-_AFTER = (_MEAN, _FELL, _RANKER, _SNAP, _REFS, _AVERAGES, _VALUES, _pairs("1.0::double"), _VOTES, _TEAMS)
+_AFTER = (_MEAN, _FELL, _RANKER, _SNAP, _REFS, _AVERAGES, _VALUES, _pairs("1::decimal(38, 24)"), _VOTES, _TEAMS)
 _ANCHOR = "(select stat_id from candidate where bucket = 'all' order by games desc, stat_id limit 1)"
 _MEMBERS = (_BASE, _CANDIDATE, _COMBAT, _MEMBER)
 SCORES_SQL |= {
@@ -186,10 +210,5 @@ SCORES_SQL |= {
         """chained as (select a.variant as pick1, b.variant as pick2, a.score + b.score as s, row_number() over (partition by least(a."character", b."character"), greatest(a."character", b."character") order by a.place, b.place) as k
  from best_of a join best_of b on b.sel = a.variant where a.sel = 'one' and a.place <= 8 and b.place <= 3)""",
         select=f"select {_ANCHOR} as anchor, pick1, pick2, {_r('s', 1)} as score from chained where k = 1"),
-    "stat_id_by_code": _q(_BASE, f"""coded as (select "character", core as code from player),
-listed as (select "character", weapon from (select *, {_e(KEYS['b'])} as b, {_e(KEYS['t'])} as t from (select "character", unnest({WEAPONS}) as weapon from (select distinct "character" from coded))) where {LISTED}),
-single as (select "character", min(weapon) as only_one from listed group by 1 having count(*) = 1),
-means as (select code, first(only_one order by n desc, only_one) as weapon from (select code, only_one, count(*) as n from coded join single using ("character") group by all) group by 1)""",
-        select="""select c."character", c.code, c.n as rows, case when s.only_one is not null then c."character" || ':' || s.only_one when l.weapon is not null then c."character" || ':' || l.weapon else c."character" end as stat_id
- from (select "character", code, count(*) as n from coded group by all) c left join single s using ("character") left join means m using (code) left join listed l on l."character" = c."character" and l.weapon = m.weapon"""),
+    "stat_id_by_code": _q(_BASE, _BY_CODE, select="select * from by_code"),
 }
