@@ -260,13 +260,20 @@ def reason_labels(text: Column) -> Column:
 
 
 def decoded_html(text: Column) -> Column:
-    """Named and numeric character references decoded (code points beyond the basic plane stay as they are)."""
-    for a, b in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
+    """Numeric (decimal and hexadecimal) character references decoded, then named ones; what names no character stays."""
+    reference = r"^&#([xX][0-9a-fA-F]{1,6}|\d{1,7});"
+    parts = F.split(text, r"(?=&#(?:[xX][0-9a-fA-F]{1,6}|\d{1,7});)")
+
+    def one(part: Column) -> Column:
+        said = F.regexp_extract(part, reference, 1)
+        code = F.when(F.lower(F.left(said, F.lit(1))) == "x", F.conv(F.substring(said, 2, 6), 16, 10)).otherwise(said).try_cast("int")
+        known = (said != "") & (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.when(known, F.concat(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"), F.regexp_replace(part, reference, ""))).otherwise(part)
+
+    text = F.array_join(F.transform(parts, one), "")
+    for a, b in (("&equals;", "="), ("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"')):
         text = F.replace(text, F.lit(a), F.lit(b))
-    parts = F.split(text, r"(?=&#\d{1,5};)")
-    plain = lambda p: F.regexp_extract(p, r"^&#(\d{1,5});", 1)
-    one = lambda p: F.decode(F.unhex(F.lpad(F.hex(plain(p).cast("int")), 4, "0")), "UTF-16BE")
-    return F.array_join(F.transform(parts, lambda p: F.when((plain(p) != "") & (plain(p).cast("int") < 55296), F.concat(one(p), F.regexp_replace(p, r"^&#\d{1,5};", ""))).otherwise(p)), "")
+    return text
 
 
 def message(table: dict[str, dict[str, str]], lang: Column, key: Column, params: dict[str, Column], fallback: str = "en") -> Column:

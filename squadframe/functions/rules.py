@@ -244,7 +244,8 @@ _LABELS = [
     ("g_tank = 0 and g_melee = 2 and g_support = 1 and g_backline = 0", "2 melee 1 support"), ("g_tank = 1 and g_melee = 1 and g_backline = 1 and g_support = 0", "1 tank 1 melee 1 ranged"), ("g_backline = 3 and g_tank = 0 and g_melee = 0", "3 ranged"),
     ("g_melee + g_tank = 3 and g_backline = 0 and g_support = 0", "3 melee"), ("g_tank >= 1 and g_support >= 1", "tank and support"), ("g_tank >= 2", "2 tanks"),
 ]
-LABEL: Layer = {"shape_label": cases(*[(c, f"'{v}'") for c, v in _LABELS], otherwise="'other'")}
+_COUNTED = "concat(cast(g_tank as varchar(9)), ' tank ', cast(g_melee as varchar(9)), ' melee ', cast(g_backline as varchar(9)), ' ranged', case when g_support > 0 then concat(' ', cast(g_support as varchar(9)), ' support') else '' end)"
+LABEL: Layer = {"shape_label": cases(*[(c, f"'{v}'") for c, v in _LABELS], otherwise=_COUNTED)}
 
 #: Keys of a team's metric tags, in their order.
 METRIC_TAGS = [("g_m_damage >= 11", "damageHigh"), ("g_m_damage <= 9", "damageLow"), ("g_m_defense >= 9", "defenseHigh"), ("g_m_defense <= 6", "defenseLow"), ("g_m_cc >= 9", "ccHigh"), ("g_m_cc <= 5", "ccLow"), ("a_mobility >= 3.6", "mobilityHigh"), ("a_mobility <= 2.2", "mobilityLow"), ("g_m_utility >= 8", "utilityHigh")]

@@ -32,16 +32,21 @@ def scalar_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         X.safe_file_part(F.col("o_orderpriority")).alias("file_part"), X.mask_secret(secret).alias("masked"), X.compare_versions(version, F.lit("1.5")).alias("newer"), rect["x"].alias("rect_x"), rect["h"].alias("rect_h"))
 
 
-#: Names and queries with Hangul, which the tables lack.
-NAMES = ["가넷", "나딘", "닭 값", "Isol", "현우", "이안", "루미아 섬", "아야 ㄳ"]
-QUERIES_OF_NAMES = ["ㄱㄴ", "나", "ㄷ ㄱ", "SOL", "ㅎㅇ", "ㅇㅇ ㄳ", " ", "섬", "zz"]
+#: Queries in Hangul.
+QUERIES_OF_NAMES = ["ㄱㄴ", "나", "ㄷ ㄱ", "ITEM", "ㅎㅇ", "ㅇㅇ ㄳ", " ", "섬", "zz"]
+
+
+def hangul_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the parts with two Hangul syllables in front, which the tables lack: by a rule over the number of the part."""
+    syllable = lambda n: F.decode(F.unhex(F.hex(F.expr(f"44032 + p_partkey * {n} % 11172"))), "UTF-16BE")
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(syllable(588), F.lit(" "), F.col("p_name"), F.lit(" "), syllable(29)).alias("name"))
 
 
 def korean_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that each query finds, by text or by initials."""
-    n = spark.createDataFrame([(x,) for x in NAMES], "name string")
+    """Names that each query finds, by text or by initials, and the names with the particle that their sound asks for."""
     q = spark.createDataFrame([(x,) for x in QUERIES_OF_NAMES], "query string")
-    return n.join(F.broadcast(q)).where(X.matches_search(F.col("name"), F.col("query"))).select("query", "name", X.initials(X.search_form(F.col("name"))).alias("initials"), X.with_particle(F.col("name"), "은", "는").alias("subject"))
+    met = hangul_names(spark, sf_dir).join(F.broadcast(q), X.matches_search(F.col("name"), F.col("query")))  # nine queries
+    return met.select("query", "p_partkey", "name", X.initials(X.search_form(F.col("name"))).alias("initials"), X.with_particle(F.col("name"), "은", "는").alias("subject"))
 
 
 def member_filter(spark: SparkSession, sf_dir: str, role: str = "ranged", query: str = "brand#1") -> DataFrame:
@@ -141,21 +146,34 @@ def unmapped_code_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.orderBy(F.col("code").cast("int")).offset(5).limit(5)
 
 
-def id_range_scan(spark: SparkSession, sf_dir: str, low: int = 100, high: int = 2_000_000) -> DataFrame:
+def rows_of_ids(df: DataFrame, column: str, low: int | None = None, high: int | None = None, ids: list[int] | None = None) -> DataFrame:
+    """Rows whose id lies in a range (either end may be open) and in a list, if there is one. Both reach the scan; a list
+    is sent with the plan, so it is one that a user wrote down."""
+    if low is not None:
+        df = df.where(F.col(column) >= low)
+    if high is not None:
+        df = df.where(F.col(column) <= high)
+    return df.where(F.col(column).isin(ids)) if ids is not None else df
+
+
+def id_range_scan(spark: SparkSession, sf_dir: str, low: int = 100, high: int | None = None) -> DataFrame:
     """Rows of the ids of a range; ids that do not exist give none."""
-    return table(spark, sf_dir, "orders").join(spark.range(low, high + 1).withColumnRenamed("id", "o_orderkey"), "o_orderkey", "left_semi").select("o_orderkey", "o_custkey")
+    return rows_of_ids(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", low, high)
 
 
 def html_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six metrics (1 to 5) named in a page's text; pages that lack one give no row. The fixtures' pages name none, so
-    five of six pages get a line with them."""
+    """Six metrics (1 to 5) named in a page, with a sign of equality, a colon or nothing before the number; the decoded
+    page is tried first, then its plain text. Pages that lack one give no row. The fixtures' pages name none, so five of
+    six pages get a line for each, some with markup between the name and the number."""
     names = ["difficulty", "damage", "defense", "control", "mobility", "utility"]
-    line = F.concat(*[F.concat(F.lit(f"<p>{n} &#58; "), (F.col("page_id") * (k + 2) % 5 + 1).cast("string"), F.lit("</p>")) for k, n in enumerate(names)])
-    h = F.concat(F.coalesce("html", F.lit("")), F.when(F.col("page_id") % 6 != 0, line).otherwise(F.lit("<p>damage 3</p>")))
-    h = F.regexp_replace(F.regexp_replace(X.decoded_html(h), r"(?is)<script.*?</script>", " "), r"(?is)<style.*?</style>", " ")
-    plain = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace(h, r"<[^>]*>", " "), r"\s+", " ").alias("plain"))
-    found = plain.select("page_id", *[F.nullif(F.regexp_extract("plain", rf"(?i)(?:{n})\s*[=:：]\s*([1-5])", 1), F.lit("")).cast("int").alias(n) for n in names])
-    return found.dropna()
+    value = lambda k: (F.col("page_id") * (k + 2) % 5 + 1).cast("string")
+    shapes = lambda n, k: [F.concat(F.lit(f"<p>{n} &#58; "), value(k), F.lit("</p>")), F.concat(F.lit(f"<td>{n}</td><td>"), value(k), F.lit("</td>")), F.concat(F.lit(f"<p>{n}"), value(k), F.lit("</p>")), F.concat(F.lit(f"<p>{n} <b>＝</b> 9 {n} = "), value(k), F.lit("</p>"))]
+    line = F.concat(*[F.element_at(F.array(*shapes(n, k)), ((F.col("page_id") + k) % 4 + 1).cast("int")) for k, n in enumerate(names)])
+    pages = table(spark, sf_dir, "pages").select("page_id", X.decoded_html(F.concat(F.coalesce("html", F.lit("")), F.when(F.col("page_id") % 6 != 0, line).otherwise(F.lit("<p>damage 3</p>")))).alias("decoded"))
+    bare = F.regexp_replace(F.regexp_replace("decoded", r"(?is)<script.*?</script>", " "), r"(?is)<style.*?</style>", " ")
+    pages = pages.withColumn("plain", F.regexp_replace(F.regexp_replace(bare, r"<[^>]+>", " "), r"\s+", " "))
+    first = lambda c, n: F.nullif(F.regexp_extract(c, rf"(?:{n})\s*[=:：]?\s*([1-5])", 1), F.lit(""))
+    return pages.select("page_id", *[F.coalesce(first("decoded", n), first("plain", n)).cast("int").alias(n) for n in names]).dropna()
 
 
 def reason_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +207,7 @@ def detected_team(spark: SparkSession, sf_dir: str, least: float = 0.5) -> DataF
     pixel = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.least(F.lit(255.0), F.abs(x) * 100))
     e = table(spark, sf_dir, "embeddings").select("vec_id", pixel.alias("v"), "label")
     slots = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("slot"), ((F.col("vec_id") / 20).cast("int") % 4).alias("layout"), F.col("v").alias("q"))
-    met = against_all(e.where("vec_id % 20 <> 0"), slots).select("layout", "slot", "label", "vec_id", R(F.greatest(F.lit(0.0), 1 - X.image_distance(F.col("q"), F.col("v"))), 6).alias("confidence"))
+    met = against_all(e, slots).where("vec_id <> slot").select("layout", "slot", "label", "vec_id", R(F.greatest(F.lit(0.0), 1 - X.image_distance(F.col("q"), F.col("v"))), 6).alias("confidence"))
     per_label = met.groupBy("layout", "slot", "label").agg(F.max(F.struct("confidence", -F.col("vec_id"))).alias("m"))
     best = per_label.groupBy("layout", "slot").agg(F.max(F.struct("m", "label")).alias("b")).select("layout", "slot", "b.label", "b.m.confidence")
     layout = best.groupBy("layout").agg(R(F.avg("confidence"), 6).alias("mean")).orderBy(F.desc("mean"), "layout").limit(1)

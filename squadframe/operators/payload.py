@@ -1,18 +1,186 @@
-"""JSON payloads: schema discovery and fields under several names."""
+"""JSON payloads: discovery of what is in them, search for objects, and match teams out of raw rows of users."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.adapter import table
-from ..sources.files import json_paths
+from ..functions import exprs as X
+from ..sources.adapter import game_payloads, table
+from ..sources.files import json_paths, written
+
+# The names under which payloads give the same field, in the order in which they are tried.
+SHAPES = ["userGames", "games", "gameDetails", "data"]
+TEAM = ["teamNumber", "team_number", "teamId", "team_id", "team"]
+CHARACTER = ["characterNum", "character_num", "characterCode", "character_code"]
+WEAPON = ["bestWeapon", "best_weapon", "weapon", "weaponCode", "weapon_code", "weaponType", "weapon_type", "equipmentWeapon"]
+USER = ["userId", "user_id", "uid"]
+CODES = ["code", "characterCode", "characterNum", "id", "key"]
+NAMES = ["name", "nameKr", "nameKo", "nameKor", "characterName", "korName"]
+SCALARS = {
+    "rank": (["gameRank", "game_rank"], "int"), "victory": (["victory"], "string"), "matching_mode": (["matchingMode", "matching_mode"], "int"),
+    "matching_team_mode": (["matchingTeamMode", "matching_team_mode"], "int"), "season_id": (["seasonId", "season_id"], "int"),
+}
+TRAITS = {"core": ["traitFirstCore", "traitCore"], "first_sub": ["traitFirstSub", "traitSub1"], "second_sub": ["traitSecondSub", "traitSub2"], "tactical": ["tacticalSkillGroup", "tacticalSkill"], "tactical_level": ["tacticalSkillLevel"]}
+STATS = {
+    "kills": ["playerKill", "kills"], "assists": ["playerAssistant", "assists"], "team_kills": ["teamKill"], "damage": ["damageToPlayer", "totalDamageToPlayer"], "basic": ["damageToPlayer_basic"], "skill": ["damageToPlayer_skill"],
+    "item_skill": ["damageToPlayer_itemSkill"], "direct": ["damageToPlayer_direct"], "unique_skill": ["damageToPlayer_uniqueSkill"], "damage_from": ["damageFromPlayer", "totalDamageFromPlayer"], "from_basic": ["damageFromPlayer_basic"],
+    "from_skill": ["damageFromPlayer_skill"], "cc_count": ["ccCount", "crowdControlCount"], "cc_time": ["ccTimeToPlayer", "ccTime"], "heal": ["healAmount"], "absorb": ["protectAbsorb"], "vision": ["sightScore", "visionScore"],
+}
+#: Items of an array that discovery looks into.
+LOOKED_AT = 3
+
+
+def first_value(row: str, names: Iterable[str], kind: str = "string") -> Column:
+    """The first field of a variant object among the names that is there and neither null nor an empty text; null where
+    it can't be read as the kind asked for. Arrays and objects come as their JSON text."""
+    found = F.coalesce(*[F.nullif(F.try_variant_get(row, f"$.{n}", "string"), F.lit("")) for n in names])
+    return found.try_cast(kind)
+
+
+def array_of(value: str | Column) -> Column:
+    """A variant as an array of variants, null if it is none."""
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def fields_of(value: str | Column) -> Column:
+    """The names of a variant object in their order (the variant's: by name), null if it is none."""
+    return F.map_keys(F.try_variant_get(value, "$", "map<string, variant>"))
+
+
+def walk(payloads: DataFrame, id_col: str, column: str, stop: Column | None = None, items: int | None = None) -> list[DataFrame]:
+    """The arrays and objects of JSON payloads, one table for each depth: id_col, parts (keys on the way, [] for an item),
+    place (positions on the way), value (variant).
+
+    Nodes where stop holds (an expression over value) aren't looked into, nor are the items of an array after the first
+    `items`. Fields come by name, which the variant type sorts. Every level is written, so that a level's plan is short;
+    the loop ends with the deepest payload. What is no JSON has no node.
+    """
+    spark = payloads.sparkSession
+    holds = array_of("value").isNotNull() | fields_of("value").isNotNull()
+    level = payloads.select(id_col, F.array().cast("array<string>").alias("parts"), F.array().cast("array<int>").alias("place"), F.try_parse_json(column).alias("value")).where(holds)
+    levels = []
+    while True:
+        levels.append(written(level, "nodes"))
+        inner = levels[-1] if stop is None else levels[-1].where(~F.coalesce(stop, F.lit(False)))
+        if inner.isEmpty():
+            return levels
+        each = inner.withColumnRenamed("value", "held").lateralJoin(spark.tvf.variant_explode(F.col("held").outer()))
+        if items is not None:
+            each = each.where(F.col("key").isNotNull() | (F.col("pos") < items))
+        level = each.select(id_col, F.concat("parts", F.array(F.coalesce("key", F.lit("[]")))).alias("parts"), F.concat("place", F.array("pos")).alias("place"), "value").where(holds)
+
+
+def arrays_in(payloads: DataFrame, id_col: str, column: str) -> DataFrame:
+    """Every array with an item: id_col, path (`$` for the payload itself), place, row_count, sample_keys (of the first
+    item, if it is an object)."""
+    found = None
+    for level in walk(payloads, id_col, column, items=LOOKED_AT):
+        some = level.withColumn("rows", array_of("value")).where("size(rows) > 0")
+        keys = F.coalesce(fields_of(F.element_at("rows", 1)), F.array().cast("array<string>"))
+        one = some.select(id_col, F.when(F.size("parts") > 0, F.array_join("parts", ".")).otherwise("$").alias("path"), "place", F.size("rows").alias("row_count"), keys.alias("sample_keys"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def payload_summary(payloads: DataFrame, id_col: str, column: str) -> DataFrame:
+    """Per payload: its keys, and path, length and keys of its longest array (of equal ones the first on the way down)."""
+    best = arrays_in(payloads, id_col, column).groupBy(id_col).agg(F.min_by(F.struct("path", "row_count", "sample_keys"), F.struct(-F.col("row_count"), F.col("place"))).alias("x"))
+    own = payloads.select(id_col, F.coalesce(fields_of(F.try_parse_json(column)), F.array().cast("array<string>")).alias("payload_keys"))
+    return own.join(best, id_col, "left").select(id_col, "payload_keys", F.col("x.path").alias("path"), F.coalesce("x.row_count", F.lit(0)).alias("row_count"), F.coalesce("x.sample_keys", F.array().cast("array<string>")).alias("sample_keys"))
+
+
+def named_objects(payloads: DataFrame, id_col: str, column: str, codes: list[str] = CODES, names: list[str] = NAMES) -> DataFrame:
+    """The outermost objects that have a code and a name: id_col, place, code, name, value."""
+    code, name = first_value("value", codes), first_value("value", names)
+    found = None
+    for level in walk(payloads, id_col, column, stop=code.isNotNull() & name.isNotNull()):
+        one = level.select(id_col, "place", code.alias("code"), name.alias("name"), "value").where("code is not null and name is not null")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def user_ids(payloads: DataFrame, id_col: str, column: str) -> DataFrame:
+    """Per payload the first user id (0 is none) on the way down: an object's own before those inside it, fields by name."""
+    said = first_value("value", USER)
+    own = F.when(~said.isin("0", "false"), said)
+    found = None
+    for level in walk(payloads, id_col, column, stop=own.isNotNull()):
+        one = level.select(id_col, "place", own.alias("user_id")).where("user_id is not null")
+        found = one if found is None else found.unionByName(one)
+    best = found.groupBy(id_col).agg(F.min_by("user_id", "place").alias("user_id"))
+    return payloads.select(id_col).join(best, id_col, "left")
+
+
+def game_rows(payloads: DataFrame, game_col: str, column: str) -> DataFrame:
+    """(game_col, at, row) of the payload's rows of users, under whichever of the names is there; at is the place."""
+    spark = payloads.sparkSession
+    parsed = payloads.select(game_col, F.try_parse_json(column).alias("_payload"))
+    # a null under one name leaves the next its turn, an empty array doesn't
+    named = [F.try_variant_get("_payload", f"$.{n}", "variant") for n in SHAPES]
+    held = F.coalesce(*[F.when(~F.is_variant_null(x), x) for x in named])
+    rows = parsed.select(game_col, held.alias("_rows")).where(array_of("_rows").isNotNull())
+    return rows.lateralJoin(spark.tvf.variant_explode(F.col("_rows").outer())).select(game_col, F.col("pos").alias("at"), F.col("value").alias("row"))
+
+
+def assembled_teams(rows: DataFrame, game_col: str, least: int = 2) -> DataFrame:
+    """Teams out of rows of users (game_col, at, row): game_col, team_key, the scalars of the team's first row, players.
+
+    Rows without a team or a character are left out, as are teams of fewer than `least` players. Players stand in the
+    order of their rows with weapon, traits (texts; JSON where they are arrays), own rank, and 17 numbers (0 where one is
+    missing or no number). victory is true for anything but false, 0 and nothing.
+    """
+    truthy = F.coalesce(~F.lower(F.col("victory")).isin("false", "0", "0.0"), F.lit(False))
+    player = F.struct(
+        "at", "character", first_value("row", WEAPON).alias("weapon"), *[first_value("row", names).alias(c) for c, names in TRAITS.items()], "rank",
+        *[F.coalesce(first_value("row", names, "double"), F.lit(0.0)).alias(c) for c, names in STATS.items()])
+    known = rows.withColumns({"team_key": first_value("row", TEAM), "character": first_value("row", CHARACTER), **{c: first_value("row", names, kind) for c, (names, kind) in SCALARS.items()}})
+    known = known.where("team_key is not null and character is not null").withColumn("victory", truthy).withColumn("player", player)
+    teams = known.groupBy(game_col, "team_key").agg(F.min_by(F.struct(*SCALARS), "at").alias("first"), F.array_sort(F.collect_list("player")).alias("players"))  # a handful of players
+    return teams.where(F.size("players") >= least).select(game_col, "team_key", "first.*", "players")
+
+
+def team_results(teams: DataFrame) -> DataFrame:
+    """Adds placement (null for ranks that are none), win (victory or first) and top3."""
+    rank = F.col("rank")
+    return teams.withColumns({"placement": F.when(rank > 0, rank), "win": F.col("victory") | F.coalesce(rank == 1, F.lit(False)), "top3": F.coalesce(rank.between(1, 3), F.lit(False))})
 
 
 def json_schema_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_paths(table(spark, sf_dir, "events"), "props")
 
 
+def payload_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is in the payload of every game: its keys, its longest array, and that array's keys."""
+    found = payload_summary(game_payloads(spark, sf_dir), "game_id", "payload")
+    return found.select("game_id", F.array_join("payload_keys", ",").alias("payload_keys"), "path", "row_count", F.array_join("sample_keys", ",").alias("sample_keys"))
+
+
+def payload_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All arrays of the payloads by path: payloads that have it, items, and the longest one."""
+    found = arrays_in(game_payloads(spark, sf_dir), "game_id", "payload")
+    return found.groupBy("path").agg(F.count_distinct("game_id").alias("payloads"), F.sum("row_count").cast("long").alias("items"), F.max("row_count").alias("longest"))
+
+
+def payload_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects with a code and a name in every game's payload, and the first user id of the payload."""
+    payloads = game_payloads(spark, sf_dir)
+    named = named_objects(payloads, "game_id", "payload").groupBy("game_id").agg(F.count("*").alias("objects"), F.min_by("code", "place").alias("first_code"), F.max_by("name", "place").alias("last_name"))
+    return user_ids(payloads, "game_id", "payload").join(named, "game_id", "left").select("game_id", "user_id", F.coalesce("objects", F.lit(0)).alias("objects"), "first_code", "last_name")
+
+
+def raw_game_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Teams assembled from the raw rows of every game's payload, with their results and sums over the players."""
+    teams = team_results(assembled_teams(game_rows(game_payloads(spark, sf_dir), "game_id", "payload"), "game_id"))
+    listed = lambda c: F.array_join(F.transform("players", lambda p: F.coalesce(p[c].cast("string"), F.lit("-"))), ",")
+    total = lambda c: X.round_half_up(F.aggregate("players", F.lit(0.0), lambda s, p: s + p[c]), 2)
+    return teams.select(
+        "game_id", "team_key", "placement", "win", "top3", "matching_mode", F.size("players").alias("n_players"), listed("character").alias("characters"), listed("weapon").alias("weapons"), listed("first_sub").alias("subs"),
+        total("kills").alias("kills"), total("damage").alias("damage"), total("heal").alias("heal"))
+
+
 def payload_coalesce_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A count that goes by several names in the payload (empty ones are skipped), else the event's value; 0 without any."""
     aliases = [F.nullif(F.get_json_object("props", f"$.{x}"), F.lit("")).cast("double") for x in ("count", "games", "k")]

@@ -233,8 +233,17 @@ def relationships(picked: DataFrame, votes: DataFrame) -> DataFrame:
 
 
 def feedbacks(asked: DataFrame, picked: DataFrame, votes: DataFrame) -> DataFrame:
-    """(sel, character, feedback): votes for exactly this team and candidate, and for the candidate in general."""
-    heard = asked.select("sel", "tier").join(F.broadcast(votes.withColumnRenamed("tier", "of")), F.expr("tier = 'all' or of = tier or of = 'all'"))
+    """(sel, character, feedback): votes for exactly this team and candidate, and for the candidate in general.
+
+    A selection hears its own tier and `all`, the tier `all` hears every vote. Votes are added up by tier, team and
+    candidate first, and then also for the tier `all`, so each joins the selections of its tier only.
+    """
+    sums = votes.groupBy("tier", "team", "candidate").agg(F.sum("likes").alias("likes"), F.sum("dislikes").alias("dislikes")).withColumnRenamed("tier", "of")
+    # votes of a tier are heard in it and in `all`, those of `all` in every tier
+    tiers = asked.select("tier").distinct()
+    own = sums.where("of <> 'all'").withColumn("tier", F.explode(F.array("of", F.lit("all"))))
+    general = sums.where("of = 'all'").join(F.broadcast(tiers))  # a handful of tiers
+    heard = asked.select("sel", "tier").join(own.unionByName(general), "tier")
     teams = picked.groupBy("sel").agg(F.array_sort(F.collect_list("character")).alias("own")).where("size(own) = 2")
     same = heard.join(F.broadcast(teams), "sel", "left").withColumn("exact", F.coalesce(F.col("own") == F.col("team"), F.lit(False)))
     total = lambda c, when: F.sum(F.when(when, F.col(c)).otherwise(0.0))

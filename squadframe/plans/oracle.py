@@ -159,6 +159,8 @@ general as (select candidate_id, sum(likes * case tier when 'all' then 0.65::dou
     "vote_upsert_hourly": _q(_VOTES, select="select * from upsert"),
     "vote_summary": _q(_VOTES, select="select * from summary"),
     "vote_duplicates": _q(_VOTES, select="select vote_id, bucket, row_number() over (partition by user_id, tier, team_key, candidate_id, bucket order by ts, vote_id) > 1 as was_duplicate from vote"),
+    "streamed_first_teams": "select o_custkey, o_orderdate::date as day, min(o_orderkey) as o_orderkey, min_by(o_totalprice, o_orderkey) as o_totalprice from orders group by 1, 2",
+    "streamed_recent_votes": _q(_VOTES, select="select vote_id, bucket, row_number() over (partition by user_id, tier, team_key, candidate_id, bucket order by ts, vote_id) > 1 as was_duplicate from vote"),
     "vote_ttl_purge": _q(_VOTES, select="select vote_id, user_id, value from vote where ts >= (select max(ts) from vote) - interval 10 days"),
     "vote_window_counts": _q(_VOTES, select="select bucket, tier, count(*) as votes, sum(value)::bigint as balance from vote group by bucket, tier"),
     "popular_feedback_overall": _q(_VOTES, select=f"""select *, {_r("case when likes + dislikes > 0 then (likes - dislikes) / (likes + dislikes) * least(1.0::double, (likes + dislikes) / 5.0::double) * 1.5 else 0 end", 4)} as score from
@@ -213,4 +215,6 @@ from .oracle_scores import SCORES_SQL  # noqa: E402  its relations build on thos
 
 from .oracle_cleaning import CLEANING_SQL  # noqa: E402
 
-SQL |= SCORES_SQL | CLEANING_SQL
+from .oracle_payload import PAYLOAD_SQL  # noqa: E402
+
+SQL |= SCORES_SQL | CLEANING_SQL | PAYLOAD_SQL

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import rules as K
 from ..functions.exprs import COMPOUNDS, LOW_DAMAGE, REASON_LABELS
-from ..operators.cleaning import NAMES, QUERIES_OF_NAMES
+from ..operators.cleaning import QUERIES_OF_NAMES
 from .oracle import _BASE, _CANDIDATE, _COMBAT, _VOTES, _clamp, _q, _r
 from .oracle_scores import _GRID, _MEMBER, _SMALL, _layers
 
@@ -31,7 +31,8 @@ def _clean(x: str) -> str:
 
 _VERSION = "('v' || o_orderkey % 3 || '.' || o_orderkey % 11 || case when o_orderkey % 2 = 0 then '.0' else '.b' end)"
 _METRIC_NAMES = ["difficulty", "damage", "defense", "control", "mobility", "utility"]
-_LINE = " || ".join(f"'<p>{n} : ' || (page_id * {k + 2} % 5 + 1) || '</p>'" for k, n in enumerate(_METRIC_NAMES))
+_LINE = " || ".join(
+    f"(['<p>{n} : ' || v{k} || '</p>', '<td>{n}</td><td>' || v{k} || '</td>', '<p>{n}' || v{k} || '</p>', '<p>{n} <b>＝</b> 9 {n} = ' || v{k} || '</p>'])[(page_id + {k}) % 4 + 1]" for k, n in enumerate(_METRIC_NAMES))
 _LABELS = ", ".join("case when regexp_matches(t, '" + p + "') then " + (f"case when regexp_matches(t, '{LOW_DAMAGE}') then 'damageLow' else '{k}' end" if k == "damageNeeded" else f"'{k}'") + " end" for p, k in REASON_LABELS)
 _TAGS = ", ".join(f"case when t_{t} = 1 then '{t}' end" for t in K.TAGS)
 _REQUIRED = ", ".join(f"'{t}'" for t in K.REQUIRED)
@@ -47,9 +48,9 @@ v as (select *, list_transform([split_part(substr(version, 2), '.', 1), split_pa
  {_r('(o_orderkey % 256) * 0.299::double + (o_custkey % 256) * 0.587::double + 7 * 0.114::double', 3)} as grey, translate(rtrim(base64(secret::blob), '='), '+/', '-_') as cache_key, regexp_replace(o_orderpriority, '[^a-zA-Z0-9._-]', '_', 'g') as file_part,
  case when length(secret) > 12 then left(secret, 6) || '...' || right(secret, 6) else '[redacted]' end as masked, case when ver[1] <> 1 then ver[1] - 1 when ver[2] <> 5 then ver[2] - 5 else ver[3] end as newer,
  floor(share * 1920 + 0.5) + floor(192 * 0.1::double + 0.5) as rect_x, floor(floor(share / 2 * 1080 + 0.5) * 0.5::double + 0.5) as rect_h from v""",
-    "korean_search": f"""with n(name) as (values {_values(NAMES)}), q(query) as (values {_values(QUERIES_OF_NAMES)}),
+    "korean_search": f"""with n as (select p_partkey, chr((44032 + p_partkey * 588 % 11172)::int) || ' ' || p_name || ' ' || chr((44032 + p_partkey * 29 % 11172)::int) as name from part), q(query) as (values {_values(QUERIES_OF_NAMES)}),
 f as (select *, {_form('name')} as text, {_form('trim(query)')} as wanted from n, q), i as (select *, {_initials('text')} as initials from f)
- select query, name, initials, name || case when unicode(right(name, 1)) between 44032 and 55203 and (unicode(right(name, 1)) - 44032) % 28 > 0 then '은' else '는' end as subject from i where wanted = '' or contains(text, wanted) or contains(initials, wanted)""",
+ select query, p_partkey, name, initials, name || case when unicode(right(name, 1)) between 44032 and 55203 and (unicode(right(name, 1)) - 44032) % 28 > 0 then '은' else '는' end as subject from i where wanted = '' or contains(text, wanted) or contains(initials, wanted)""",
     "member_filter": _q(_BASE, _CANDIDATE, _PROFILE, select="""select variant, role from profile where role = 'ranged' and contains(lower(variant), 'brand#1')"""),
     "feedback_validity": _q(_VOTES, f"""made as (select *, ['', ' null ', 'None', 'undefined', ' a:b ', candidate_id, 'empty:x'][vote_id % 7 + 1] as c from vote),
 cleaned as (select vote_id, list_filter(list_transform(list_append(string_split(team_key, '+'), c), lambda x: {_clean('x')}), lambda x: x <> '') as team, {_clean('c')} as candidate from made)""",
@@ -73,10 +74,11 @@ c as (select *, case when l % 10 = 0 then null when core or l between 1 and 4 th
     "tag_sets": _q(_BASE, _CANDIDATE, _PROFILE, f"""t as (select variant, "character", list_filter([{_TAGS}], lambda x: x is not null) as tags from profile), m as (select "character", arg_min(tags, variant) as more from t group by 1)""",
         select=f"""select variant, array_to_string(tags, ' ') as tags, array_to_string(list_filter([{_REQUIRED}], lambda x: not list_contains(tags, x)), ' ') as lacking, array_to_string(list_concat(tags, list_filter(more, lambda x: not list_contains(tags, x))), ' ') as together from t join m using ("character")"""),
     "unmapped_code_order": "select code from (select distinct p_partkey::varchar as code from part where p_size >= 48) order by code::int limit 5 offset 5",
-    "id_range_scan": "select o_orderkey, o_custkey from orders where o_orderkey between 100 and 2000000",
-    "html_metrics": rf"""with h as (select page_id, replace(replace(replace(replace(replace(replace(coalesce(html, ''), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', '''') || case when page_id % 6 <> 0 then {_LINE} else '<p>damage 3</p>' end as t from pages),
-p as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g') as plain from h),
-m as (select page_id, {', '.join(rf"try_cast(regexp_extract(plain, '(?i)(?:{n})\s*[=:：]\s*([1-5])', 1) as int) as {n}" for n in _METRIC_NAMES)} from p) select * from m where {' and '.join(f'{n} is not null' for n in _METRIC_NAMES)}""",
+    "id_range_scan": "select o_orderkey, o_custkey from orders where o_orderkey >= 100",
+    "html_metrics": rf"""with v as (select *, {', '.join(f'(page_id * {k + 2} % 5 + 1)::varchar as v{k}' for k in range(6))} from pages),
+h as (select page_id, replace(replace(replace(replace(replace(replace(coalesce(html, ''), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)) || case when page_id % 6 <> 0 then {_LINE} else '<p>damage 3</p>' end as t from v),
+p as (select page_id, t, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g') as plain from h),
+m as (select page_id, {', '.join(rf"coalesce(try_cast(regexp_extract(t, '{n}\s*[=:：]?\s*([1-5])', 1) as int), try_cast(regexp_extract(plain, '{n}\s*[=:：]?\s*([1-5])', 1) as int)) as {n}" for n in _METRIC_NAMES)} from p) select * from m where {' and '.join(f'{n} is not null' for n in _METRIC_NAMES)}""",
     "reason_labels": f"select doc_id, array_to_string(list_filter([{_LABELS}], lambda x: x is not null)[1:3], ' ') as labels from (select doc_id, coalesce(text, '') as t from documents)",
     "preset_names": """select case when k = 1 then name else name || ' ' || k end as name, variants from (select p_name as name, p_type as variants, row_number() over (partition by p_name order by min(p_partkey)) as k from part group by p_name, p_type)""",
     "source_scan": """with t as (select p_partkey, 'x c("' || p_partkey || '",  "' || p_name || '", 1) c("z' || p_size || '", "n")' as line from part)
@@ -84,7 +86,7 @@ m as (select page_id, {', '.join(rf"try_cast(regexp_extract(plain, '(?i)(?:{n})\
     "team_reasons": _q(*_SMALL, _GRID, _layers("why", "(select * from grid where n = 2)", K.TEAM_REASONS), select="select sel, variant, union_reason, composition_reason from why"),
     "detected_team": f"""with e as (select vec_id, list_transform(embedding::double[], lambda x: least(255.0::double, abs(x) * 100)) as v, label from embeddings),
 s as (select (vec_id // 20 % 4)::int as layout, vec_id as slot, v as q from e where vec_id % 20 = 0),
-m as (select layout, slot, label, vec_id, v, q from e, s where vec_id % 20 <> 0),
+m as (select layout, slot, label, vec_id, v, q from e, s where vec_id <> slot),
 px as (select layout, slot, label, vec_id, unnest(range(16)) as i, v, q from m),
 d as (select layout, slot, label, vec_id, sum(abs(v[4*i+1] * (v[4*i+4] / 255) - q[4*i+1] * (q[4*i+4] / 255)) + abs(v[4*i+2] * (v[4*i+4] / 255) - q[4*i+2] * (q[4*i+4] / 255)) + abs(v[4*i+3] * (v[4*i+4] / 255) - q[4*i+3] * (q[4*i+4] / 255))) / (48 * 255.0::double) * 0.55::double
  + sum(abs((v[4*i+1] * 0.299::double + v[4*i+2] * 0.587::double + v[4*i+3] * 0.114::double) * (v[4*i+4] / 255) - (q[4*i+1] * 0.299::double + q[4*i+2] * 0.587::double + q[4*i+3] * 0.114::double) * (q[4*i+4] / 255))) / (16 * 255.0::double) * 0.45::double as x from px group by all),

@@ -51,15 +51,38 @@ def squads(spark: SparkSession, sf_dir: str, member: str = "variant") -> DataFra
     return valid.join(teams(spark, sf_dir), "team_key")
 
 
+def game_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(game_id, payload): every game as the JSON of an answer, with the rows of its users under one of several names,
+    fields under several names, some of them missing, and objects inside."""
+    line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = line.selectExpr(
+        "l_orderkey div 8 as game_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_name", "cast(l_orderkey % 8 as int) + 1 as team", "l_quantity", "l_tax", "l_returnflag", "l_extendedprice", "p_size",
+        "l_partkey % 97 <> 0 as in_team", "l_orderkey div 8 % 3 as way")
+    when = lambda condition, value: F.when(F.expr(condition), F.expr(value))
+    row = F.struct(
+        when("way = 0 and in_team", "team").alias("teamNumber"), when("not in_team", "''").alias("team_number"), when("way = 1 and in_team", "cast(team as string)").alias("team_id"), when("way = 2 and in_team", "team").alias("team"),
+        when("l_partkey % 89 <> 0", "l_partkey % 88 + 1").alias("characterNum"), when("l_linenumber % 2 = 0", "p_size % 7").alias("bestWeapon"), when("l_linenumber % 2 = 1", "p_size % 5").alias("weaponType"),
+        F.expr("team + l_linenumber - 1").alias("gameRank"), F.expr("l_returnflag = 'A'").alias("victory"), F.expr("l_linenumber * 10").alias("matchingMode"),
+        when("l_linenumber % 2 = 1", "l_linenumber").alias("playerKill"), when("l_linenumber % 2 = 0 and l_quantity > 10", "l_linenumber").alias("kills"),
+        when("l_tax < 0.04", "l_extendedprice").alias("damageToPlayer"), when("l_tax >= 0.04 and l_tax < 0.07", "l_extendedprice").alias("totalDamageToPlayer"), when("l_partkey % 10 = 0", "'much'").alias("healAmount"),
+        when("l_partkey % 4 <> 1", "array(p_size % 3, p_size % 4)").alias("traitFirstSub"), when("l_suppkey % 4 = 0", "named_struct('userId', l_suppkey)").alias("profile"), F.expr("named_struct('code', l_partkey, 'name', p_name)").alias("item"))
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+    games = rows.select("game_id", *order, row.alias("row")).groupBy("game_id").agg(F.array_sort(F.collect_list(F.struct(*order, "row"))).alias("all"))  # eight teams
+    users = F.to_json(F.transform("all", lambda x: x["row"]))
+    held = F.expr("case game_id % 5 when 0 then '\"userGames\":' when 1 then '\"games\":' when 2 then '\"gameDetails\":' when 3 then '\"data\":' else '\"userGames\":null,\"games\":' end")
+    about = F.expr("case when game_id % 2 = 0 then concat('\"meta\":{\"owner\":{\"uid\":', game_id, '},\"servers\":[[1,2],[3]]}') else '\"meta\":{\"servers\":[]}' end")
+    return games.select("game_id", F.concat(F.lit('{"code":200,'), held, users, F.lit(","), about, F.lit("}")).alias("payload"))
+
+
 def fanned(df: DataFrame) -> DataFrame:
     """Every row in bucket `all` and in its own."""
     return df.withColumn("bucket", F.explode(F.array(F.lit("all"), "bucket")))
 
 
-def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes: clicks and purchases for, errors against a candidate; one row per event."""
+def votes(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Votes: clicks and purchases for, errors against a candidate; one row per event (of the table, or of a stream of it)."""
     return (
-        table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "purchase", "error"))
+        (table(spark, sf_dir, "events") if events is None else events).where(F.col("event_type").isin("click", "purchase", "error"))
         .select(
             F.col("event_id").alias("vote_id"), "user_id", F.when(F.col("user_id") % 3 == 0, "all").when(F.col("user_id") % 3 == 1, "diamond").otherwise("mithril_plus").alias("tier"),
             F.concat_ws("+", F.concat(F.lit("c"), (F.col("user_id") % 5).cast("string")), F.concat(F.lit("d"), (F.col("user_id") % 4).cast("string"))).alias("team_key"),

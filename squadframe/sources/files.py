@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-import json
+import re
 import tempfile
 import unicodedata
 import uuid
@@ -116,48 +116,30 @@ def cache_name(key: str) -> str:
     return base64.urlsafe_b64encode(key.encode()).decode().rstrip("=") + ".json"
 
 
-def _id_in(value: object) -> str | None:
-    if isinstance(value, dict):
-        own = next((value[k] for k in ("userId", "user_id", "uid") if value.get(k) not in (None, "")), None)
-        if own:
-            return str(own)
-        value = list(value.values())
-    return next((x for x in map(_id_in, value) if x), None) if isinstance(value, list) else None
-
-
-@F.pandas_udf(StringType())
-def user_id_in(payloads: pd.Series) -> pd.Series:
-    """The first user id in a JSON text, an object's own before those inside it; null without one, and for no JSON."""
-
-    def one(text: str) -> str | None:
-        try:
-            return _id_in(json.loads(text))
-        except (ValueError, RecursionError):
-            return None
-
-    return payloads.map(one, na_action="ignore")
-
-
 @F.pandas_udf(StringType())
 def nfkc(names: pd.Series) -> pd.Series:
     """Compatibility forms of characters as their plain ones; Spark has no function for it."""
     return names.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the folder that the session shares (spark.checkpoint.dir) and read back: what builds on it has
-    a short plan, and a lost executor costs no recomputation. A session in one process gets a temporary folder if the
-    setting is missing; a cluster must name one."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the session shares (spark.checkpoint.dir). A session in one process gets a
+    temporary folder if the setting is missing; a cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
             raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
         at = tempfile.mkdtemp(prefix="squadframe-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back: what builds on it has a short plan, and a lost executor costs
+    no recomputation."""
+    path = shared_folder(df.sparkSession, f"tables/{name}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_json_lines(df: DataFrame, path: str, *partitions: str) -> None:

@@ -17,8 +17,9 @@ class UpsertSink:
     """foreachBatch sink: merges each batch into a table of latest votes, partitioned by hour.
 
     Only the hours that a batch touches are read and written again. A batch that is replayed merges to the same rows, so
-    the sink is idempotent; all its state is the table, so it goes on after a restart. Votes carry vote_id, which decides
-    at equal times.
+    the sink is idempotent; all its state is the table, so it goes on after a restart. Several hours are not replaced in one
+    step: if a batch fails between two of them, readers see some of its hours until its replay. Votes carry vote_id, which
+    decides at equal times.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -27,10 +28,11 @@ class UpsertSink:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         names = [*KEY, "bucket", "value", "ts", "vote_id"]
         rows = batch.withColumn("bucket", vote_bucket(F.col("ts"))).select(*names)
-        hours = rows.select("bucket").distinct()
+        # a batch spans few hours (as many as its votes are late), and as values they prune the table's partitions
+        hours = [r["bucket"] for r in rows.select("bucket").distinct().collect()]
         known = self._table()
         if known is not None:
-            rows = rows.unionByName(known.join(hours, "bucket", "left_semi").select(*names))
+            rows = rows.unionByName(known.where(F.col("bucket").isin(hours)).select(*names))
         latest = rows.groupBy(*KEY, "bucket").agg(F.max_by(F.struct("value", "ts", "vote_id"), F.struct("ts", "vote_id")).alias("v")).select(*KEY, "bucket", "v.*")
         # read and written in one place: by way of a staging table
         latest.write.mode("overwrite").parquet(f"{self.path}/staging")

@@ -86,12 +86,6 @@ def test_sinks(spark, tmp_path):
     assert spark.createDataFrame([("ｱﾞＡ①",), (None,)], "x string").select(files.nfkc("x")).collect()[0][0] == "ア゙A1"
 
 
-def test_user_id_in_json(spark):
-    rows = ['{"a": [{"x": 1}, {"uid": 7}], "user_id": ""}', '{"b": {"uid": 5}, "userId": "u"}', "[[], [{\"user_id\": 3}]]", "{}", "broken", None, '{"uid": 0, "c": {"uid": 4}}']
-    got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "p string").select(files.user_id_in("p")).collect()]
-    assert got == ["7", "u", "3", None, None, None, "4"]
-
-
 def test_stored_answers(spark, tmp_path):
     at, schema = str(tmp_path / "answers"), "cache_key string, fetched_at long, payload string"
     read = lambda: files.newest_rows(spark, at, schema, ["cache_key"], "fetched_at")
