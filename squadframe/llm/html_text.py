@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,8 @@ from .url_filter import host_of, path_of
 
 #: Deletions of up to this number of pages (a key and a few line numbers each) are broadcast, more are joined by a shuffle.
 BROADCAST_PAGES = 50_000
+#: Matching pairs of lines up to which an alignment looks at each of them.
+PAIRS = 200_000
 #: Neighbours on each side, and how many of them must have a line that is deleted.
 NEAR, AGREE = 2, 2
 PLAIN, ARTICLE, FURNITURE = 0, 1, 2
@@ -37,28 +40,36 @@ _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code
 _FURNITURE_TAGS = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "button", "select", "fieldset", "object", "video", "audio", "canvas", "map"}
 _FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "form", "toolbar"}
 _FURNITURE_WORDS = {"nav", "navbar", "navigation", "menu", "sidebar", "footer", "ad", "ads", "advert", "adverts", "advertisement", "adsbygoogle", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "comment", "comments", "commentlist", "respond", "replies", "discussion", "disqus", "share", "sharing", "social", "related", "recommended", "breadcrumb", "breadcrumbs", "pagination", "pager", "newsletter", "subscribe", "signup", "login", "search", "skip", "toolbar", "widget", "copyright", "masthead", "topbar", "hidden"}
-_OUTSIDE_WORDS = {"header", "site-header"}
+_BOX_WORDS = {"site", "page", "main", "global", "primary", "secondary", "top", "bottom", "left", "right", "upper", "lower", "list", "item", "items", "links", "link", "box", "block", "bar", "area", "section", "container", "wrapper", "wrap", "inner", "outer", "row", "col", "column", "panel", "region", "zone", "slot", "unit", "form", "field", "post", "posts", "article", "articles", "stories", "media", "button", "buttons", "icons", "text", "js", "el"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def _declared(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether class, id, role or style name the element as furniture."""
-    if _HIDDEN.search(attributes):
+def _attributes(text: str) -> dict[str, str]:
+    """Names of attributes (lower case) and their values, the first of each name."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _names_furniture(name: str, words: set[str]) -> bool:
+    """Whether a class or id is the word, or joins it with words that only say where or what kind of box it is."""
+    parts = [x for x in _SPLIT.split(name) if x]
+    return any(x in words for x in parts) and all(x in words or x in _BOX_WORDS or x.isdigit() for x in parts)
+
+
+def _declared(attributes: dict[str, str], inside: bool) -> bool:
+    """Whether class, id, role or style name the element as furniture, or it isn't shown."""
+    if "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or _NOT_SHOWN.search(attributes.get("style", "")):
         return True
-    for m in _NAMES.finditer(attributes):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if m[1].lower() == "role":
-            if value in _FURNITURE_ROLES:
-                return True
-        else:
-            words = set(_SPLIT.split(value))
-            if words & _FURNITURE_WORDS or not inside and words & _OUTSIDE_WORDS:
-                return True
-    return False
+    if attributes.get("role", "").strip().lower() in _FURNITURE_ROLES:
+        return True
+    words = _FURNITURE_WORDS if inside else _FURNITURE_WORDS | {"header"}
+    return any(_names_furniture(x, words) for x in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split())
 
 
 def blocks(html: str | None) -> list[tuple[str, int]]:
@@ -112,13 +123,14 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
                 stack.pop()
         if tag == "body":
             stack = [e for e in stack if e[0] != "head"]
-        article = tag in ("article", "main") or 'role="main"' in attributes
+        names = _attributes(attributes) if attributes else {}
+        article = tag in ("article", "main") or names.get("role", "").strip().lower() == "main"
         inside = any(e[3] for e in stack)
         if article:
             for e in stack:  # a frame around the article is no furniture, whatever its names say
                 e[2] = False
         by_tag = tag in _FURNITURE_TAGS or tag == "header" and not inside
-        named = bool(attributes) and tag not in ("html", "body") and not article and _declared(tag, attributes, inside)
+        named = bool(names) and tag not in ("html", "body") and not article and _declared(names, inside)
         if named and held:
             close()
         if not attributes.endswith("/"):
@@ -128,7 +140,48 @@ def blocks(html: str | None) -> list[tuple[str, int]]:
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Positions in a of a longest common subsequence of a and b, by the matching pairs in order of a (patience piles)."""
+    """Positions in a of a longest common subsequence of a and b.
+
+    Where few pairs of lines match, by these pairs (patience piles). Lines that repeat in both make the pairs many: then
+    b is divided where the halves of a have most in common with its parts, which takes the lengths of the common
+    subsequences with all beginnings and all ends of b; these come out of one pass over a with the bits of a long
+    integer for b's lines.
+    """
+    first, second = Counter(a), Counter(b)
+    if len(a) < 2 or sum(n * second[x] for x, n in first.items()) <= PAIRS:
+        return _by_pairs(a, b)
+    low = 0
+    while low < len(a) and low < len(b) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    ends = list(range(low)), list(range(len(a) - high, len(a)))
+    if low or high:
+        return ends[0] + [low + i for i in common_lines(a[low : len(a) - high], b[low : len(b) - high])] + ends[1]
+    half = len(a) // 2
+    before, after = _lengths(a[:half], b), _lengths(a[half:][::-1], b[::-1])[::-1]
+    cut = int(np.argmax(before + after))
+    return common_lines(a[:half], b[:cut]) + [half + i for i in common_lines(a[half:], b[cut:])]
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of a with each beginning of b (of 0 to all lines)."""
+    places: dict[int, int] = {}
+    wanted = set(a)
+    for j, x in enumerate(b):
+        if x in wanted:
+            places[x] = places.get(x, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    row = every
+    for x in a:
+        both = row & places.get(x, 0)
+        row = ((row + both) | (row - both)) & every
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _by_pairs(a: list[int], b: list[int]) -> list[int]:
     where: dict[int, list[int]] = {}
     for j, x in enumerate(b):
         where.setdefault(x, []).append(j)
@@ -163,7 +216,8 @@ def _shared(own: list[int], kinds: list[int], near: list[list[int] | None]) -> s
 
 
 def _key() -> Column:
-    return F.xxhash64(F.col("url"), F.col("html"))
+    """128 bits of (url, html), so that no two pages of any table share them by chance."""
+    return F.md5(F.concat(F.coalesce(F.concat(F.lit("+"), F.col("url")), F.lit("-")), F.lit("\n"), F.coalesce(F.col("html"), F.lit(""))).cast("binary"))
 
 
 def _lines(pages: DataFrame) -> DataFrame:
@@ -179,7 +233,7 @@ def _lines(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(lines, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int8()))], ["key", "host", "path", "lines", "kinds"])
 
     return pages.select(_key().alias("key"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html").mapInArrow(
-        each, "key long, host string, path string, lines array<long>, kinds array<byte>")
+        each, "key string, host string, path string, lines array<long>, kinds array<byte>")
 
 
 def _in_url_order(lines: DataFrame) -> DataFrame:
@@ -232,9 +286,9 @@ def deletions(pages: DataFrame) -> DataFrame:
                 if found := _shared(own, kinds, near):
                     keys.append(key)
                     gone.append(sorted(found))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
 
-    return work_table(both.mapInArrow(each, "key long, gone array<int>"), "gone")
+    return work_table(both.mapInArrow(each, "key string, gone array<int>"), "gone")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
