@@ -27,7 +27,14 @@ SLACK = 0.12
 BLOCK = 512
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows of x times a power of two each (so nothing is rounded) that brings their largest entry near one: norms and
+    products of the smallest and largest doubles then neither vanish nor overflow, and cosines stay the same."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -115,7 +122,7 @@ def _meet(indexes: dict[int, Index], threshold: float, slack: float):
         if queries.empty or entries.empty:
             return none
         index = indexes[int(entries["width"].iloc[0])]
-        q, x = (np.stack(f["v"].to_numpy()).astype(float) for f in (queries, entries))
+        q, x = (_scaled(np.stack(f["v"].to_numpy()).astype(float)) for f in (queries, entries))
         qn, xn = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
         codes = np.stack([np.frombuffer(c, np.uint8) for c in entries["codes"]])
         cell = int(entries["cell"].iloc[0])
