@@ -252,7 +252,8 @@ class ShardFile:
 
 
 def write_files(docs: DataFrame, path: str, to: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS, least: int = LEAST) -> None:
-    """Writes the files of docs below the folder `to` as rows (part, shard, doc_ids, n_ids, file).
+    """Writes the files of docs below the folder `to` as rows (part, shard, in_part, doc_ids, n_ids, file);
+    in_part counts the ids before the file in its part.
 
     Files of a part and parts follow each other in ascending order of the ids (nulls first; rows with equal ids in any
     order). path names a tokenizer file of the tokenizers library. Every text is encoded whole, null and empty ones have
@@ -266,14 +267,14 @@ def write_files(docs: DataFrame, path: str, to: str, end_id: int = 2, id_col: st
     end = struct.pack("<I", end_id)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, shard = encoder(path), TaskContext.get().partitionId(), 0
+        encode, part, shard, done = encoder(path), TaskContext.get().partitionId(), 0, 0
         names, held, size, id_type = [], [], 0, None
 
         def batch() -> pa.RecordBatch:
             ids = pa.array([pa.array(names, id_type).to_pylist()], pa.list_(id_type))
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), ids, pa.array([size // 4], pa.int64()), pa.array([pack(held, encode.size, end_id, least)], pa.binary())],
-                ["part", "shard", "doc_ids", "n_ids", "file"])
+                [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([done], pa.int64()), ids, pa.array([size // 4], pa.int64()), pa.array([pack(held, encode.size, end_id, least)], pa.binary())],
+                ["part", "shard", "in_part", "doc_ids", "n_ids", "file"])
 
         for b in batches:
             id_type = b.schema.field(0).type
@@ -281,26 +282,24 @@ def write_files(docs: DataFrame, path: str, to: str, end_id: int = 2, id_col: st
                 ids = encode(text.as_py() or "") + end
                 if held and size + len(ids) > 4 * shard_ids:
                     yield batch()
-                    names, held, size, shard = [], [], 0, shard + 1
+                    names, held, size, shard, done = [], [], 0, shard + 1, done + size // 4
                 names.append(name)
                 held.append(ids)
                 size += len(ids)
         if held:
             yield batch()
 
-    rows.mapInArrow(each, f"part int, shard int, doc_ids array<{kind.simpleString()}>, n_ids long, file binary").write.parquet(to)
+    rows.mapInArrow(each, f"part int, shard int, in_part long, doc_ids array<{kind.simpleString()}>, n_ids long, file binary").write.parquet(to)
 
 
 def read_files(spark, at: str) -> DataFrame:
     """The files below a folder with the position of each one's first id among all: (part, shard, start, doc_ids, n_ids, file)."""
     files = spark.read.parquet(at)
-    parts = files.groupBy("part").agg(F.sum("n_ids").alias("total"))  # a row for each task that wrote
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    at_part = parts.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("at"))
-    at_file = files.select("part", "shard", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("in_part"))
-    starts = at_file.join(at_part, "part").select("part", "shard", (F.col("at") + F.col("in_part")).alias("start"))
-    return files.join(starts, ["part", "shard"]).select("part", "shard", "start", "doc_ids", "n_ids", "file")
+    # a row of two numbers for each task that wrote, so one task adds them up and they are broadcast
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("total")).select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("at_part"))
+    placed = files.join(F.broadcast(parts), "part").withColumn("start", F.col("at_part") + F.col("in_part"))
+    return placed.select("part", "shard", "start", "doc_ids", "n_ids", "file")
 
 
 def documents(files: DataFrame, with_ids: bool = False) -> DataFrame:
