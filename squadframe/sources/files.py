@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import re
 import tempfile
 import unicodedata
@@ -111,9 +110,6 @@ def swap_table(spark: SparkSession, name: str, path: str) -> None:
     spark.read.parquet(path).createOrReplaceTempView(name)
 
 
-def cache_name(key: str) -> str:
-    """File name of a cached answer."""
-    return base64.urlsafe_b64encode(key.encode()).decode().rstrip("=") + ".json"
 
 
 @F.pandas_udf(StringType())

@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import Row
 
-from squadframe.sources import files
+from squadframe.sources import files, remote
 
 
 def team(game, key, rank, players=()):
@@ -82,7 +82,7 @@ def test_sinks(spark, tmp_path):
     files.swap_table(spark, "swapped", str(tmp_path / "log"))
     files.swap_table(spark, "swapped", at)
     assert spark.table("swapped").count() == 2
-    assert files.cache_name("a?b>") == "YT9iPg.json"
+    assert remote.cache_name("a?b>") == "YT9iPg.json"
     assert spark.createDataFrame([("ｱﾞＡ①",), (None,)], "x string").select(files.nfkc("x")).collect()[0][0] == "ア゙A1"
 
 
