@@ -12,7 +12,7 @@ QUERIES = {
         stats.official_combat_stats, stats.drop_reason_audit, stats.unmapped_codes, stats.team_dedup_first_wins, stats.weapon_majority_map, stats.stat_id_resolution, stats.tournament_compositions,
         stats.ml_team_features, stats.bayes_character_power, stats.bayes_pair_synergy, stats.official_v2_score, stats.tournament_result_score, stats.official_candidate_score, stats.combat_signal, stats.composition_ranking, stats.stat_id_by_code, stats.tier_buckets, stats.tier_bucket_text,
         votes.vote_upsert_hourly, votes.vote_summary, votes.vote_duplicates, votes.vote_ttl_purge, votes.vote_window_counts, votes.popular_feedback_overall, votes.popular_feedback_recent, votes.character_feedback, votes.relationship_score, votes.feedback_score, state.streamed_first_teams, state.streamed_recent_votes,
-        search.union_combos, search.union_combos_capped, search.full_team_beam, search.pair_stat_fallback, search.union_combos_scored, search.full_team_recommend, search.nearest_template, search.graph_expand_depth2, search.seed_pool_rotation, search.random_seed_sample,
+        search.union_combos, search.union_combos_capped, search.full_team_beam, search.pair_stat_fallback, search.union_combos_scored, search.full_team_recommend, search.nearest_template, search.graph_expand_depth2, search.graph_expand_capped, search.seed_pool_rotation, search.random_seed_sample,
         ranker.ranker_candidate_stats, ranker.ranker_composition_stats, ranker.tier_snapshot_argmax,
         recommend.member_predicates, recommend.team_shape, recommend.team_metric_profile, recommend.score_rules, recommend.score_references, recommend.official_meta_score, recommend.official_fallback_scores, recommend.group_average_fallback, recommend.tier_alias_fallback, recommend.damage_reference, recommend.recommend_topk,
         dashboard.character_ranking, dashboard.character_rank_tiers, dashboard.combined_composition_ranking, dashboard.ranker_composition_ranking, dashboard.official_composition_score,

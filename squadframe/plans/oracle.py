@@ -189,6 +189,12 @@ general as (select candidate_id, sum(likes * case tier when 'all' then 0.65::dou
  s1 as (select distinct b.u from s0 join e a using (u) join e b on a.g = b.g where b.u not in (select u from s0)),
  s2 as (select distinct b.u from s1 join e a using (u) join e b on a.g = b.g where b.u not in (select u from s0 union select u from s1))
  select u, 0 as depth from s0 union all select u, 1 from s1 union all select u, 2 from s2""",
+    "graph_expand_capped": """with e as (select distinct l_suppkey as u, l_orderkey as g from lineitem), own as (select u, g from (select *, row_number() over (partition by u order by g) as k from e) where k <= 12),
+ u0 as (select distinct u from e where u < 3 order by u limit 40), g0 as (select distinct g from own where u in (select u from u0)),
+ u1 as (select distinct u from e where g in (select g from g0) and u not in (select u from u0) order by u limit 40), g1 as (select distinct g from own where u in (select u from u1) and g not in (select g from g0)),
+ u2 as (select distinct u from e where g in (select g from g1) and u not in (select u from u0 union select u from u1) order by u limit 40),
+ g2 as (select distinct g from own where u in (select u from u2) and g not in (select g from g0 union select g from g1))
+ select 'user' as kind, u as id, 0 as level from u0 union all select 'user', u, 1 from u1 union all select 'user', u, 2 from u2 union all select 'game', g, 0 from g0 union all select 'game', g, 1 from g1 union all select 'game', g, 2 from g2""",
     "pair_stat_fallback": _q(_BASE, _CANDIDATE, _pairs("1::decimal(38, 24)"), f"""flat as (select a, b, split_part(a, ':', 1) as ca, split_part(b, ':', 1) as cb, games, win_rate from pair_stats where bucket = 'all'),
 leveled as (select a as x, b as y, games, win_rate from flat where games >= 3 union all select least(v, c), greatest(v, c), sum(games), {_x('games * win_rate')} / sum(games) from (select a as v, cb as c, games, win_rate from flat union all select b, ca, games, win_rate from flat where a <> b) group by v, c having sum(games) >= 20
  union all select least(ca, cb), greatest(ca, cb), sum(games), {_x('games * win_rate')} / sum(games) from flat group by 1, 2),

@@ -29,3 +29,20 @@ def test_stat_id_resolution_reads_the_whole_table(spark, tmp_path):
     spark.createDataFrame(rows, "p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     got = {tuple(x) for x in stats.stat_id_resolution(spark, str(tmp_path)).collect()}
     assert got == {("A", "A:x", "A:x"), ("A", "A:y", "A:y"), ("B", "B:x", "B:x")}
+
+
+def test_capped_walk_against_brute_force(spark):
+    r = random.Random(12)
+    edges = [(r.randrange(40), r.randrange(90)) for _ in range(300)] + [(0, 5), (0, 5)]
+    for depth, games, most in ((0, 3, 9), (1, 2, 4), (2, 3, 6), (3, 100, 100)):
+        own = {u: sorted({g for v, g in edges if v == u})[:games] for u, _ in edges}
+        users, found, added = {}, {}, {0, 1, 2} & {u for u, _ in edges}
+        for level in range(depth + 1):
+            taken = sorted(added)[:most]
+            users |= dict.fromkeys(taken, level)
+            new = {g for u in taken for g in own[u]} - set(found)
+            found |= dict.fromkeys(new, level)
+            added = {u for u, g in edges if g in new} - set(users)
+        table = spark.createDataFrame(edges, "u int, g int")
+        got = {(x["kind"], x["id"]): x["level"] for x in search.capped_walk(table, table.where("u < 3"), depth, games, most).collect()}
+        assert got == {("user", u): k for u, k in users.items()} | {("game", g): k for g, k in found.items()}
