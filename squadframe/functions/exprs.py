@@ -17,6 +17,25 @@ def round_half_up(v: Column, digits: int = 0) -> Column:
     return F.floor(v * k + 0.5) / k
 
 
+def fixed(v: Column, digits: int) -> Column:
+    """Rounded to digits by the exact value of the double, halves away from zero, as fixed-point formatting does.
+
+    The product with a power of ten has an error of its own, which matters just where it lies at a half. The error is
+    itself a double (both factors are split into halves of 26 bits, whose products are exact), and its sign decides there.
+    """
+    k, cut = float(10**digits), 134217729.0
+    k_high = k * cut - (k * cut - k)
+    a = F.abs(v)
+    p, wide = a * k, a * cut
+    high = wide - (wide - a)
+    low = a - high
+    error = ((high * k_high - p) + high * (k - k_high) + low * k_high) + low * (k - k_high)
+    whole = F.floor(p).cast("double")
+    up = (p - whole > 0.5) | ((p - whole == 0.5) & (error >= 0))
+    near = (whole + up.cast("int")) / k
+    return F.when(p >= float(1 << 52), v).otherwise(F.when(v < 0, -near).otherwise(near))
+
+
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 

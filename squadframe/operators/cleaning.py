@@ -146,6 +146,13 @@ def unmapped_code_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.orderBy(F.col("code").cast("int")).offset(5).limit(5)
 
 
+def fixed_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discounts and shares of the line items with two and three digits, by the exact value of the product."""
+    share = F.col("l_extendedprice") * F.col("l_discount")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", X.fixed(share, 2).alias("discount"), X.fixed(share / 8, 2).alias("eighth"), X.fixed(-share / 7, 3).alias("seventh"))
+    return rows.groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("discount", "eighth", "seventh")])
+
+
 def rows_of_ids(df: DataFrame, column: str, low: int | None = None, high: int | None = None, ids: list[int] | None = None) -> DataFrame:
     """Rows whose id lies in a range (either end may be open) and in a list, if there is one. Both reach the scan; a list
     is sent with the plan, so it is one that a user wrote down."""

@@ -17,7 +17,7 @@ QUERIES = {
         recommend.member_predicates, recommend.team_shape, recommend.team_metric_profile, recommend.score_rules, recommend.score_references, recommend.official_meta_score, recommend.official_fallback_scores, recommend.group_average_fallback, recommend.tier_alias_fallback, recommend.damage_reference, recommend.recommend_topk,
         dashboard.character_ranking, dashboard.character_rank_tiers, dashboard.combined_composition_ranking, dashboard.ranker_composition_ranking, dashboard.official_composition_score,
         cleaning.scalar_rules, cleaning.korean_search, cleaning.member_filter, cleaning.feedback_validity, cleaning.ml_manifest, cleaning.roster_normalize, cleaning.name_override_join, cleaning.trait_name_from_order, cleaning.tournament_payload, cleaning.tier_breakdown,
-        cleaning.vote_upsert_daily, cleaning.recovered_votes, cleaning.feedback_union, cleaning.tag_sets, cleaning.unmapped_code_order, cleaning.id_range_scan, cleaning.html_metrics, cleaning.reason_labels, cleaning.preset_names, cleaning.source_scan, cleaning.team_reasons, cleaning.detected_team,
+        cleaning.vote_upsert_daily, cleaning.recovered_votes, cleaning.feedback_union, cleaning.tag_sets, cleaning.unmapped_code_order, cleaning.id_range_scan, cleaning.fixed_digits, cleaning.html_metrics, cleaning.reason_labels, cleaning.preset_names, cleaning.source_scan, cleaning.team_reasons, cleaning.detected_team,
         payload.json_schema_discovery, payload.payload_discovery, payload.payload_arrays, payload.payload_objects, payload.raw_game_teams, payload.payload_coalesce_project,
         text.html_strip, text.name_normalize, text.csv_escape, text.html_escape, text.initial_search, text.feedback_key_parse, text.i18n_render,
     )

@@ -74,6 +74,12 @@ c as (select *, case when l % 10 = 0 then null when core or l between 1 and 4 th
     "tag_sets": _q(_BASE, _CANDIDATE, _PROFILE, f"""t as (select variant, "character", list_filter([{_TAGS}], lambda x: x is not null) as tags from profile), m as (select "character", arg_min(tags, variant) as more from t group by 1)""",
         select=f"""select variant, array_to_string(tags, ' ') as tags, array_to_string(list_filter([{_REQUIRED}], lambda x: not list_contains(tags, x)), ' ') as lacking, array_to_string(list_concat(tags, list_filter(more, lambda x: not list_contains(tags, x))), ' ') as together from t join m using ("character")"""),
     "unmapped_code_order": "select code from (select distinct p_partkey::varchar as code from part where p_size >= 48) order by code::int limit 5 offset 5",
+    # formatting is exact but for halves, which it rounds to even: those are odd eighths (two digits) or sixteenths (three)
+    "fixed_digits": """with v as (select l_orderkey, l_linenumber, l_extendedprice * l_discount as x from lineitem),
+f as (select l_orderkey, l_linenumber, case when x * 8 = floor(x * 8) and (x * 8)::bigint % 2 = 1 then floor(x * 100 + 0.5::double) / 100 else format('{:.2f}', x)::double end as discount,
+ case when x = floor(x) and x::bigint % 2 = 1 then floor(x / 8 * 100 + 0.5::double) / 100 else format('{:.2f}', x / 8)::double end as eighth,
+ -case when x / 7 * 16 = floor(x / 7 * 16) and (x / 7 * 16)::bigint % 2 = 1 then floor(x / 7 * 1000 + 0.5::double) / 1000 else format('{:.3f}', x / 7)::double end as seventh from v)
+ select l_orderkey, l_linenumber, max(discount) as discount, max(eighth) as eighth, max(seventh) as seventh from f group by all""",
     "id_range_scan": "select o_orderkey, o_custkey from orders where o_orderkey >= 100",
     "html_metrics": rf"""with v as (select *, {', '.join(f'(page_id * {k + 2} % 5 + 1)::varchar as v{k}' for k in range(6))} from pages),
 h as (select page_id, replace(replace(replace(replace(replace(replace(coalesce(html, ''), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)) || case when page_id % 6 <> 0 then {_LINE} else '<p>damage 3</p>' end as t from v),

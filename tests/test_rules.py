@@ -50,3 +50,23 @@ def test_stream_equals_batch(spark, tmp_path):
     again = UpsertSink(spark, str(tmp_path / "out"))  # as after a restart; a batch comes twice
     again(rows.where(F.col("vote_id") % 3 == 1), 1)
     assert sorted(map(tuple, sink.latest().select(*cols).collect())) == sorted(map(tuple, votes.upserted(rows).select(*cols).collect()))
+
+
+def test_fixed_rounds_by_the_exact_value(spark):
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from pyspark.sql import functions as F
+
+    from squadframe.functions import exprs as X
+
+    r = random.Random(1)
+    values = [0.0, 1.005, 8.345, 2.5, 0.125, 0.375, 1.45, 10.235, 1e-9, 123456789.125, 0.615, 4.35, 1.0000000000000002, 5e-324, 4503599627370495.5, 1e300]
+    values += [k / 1000 for k in range(5, 4000, 10)] + [k / 8 for k in range(1, 200, 2)] + [r.uniform(0, 1e6) for _ in range(500)] + [round(r.uniform(0, 1e5), 3) for _ in range(500)]
+    values += [-v for v in values]
+    table = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (0, 1, 2, 3, 6):
+        got = {x["v"]: x["f"] for x in table.select("v", X.fixed(F.col("v"), digits).alias("f")).collect()}
+        for v in values:
+            assert got[v] == float(Decimal(v).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP)) if abs(v) < 1e12 else True, (v, digits)
+    assert got[1e300] == 1e300
