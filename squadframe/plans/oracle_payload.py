@@ -24,8 +24,8 @@ said as (select g.game_id, n, shape, row_keys, sub, case g.game_id % 5 when 4 th
  union all select shape || '.[].traitFirstSub', game_id, 2 from users join game using (game_id) where spot < 3 and l_partkey % 4 <> 1
  union all select 'meta.servers', game_id, 2 from game where game_id % 2 = 0 union all select 'meta.servers.[]', game_id, unnest([2, 1]) from game where game_id % 2 = 0)""",
         select="select path, count(distinct game_id) as payloads, sum(items)::bigint as items, max(items)::int as longest from listed group by path"),
-    "payload_objects": _q(_USERS, """inside as (select game_id, min_by(l_suppkey, spot) filter (l_suppkey % 4 = 0) as supp, count(*) as objects, min_by(l_partkey, spot) as first_code, max_by(p_name, spot) as last_name from users group by game_id)""",
-        select="""select game_id, case when game_id % 2 = 0 and (shape > 'meta' or supp is null) then game_id::varchar else supp::varchar end as user_id, objects, first_code::varchar as first_code, last_name from inside join game using (game_id)"""),
+    "payload_objects": _q(_USERS, """inside as (select game_id, min_by(l_suppkey, spot) filter (l_suppkey % 4 = 0 and l_suppkey <> 0) as supp, count(*) as objects, min_by(l_partkey, spot) as first_code, max_by(p_name, spot) as last_name from users group by game_id)""",
+        select="""select game_id, case when game_id % 2 = 0 and game_id <> 0 and (shape > 'meta' or supp is null) then game_id::varchar else supp::varchar end as user_id, objects, first_code::varchar as first_code, last_name from inside join game using (game_id)"""),
     "raw_game_teams": _q(_USERS, """kept as (select * from users where l_partkey % 97 <> 0 and l_partkey % 89 <> 0)""",
         select=f"""select game_id, team::varchar as team_key, min_by(team + l_linenumber - 1, spot)::int as placement, min_by(l_returnflag = 'A', spot) or min_by(team + l_linenumber - 1, spot) = 1 as win, min_by(team + l_linenumber - 1, spot) <= 3 as top3,
  min_by(l_linenumber * 10, spot)::int as matching_mode, count(*)::int as n_players, string_agg((l_partkey % 88 + 1)::varchar, ',' order by spot) as characters, string_agg((case when l_linenumber % 2 = 0 then p_size % 7 else p_size % 5 end)::varchar, ',' order by spot) as weapons,
