@@ -7,10 +7,10 @@ are shuffled, sorted and matched; fingerprints that share one link to the least
 so a variant shared by k fingerprints gives k - 1 links, not k squared; every link is real and no connection between two
 fingerprints is lost.
 
-Three bits is near identity. Where texts are to be caught from a Jaccard similarity on (keep_one), several short
-fingerprints find the candidates: each is a hash of ROWS minima over the text's shingles, two texts of similarity s
-share one with probability 1 - (1 - s^ROWS)^BANDS (0.9996 at 0.8), and every candidate is confirmed by the Jaccard
-similarity of the shingles themselves.
+Three bits is near identity. Where texts are to be caught from a Jaccard similarity on (keep_one), the ball's links are
+candidates, and several short fingerprints find those that the ball can't: each is a hash of ROWS minima over the text's
+shingles, two texts of similarity s share one with probability 1 - (1 - s^ROWS)^BANDS (0.9996 at 0.8). Every candidate
+is confirmed by the Jaccard similarity of the shingles themselves.
 """
 
 from __future__ import annotations
@@ -210,18 +210,33 @@ def sketch(text: str | None, words_per_shingle: int = 5) -> tuple[int, np.ndarra
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int) -> DataFrame:
-    """(doc_id, sum, fp, bands), fp being the digest of the shingle set; one row per row of docs."""
+    """(doc_id, sum, fp, bands, sim), fp being the digest of the shingle set and sim the 64-bit fingerprint (signed); one
+    row per row of docs."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [sketch(x.as_py(), words_per_shingle) for x in batch.column(2)]
+            made = [(*sketch(x.as_py(), words_per_shingle), fingerprint(x.as_py(), words_per_shingle)) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x for x, _ in made], pa.int64()), pa.array([x for _, x in made], pa.list_(pa.int64()))],
-                ["doc_id", "sum", "fp", "bands"])
+                [batch.column(0), batch.column(1), pa.array([x for x, _, _ in made], pa.int64()), pa.array([x for _, x, _ in made], pa.list_(pa.int64())), pa.array(np.array([x for _, _, x in made], np.uint64).view(np.int64))],
+                ["doc_id", "sum", "fp", "bands", "sim"])
+            del made
+            pa.default_memory_pool().release_unused()
 
-    return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(each, f"doc_id {kind}, sum long, fp long, bands array<long>")
+    return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(each, f"doc_id {kind}, sum long, fp long, bands array<long>, sim long")
+
+
+def _ball(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of shingle sets (fp) whose fingerprints (sim) differ in 3 bits or fewer: the least set of each
+    fingerprint with those of the fingerprints it links to, and with the others of its own."""
+    sets = rows.select("fp", "sim").distinct()
+    least = work_table(sets.groupBy("sim").agg(F.min("fp").alias("least")), "least")
+    own = sets.join(least, "sim").where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b"))
+    found = links(least.select(F.col("sim").alias("fp")))
+    for k in "ab":
+        found = found.join(least.select(F.col("sim").alias(k), F.col("least").alias(f"set_{k}")), k)
+    return own.unionByName(found.where("set_a <> set_b").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"))).distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words_per_shingle: int) -> DataFrame:
@@ -235,6 +250,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words_per_shingle: int) -> Da
                 both = len(x & y)
                 alike.append(both >= SIMILAR * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
+            pa.default_memory_pool().release_unused()
 
     left, right = (texts.select(F.col("fp").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(each, "a long, b long")
@@ -244,10 +260,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row of docs: doc_id, sum, fp (digest of the shingle set), component_id, kept, as near_groups, under links
     between texts whose shingle sets have a Jaccard similarity of SIMILAR or more.
 
-    Texts that share a short fingerprint are candidates. In a group of k the k - 1 pairs with the least of them and
-    the k - 1 pairs of neighbours are tried, in every group again: each link is real, a pair can stay untried only
-    where it shares its groups with others. First each text is tried with the least of all its groups; pairs that this
-    has connected are not read again.
+    Texts whose fingerprints link in the ball are candidates, and texts that share a short fingerprint. In a group of k
+    of these the k - 1 pairs with the least of them and the k - 1 pairs of neighbours are tried, in every group again:
+    each link is real, a pair can stay untried only where it shares its groups with others. First each text is tried
+    with the least of all its groups; pairs that this has connected are not read again.
     """
     made = _sketches(docs, id_col, text_col, words_per_shingle).withColumn("row", F.monotonically_increasing_id())
     rows = work_table(made, "sketches")
@@ -257,14 +273,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tried = work_table(met.groupBy("a", "hub", "prev").count().drop("count"), "tried")
     first = work_table(tried.groupBy("a").agg(F.min("hub").alias("b")), "first")
 
-    used = tried.select("a").union(tried.select("hub")).union(tried.select("prev")).distinct().withColumnRenamed("a", "fp")
+    ball = work_table(_ball(rows), "ball")
+
+    used = tried.select("a").union(tried.select("hub")).union(tried.select("prev")).union(ball.select("a")).union(ball.select("b")).distinct().withColumnRenamed("a", "fp")
     one = rows.groupBy("fp").agg(F.min("sum").alias("sum")).join(used, "fp")
     text = docs.select(F.xxhash64(text_col).alias("sum"), F.col(text_col).alias("text"))
     texts = work_table(text.join(one, "sum").dropDuplicates(["fp"]).select("fp", "text"), "texts")
 
     found = work_table(_confirmed(first, texts, words_per_shingle), "found")
     under = found.select(F.col("a").alias("node"), F.col("b").alias("top"))
-    rest = tried.select("a", F.explode(F.array("hub", "prev")).alias("b")).distinct()
+    rest = tried.select("a", F.explode(F.array("hub", "prev")).alias("b")).union(ball).distinct()
     for k in "ab":
         rest = rest.join(under.select(F.col("node").alias(k), F.col("top").alias(f"top_{k}")), k, "left").withColumn(f"top_{k}", F.coalesce(f"top_{k}", k))
     rest = work_table(rest.where("top_a <> top_b").select("a", "b").join(first, ["a", "b"], "left_anti"), "rest")
