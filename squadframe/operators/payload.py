@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import exprs as X
 from ..sources.adapter import game_payloads, table
-from ..sources.files import json_paths, written
+from ..sources.files import json_paths
 
 # The names under which payloads give the same field, in the order in which they are tried.
 SHAPES = ["userGames", "games", "gameDetails", "data"]
@@ -40,89 +45,169 @@ def first_value(row: str, names: Iterable[str], kind: str = "string") -> Column:
     return found.try_cast(kind)
 
 
-def array_of(value: str | Column) -> Column:
-    """A variant as an array of variants, null if it is none."""
-    return F.try_variant_get(value, "$", "array<variant>")
+class Number(str):
+    """A number of a JSON text as it is written."""
 
 
-def fields_of(value: str | Column) -> Column:
-    """The names of a variant object in their order (the variant's: by name), null if it is none."""
-    return F.map_keys(F.try_variant_get(value, "$", "map<string, variant>"))
+def _object(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise ValueError("a key is there twice")
+    return out
 
 
-def walk(payloads: DataFrame, id_col: str, column: str, stop: Column | None = None, items: int | None = None) -> list[DataFrame]:
-    """The arrays and objects of JSON payloads, one table for each depth: id_col, parts (keys on the way, [] for an item),
-    place (positions on the way), value (variant).
+def _no_number(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
 
-    Nodes where stop holds (an expression over value) aren't looked into, nor are the items of an array after the first
-    `items`. Fields come by name, which the variant type sorts. Every level is written, so that a level's plan is short;
-    the loop ends with the deepest payload. What is no JSON has no node.
-    """
-    spark = payloads.sparkSession
-    holds = array_of("value").isNotNull() | fields_of("value").isNotNull()
-    level = payloads.select(id_col, F.array().cast("array<string>").alias("parts"), F.array().cast("array<int>").alias("place"), F.try_parse_json(column).alias("value")).where(holds)
-    levels = []
-    while True:
-        levels.append(written(level, "nodes"))
-        inner = levels[-1] if stop is None else levels[-1].where(~F.coalesce(stop, F.lit(False)))
-        if inner.isEmpty():
-            return levels
-        each = inner.withColumnRenamed("value", "held").lateralJoin(spark.tvf.variant_explode(F.col("held").outer()))
-        if items is not None:
-            each = each.where(F.col("key").isNotNull() | (F.col("pos") < items))
-        level = each.select(id_col, F.concat("parts", F.array(F.coalesce("key", F.lit("[]")))).alias("parts"), F.concat("place", F.array("pos")).alias("place"), "value").where(holds)
+
+_READ = json.JSONDecoder(object_pairs_hook=_object, parse_int=Number, parse_float=Number, parse_constant=_no_number)
+
+
+def read_json(text: str | None) -> Any:
+    """A JSON text's value, None if it is none."""
+    try:
+        return _READ.raw_decode((text or "").lstrip(" \t\n\r"))[0]
+    except (ValueError, RecursionError):
+        return None
+
+
+def json_text(value: Any) -> str:
+    """The JSON of what read_json gives."""
+    if isinstance(value, Number):
+        return str(value)
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k)}:{json_text(x)}" for k, x in value.items()) + "}"
+    return "[" + ",".join(map(json_text, value)) + "]" if isinstance(value, list) else json.dumps(value)
+
+
+def names_in(value: dict[str, Any]) -> list[str]:
+    """The names of an object's fields in the order of Spark's strings in variants (UTF-16)."""
+    return sorted(value) if all(map(str.isascii, value)) else sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
+
+
+def said(value: Any, names: Iterable[str]) -> Any:
+    """The first field among the names that is neither null nor an empty text, None if there is none."""
+    if isinstance(value, dict):
+        for n in names:
+            x = value.get(n)
+            if x is not None and (x != "" or not isinstance(x, str)):
+                return x
+    return None
+
+
+def walk(value: Any, stop: Callable[[Any], bool] | None = None, items: int | None = None) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], Any]]:
+    """The arrays and objects of a value on the way down: parts (keys on the way, [] for an item), place (positions on
+    the way) and the value itself. Fields come by name. Nodes where stop holds aren't looked into, nor are the items of an
+    array after the first `items`."""
+    nodes = [((), (), value)] if isinstance(value, (list, dict)) else []
+    while nodes:
+        parts, place, held = nodes.pop()
+        yield parts, place, held
+        if stop is not None and stop(held):
+            continue
+        inner = [("[]", x) for x in held[:items]] if isinstance(held, list) else [(k, held[k]) for k in names_in(held)]
+        nodes += [((*parts, k), (*place, i), x) for i, (k, x) in reversed(list(enumerate(inner))) if isinstance(x, (list, dict))]
+
+
+def looked_into(payloads: DataFrame, id_col: str, column: str, found: Callable[[Any], tuple], kinds: str) -> DataFrame:
+    """id_col and what found gives for each payload's value (columns as in kinds), row by row where the payloads are."""
+    payloads, out = payloads.select(id_col, column), StructType.fromDDL(kinds)
+    names, types = out.names, to_arrow_schema(out)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                made = [found(read_json(x.as_py())) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([x[k] for x in made], types.field(k).type) for k in range(len(names))]], [id_col, *names])
+
+    return payloads.mapInArrow(each, StructType([payloads.schema[id_col], *out]))
+
+
+def _arrays(value: Any) -> list[dict[str, Any]]:
+    """Every array with an item, on the way down."""
+    return [
+        {"path": plain(".".join(parts)) if parts else "$", "place": place, "row_count": len(x), "sample_keys": list(map(plain, names_in(x[0]))) if isinstance(x[0], dict) else []}
+        for parts, place, x in walk(value, items=LOOKED_AT) if isinstance(x, list) and x
+    ]
+
+
+def plain(text: str) -> str:
+    """Text that UTF-8 can hold: half a pair of surrogates becomes a question mark."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()
 
 
 def arrays_in(payloads: DataFrame, id_col: str, column: str) -> DataFrame:
     """Every array with an item: id_col, path (`$` for the payload itself), place, row_count, sample_keys (of the first
     item, if it is an object)."""
-    found = None
-    for level in walk(payloads, id_col, column, items=LOOKED_AT):
-        some = level.withColumn("rows", array_of("value")).where("size(rows) > 0")
-        keys = F.coalesce(fields_of(F.element_at("rows", 1)), F.array().cast("array<string>"))
-        one = some.select(id_col, F.when(F.size("parts") > 0, F.array_join("parts", ".")).otherwise("$").alias("path"), "place", F.size("rows").alias("row_count"), keys.alias("sample_keys"))
-        found = one if found is None else found.unionByName(one)
-    return found
+    found = looked_into(payloads, id_col, column, lambda value: (_arrays(value),), "found array<struct<path: string, place: array<int>, row_count: int, sample_keys: array<string>>>")
+    return found.select(id_col, F.inline("found"))
+
+
+def _summary(value: Any) -> tuple:
+    best = max(_arrays(value), key=lambda x: x["row_count"], default={"path": None, "row_count": 0, "sample_keys": []})
+    return list(map(plain, names_in(value))) if isinstance(value, dict) else [], best["path"], best["row_count"], best["sample_keys"]
 
 
 def payload_summary(payloads: DataFrame, id_col: str, column: str) -> DataFrame:
     """Per payload: its keys, and path, length and keys of its longest array (of equal ones the first on the way down)."""
-    best = arrays_in(payloads, id_col, column).groupBy(id_col).agg(F.min_by(F.struct("path", "row_count", "sample_keys"), F.struct(-F.col("row_count"), F.col("place"))).alias("x"))
-    own = payloads.select(id_col, F.coalesce(fields_of(F.try_parse_json(column)), F.array().cast("array<string>")).alias("payload_keys"))
-    return own.join(best, id_col, "left").select(id_col, "payload_keys", F.col("x.path").alias("path"), F.coalesce("x.row_count", F.lit(0)).alias("row_count"), F.coalesce("x.sample_keys", F.array().cast("array<string>")).alias("sample_keys"))
+    return looked_into(payloads, id_col, column, _summary, "payload_keys array<string>, path string, row_count int, sample_keys array<string>")
+
+
+def _named(value: Any, codes: list[str], names: list[str]) -> list[tuple[tuple[int, ...], Any, Any, Any]]:
+    """(place, code, name, object) of the outermost objects that have a code and a name, on the way down."""
+    out, has = [], False
+    for _, place, x in walk(value, lambda _: has):
+        code = said(x, codes)
+        name = None if code is None else said(x, names)
+        if has := name is not None:
+            out.append((place, code, name, x))
+    return out
+
+
+#: What _named gives, as JSON; how a value of it reads as text is the variant's own rule.
+_NAMED = "array<struct<place: array<int>, code: string, name: string, value: string>>"
+
+
+def as_text(value: str | Column) -> Column:
+    return F.try_variant_get(F.try_parse_json(value), "$", "string")
 
 
 def named_objects(payloads: DataFrame, id_col: str, column: str, codes: list[str] = CODES, names: list[str] = NAMES) -> DataFrame:
     """The outermost objects that have a code and a name: id_col, place, code, name, value."""
-    code, name = first_value("value", codes), first_value("value", names)
-    found = None
-    for level in walk(payloads, id_col, column, stop=code.isNotNull() & name.isNotNull()):
-        one = level.select(id_col, "place", code.alias("code"), name.alias("name"), "value").where("code is not null and name is not null")
-        found = one if found is None else found.unionByName(one)
-    return found
+    def each(value: Any) -> tuple:
+        return ([{"place": place, "code": json_text(code), "name": json_text(name), "value": json_text(x)} for place, code, name, x in _named(value, codes, names)],)
+
+    found = looked_into(payloads, id_col, column, each, f"found {_NAMED}").select(id_col, F.inline("found"))
+    return found.select(id_col, "place", as_text("code").alias("code"), as_text("name").alias("name"), F.try_parse_json("value").alias("value"))
+
+
+def _user(value: Any) -> str | None:
+    """The first user id as JSON; 0 and false are none."""
+    for _, _, x in walk(value):
+        own = said(x, USER)
+        zero = isinstance(own, Number) and not own.strip("-0.")
+        if own is not None and own is not False and not zero and own not in ("0", "false"):
+            return json_text(own)
+    return None
 
 
 def user_ids(payloads: DataFrame, id_col: str, column: str) -> DataFrame:
     """Per payload the first user id (0 is none) on the way down: an object's own before those inside it, fields by name."""
-    said = first_value("value", USER)
-    own = F.when(~said.isin("0", "false"), said)
-    found = None
-    for level in walk(payloads, id_col, column, stop=own.isNotNull()):
-        one = level.select(id_col, "place", own.alias("user_id")).where("user_id is not null")
-        found = one if found is None else found.unionByName(one)
-    best = found.groupBy(id_col).agg(F.min_by("user_id", "place").alias("user_id"))
-    return payloads.select(id_col).join(best, id_col, "left")
+    return looked_into(payloads, id_col, column, lambda value: (_user(value),), "user_id string").select(id_col, as_text("user_id").alias("user_id"))
 
 
 def game_rows(payloads: DataFrame, game_col: str, column: str) -> DataFrame:
     """(game_col, at, row) of the payload's rows of users, under whichever of the names is there; at is the place."""
     spark = payloads.sparkSession
-    parsed = payloads.select(game_col, F.try_parse_json(column).alias("_payload"))
+    # an explode of one value, so that it is parsed once: what is asked of it would be asked of the text, each time anew
+    parsed = payloads.select(game_col, F.explode(F.array(F.try_parse_json(column))).alias("_payload"))
     # a null under one name leaves the next its turn, an empty array doesn't
     named = [F.try_variant_get("_payload", f"$.{n}", "variant") for n in SHAPES]
     held = F.coalesce(*[F.when(~F.is_variant_null(x), x) for x in named])
-    rows = parsed.select(game_col, held.alias("_rows")).where(array_of("_rows").isNotNull())
-    return rows.lateralJoin(spark.tvf.variant_explode(F.col("_rows").outer())).select(game_col, F.col("pos").alias("at"), F.col("value").alias("row"))
+    rows = parsed.select(game_col, F.explode(F.array(held)).alias("_rows"))
+    each = rows.lateralJoin(spark.tvf.variant_explode(F.col("_rows").outer())).where("key is null and pos is not null")  # items of arrays
+    return each.select(game_col, F.col("pos").alias("at"), F.col("value").alias("row"))
 
 
 def assembled_teams(rows: DataFrame, game_col: str, least: int = 2) -> DataFrame:
@@ -166,9 +251,12 @@ def payload_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payload_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects with a code and a name in every game's payload, and the first user id of the payload."""
-    payloads = game_payloads(spark, sf_dir)
-    named = named_objects(payloads, "game_id", "payload").groupBy("game_id").agg(F.count("*").alias("objects"), F.min_by("code", "place").alias("first_code"), F.max_by("name", "place").alias("last_name"))
-    return user_ids(payloads, "game_id", "payload").join(named, "game_id", "left").select("game_id", "user_id", F.coalesce("objects", F.lit(0)).alias("objects"), "first_code", "last_name")
+    def both(value: Any) -> tuple:
+        named = _named(value, CODES, NAMES)
+        return _user(value), len(named), json_text(named[0][1]) if named else None, json_text(named[-1][2]) if named else None
+
+    found = looked_into(game_payloads(spark, sf_dir), "game_id", "payload", both, "user_id string, objects long, first_code string, last_name string")
+    return found.select("game_id", "objects", *[as_text(c).alias(c) for c in ("user_id", "first_code", "last_name")])
 
 
 def raw_game_teams(spark: SparkSession, sf_dir: str) -> DataFrame:

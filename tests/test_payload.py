@@ -86,3 +86,15 @@ def test_teams_from_a_file(spark, tmp_path):
     files = spark.read.text(str(tmp_path), wholetext=True).select(F.regexp_extract(F.input_file_name(), r"(\d+)\.json$", 1).alias("game_id"), "value")
     teams = payload.assembled_teams(payload.game_rows(files, "game_id", "value"), "game_id").collect()
     assert [(t["game_id"], t["rank"], len(t["players"])) for t in teams] == [("7", 1, 3)]
+
+
+def test_payloads_are_read_where_they_are(spark):
+    """Discovery and search read each payload once: no shuffle, no table of nodes."""
+    table = spark.createDataFrame(list(enumerate(ODD)), "id int, p string")
+    for found in (payload.payload_summary, payload.arrays_in, payload.named_objects, payload.user_ids):
+        plan = found(table, "id", "p")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan and "nodes-" not in plan
+    odd = ['{"uid":0.0}', '{"uid":0.0,"x":{"uid":"0.0"}}', '{"uid":1.50}', '{"":[1]}', '{"a":[1],"a":[2]}', '{"a":[1,2]} more', '{"uid":NaN}']
+    table = spark.createDataFrame(list(enumerate(odd)), "id int, p string")
+    assert {r["id"]: r["user_id"] for r in payload.user_ids(table, "id", "p").collect()} == {0: None, 1: "0.0", 2: "1.5", 3: None, 4: None, 5: None, 6: None}
+    assert sorted((r["id"], r["path"], r["row_count"]) for r in payload.arrays_in(table, "id", "p").collect()) == [(3, "", 1), (5, "a", 2)]
