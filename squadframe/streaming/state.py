@@ -25,30 +25,31 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
-class FirstWins(StatefulProcessor):
-    """Emits the first row of a key, by the columns of its order, and nothing of it ever again."""
-
-    def __init__(self, order: list[str]):
-        self.order = order
+def first_wins(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The stream's rows without those whose key has come before: of rows that arrive together the first by `order`
+    stays, and what a later batch brings of a known key changes nothing. The order columns must not be null. To be
+    written in mode `update`, as keep_first does.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "there boolean")
+    One aggregate holds the first row of a key, by the time of the batch and then by order, and the time of the newest
+    batch that brought the key. Of the keys that a batch touches, those are new whose first and newest batch are the same.
+    A batch's time is in its log, so a replay has the same.
+    """
+    use_state_store(stream.sparkSession)
+    others = [c for c in stream.columns if c not in keys and c not in order]
+    rows = stream.withColumn("at_batch", F.current_timestamp())
+    known = rows.groupBy(*keys).agg(F.min(F.struct("at_batch", *order, F.struct(F.lit(0), *others).alias("others"))).alias("first"), F.max("at_batch").alias("newest"))
+    held = {c: f"first.others.{c}" for c in others} | {c: f"first.{c}" for c in order} | {c: c for c in keys}
+    return known.where("newest = first.at_batch").select(*[F.col(held[c]).alias(c) for c in stream.columns])
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        first = min(rows, key=lambda r: tuple(r[c] for c in self.order), default=None)
-        if first is not None and not self.seen.exists():
-            self.seen.update((True,))
-            yield first
 
-    def close(self) -> None:
-        pass
+def keep_first(firsts: DataFrame, to: str, checkpoint: str, trigger: dict[str, Any] | None = None):
+    """Starts the stream that adds what first_wins lets through to the table at `to`, each batch as a partition of its
+    own, so a batch that is replayed replaces what it wrote."""
 
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{to}/batch={number}")
 
-def first_wins(stream: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The stream's rows without those whose key has come before: of rows that arrive together the first by `order`
-    stays, and what a later batch brings of a known key changes nothing. The order columns must not be null."""
-    use_state_store(stream.sparkSession)
-    return stream.groupBy(*keys).transformWithState(statefulProcessor=FirstWins(order), outputStructType=stream.schema, outputMode="Append", timeMode="None")
+    return firsts.writeStream.foreachBatch(add).outputMode("update").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def arriving_teams(spark: SparkSession, folder: str, files_at_once: int | None = None) -> DataFrame:
@@ -62,11 +63,10 @@ def arriving_teams(spark: SparkSession, folder: str, files_at_once: int | None =
 def accumulate(spark: SparkSession, folder: str, to: str, checkpoint: str, trigger: dict[str, Any] | None = None, files_at_once: int | None = None):
     """Starts the stream that adds the teams of arriving files to the table at `to`, each (gameId, teamKey) once.
 
-    trigger is what DataStreamWriter.trigger takes; by default all that is there is taken and the stream ends. The table
-    is written with the checkpoint's log, so a batch that is replayed adds nothing.
+    trigger is what DataStreamWriter.trigger takes; by default all that is there is taken and the stream ends.
     """
     teams = first_wins(arriving_teams(spark, folder, files_at_once), ["gameId", "teamKey"], ["arrived", "file", "at"])
-    return teams.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start(to)
+    return keep_first(teams, to, checkpoint, trigger)
 
 
 class RecentVotes(StatefulProcessor):
@@ -130,7 +130,9 @@ def _run(out: DataFrame, name: str) -> DataFrame:
 def streamed_first_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First wins over the orders as they arrive: of each customer and day the order with the lowest key."""
     rows = _as_stream(spark, sf_dir, "orders").selectExpr("o_custkey", "cast(o_orderdate as date) as day", "o_orderkey", "o_totalprice")
-    return _run(first_wins(rows, ["o_custkey", "day"], ["o_orderkey"]), "first")
+    firsts, to = first_wins(rows, ["o_custkey", "day"], ["o_orderkey"]), shared_folder(spark, "streams/first")
+    keep_first(firsts, f"{to}/rows", f"{to}/checkpoint").awaitTermination()
+    return spark.read.schema(firsts.schema).parquet(f"{to}/rows").select(*firsts.columns)
 
 
 def streamed_recent_votes(spark: SparkSession, sf_dir: str) -> DataFrame:

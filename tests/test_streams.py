@@ -101,3 +101,16 @@ def test_delivery_of_a_stream(spark, tmp_path):
         delivery.deliver(spark.readStream.schema(schema).parquet(inbox), queue, str(tmp_path / "log"), {"availableNow": True}).awaitTermination()
     assert sorted((r.id, r.batch) for r in queue.delivered().collect()) == [("a", 0), ("b", 1), ("d", 2)]
     assert [tuple(r) for r in queue.waiting().collect()] == [("c", 2, 2)]
+
+
+def test_first_wins_keeps_its_state_without_python(spark, tmp_path):
+    """A key's first row stays over restarts, nulls among what it carries included, and no row passes through Python."""
+    inbox, schema = str(tmp_path / "in"), "k long, at long, v string"
+    for rows in ([(1, 5, "b"), (1, 2, None), (2, 9, "c"), (None, 1, "n")], [(1, 1, "late"), (3, 1, "d"), (3, 0, "e"), (None, 0, "late")], [(2, 0, "late")]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(inbox)
+        firsts = state.first_wins(spark.readStream.schema(schema).parquet(inbox), ["k"], ["at"])
+        stream = state.keep_first(firsts, str(tmp_path / "out"), str(tmp_path / "log"))
+        stream.awaitTermination()
+        assert "InPandas" not in stream._jsq.explainInternal(False)
+    got = spark.read.parquet(str(tmp_path / "out")).select("k", "at", "v").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 2, None), (2, 9, "c"), (None, 1, "n"), (3, 0, "e")], key=str)
