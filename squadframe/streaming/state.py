@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -69,50 +71,80 @@ def accumulate(spark: SparkSession, folder: str, to: str, checkpoint: str, trigg
     return keep_first(teams, to, checkpoint, trigger)
 
 
+#: Slices that the keys of votes are dealt to; a slice's keys are one value in the state store.
+SLICES = 2048
+
+
 class RecentVotes(StatefulProcessor):
     """Flags votes whose key voted before in the same hour. A key's state is its newest hour; when the watermark passes
-    the end of that hour, the state is dropped and an `expired` row says so."""
+    the end of that hour, the state is dropped and an `expired` row says so.
+
+    The keys of a slice are handled together as a frame, so a vote costs no call of its own to the state store: their
+    newest hours are one value, with one timer for the earliest of their ends.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.hour = handle.getValueState("hour", "bucket string, ends long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        held = self.hour.get()
-        newest, ends = (held[0], held[1]) if held is not None else ("", 0)
-        met = {newest}
-        for r in sorted(rows, key=lambda r: (r["ts"], r["vote_id"])):
-            yield Row(**dict(zip(KEY, key, strict=True)), vote_id=r["vote_id"], bucket=r["bucket"], kind="vote", was_duplicate=r["bucket"] in met)
-            met.add(r["bucket"])
-            if r["bucket"] > newest:
-                newest, ends = r["bucket"], r["ends"]
-        if held is None or held[0] != newest:
-            if held is not None:
-                self.handle.deleteTimer(held[1])
-            self.hour.update((newest, ends))
-            self.handle.registerTimer(ends)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        held = self.hour.get()
-        if held is not None and held[1] <= expiredTimerInfo.getExpiryTimeInMs():
-            self.hour.clear()
-            yield Row(**dict(zip(KEY, key, strict=True)), vote_id=None, bucket=held[0], kind="expired", was_duplicate=None)
+        self.held = handle.getValueState("hours", "hours binary, next long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        state = self.held.get()
+        votes = pd.concat(list(rows), ignore_index=True)
+        votes = votes.sort_values(["at", "vote_id"], kind="stable", ignore_index=True)
+        known = [*KEY, "bucket", "ends"]
+        hours = self._read(state)
+        both = votes if hours is None else pd.concat([hours[known], votes], ignore_index=True)
+        # known hours come first, so that a vote of one is a repetition
+        repeated = both.duplicated([*KEY, "bucket"]).to_numpy()[len(both) - len(votes):]
+        yield votes[[*KEY, "vote_id", "bucket"]].assign(kind="vote", was_duplicate=repeated)
+        newest = both.sort_values("bucket", kind="stable")[known].drop_duplicates(KEY, keep="last")
+        self._keep(newest, state)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        state = self.held.get()
+        hours = self._read(state)
+        if hours is not None:
+            over = hours["ends"] <= timerValues.getCurrentWatermarkInMs()
+            self._keep(hours[~over], None)
+            yield hours.loc[over, [*KEY, "bucket"]].assign(vote_id=None, kind="expired", was_duplicate=None)[[*KEY, "vote_id", "bucket", "kind", "was_duplicate"]]
+
+    @staticmethod
+    def _read(state: tuple | None) -> pd.DataFrame | None:
+        return None if state is None else pa.ipc.open_stream(bytes(state[0])).read_pandas()
+
+    def _keep(self, hours: pd.DataFrame, state: tuple | None) -> None:
+        """Keeps the hours and moves the timer, if the earliest end is another than that of the state held before."""
+        if not len(hours):
+            self.held.clear()
+            return
+        table, sink = pa.Table.from_pandas(hours, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        first = int(hours["ends"].min())
+        if state is None or state[1] != first:
+            if state is not None:
+                self.handle.deleteTimer(state[1])
+            self.handle.registerTimer(first)
+        self.held.update((sink.getvalue().to_pybytes(), first))
 
     def close(self) -> None:
         pass
 
 
-def recent_votes(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
+def recent_votes(stream: DataFrame, delay: str = "1 hour", slices: int = SLICES) -> DataFrame:
     """Every vote of the stream with was_duplicate, and a row of kind `expired` when a key's hour is over and forgotten.
 
-    ts is a timestamp; votes that come later than the delay are dropped by the watermark.
+    ts is a timestamp; votes that come later than the delay are dropped by the watermark. The number of slices is part of
+    the state: a stream goes on with the number it began with.
     """
     use_state_store(stream.sparkSession)
     ends = F.unix_millis(F.date_trunc("hour", F.col("ts")) + F.expr("interval 1 hour"))
     rows = stream.select(*KEY, "vote_id", "ts", vote_bucket(F.col("ts")).alias("bucket"), ends.alias("ends")).withWatermark("ts", delay)
-    kinds = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in KEY)
-    out = f"{kinds}, vote_id {stream.schema['vote_id'].dataType.simpleString()}, bucket string, kind string, was_duplicate boolean"
-    return rows.groupBy(*KEY).transformWithState(statefulProcessor=RecentVotes(), outputStructType=out, outputMode="Append", timeMode="EventTime")
+    # keys as text: frames would make numbers with nulls among them doubles; and times of any year sort as microseconds
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64(*KEY), F.lit(slices)).cast("int")).withColumn("at", F.unix_micros("ts")).withColumns({c: F.col(c).cast("string") for c in KEY})
+    out = ", ".join(f"{c} string" for c in KEY) + f", vote_id {stream.schema['vote_id'].dataType.simpleString()}, bucket string, kind string, was_duplicate boolean"
+    flagged = rows.groupBy("slice").transformWithStateInPandas(statefulProcessor=RecentVotes(), outputStructType=out, outputMode="Append", timeMode="EventTime")
+    return flagged.withColumns({c: F.col(c).cast(stream.schema[c].dataType) for c in KEY})
 
 
 def _as_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

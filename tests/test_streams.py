@@ -114,3 +114,16 @@ def test_first_wins_keeps_its_state_without_python(spark, tmp_path):
         assert "InPandas" not in stream._jsq.explainInternal(False)
     got = spark.read.parquet(str(tmp_path / "out")).select("k", "at", "v").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, 2, None), (2, 9, "c"), (None, 1, "n"), (3, 0, "e")], key=str)
+
+
+def test_votes_of_a_slice_keep_their_keys_apart(spark, tmp_path):
+    """Keys that share a slice, one of them null and one beyond doubles, over a restart, out of one call for all of them."""
+    big, schema = 2**60 + 1, "user_id long, tier string, team_key string, candidate_id string, vote_id long, ts timestamp"
+    inbox, at = str(tmp_path / "in"), lambda h, m: datetime.datetime(2024, 5, 1, h, m, tzinfo=datetime.UTC)
+    for rows in ([(big, 1, at(0, 1)), (big + 1, 2, at(0, 2)), (None, 3, at(0, 3)), (None, 4, at(0, 4)), (7, 5, at(0, 5))], [(big, 6, at(0, 6)), (None, 7, at(1, 0)), (7, 8, at(1, 1))]):
+        spark.createDataFrame([(u, "all", None, "c", n, t) for u, n, t in rows], schema).write.mode("append").parquet(inbox)
+        out = state.recent_votes(spark.readStream.schema(schema).parquet(inbox), "5 hours", slices=1)
+        out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {r.vote_id: (r.user_id, r.was_duplicate) for r in rows} == {
+        1: (big, False), 2: (big + 1, False), 3: (None, False), 4: (None, True), 5: (7, False), 6: (big, True), 7: (None, False), 8: (7, False)}
