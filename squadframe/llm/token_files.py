@@ -34,32 +34,38 @@ from .common import shared_folder, small_batches
 #: Ids from which a shard is full (a document is never divided), the count from which a pair is frequent, and how far
 #: below the most frequent pair's count a pair may lie to be replaced in the same round.
 SHARD_IDS, LEAST, TOGETHER = 1 << 18, 16, 32
-#: Distinct words of one generation of a worker's memory; it holds two of them.
-REMEMBERED = 1 << 18
+#: Distinct pieces, and parts cut by the library, of one generation of a worker's memory; it holds two of them.
+REMEMBERED, WIDE = 1 << 19, 1 << 16
+#: Bytes of text from which documents are encoded together, and pieces that are looked up together.
+GROUP, BLOCK = 1 << 22, 1 << 20
 _MAGIC, _HEAD = b"RPR1", "<4sBxxxIIII"
-_BORDER = re.compile(r"(?<=\S) (?=\S)")
+#: Up to U+024F: numbers, white space, and what else is no letter.
+_N, _S = "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_O = r"\0-\x08\x0e-\x1f!-/:-@\[-`{-\x84\x86-\x9f\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7"
+_L = f"^{_N}{_S}{_O}"
+# Fixed value: the pre-tokenisation of byte-level BPE, here for characters up to U+024F only.
+_PIECE = re.compile(f" [{_L}]+|[{_L}]+| ?[{_N}]+|'(?:[stmd]|re|ve|ll)| ?[{_O}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_WIDE = re.compile("[^\0-\u024f]")
+_BORDER = re.compile(r"(?<=\S)(?=[ \n]\S)")
+# Fixed value: the characters that stand for bytes in byte-level BPE.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _SHOWN)}
 #: Bits of the slots by which pairs are counted first.
 _SLOTS = 18
-# Fixed value: the pre-tokenisation of byte-level BPE, here for printable ASCII only.
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
-
-
-class _Unsafe(Exception):
-    """The text has other white space at a space than two words."""
 
 
 class Memory(dict):
     """Values by key, made on demand. When it is full its entries become the older generation; what is asked for again
     comes back from there, and what is not is gone with the next change."""
 
-    def __init__(self, make: Callable[[str], bytes]):
-        self.make, self.older = make, {}
+    def __init__(self, make: Callable[[str], object], most: int):
+        self.make, self.most, self.older = make, most, {}
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key: str):
         got = self.older.get(key)
         if got is None:
             got = self.make(key)
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         if len(key) <= 32:
@@ -71,57 +77,46 @@ class Encoder:
     """Ids of whole texts as little-endian 4-byte integers, by the tokenizer library's model; strings of special tokens
     are ordinary text.
 
-    A space between two characters that are no white space always starts a new piece in byte-level pre-tokenisation, and
-    a line feed between two such characters is a piece: what such borders part can be encoded each on its own, and is
-    remembered. Everything else is cut by the library.
+    Texts with characters up to U+024F are cut into pieces by a pattern, others by the library: a space or a line feed
+    between two characters that are no white space always starts a new piece, so what such borders part is cut on its
+    own. The pieces of many texts are looked up together, each distinct one once.
     """
 
     def __init__(self, path: str):
         tokenizer = Tokenizer.from_file(path)
-        self.cut, self.size, tokenize = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.get_vocab_size(), tokenizer.model.tokenize
-        self.space = self.cut(" a")[0][0][0]
-        self.pieces = Memory(lambda piece: array("I", [t.id for t in tokenize(piece)]).tobytes())
-        self.first, self.later = Memory(lambda word: self.word(word, "")), Memory(lambda word: self.word(word, " "))
-        self.feed = self.any("\n")
-
-    def any(self, text: str) -> bytes:
-        return b"".join([self.pieces[x] for x, _ in self.cut(text)])
-
-    def word(self, word: str, before: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise _Unsafe
-        if word.isascii():
-            if word.isalpha():
-                return self.pieces[self.space + word if before else word]
-            if word.isprintable():
-                return b"".join([self.pieces[x.replace(" ", self.space)] for x in _PIECE.findall(before + word)])
-        return self.any(before + word)
-
-    def part(self, part: str, words: Memory, before: str) -> bytes:
-        """What stands between two spaces, or, if the spaces do not part words, at any borders."""
-        if "\n" not in part:
-            return words[part]
-        lines = part.split("\n")
-        return self.feed.join([words[lines[0]], *map(self.first.__getitem__, lines[1:])])
-
-    def __call__(self, text: str) -> bytes:
-        head, *rest = text.split(" ")
-        later = self.later
-        try:
-            return b"".join([self.part(head, self.first, ""), *[self.part(x, later, " ") if "\n" in x else later[x] for x in rest]])
-        except _Unsafe:
-            out = []
-            for k, x in enumerate(_BORDER.split(text)):
-                before, words = (" ", later) if k else ("", self.first)
-                try:
-                    out.append(self.part(x, words, before))
-                except _Unsafe:
-                    out.append(self.any(before + x))
-            return b"".join(out)
+        cut, self.size, tokenize = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.get_vocab_size(), tokenizer.model.tokenize
+        self.wide = Memory(lambda part: [part[i:j] for _, (i, j) in cut(part)], WIDE)
+        self.ids = Memory(lambda piece: array("I", [t.id for t in tokenize(piece.encode().decode("latin-1").translate(_BYTES))]).tobytes(), REMEMBERED)
+
+    def pieces(self, text: str) -> list[str]:
+        if not _WIDE.search(text):
+            return _PIECE.findall(text)
+        return [x for part in _BORDER.split(text) for x in (self.wide[part] if _WIDE.search(part) else _PIECE.findall(part))]
+
+    def block(self, pieces: list[str]) -> tuple[bytes, np.ndarray]:
+        """Ids of pieces one after the other, and the number of ids of each."""
+        coded = pa.array(pieces, pa.string()).dictionary_encode()
+        known = [self.ids[x] for x in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        codes = coded.indices.to_numpy()
+        n = sizes[codes]
+        at = np.repeat((np.cumsum(sizes) - sizes)[codes] - np.cumsum(n) + n, n)
+        at += np.arange(len(at))
+        return np.frombuffer(b"".join(known), "<u4")[at].tobytes(), n
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        pieces, ends = [], [0]
+        for text in texts:
+            pieces += self.pieces(text)
+            ends.append(len(pieces))
+        blocks = [self.block(pieces[i : i + BLOCK]) for i in range(0, len(pieces), BLOCK)]
+        ids = b"".join([x for x, _ in blocks])
+        bounds = 4 * np.cumsum(np.concatenate([[0], *[n for _, n in blocks]]))[ends]
+        return [ids[i:j] for i, j in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of a file: one in each Python worker, with its memory of words, for all tasks that it runs."""
+    """The encoder of a file: one in each Python worker, with its memory of pieces, for all tasks that it runs."""
     held = vars(sys.modules.setdefault("squadframe_worker_memory", ModuleType("squadframe_worker_memory")))
     if path not in held:
         held[path] = Encoder(path)
@@ -147,14 +142,20 @@ def grammar(ids: np.ndarray, first: int, end: int, least: int = LEAST) -> tuple[
     """
     seq = ids.astype(np.uint32)
     rules, lengths = [np.zeros((0, 2), np.int64)], np.ones(first, np.int64)
+    # where a frequent pair can start: of older symbols none becomes frequent that was not, as pairs only lose places
+    open_ = np.ones(len(seq), bool)
     while len(seq) > 1:
-        # pairs in a slot with fewer than `least` are not frequent; the others are counted one by one
-        slot = ((seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA77))) >> np.uint32(32 - _SLOTS)
-        at = np.flatnonzero((np.bincount(slot, minlength=1 << _SLOTS) >= least)[slot])
-        at = at[seq[at] != end]
+        at = np.flatnonzero(open_[:-1])
+        a, b = seq[at], seq[at + 1]
+        # pairs in a slot with fewer than `least` are not frequent, which is looked at if it can spare much; the others are counted one by one
+        slot = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77))) >> np.uint32(32 - _SLOTS)
+        some = np.flatnonzero(((np.bincount(slot, minlength=1 << _SLOTS) >= least)[slot] if len(at) >> (_SLOTS - 4) else True) & (a != end))
+        at, slot = at[some], slot[some]
         if not len(at):
             break
-        code = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        open_[:] = False
+        open_[at] = True
+        code = a[some].astype(np.uint64) << np.uint64(32) | b[some]
         found, counts = _frequent(code, least)
         chosen = found[counts >= counts[0] // TOGETHER] if len(found) else found
         none = len(chosen)
@@ -162,7 +163,7 @@ def grammar(ids: np.ndarray, first: int, end: int, least: int = LEAST) -> tuple[
         table = np.full(1 << _SLOTS, none, np.int32)
         own = (((chosen >> np.uint64(32)).astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (chosen.astype(np.uint32) * np.uint32(0x85EBCA77))) >> np.uint32(32 - _SLOTS)
         table[own[::-1]] = np.arange(none - 1, -1, -1)
-        rank = table[slot[at]]
+        rank = table[slot]
         hit = np.flatnonzero(rank < none)
         hit = hit[chosen[rank[hit]] == code[hit]]
         at, rank = at[hit], rank[hit]
@@ -184,7 +185,10 @@ def grammar(ids: np.ndarray, first: int, end: int, least: int = LEAST) -> tuple[
         seq[at] = (len(lengths) + np.cumsum(good) - 1)[rank]
         rules.append(pairs)
         lengths = np.concatenate([lengths, lengths[pairs].sum(axis=1)])
-        seq = np.delete(seq, at + 1)
+        open_[at] = open_[at[at > 0] - 1] = True
+        kept = np.ones(len(seq), bool)
+        kept[at + 1] = False
+        seq, open_ = seq[kept], open_[kept]
     return np.concatenate(rules), lengths[first:], seq
 
 
@@ -251,6 +255,19 @@ class ShardFile:
         return self.expand(self.symbols[a:b])[skip : skip + max(0, stop - start)]
 
 
+def _groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Batches together until they have that many bytes."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def write_files(docs: DataFrame, path: str, to: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS, least: int = LEAST) -> None:
     """Writes the files of docs below the folder `to` as rows (part, shard, in_part, doc_ids, n_ids, file);
     in_part counts the ids before the file in its part.
@@ -276,10 +293,11 @@ def write_files(docs: DataFrame, path: str, to: str, end_id: int = 2, id_col: st
                 [pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([done], pa.int64()), ids, pa.array([size // 4], pa.int64()), pa.array([pack(held, encode.size, end_id, least)], pa.binary())],
                 ["part", "shard", "in_part", "doc_ids", "n_ids", "file"])
 
-        for b in batches:
-            id_type = b.schema.field(0).type
-            for name, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
+        for group in _groups(batches, GROUP):
+            id_type = group.schema.field(0).type
+            texts = group.column(1).to_numpy().tolist()
+            for name, ids in zip(group.column(0).to_pylist(), encode([x or "" for x in texts]), strict=True):
+                ids += end
                 if held and size + len(ids) > 4 * shard_ids:
                     yield batch()
                     names, held, size, shard, done = [], [], 0, shard + 1, done + size // 4
