@@ -39,13 +39,17 @@ REMEMBERED, WIDE = 1 << 19, 1 << 16
 #: Bytes of text from which documents are encoded together, and pieces that are looked up together.
 GROUP, BLOCK = 1 << 22, 1 << 20
 _MAGIC, _HEAD = b"RPR1", "<4sBxxxIIII"
-#: Up to U+024F: numbers, white space, and what else is no letter.
+#: Characters up to U+024F, and beyond it usual punctuation, Greek, Cyrillic, kana, Chinese and Hangul: numbers, white
+#: space, and what else is no letter; the rest of them are letters.
 _N, _S = "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _O = r"\0-\x08\x0e-\x1f!-/:-@\[-`{-\x84\x86-\x9f\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7"
+_SIGNS = r"\u200b-\u2027\u202a-\u202e\u2030-\u205e\u20a0-\u20bf\u3001-\u3003\u3008-\u3011\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f"
+_LETTERS = r"\u0386\u0388-\u038a\u038c\u038e-\u03a1\u03a3-\u03f5\u0400-\u0481\u048a-\u0523\u3041-\u3096\u30a1-\u30fa\u30fc-\u30fe\u4e00-\u9fa5\uac00-\ud7a3"
+_O += _SIGNS
 _L = f"^{_N}{_S}{_O}"
-# Fixed value: the pre-tokenisation of byte-level BPE, here for characters up to U+024F only.
+# Fixed value: the pre-tokenisation of byte-level BPE, here for these characters only.
 _PIECE = re.compile(f" [{_L}]+|[{_L}]+| ?[{_N}]+|'(?:[stmd]|re|ve|ll)| ?[{_O}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_WIDE = re.compile("[^\0-\u024f]")
+_WIDE = re.compile(rf"[^\0-\u024f{_SIGNS}{_LETTERS}]")
 _BORDER = re.compile(r"(?<=\S)(?=[ \n]\S)")
 # Fixed value: the characters that stand for bytes in byte-level BPE.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -77,7 +81,7 @@ class Encoder:
     """Ids of whole texts as little-endian 4-byte integers, by the tokenizer library's model; strings of special tokens
     are ordinary text.
 
-    Texts with characters up to U+024F are cut into pieces by a pattern, others by the library: a space or a line feed
+    Texts of usual characters are cut into pieces by a pattern, words with others by the library: a space or a line feed
     between two characters that are no white space always starts a new piece, so what such borders part is cut on its
     own. The pieces of many texts are looked up together, each distinct one once.
     """

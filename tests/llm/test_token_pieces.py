@@ -20,6 +20,10 @@ def test_pieces_are_the_librarys():
     texts = [a + x + b for x in low for a in ("", " ", "a", "1", "'") for b in ("", "a", "1", " ", "\n", "'s")]
     texts += ["".join(x) for x in itertools.product("a 1'\n.sé", repeat=4)]
     texts += ["".join(r.choices(s, k=r.randrange(15))) for s in (low, odd) for _ in range(5000)]
+    # each character that the pattern takes, between letters, numbers and signs
+    more = [c for c in map(chr, [*range(0x250, 0xD800), *range(0xE000, 0x10000)]) if not token_files._WIDE.search(c)]
+    texts += [f"{x}a{x}1 {x}.{x}\n{x}{x} 's{x}" for x in more]
+    assert len(more) > 30_000 and not token_files._WIDE.search("".join(low))
     encode = token_files.Encoder(PATH)
     for t in texts:
         assert encode.pieces(t) == [t[i:j] for _, (i, j) in cut(t)], repr(t)
