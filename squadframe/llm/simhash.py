@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ VARIANTS_IN_TASK, _SLICE = 1 << 23, 1 << 11
 SIMILAR = 0.8
 #: Short fingerprints of a text, and minima in each.
 BANDS, ROWS = 20, 5
+#: Shingles (8 bytes each) and members of a block of a group.
+SHINGLES_IN_BLOCK, MEMBERS_IN_BLOCK = 1 << 19, 1 << 10
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
@@ -98,6 +101,8 @@ def _variants(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 def _meet(bucket: int, rest: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) among the fingerprints that meet in one bucket: each to the least one at most one flip away from
     the variant that they share."""
+    if len(rest) < 2:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     rest = np.sort(rest)
     same = rest[1:] >> np.uint64(bits) == rest[:-1] >> np.uint64(bits)
     shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
@@ -170,13 +175,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = work_table(fingerprints(docs, id_col, text_col, words_per_shingle).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     found = work_table(links(work_table(rows.select("fp").distinct(), "distinct")), "near")
-    return _grouped(rows, found).select(
+    return _grouped(rows, components(found, "a", "b")).select(
         "doc_id", "sum", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "kept")
 
 
-def _grouped(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Adds component_id and kept to rows (doc_id, sum, fp, row), under links found (a, b) between values of fp."""
-    roots = components(found, "a", "b")
+def _grouped(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Adds component_id and kept to rows (doc_id, sum, fp, row), under components (node, root) of values of fp."""
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
     by_fp = rows.groupBy("fp").agg(least, F.count("*").alias("n")).join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     by_fp = work_table(by_fp.where(F.col("n").isNotNull()), "classes")
@@ -199,19 +203,23 @@ def shingles(text: str | None, words_per_shingle: int = 5) -> set[bytes]:
 _DRAWS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 
 
-def sketch(text: str | None, words_per_shingle: int = 5) -> tuple[int, np.ndarray]:
-    """A digest of the shingle set (signed), and its BANDS short fingerprints (signed, one number space for each)."""
-    h = np.array(sorted({xxhash.xxh64_intdigest(x, SEED) for x in shingles(text, words_per_shingle)}), np.uint64)
+def _hashes(text: str | None, words_per_shingle: int) -> np.ndarray:
+    return np.array(sorted({xxhash.xxh64_intdigest(x, SEED) for x in shingles(text, words_per_shingle)}), np.uint64)
+
+
+def sketch(text: str | None, words_per_shingle: int = 5) -> tuple[int, np.ndarray, int]:
+    """A digest of the shingle set (signed), its BANDS short fingerprints (signed, one number space for each), and its size."""
+    h = _hashes(text, words_per_shingle)
     least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
     for at in range(0, len(h), 1 << 10):
         least = np.minimum(least, (h[at : at + (1 << 10), None] * (_DRAWS[0] | np.uint64(1)) + _DRAWS[1]).min(axis=0))
     bands = [xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))]
-    return xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63), np.array(bands, np.uint64).view(np.int64)
+    return xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63), np.array(bands, np.uint64).view(np.int64), len(h)
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int) -> DataFrame:
-    """(doc_id, sum, fp, bands, sim), fp being the digest of the shingle set and sim the 64-bit fingerprint (signed); one
-    row per row of docs."""
+    """(doc_id, sum, fp, bands, n, sim), fp being the digest of the shingle set, n its size and sim the 64-bit fingerprint
+    (signed); one row per row of docs."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -219,12 +227,12 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: in
         for batch in batches:
             made = [(*sketch(x.as_py(), words_per_shingle), fingerprint(x.as_py(), words_per_shingle)) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x for x, _, _ in made], pa.int64()), pa.array([x for _, x, _ in made], pa.list_(pa.int64())), pa.array(np.array([x for _, _, x in made], np.uint64).view(np.int64))],
-                ["doc_id", "sum", "fp", "bands", "sim"])
+                [batch.column(0), batch.column(1), pa.array([x for x, _, _, _ in made], pa.int64()), pa.array([x for _, x, _, _ in made], pa.list_(pa.int64())), pa.array([x for _, _, x, _ in made], pa.int64()), pa.array(np.array([x for _, _, _, x in made], np.uint64).view(np.int64))],
+                ["doc_id", "sum", "fp", "bands", "n", "sim"])
             del made
             pa.default_memory_pool().release_unused()
 
-    return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(each, f"doc_id {kind}, sum long, fp long, bands array<long>, sim long")
+    return docs.select(id_col, F.xxhash64(text_col), text_col).mapInArrow(each, f"doc_id {kind}, sum long, fp long, bands array<long>, n long, sim long")
 
 
 def _ball(rows: DataFrame) -> DataFrame:
@@ -256,19 +264,73 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words_per_shingle: int) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(each, "a long, b long")
 
 
+def _met(tile: pa.Table, words_per_shingle: int) -> pa.Table:
+    """Links (a, b) of a tile: each pair of its sides (of one block with itself, each two members) is tried in the tile of
+    the first short fingerprint that the two share, unless they are connected. Links that connect nothing new are left out."""
+    band, right = tile["band"][0].as_py(), tile["later"].to_numpy()
+    fp, size, root = tile["fp"].to_numpy(), tile["n"].to_numpy(), tile["root"].to_numpy().copy()
+    bands = pc.list_flatten(tile["bands"]).to_numpy().reshape(len(fp), -1)
+    sets = [_hashes(x.as_py(), words_per_shingle) for x in tile["text"]]
+    alone = not right.any()
+    left = np.arange(len(fp)) if alone else np.flatnonzero(~right)
+    flat, owner = np.concatenate([sets[i] for i in left]), np.repeat(left, [len(sets[i]) for i in left])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    links = []
+    for b in left if alone else np.flatnonzero(right):
+        some = left[left < b] if alone else left
+        some = some[(root[some] != root[b]) & (np.minimum(size[some], size[b]) >= SIMILAR * np.maximum(size[some], size[b]))]
+        same = bands[some] == bands[b]
+        some = some[bands[b, same.argmax(axis=1)] == band] if len(some) else some
+        if not len(some):
+            continue
+        low, high = np.searchsorted(flat, sets[b]), np.searchsorted(flat, sets[b], "right")
+        many = high - low
+        at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
+        both = np.bincount(owner[at], minlength=len(fp))[some]
+        for a in some[both >= SIMILAR * (size[some] + size[b] - both)]:
+            if root[a] != root[b]:
+                root[root == root[a]] = root[b]
+                links.append((fp[a], fp[b]))
+    return pa.table({k: pa.array([x[i] for x in links], pa.int64()) for i, k in enumerate("ab")})
+
+
+def _in_groups(sets: DataFrame, roots: DataFrame, texts: DataFrame, words_per_shingle: int) -> DataFrame:
+    """Links (a, b) between members of one group (sets (fp, bands, n) that share a short fingerprint) that are SIMILAR and
+    not connected yet under roots (node, root): every such pair is tried.
+
+    Members stand in the order of their sizes, in blocks of bounded sizes; two blocks meet in a tile where the sizes of
+    their members allow the similarity. So memory is bounded, and only pairs of several components in a group take time.
+    Groups of three or fewer have been tried in full before.
+    """
+    rooted = sets.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    sent = rooted.select("fp", "n", "root", F.explode("bands").alias("band"))
+    mixed = sent.groupBy("band").agg(F.count("*").alias("k"), F.min("root").alias("low"), F.max("root").alias("high")).where("k > 3 and low < high").select("band")
+    weight = F.greatest("n", F.lit(SHINGLES_IN_BLOCK // MEMBERS_IN_BLOCK))
+    dealt = sent.join(mixed, "band").withColumn("block", F.floor((F.sum(weight).over(Window.partitionBy("band").orderBy("n", "fp")) - weight) / SHINGLES_IN_BLOCK))
+    dealt = work_table(dealt, "members")
+    blocks = dealt.groupBy("band", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    one, two = (blocks.select("band", F.col("block").alias(k), F.col("low").alias(f"low_{k}"), F.col("high").alias(f"high_{k}")) for k in "ij")
+    tiles = one.join(two, "band").where((F.col("i") <= F.col("j")) & (F.col("high_i") >= F.col("low_j") * SIMILAR)).select("band", "i", "j")
+    sides = [dealt.join(tiles.where(when).withColumn("block", F.col(k)), ["band", "block"]).withColumn("later", F.lit(k == "j")) for k, when in (("i", "true"), ("j", "i < j"))]
+    met = sides[0].unionByName(sides[1]).drop("block").join(sets.select("fp", "bands"), "fp").join(texts, "fp")
+    return met.groupBy("band", "i", "j").applyInArrow(lambda tile: _met(tile, words_per_shingle), "a long, b long")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
     """Per row of docs: doc_id, sum, fp (digest of the shingle set), component_id, kept, as near_groups, under links
     between texts whose shingle sets have a Jaccard similarity of SIMILAR or more.
 
-    Texts whose fingerprints link in the ball are candidates, and texts that share a short fingerprint. In a group of k
-    of these the k - 1 pairs with the least of them and the k - 1 pairs of neighbours are tried, in every group again:
-    each link is real, a pair can stay untried only where it shares its groups with others. First each text is tried
-    with the least of all its groups; pairs that this has connected are not read again.
+    Texts whose fingerprints link in the ball are candidates, and any two texts that share a short fingerprint. First each
+    text is tried with the least of all its groups, then with the least and its neighbour in each group, and then every
+    pair of a group that these links don't connect: each link is real, and no candidate stays untried that could connect
+    more.
     """
     made = _sketches(docs, id_col, text_col, words_per_shingle).withColumn("row", F.monotonically_increasing_id())
     rows = work_table(made, "sketches")
     order = Window.partitionBy("band").orderBy("fp")
-    sent = rows.select("fp", "bands").dropDuplicates(["fp"]).select("fp", F.explode("bands").alias("band"))
+    sets = work_table(rows.select("fp", "bands", "n").dropDuplicates(["fp"]), "sets")
+    sent = sets.select("fp", F.explode("bands").alias("band"))
     met = sent.select(F.col("fp").alias("a"), F.first("fp").over(order).alias("hub"), F.lag("fp").over(order).alias("prev")).where("prev is not null")
     tried = work_table(met.groupBy("a", "hub", "prev").count().drop("count"), "tried")
     first = work_table(tried.groupBy("a").agg(F.min("hub").alias("b")), "first")
@@ -286,7 +348,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for k in "ab":
         rest = rest.join(under.select(F.col("node").alias(k), F.col("top").alias(f"top_{k}")), k, "left").withColumn(f"top_{k}", F.coalesce(f"top_{k}", k))
     rest = work_table(rest.where("top_a <> top_b").select("a", "b").join(first, ["a", "b"], "left_anti"), "rest")
-    return _grouped(rows, work_table(found.unionByName(_confirmed(rest, texts, words_per_shingle)), "near"))
+    near = work_table(found.unionByName(_confirmed(rest, texts, words_per_shingle)), "near")
+    roots = components(near, "a", "b")
+    more = work_table(_in_groups(sets, roots, texts, words_per_shingle), "more")
+    return _grouped(rows, roots if more.isEmpty() else components(near.unionByName(more), "a", "b"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
