@@ -34,7 +34,7 @@ STATS = {
     "item_skill": ["damageToPlayer_itemSkill"], "direct": ["damageToPlayer_direct"], "unique_skill": ["damageToPlayer_uniqueSkill"], "damage_from": ["damageFromPlayer", "totalDamageFromPlayer"], "from_basic": ["damageFromPlayer_basic"],
     "from_skill": ["damageFromPlayer_skill"], "cc_count": ["ccCount", "crowdControlCount"], "cc_time": ["ccTimeToPlayer", "ccTime"], "heal": ["healAmount"], "absorb": ["protectAbsorb"], "vision": ["sightScore", "visionScore"],
 }
-#: Items of an array that discovery looks into.
+#: Items of an array that the summary of a payload looks into.
 LOOKED_AT = 3
 
 
@@ -124,11 +124,11 @@ def looked_into(payloads: DataFrame, id_col: str, column: str, found: Callable[[
     return payloads.mapInArrow(each, StructType([payloads.schema[id_col], *out]))
 
 
-def _arrays(value: Any) -> list[dict[str, Any]]:
-    """Every array with an item, on the way down."""
+def _arrays(value: Any, items: int | None = LOOKED_AT) -> list[dict[str, Any]]:
+    """Every array with an item, on the way down, in the first `items` items of each (None: in all)."""
     return [
         {"path": plain(".".join(parts)) if parts else "$", "place": place, "row_count": len(x), "sample_keys": list(map(plain, names_in(x[0]))) if isinstance(x[0], dict) else []}
-        for parts, place, x in walk(value, items=LOOKED_AT) if isinstance(x, list) and x
+        for parts, place, x in walk(value, items=items) if isinstance(x, list) and x
     ]
 
 
@@ -137,13 +137,27 @@ def plain(text: str) -> str:
     return text if text.isascii() else text.encode("utf-8", "replace").decode()
 
 
-def arrays_in(payloads: DataFrame, id_col: str, column: str) -> DataFrame:
-    """Every array with an item: id_col, path (`$` for the payload itself), place, row_count, sample_keys (of the first
-    item, if it is an object)."""
-    found = looked_into(payloads, id_col, column, lambda value: (_arrays(value),), "found array<struct<path: string, place: array<int>, row_count: int, sample_keys: array<string>>>")
+def arrays_in(payloads: DataFrame, id_col: str, column: str, items: int | None = LOOKED_AT) -> DataFrame:
+    """Every array with an item, in the first `items` items of each (None: in all): id_col, path (`$` for the payload
+    itself), place, row_count, sample_keys (of the first item, if it is an object)."""
+    found = looked_into(payloads, id_col, column, lambda value: (_arrays(value, items),), "found array<struct<path: string, place: array<int>, row_count: int, sample_keys: array<string>>>")
     return found.select(id_col, F.inline("found"))
 
 
+def _paths(value: Any) -> list[dict[str, Any]]:
+    """Per path the items of all its arrays and of the longest one, in every item of every array."""
+    sizes: dict[tuple[str, ...], list[int]] = {}
+    for parts, _, x in walk(value):
+        if isinstance(x, list) and x:
+            sizes.setdefault(parts, []).append(len(x))
+    found: dict[str, tuple[int, int]] = {}
+    for parts, some in sizes.items():
+        path = plain(".".join(parts)) if parts else "$"
+        items, longest = found.get(path, (0, 0))
+        found[path] = items + sum(some), max(longest, *some)
+    return [{"path": k, "items": items, "longest": longest} for k, (items, longest) in found.items()]
+
+
 def _summary(value: Any) -> tuple:
     best = max(_arrays(value), key=lambda x: x["row_count"], default={"path": None, "row_count": 0, "sample_keys": []})
     return list(map(plain, names_in(value))) if isinstance(value, dict) else [], best["path"], best["row_count"], best["sample_keys"]
@@ -245,8 +259,8 @@ def payload_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payload_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All arrays of the payloads by path: payloads that have it, items, and the longest one."""
-    found = arrays_in(game_payloads(spark, sf_dir), "game_id", "payload")
-    return found.groupBy("path").agg(F.count_distinct("game_id").alias("payloads"), F.sum("row_count").cast("long").alias("items"), F.max("row_count").alias("longest"))
+    found = looked_into(game_payloads(spark, sf_dir), "game_id", "payload", lambda value: (_paths(value),), "found array<struct<path: string, items: long, longest: int>>").select("game_id", F.inline("found"))
+    return found.groupBy("path").agg(F.count("game_id").alias("payloads"), F.sum("items").alias("items"), F.max("longest").alias("longest"))  # one payload a game
 
 
 def payload_objects(spark: SparkSession, sf_dir: str) -> DataFrame:

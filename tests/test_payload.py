@@ -98,3 +98,12 @@ def test_payloads_are_read_where_they_are(spark):
     table = spark.createDataFrame(list(enumerate(odd)), "id int, p string")
     assert {r["id"]: r["user_id"] for r in payload.user_ids(table, "id", "p").collect()} == {0: None, 1: "0.0", 2: "1.5", 3: None, 4: None, 5: None, 6: None}
     assert sorted((r["id"], r["path"], r["row_count"]) for r in payload.arrays_in(table, "id", "p").collect()) == [(3, "", 1), (5, "a", 2)]
+
+
+def test_payload_arrays_looks_into_every_item(spark, monkeypatch):
+    rows = [(1, json.dumps({"a": [{"v": [1]}] * 3 + [{"v": [1, 2]}, {"w": [[], [5, 6, 7]]}]})), (2, '[[1, 2], [], [3], [4], [5, 6, 7, 8]]'), (3, "no json"), (4, json.dumps({"a": [[], [], [], [9]], "a.[]": [1]}))]
+    table = spark.createDataFrame(rows, "game_id int, payload string")
+    monkeypatch.setattr(payload, "game_payloads", lambda spark, sf_dir: table)
+    got = {r["path"]: (r["payloads"], r["items"], r["longest"]) for r in payload.payload_arrays(spark, "").collect()}
+    assert got == {"a": (2, 9, 5), "a.[].v": (1, 5, 2), "a.[].w": (1, 2, 2), "a.[].w.[]": (1, 3, 3), "$": (1, 5, 5), "[]": (1, 8, 4), "a.[]": (1, 2, 1)}
+    assert (2, "[]", 4) in {(r["game_id"], r["path"], r["row_count"]) for r in payload.arrays_in(table, "game_id", "payload", None).collect()}
