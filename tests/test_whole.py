@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from squadframe.operators import search, stats, text
 
 
@@ -46,3 +48,24 @@ def test_capped_walk_against_brute_force(spark):
         table = spark.createDataFrame(edges, "u int, g int")
         got = {(x["kind"], x["id"]): x["level"] for x in search.capped_walk(table, table.where("u < 3"), depth, games, most).collect()}
         assert got == {("user", u): k for u, k in users.items()} | {("game", g): k for g, k in found.items()}
+
+
+def test_union_combos_scored_searches_all_members(spark, monkeypatch):
+    """Rosters of more than a dozen members: every pair of two rosters meets every member of the third."""
+    ids = [f"Brand#{k}:{c * n}" for k in (3, 4, 5) for n in range(1, 20) for c in ("A" if k != 5 else "B")]
+    stats = spark.createDataFrame([("all", x, 100 - i, 1 / (i + 2)) for i, x in enumerate(ids)], "bucket string, stat_id string, games long, win_rate double")
+    roster = {x["id"]: x["roster"] for x in search._rosters(stats, None).collect()}
+    assert set(roster) == set(ids) and max(list(roster.values()).count(k) for k in range(3)) > 12
+    worst = {k: max((x for x in ids if roster[x] == k), key=lambda x: (x.split(":")[0] == f"Brand#{k + 3}", ids.index(x))) for k in range(3)}
+    monkeypatch.setattr(search, "Base", lambda spark, sf_dir: type("B", (), {"stats": stats}))
+    seen = []
+
+    def scored(base, asked, pool):
+        seen.append((asked.count(), pool.count()))
+        return pool.join(asked, "sel").select("sel", "variant", F.when(F.forall(F.concat("picked", F.array("variant")), lambda v: v.isin(list(worst.values()))), 9.0).otherwise(1.0).alias("total"))
+
+    monkeypatch.setattr(search, "evaluated", scored)
+    best = search.union_combos_scored(spark, "").first()
+    who = lambda x: x.split(":")[0]
+    assert len({who(x) for x in worst.values()}) == 3 and (best["id0"], best["id1"], best["id2"], best["score"]) == (*(worst[k] for k in range(3)), 9.0)
+    assert seen[0][0] == sum(roster[a] < roster[b] and who(a) != who(b) for a in ids for b in ids)
