@@ -241,6 +241,70 @@ def assembled_teams(rows: DataFrame, game_col: str, least: int = 2) -> DataFrame
     return teams.where(F.size("players") >= least).select(game_col, "team_key", "first.*", "players")
 
 
+#: Marks texts that are JSON yet to be read; texts that begin with it are sent as JSON too.
+_JSON = "\0"
+
+
+def _whole(x: Any) -> bool:
+    """Whether a value is a whole number that reads as it is written."""
+    return isinstance(x, Number) and len(x) < 19 and (x.isdigit() or x[0] == "-" and x[1:].isdigit() and x != "-0")
+
+
+def _sent(x: Any) -> str | None:
+    """A value as its text where that is plain, else as marked JSON, whose text is the variant's own rule."""
+    if x is None or _whole(x):
+        return x
+    if isinstance(x, list) and all(map(_whole, x)):
+        return "[" + ",".join(x) + "]"
+    if isinstance(x, str) and not isinstance(x, Number) and not x.startswith(_JSON):
+        return plain(x)
+    return _JSON + json_text(x)
+
+
+def _users(value: Any) -> Iterator[tuple[int, dict[str, Any]]]:
+    """(place, row) of a payload's rows of users that have a team and a character, as game_rows finds them."""
+    held = next((value[n] for n in SHAPES if value.get(n) is not None), None) if isinstance(value, dict) else None
+    for at, row in enumerate(held if isinstance(held, list) else ()):
+        if isinstance(row, dict) and said(row, TEAM) is not None and said(row, CHARACTER) is not None:
+            yield at, row
+
+
+def teams_in(payloads: DataFrame, game_col: str, column: str, fields: Iterable[str] | None = None, least: int = 2) -> DataFrame:
+    """What assembled_teams gives for game_rows, where a game has one payload: each payload is read once and grouped where
+    it is, nothing is shuffled. fields are those of SCALARS, TRAITS and STATS that are read, all by default; rank and
+    victory always are."""
+    scalars, traits, stats = ([c for c in of if fields is None or c in fields or c in ("rank", "victory")] for of in (SCALARS, TRAITS, STATS))
+    names = {"team_key": TEAM, "character": CHARACTER, "weapon": WEAPON} | {c: SCALARS[c][0] for c in scalars} | {c: TRAITS[c] for c in traits} | {c: STATS[c] for c in stats}
+    out = StructType([payloads.schema[game_col], *StructType.fromDDL(f"users array<struct<at: int, {', '.join(f'{c}: string' for c in names)}>>")])
+    wanted = list(names.values())
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part, ends, places, found = batch.slice(start, 64), [0], [], []
+                for x in part.column(1):
+                    for at, row in _users(read_json(x.as_py())):
+                        places.append(at)
+                        found.append([_sent(said(row, n)) for n in wanted])
+                    ends.append(len(places))
+                columns = [pa.array([x[k] for x in found], pa.string()) for k in range(len(wanted))]
+                users = pa.StructArray.from_arrays([pa.array(places, pa.int32()), *columns], ["at", *names])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), users)], [game_col, "users"])
+
+    def read(u: Column) -> Column:
+        text = {c: F.when(F.startswith(u[c], F.lit(_JSON)), as_text(F.substring(u[c], 2, 1 << 30))).otherwise(u[c]) for c in names}
+        values = {**text, **{c: text[c].try_cast(SCALARS[c][1]) for c in scalars}, **{c: F.coalesce(text[c].try_cast("double"), F.lit(0.0)) for c in stats}}
+        return F.struct(u["at"].alias("at"), *[x.alias(c) for c, x in values.items()])
+
+    users = payloads.select(game_col, column).mapInArrow(each, out).select(game_col, F.transform("users", read).alias("users"))
+    keyed = users.select(game_col, "users", F.explode(F.array_distinct(F.transform("users", lambda u: u["team_key"]))).alias("team_key"))
+    own = keyed.select(game_col, "team_key", F.filter("users", lambda u: u["team_key"] == F.col("team_key")).alias("own")).where(F.size("own") >= least)
+    first = lambda c: F.col("own")[0][c]
+    truthy = F.coalesce(~F.lower(first("victory")).isin("false", "0", "0.0"), F.lit(False))
+    players = F.transform("own", lambda u: F.struct(*[u[c].alias(c) for c in ("at", "character", "weapon", *traits, "rank", *stats)]))
+    return own.select(game_col, "team_key", *[(truthy if c == "victory" else first(c)).alias(c) for c in scalars], players.alias("players"))
+
+
 def team_results(teams: DataFrame) -> DataFrame:
     """Adds placement (null for ranks that are none), win (victory or first) and top3."""
     rank = F.col("rank")
@@ -275,7 +339,7 @@ def payload_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_game_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Teams assembled from the raw rows of every game's payload, with their results and sums over the players."""
-    teams = team_results(assembled_teams(game_rows(game_payloads(spark, sf_dir), "game_id", "payload"), "game_id"))
+    teams = team_results(teams_in(game_payloads(spark, sf_dir), "game_id", "payload", ["matching_mode", "first_sub", "kills", "damage", "heal"]))
     listed = lambda c: F.array_join(F.transform("players", lambda p: F.coalesce(p[c].cast("string"), F.lit("-"))), ",")
     total = lambda c: X.round_half_up(F.aggregate("players", F.lit(0.0), lambda s, p: s + p[c]), 2)
     return teams.select(

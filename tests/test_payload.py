@@ -107,3 +107,20 @@ def test_payload_arrays_looks_into_every_item(spark, monkeypatch):
     got = {r["path"]: (r["payloads"], r["items"], r["longest"]) for r in payload.payload_arrays(spark, "").collect()}
     assert got == {"a": (2, 9, 5), "a.[].v": (1, 5, 2), "a.[].w": (1, 2, 2), "a.[].w.[]": (1, 3, 3), "$": (1, 5, 5), "[]": (1, 8, 4), "a.[]": (1, 2, 1)}
     assert (2, "[]", 4) in {(r["game_id"], r["path"], r["row_count"]) for r in payload.arrays_in(table, "game_id", "payload", None).collect()}
+
+
+def test_teams_in_payloads_are_those_of_the_rows(spark):
+    """Reading a payload once gives what rows of variants give, for odd values too, without a shuffle."""
+    odd = ["1", '"1"', "1.0", "1.50", "-0", "0", "-7", "1e2", "12345678901234567890", "true", "false", "null", '""', '"\\u0000x"', '" 2 "', '"n\u00e9\u4e2d"', "[1,2]", "[]", '[1.5,"a"]', '{"b":1,"a":"x"}', '"NaN"', '"1d"', "0.1"]
+    row = lambda team, x, more="": f'{{"teamNumber":{team},"characterNum":{x},"weapon":{x},"gameRank":{x},"victory":{x},"traitCore":{x},"kills":{x},"ccTime":{x}{more}}}'
+    games = [f'{{"games":[{row(1, 1)},{row(1, x)},{row(x, x)},{row(x, 5)},{row("1.00", 6)}]}}' for x in odd]
+    games += ['{"data":[], "games":[1]}', '{"userGames":{"a":1},"games":[' + row(1, 1) + "," + row(1, 2) + "]}", "[1]", "no", None, '{"games":[' + row(1, 1) + "," + row(1, 2, ',"kills":3') + "]}", '{"userGames":null,"gameDetails":[3,null,' + row(2, 9) + ",[]," + row(2, 8) + "]} more"]
+    table = spark.createDataFrame(list(enumerate(games)), "game_id int, p string").repartition(3)
+    rows = payload.assembled_teams(payload.game_rows(table, "game_id", "p"), "game_id")
+    once = payload.teams_in(table, "game_id", "p")
+    assert once.columns == rows.columns
+    get = lambda df: sorted(map(repr, df.collect()))
+    assert get(once) == get(rows) and once.count() > len(odd)
+    assert "Exchange" not in payload.teams_in(spark.createDataFrame([(g,) for g in games], "p string").selectExpr("1 as game_id", "p"), "game_id", "p")._jdf.queryExecution().executedPlan().toString()
+    few = payload.teams_in(table, "game_id", "p", ["kills"])
+    assert few.columns == ["game_id", "team_key", "rank", "victory", "players"]
